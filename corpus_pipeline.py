@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import byte_bpe, language_id, mixing, simhash_dedup
+from leadloom.llm import byte_bpe, language_id, mixing, pii_bootstrap, simhash_dedup
 from leadloom.llm.common import new_path, stash
 from leadloom.llm.queries import VOCABULARY, token_digests
 
@@ -34,6 +34,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(losers, "doc_id", "left_anti").select(*COLUMNS)
 
 
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, with the found spans replaced by their kinds; n_chars follows."""
+    return pii_bootstrap.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of their slots."""
     mixed = mixing.mix(docs, keep=COLUMNS)
@@ -49,6 +54,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", identify_language),
     ("simhash_dedup", drop_near_duplicates),
+    ("pii_bootstrap", redact_personal_data),
     ("mixing", mix_sources),
     ("byte_bpe", tokenize),
 ]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, language_id, mixing, quality_rules, simhash_dedup, topk_search, warc_archive
+from . import byte_bpe, chat_format, language_id, mixing, pii_bootstrap, quality_rules, simhash_dedup, topk_search, warc_archive
 
 #: Where the vocabulary is; a parameter of encode() and decode().
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -67,7 +67,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_warc_archive, op4_simhash_dedup, op5_quality_rules, op6_chat_format, op8_byte_bpe, op9_mixing)}
+def op10_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_bootstrap.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(pii_bootstrap.written(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *(count(kind) for kind, _ in pii_bootstrap.BASE), base, pii_bootstrap.written(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_warc_archive, op4_simhash_dedup, op5_quality_rules, op6_chat_format, op8_byte_bpe, op9_mixing, op10_pii_bootstrap)}
 
 ORACLE = {
     "op1_topk_search": """
