@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from .common import bound_batches
 
 #: States kept in the transducer and pieces kept in the piece table before they are emptied.
-MAX_STATES = 150_000
-MAX_PIECES = 1_000_000
+MAX_STATES = 40_000
+MAX_PIECES = 250_000
 #: Times that a transition is wanted before it is made.
 WANTED = 4
 #: Pieces longer than this are not kept in the piece table.

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one Arrow batch hands to a Python worker; bounds a worker's memory when texts are long.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 _WORD_BREAK = re.compile(rb"[\x20\x09-\x0d]")
 
