@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, language_id, mixing, pii_bootstrap, quality_rules, simhash_dedup, topk_search, warc_archive
+from . import byte_bpe, chat_format, language_id, mixing, pii_bootstrap, quality_rules, simhash_dedup, suffix_dedup, topk_search, warc_archive
 
 #: Where the vocabulary is; a parameter of encode() and decode().
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -52,6 +52,14 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest_conversations(turns, keys).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"]), F.lit(0))
+    spans = F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans"))
+    kept = F.when(F.col("kept").isNull(), F.col("sha256")).otherwise(F.sha2("kept", 256))
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), spans.cast("long").alias("n_spans"), kept.alias("kept_sha256"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     ids = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -74,7 +82,7 @@ def op10_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(kind) for kind, _ in pii_bootstrap.BASE), base, pii_bootstrap.written(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_warc_archive, op4_simhash_dedup, op5_quality_rules, op6_chat_format, op8_byte_bpe, op9_mixing, op10_pii_bootstrap)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_warc_archive, op4_simhash_dedup, op5_quality_rules, op6_chat_format, op7_suffix_dedup, op8_byte_bpe, op9_mixing, op10_pii_bootstrap)}
 
 ORACLE = {
     "op1_topk_search": """
