@@ -2,11 +2,625 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fixed_values as V
+from ..functions import urls as U
+from ..functions.text import joined, text
+from ..operators import dedup, evidence, ingest, leads, pages, reports, state, verdicts
+from .fixtures import view, with_views
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def query(sql: str | None, *views: str) -> Callable:
+    """Registers a query with its SQL, which may use the fixture views."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = (with_views(*views) + ("," if sql.lstrip().startswith("+") else "") + sql.lstrip().removeprefix("+")) if views else sql
+        return f
+
+    return add
+
+
+# -- SQL pieces ------------------------------------------------------------------------------------------------------------
+
+
+def strip_sql(x: str) -> str:
+    return rf"regexp_replace(coalesce({x}, ''), '^\s+|\s+$', '', 'g')"
+
+
+def domain_sql(x: str) -> str:
+    return f"split_part(regexp_replace(replace(replace(lower({strip_sql(x)}), 'https://', ''), 'http://', ''), '^www[.]', ''), '/', 1)"
+
+
+def mail_sql(x: str) -> str:
+    return f"CASE WHEN contains(coalesce({x}, ''), '@') THEN split_part(lower({strip_sql(x)}), '@', -1) ELSE '' END"
+
+
+def collapse_sql(x: str) -> str:
+    return rf"regexp_replace({strip_sql(x)}, '\s+', ' ', 'g')"
+
+
+def quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def phrases_sql(x: str, values, fold: str = "p") -> str:
+    return f"list_filter([{quoted(values)}], lambda p: contains({x}, {fold}))"
+
+
+def any_sql(x: str, patterns, options: str = "i") -> str:
+    return "(" + " OR ".join(f"regexp_matches({x}, {quoted([p])}, '{options}')" for p in patterns) + ")"
+
+
+def named_sql(x: str, named: dict) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {any_sql(x, ps)} THEN '{name}' END" for name, ps in named.items()) + "], lambda x: x IS NOT NULL)"
+
+
+def label_sql(x: str, labels: dict, default: str) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items()) + f" ELSE {default} END"
+
+
+LEADS_SQL = f"""
+    + normal AS (SELECT *, {domain_sql("website_url")} AS domain_normalized, {mail_sql("email")} AS email_domain FROM leads WHERE {strip_sql("website_url")} <> '')"""
+
+
+def normal_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.normalize(ingest.with_website(view(spark, sf_dir, "leads")))
+
+
+# -- ingest and duplicates ---------------------------------------------------------------------------------------------------
+
+
+@query(
+    LEADS_SQL
+    + f""", flagged AS (SELECT *, email_domain <> '' AND email_domain NOT IN ({quoted(V.FREE_MAIL)}) AND domain_normalized <> ''
+          AND NOT (email_domain = domain_normalized OR ends_with(email_domain, '.' || domain_normalized) OR ends_with(domain_normalized, '.' || email_domain)) AS odd FROM normal)
+    SELECT id, domain_normalized, email_domain, CASE WHEN odd THEN 1 ELSE 0 END AS domain_mismatch,
+      CASE WHEN odd THEN 'email domain ''' || email_domain || ''' does not match website domain ''' || domain_normalized || '''' END AS domain_mismatch_reason,
+      split_part(split_part(website_url, '://', -1), '/', 1) AS display_host FROM flagged""",
+    "leads",
+)
+def ingest_normalize(spark, sf_dir):
+    return normal_leads(spark, sf_dir).select("id", "domain_normalized", "email_domain", "domain_mismatch", "domain_mismatch_reason", U.display_host("website_url").alias("display_host"))
+
+
+@query(f"SELECT count(*) FILTER ({strip_sql('website_url')} <> '') AS inserted, count(*) FILTER ({strip_sql('website_url')} = '') AS skipped_no_website FROM leads", "leads")
+def ingest_counts(spark, sf_dir):
+    return ingest.ingest_counts(view(spark, sf_dir, "leads"))
+
+
+KEYS_SQL = LEADS_SQL + rf""", keys AS (SELECT id, lower({strip_sql("email")}) AS email_key, lower({strip_sql("domain_normalized")}) AS domain_key,
+      array_to_string(list_sort(list_filter(regexp_split_to_array(lower({strip_sql("company_name")}), '\s+'), lambda x: x <> '')), ' ') AS name_key FROM normal)"""
+
+
+@query(KEYS_SQL + " SELECT * FROM keys", "leads")
+def dedup_keys(spark, sf_dir):
+    return ingest.dedup_keys(normal_leads(spark, sf_dir))
+
+
+#: Names are compared by a bit-parallel longest common subsequence (names of up to 100 characters), leads one after the other.
+RESOLVE_SQL = """
+    , names AS (SELECT DISTINCT name_key AS k, length(name_key) AS n FROM keys WHERE name_key <> ''),
+    pairs AS (SELECT a.k AS a, b.k AS b, a.n AS la, b.n AS lb FROM names a, names b WHERE a.k < b.k AND 200 * least(a.n, b.n) >= 90 * (a.n + b.n)),
+    masks AS (SELECT k, c, CAST(sum(1::HUGEINT << (i - 1)::INT) AS HUGEINT) AS m FROM (SELECT k, unnest(generate_series(1, n)) AS i, unnest(string_split(k, '')) AS c FROM names) GROUP BY k, c),
+    lcs(a, b, la, lb, i, v) AS (
+      SELECT a, b, la, lb, 0::BIGINT, ((1::HUGEINT << la::INT) - 1)::HUGEINT FROM pairs
+      UNION ALL
+      SELECT l.a, l.b, l.la, l.lb, l.i + 1, ((l.v + (l.v & coalesce(m.m, 0))) | (l.v - (l.v & coalesce(m.m, 0)))) & ((1::HUGEINT << l.la::INT) - 1)
+      FROM lcs l LEFT JOIN masks m ON m.k = l.a AND m.c = substr(l.b, (l.i + 1)::INT, 1) WHERE l.i < l.lb),
+    near AS (SELECT a, b FROM lcs WHERE i = lb AND 200 * (la - bit_count(v)) >= 90 * (la + lb)),
+    alike AS (SELECT a AS k, list(b) AS others FROM (SELECT a, b FROM near UNION ALL SELECT b, a FROM near UNION ALL SELECT k, k FROM names) GROUP BY a),
+    ranked AS (SELECT keys.*, row_number() OVER (ORDER BY id) AS r, coalesce(others, []) AS others FROM keys LEFT JOIN alike ON k = name_key),
+    seen AS (
+      SELECT 0::BIGINT AS r, NULL::BIGINT AS id, NULL::BIGINT AS target, NULL::VARCHAR AS reason, MAP([]::VARCHAR[], []::BIGINT[]) AS e, MAP([]::VARCHAR[], []::BIGINT[]) AS d, MAP([]::VARCHAR[], []::BIGINT[]) AS n
+      UNION ALL
+      SELECT r, id, coalesce(te, td, tn), CASE WHEN te IS NOT NULL THEN 'exact_email' WHEN td IS NOT NULL THEN 'domain_match' WHEN tn IS NOT NULL THEN 'fuzzy_company_name' END,
+        CASE WHEN coalesce(te, td, tn) IS NULL AND email_key <> '' THEN map_concat(e, MAP([email_key], [id])) ELSE e END,
+        CASE WHEN coalesce(te, td, tn) IS NULL AND domain_key <> '' THEN map_concat(d, MAP([domain_key], [id])) ELSE d END,
+        CASE WHEN coalesce(te, td, tn) IS NULL AND name_key <> '' AND n[name_key] IS NULL THEN map_concat(n, MAP([name_key], [id])) ELSE n END
+      FROM (SELECT k.*, s.e, s.d, s.n, s.e[k.email_key] AS te, s.d[k.domain_key] AS td, list_min(list_transform(k.others, lambda o: s.n[o])) AS tn FROM seen s JOIN ranked k ON k.r = s.r + 1)),
+    resolved AS (SELECT id, CASE WHEN target IS NULL THEN 0 ELSE 1 END AS is_duplicate, target AS duplicate_of_id, reason AS duplicate_reason FROM seen WHERE r > 0)"""
+
+
+@query(KEYS_SQL + RESOLVE_SQL + " SELECT * FROM resolved", "leads")
+def dedup_full(spark, sf_dir):
+    return dedup.resolve(normal_leads(spark, sf_dir))
+
+
+@query(KEYS_SQL + RESOLVE_SQL + " SELECT count(*) FILTER (duplicate_reason = 'exact_email') AS exact_email, count(*) FILTER (duplicate_reason = 'domain_match') AS domain, count(*) FILTER (duplicate_reason = 'fuzzy_company_name') AS fuzzy_company, count(*) FILTER (is_duplicate = 0) AS kept_original FROM resolved", "leads")
+def dedup_stats(spark, sf_dir):
+    return dedup.dedup_stats(dedup.resolve(normal_leads(spark, sf_dir)))
+
+
+@query(KEYS_SQL + RESOLVE_SQL + " SELECT is_duplicate, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM resolved GROUP BY is_duplicate", "leads")
+def keepers_split(spark, sf_dir):
+    keep, drop = dedup.keepers_split(dedup.resolve(normal_leads(spark, sf_dir)))
+    return keep.unionByName(drop).groupBy("is_duplicate").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+@query(LEADS_SQL + f" SELECT id, CASE WHEN gone THEN 1 ELSE 0 END AS is_duplicate, CASE WHEN gone THEN '{V.ALREADY_EXPORTED}' END AS duplicate_reason FROM (SELECT id, coalesce(domain_normalized IN (SELECT domain_normalized FROM normal WHERE session_id = 0 AND domain_normalized <> ''), FALSE) AS gone FROM normal)", "leads")
+def export_suppression(spark, sf_dir):
+    rows = normal_leads(spark, sf_dir).withColumns({"is_duplicate": F.lit(0), "duplicate_of_id": F.lit(None).cast("long"), "duplicate_reason": F.lit(None).cast("string")})
+    return dedup.suppress_exported(rows, rows.where("session_id = 0")).select("id", "is_duplicate", "duplicate_reason")
+
+
+@query(LEADS_SQL + " SELECT session_id, id AS lead_id, domain_normalized FROM normal WHERE domain_normalized <> ''", "leads")
+def export_record(spark, sf_dir):
+    return dedup.record_export(normal_leads(spark, sf_dir), F.current_timestamp()).drop("exported_at")
+
+
+def _queries_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT id, '{s}' AS source, replace({quoted([t])}, '{{company}}', c) AS query FROM named WHERE c <> ''" for s, t in V.QUERY_TEMPLATES.items() if "{founder}" not in t)
+    with_founder = " UNION ALL ".join(f"SELECT id, '{s}' AS source, replace(replace({quoted([t])}, '{{company}}', c), '{{founder}}', f) AS query FROM named WHERE c <> '' AND f <> ''" for s, t in V.QUERY_TEMPLATES.items() if "{founder}" in t)
+    return f" + named AS (SELECT id, {strip_sql('company_name')} AS c, CASE WHEN id % 3 = 0 THEN '' ELSE trim('Ann ' || split_part(email, '@', 1)) END AS f FROM leads) SELECT id, source, query FROM ({rows} UNION ALL {with_founder})"
+
+
+@query(_queries_sql(), "leads")
+def contact_search_queries(spark, sf_dir):
+    rows = view(spark, sf_dir, "leads").withColumns({"first_name": F.when(F.col("id") % 3 == 0, "").otherwise("Ann"), "last_name": F.when(F.col("id") % 3 != 0, F.split_part("email", F.lit("@"), F.lit(1)))})
+    return evidence.search_queries(rows)
+
+
+# -- pages -------------------------------------------------------------------------------------------------------------------
+
+LINKS_SQL = """list_transform(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: CASE WHEN regexp_matches(x, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN x
+      WHEN starts_with(x, '/') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)?(//[^/?#]*)?', 0) || x
+      WHEN starts_with(x, '#') THEN split_part(url, '#', 1) || x
+      ELSE regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)?(//[^/?#]*)?', 0) || '/' || x END)"""
+def _text_sql(x: str) -> str:
+    x = rf"regexp_replace(coalesce({x}, ''), '<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->', ' ', 'gis')"
+    x = f"regexp_replace({x}, '<[^>]*>', ' ', 'gs')"
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{char}')"
+    return collapse_sql(x)
+
+
+TEXT_SQL = _text_sql("html")
+
+
+@query(f"SELECT page_id, CAST(len(l) AS BIGINT) AS n_links, array_to_string(l, ' ') AS links FROM (SELECT page_id, {LINKS_SQL} AS l FROM pages_marked)", "pages_marked")
+def page_links(spark, sf_dir):
+    rows = view(spark, sf_dir, "pages_marked").select("page_id", pages.links("html", F.col("url")).alias("l"))
+    return rows.select("page_id", F.size("l").cast("long").alias("n_links"), F.array_join("l", " ").alias("links"))
+
+
+@query(f"SELECT page_id, sha256({TEXT_SQL}) AS text_sha, CAST(length({TEXT_SQL}) AS BIGINT) AS text_chars FROM pages_marked", "pages_marked")
+def page_text(spark, sf_dir):
+    rows = view(spark, sf_dir, "pages_marked").select("page_id", pages.visible_text("html").alias("t"))
+    return rows.select("page_id", F.sha2("t", 256).alias("text_sha"), F.length("t").cast("long").alias("text_chars"))
+
+
+@query(f"SELECT page_id, length(t) < 50 OR len({phrases_sql('lower(t)', V.BROKEN_MARKERS)}) > 0 OR {any_sql('lower(t)', V.BROKEN_PATTERNS)} AS broken FROM (SELECT page_id, {strip_sql('html')} AS t FROM pages_marked)", "pages_marked")
+def page_broken(spark, sf_dir):
+    return view(spark, sf_dir, "pages_marked").select("page_id", pages.is_broken("html").alias("broken"))
+
+
+def print_sql(x: str) -> str:
+    return r"sha256(lower(regexp_replace(trim(regexp_replace(replace(regexp_replace(regexp_replace(coalesce(" + x + r", ''), '!\[.*?\]\(.*?\)', '', 'g'), 'https?://\S+', '', 'g'), '<Base64-Image-Removed>', ''), '\s+', ' ', 'g')), '\s+', ' ', 'g')))"
+
+
+@query(f"SELECT page_id, {print_sql('html')} AS fingerprint, {print_sql('substr(html, 1, 32000)')} AS fingerprint_cut FROM pages_marked", "pages_marked")
+def page_fingerprint(spark, sf_dir):
+    return view(spark, sf_dir, "pages_marked").select("page_id", pages.fingerprint("html").alias("fingerprint"), pages.fingerprint(pages.truncated("html")).alias("fingerprint_cut"))
+
+
+@query(
+    f"""SELECT page_id, array_to_string(e, ', ') AS engineering, array_to_string(o, ', ') AS other, len(e) > 0 AS hiring_technical,
+      CASE WHEN len(e) + len(o) > 0 THEN round_even(len(e) / (len(e) + len(o)), 2) END AS ratio
+    FROM (SELECT page_id, list_sort({phrases_sql("lower(html)", V.ENGINEERING_ROLES)}) AS e, list_sort({phrases_sql("lower(html)", V.OTHER_ROLES)}) AS o FROM pages_marked)""",
+    "pages_marked",
+)
+def page_careers(spark, sf_dir):
+    s = view(spark, sf_dir, "pages_marked").select("page_id", pages.careers_signal("html").alias("s"))
+    return s.select("page_id", F.array_join("s.engineering", ", ").alias("engineering"), F.array_join("s.other", ", ").alias("other"), F.col("s.hiring_technical").alias("hiring_technical"), F.col("s.ratio").alias("ratio"))
+
+
+@query(
+    f"""+ s AS (SELECT page_id, list_sort({phrases_sql("lower(html)", V.SELF_SERVE_MARKERS)}) AS o, list_sort({phrases_sql("lower(html)", V.SALES_LED_MARKERS)}) AS l, {any_sql("lower(html)", [V.VISIBLE_PRICE])} AS p FROM pages_marked),
+    m AS (SELECT *, CASE WHEN len(o) > 0 AND len(l) > 0 THEN 'mixed' WHEN len(o) > 0 THEN 'self_serve' WHEN len(l) > 0 THEN 'sales_led' ELSE 'unclear' END AS motion,
+      CASE WHEN len(o) > 0 THEN '[''' || array_to_string(o, ''', ''') || ''']' ELSE '[]' END AS ot, CASE WHEN len(l) > 0 THEN '[''' || array_to_string(l, ''', ''') || ''']' ELSE '[]' END AS lt FROM s)
+    SELECT page_id, array_to_string(o, ', ') AS self_serve, array_to_string(l, ', ') AS sales_led, p AS visible_price, motion,
+      '[Pricing signal — deterministic extraction, no raw text]' || chr(10) || '- has_pricing_page_content: True' || chr(10) || '- self_serve_markers_found: ' || ot || chr(10) || '- sales_led_markers_found: ' || lt
+        || chr(10) || '- has_visible_price: ' || CASE WHEN p THEN 'True' ELSE 'False' END || chr(10) || '- pricing_motion: ' || motion AS as_text FROM m""",
+    "pages_marked",
+)
+def page_pricing(spark, sf_dir):
+    s = view(spark, sf_dir, "pages_marked").select("page_id", pages.pricing_signal("html").alias("s"))
+    return s.select("page_id", F.array_join("s.self_serve", ", ").alias("self_serve"), F.array_join("s.sales_led", ", ").alias("sales_led"), F.col("s.visible_price").alias("visible_price"), F.col("s.motion").alias("motion"), pages.pricing_text(F.col("s")).alias("as_text"))
+
+
+SIGNALS_SQL = f"""
+    + marked AS (SELECT page_id, html, lower(html) AS low, lower({TEXT_SQL}) AS t, {LINKS_SQL} AS l FROM pages_marked),
+    sig AS (SELECT page_id, nullif(regexp_extract(html, '<meta[^>]+name=["'']generator["''][^>]+content=["'']([^"'']+)["'']', 1, 'i'), '') AS generator_meta_tag,
+      coalesce({", ".join(f"CASE WHEN {any_sql('html', ps)} THEN '{name}' END" for name, ps in V.BUILDERS.items())}) AS generator_fingerprint,
+      {phrases_sql("low", V.BUILD_TOOL_PHRASES)} AS build_tool_phrases, {phrases_sql("low", V.TREND_FONTS, "lower(p)")} AS trend_fonts, {named_sql("html", V.VISUAL_PATTERNS)} AS visual_patterns,
+      {phrases_sql("t", V.STYLE_PHRASES)} AS style_phrases, {phrases_sql("t", V.DISCLOSURES)} AS disclosures,
+      list_filter(l, lambda x: contains(lower(x), 'github.com') AND NOT contains(x, '/issues') AND NOT contains(x, '/pull'))[1] AS repo_url FROM marked),
+    signals AS (SELECT *, CASE WHEN len(style_phrases) >= 4 THEN 'high' WHEN len(style_phrases) >= 2 THEN 'medium' WHEN len(style_phrases) = 1 THEN 'low' ELSE 'none' END AS style_density FROM sig)"""
+LISTED = ("build_tool_phrases", "trend_fonts", "visual_patterns", "style_phrases", "disclosures")
+
+
+def _signals(spark, sf_dir):
+    return pages.page_signals(view(spark, sf_dir, "pages_marked").select("page_id", "url", "html"))
+
+
+@query(SIGNALS_SQL + " SELECT page_id, generator_meta_tag, generator_fingerprint, repo_url, style_density, " + ", ".join(f"array_to_string({c}, ' | ') AS {c}" for c in LISTED) + " FROM signals", "pages_marked")
+def page_signals(spark, sf_dir):
+    return pages.listed_signals(_signals(spark, sf_dir)).drop("url")
+
+
+@query(SIGNALS_SQL + r" SELECT page_id, repo_url, nullif(regexp_extract(repo_url, 'github\.com/([^/]+)/([^/?#]+)', 1), '') AS owner, nullif(regexp_extract(repo_url, 'github\.com/([^/]+)/([^/?#]+)', 2), '') AS repo, CASE WHEN repo_url IS NOT NULL AND NOT regexp_matches(repo_url, 'github\.com/([^/]+)/([^/?#]+)') THEN 'Unrecognized GitHub URL' END AS error FROM signals", "pages_marked")
+def repo_parse(spark, sf_dir):
+    return _signals(spark, sf_dir).select("page_id", "repo_url", pages.repo_parts("repo_url").alias("r")).select("page_id", "repo_url", "r.owner", "r.repo", "r.error")
+
+
+@query(SIGNALS_SQL + " SELECT page_id, CASE WHEN generator_fingerprint IS NOT NULL OR len(disclosures) > 0 THEN 'STRONG' WHEN len(build_tool_phrases) > 0 OR style_density = 'high' THEN 'MEDIUM' WHEN len(visual_patterns) > 0 THEN 'WEAK' ELSE 'none' END AS tier FROM signals", "pages_marked")
+def signal_tier(spark, sf_dir):
+    return pages.signal_tier(_signals(spark, sf_dir)).select("page_id", "tier")
+
+
+SUMMARY_SQL = """concat_ws(' | ', 'AI generator detected: ' || nullif(generator_fingerprint, ''), '<meta generator> tag: ' || nullif(generator_meta_tag, ''),
+      CASE WHEN len(trend_fonts) > 0 THEN 'Trend fonts: ' || array_to_string(trend_fonts, ', ') END, CASE WHEN len(visual_patterns) > 0 THEN 'Visual patterns (' || len(visual_patterns) || '/9): ' || array_to_string(visual_patterns, ', ') END,
+      CASE WHEN len(build_tool_phrases) > 0 THEN 'Explicit "vibe-coding" language: ' || array_to_string(build_tool_phrases, ', ') END,
+      CASE WHEN len(style_phrases) > 0 THEN 'Generic marketing phrases (density ' || style_density || '): ' || array_to_string(style_phrases[1:5], ', ') || CASE WHEN len(style_phrases) > 5 THEN ', ...' ELSE '' END END,
+      CASE WHEN len(disclosures) > 0 THEN 'Explicit mention of AI-generated content: ' || array_to_string(disclosures, ', ') END, 'Public GitHub repo: ' || nullif(repo_url, ''))"""
+
+
+@query(SIGNALS_SQL + f" SELECT page_id, CASE WHEN {SUMMARY_SQL} = '' THEN 'No deterministic technical signals detected.' ELSE {SUMMARY_SQL} END AS summary FROM signals", "pages_marked")
+def signals_summary(spark, sf_dir):
+    return _signals(spark, sf_dir).select("page_id", pages.signals_summary().alias("summary"))
+
+
+def preview_sql(x: str, n: int = 400) -> str:
+    return rf"CASE WHEN coalesce({x}, '') = '' THEN '(page not found / not scraped)' WHEN length({collapse_sql(x)}) <= {n} THEN {collapse_sql(x)} ELSE regexp_replace(substr({collapse_sql(x)}, 1, {n}), '\s+$', '') || ' …' END"
+
+
+@query(f"SELECT page_id, {preview_sql('html')} AS preview, {preview_sql('html', 40)} AS short FROM pages_marked", "pages_marked")
+def page_preview(spark, sf_dir):
+    return view(spark, sf_dir, "pages_marked").select("page_id", pages.preview("html").alias("preview"), pages.preview("html", 40).alias("short"))
+
+
+def images_sql(x: str) -> str:
+    suffix = r"\.(?:png|jpe?g|gif|svg|webp|bmp|ico)"
+    for pattern, options in (
+        (r"!\[.*?\]\(.*?\)", "g"),
+        (r"!\[.*?\]\s*\[.*?\]", "g"),
+        ("<(img|figure|picture|video|source|svg|canvas)[^>]*>", "g"),
+        ("</(img|figure|picture|video|source|svg|canvas)>", "g"),
+        ("<style[^>]*>.*?</style>", "gs"),
+        (rf"https?://\S+{suffix}(?:\?\S*)?", "gi"),
+        (rf"\[.*?\]\(\s*[^)]+{suffix}\s*\)", "gi"),
+        (rf"\b\w+{suffix}(?:\?\S*)?", "gi"),
+    ):
+        x = f"regexp_replace({x}, '{pattern}', '', '{options}')"
+    return x
+
+
+@query(f"SELECT page_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS sha FROM (SELECT page_id, {images_sql('t')} AS t FROM (SELECT page_id, coalesce(html, '') || ' ![a](b.png) pic.JPG https://x.io/a.webp?q=1 <img src=q> [m](n.gif)' AS t FROM pages_marked))", "pages_marked")
+def image_strip(spark, sf_dir):
+    rows = view(spark, sf_dir, "pages_marked").select("page_id", pages.strip_images(F.concat(text("html"), F.lit(" ![a](b.png) pic.JPG https://x.io/a.webp?q=1 <img src=q> [m](n.gif)"))).alias("t"))
+    return rows.select("page_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("sha"))
+
+
+# -- sites -------------------------------------------------------------------------------------------------------------------
+
+HOST_SQL = "regexp_replace(regexp_extract(lower({0}), '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1), '^www[.]', '')"
+BARE_SQL = "rtrim(split_part({0}, '#', 1), '/')"
+
+
+def _key_sql() -> str:
+    by_word = ", ".join("list_filter(s, lambda x: regexp_matches(lower(x), '" + "|".join(ws) + f"'))[1] AS w_{c}" for c, ws in V.PAGE_KEYWORDS.items())
+    by_path = ", ".join(f"list_filter([{', '.join(f'b || {p!r}' for p in ps)}], lambda x: list_contains(k, x))[1] AS p_{c}" for c, ps in V.PAGE_PATHS.items())
+    both = ", ".join(f"coalesce(w_{c}, p_{c}) AS {c}" for c in V.PAGE_PATHS)
+    return f"""
+    + sites AS (SELECT page_id AS id, url AS homepage, rtrim(url, '/') AS b, list_filter({LINKS_SQL}, lambda x: {BARE_SQL.format("x")} <> {BARE_SQL.format("url")} AND {HOST_SQL.format("x")} <> '' AND {HOST_SQL.format("x")} = {HOST_SQL.format("url")}) AS s FROM pages_marked),
+    known AS (SELECT list(DISTINCT url) AS k FROM pages_marked),
+    found AS (SELECT id, homepage, s, {by_word}, {by_path} FROM sites, known),
+    merged AS (SELECT id, homepage, s, {both} FROM found)
+    SELECT id, homepage, about, pricing, careers, coalesce(product, list_filter(s, lambda x: x <> homepage AND x IS DISTINCT FROM about AND x IS DISTINCT FROM pricing AND x IS DISTINCT FROM careers)[1]) AS product FROM merged"""
+
+
+@query(_key_sql(), "pages_marked")
+def key_pages(spark, sf_dir):
+    rows = view(spark, sf_dir, "pages_marked")
+    sites = rows.select(F.col("page_id").alias("id"), F.col("url").alias("homepage"), pages.links("html", F.col("url")).alias("links"))
+    return pages.key_pages(sites, rows.select("url"))
+
+
+SITE_PRINT = f"CASE WHEN source = 'homepage' THEN {print_sql('content')} ELSE {print_sql('substr(content, 1, 32000)')} END"
+
+
+@query(f"SELECT site, id, source, url, fingerprint FROM (SELECT *, row_number() OVER (PARTITION BY site, fingerprint ORDER BY CASE WHEN source = 'homepage' THEN 0 ELSE 1 END, id) AS n FROM (SELECT site, id, source, url, {SITE_PRINT} AS fingerprint FROM site_pages)) WHERE n = 1", "site_pages")
+def content_dedup(spark, sf_dir):
+    return pages.distinct_contents(view(spark, sf_dir, "site_pages"))
+
+
+@query(
+    f"""+ b AS (SELECT site, id, source = 'homepage' AS home, length(t) < 50 OR len({phrases_sql("lower(t)", V.BROKEN_MARKERS)}) > 0 OR {any_sql("lower(t)", V.BROKEN_PATTERNS)} AS broken, mark
+      FROM (SELECT site, id, source, {strip_sql("content")} AS t, {SITE_PRINT} AS mark FROM site_pages)),
+    k AS (SELECT *, NOT broken AND row_number() OVER (PARTITION BY site, mark ORDER BY home DESC, id) = 1 AS kept FROM b),
+    g AS (SELECT site, count(*) AS n_pages, count(*) FILTER (kept) AS kept, count(*) FILTER (home AND NOT broken) AS homes FROM k GROUP BY site),
+    h AS (SELECT site, n_pages, CASE WHEN homes = 0 THEN 0 ELSE kept END AS n_kept, homes FROM g)
+    SELECT site, n_pages, CAST(n_kept AS BIGINT) AS n_kept, CAST(n_pages - n_kept AS BIGINT) AS n_unusable,
+      CASE WHEN homes = 0 OR (n_kept = 1 AND n_pages > 1) THEN 'FETCH_FAILED' WHEN n_pages > n_kept THEN 'FETCH_PARTIAL' ELSE 'PARSED' END AS status FROM h""",
+    "site_pages",
+)
+def fetch_status(spark, sf_dir):
+    return pages.fetch_status(view(spark, sf_dir, "site_pages"))
+
+
+@query("SELECT site, " + ", ".join(f"arg_max(id, id) FILTER (source = '{s}') AS {s}" for s in V.SOURCES) + " FROM site_pages GROUP BY site", "site_pages")
+def pages_by_source(spark, sf_dir):
+    return pages.pages_by_source(view(spark, sf_dir, "site_pages").withColumn("page", F.col("id")), content="page")
+
+
+CONTEXT_SQL = f"""c AS (SELECT site AS lead_id, {images_sql("substr(string_agg('## Source: ' || source || chr(10) || substr(content, 1, 12000), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY id), 1, 12000)")} AS context FROM site_pages WHERE content <> '' GROUP BY site)"""
+
+
+def _site_context(spark, sf_dir):
+    return verdicts.site_context(view(spark, sf_dir, "site_pages").withColumnRenamed("site", "lead_id"))
+
+
+@query("+ " + CONTEXT_SQL + " SELECT lead_id, sha256(context) AS sha, CAST(length(context) AS BIGINT) AS n_chars FROM c", "site_pages")
+def site_context(spark, sf_dir):
+    return _site_context(spark, sf_dir).select("lead_id", F.sha2("context", 256).alias("sha"), F.length("context").cast("long").alias("n_chars"))
+
+
+@query(
+    f"""+ {CONTEXT_SQL}, i AS (SELECT lead_id, {quoted([V.METADATA_HEADING])} || '- Company: ' || lead_id || chr(10) || '- Website: https://' || lead_id AS meta, context,
+      {quoted([V.CRITERIA_HEADING])} || chr(10) || '- no_ai: ' || {quoted([V.CRITERIA["no_ai"]])} || chr(10) || '- own: own' AS crit FROM c WHERE lead_id <> '')
+    SELECT lead_id, sha256(concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10), meta, CASE WHEN trim(context) <> '' THEN {quoted([V.SITE_HEADING])} || context END, crit)) AS sha FROM i""",
+    "site_pages",
+)
+def model_input(spark, sf_dir):
+    rows = _site_context(spark, sf_dir).where("lead_id <> ''")
+    empty = {c: F.lit(None).cast("string") for c in ("first_name", "last_name", "title", "email", "evidence_block")}
+    rows = rows.withColumns(empty | {"company_name": F.col("lead_id"), "website_url": F.concat(F.lit("https://"), "lead_id"), "criteria_block": verdicts.criteria_block(F.array(F.lit("no_ai"), F.lit("own")), F.lit(""))})
+    return verdicts.model_input(rows).select("lead_id", F.sha2("model_input", 256).alias("sha"))
+
+
+@query(
+    SIGNALS_SQL
+    + """, p AS (SELECT l.id AS lead_id, l.company_name, l.website_url, s.source, s.url, s.content FROM leads l LEFT JOIN site_pages s ON s.id = l.id AND s.id % 3 > 0)
+    SELECT p.lead_id, coalesce(company_name, '') AS company_name, coalesce(website_url, '') AS website_url, coalesce(source, '') AS source, coalesce(url, '') AS url, CAST(length(coalesce(content, '')) AS BIGINT) AS content_chars,
+      coalesce(generator_fingerprint, '') AS generator_fingerprint, coalesce(repo_url, '') AS repo_url, array_to_string(visual_patterns, ' | ') AS visual_patterns, coalesce(style_density, '') AS style_density
+    FROM p LEFT JOIN signals g ON g.page_id = p.lead_id""",
+    "leads",
+    "site_pages",
+    "pages_marked",
+)
+def page_report(spark, sf_dir):
+    """Every third lead has no page, and so one row without content."""
+    own = view(spark, sf_dir, "leads").withColumns({"status": F.lit("NEW"), "last_error": F.lit(None).cast("string")})
+    stored = view(spark, sf_dir, "site_pages").where("id % 3 > 0").withColumn("lead_id", F.col("id"))
+    signals = _signals(spark, sf_dir).drop("url").withColumns({"id": F.col("page_id"), "lead_id": F.col("page_id")}).drop("page_id")
+    out = reports.page_report(own, stored, signals)
+    return out.select("lead_id", "company_name", "website_url", "source", "url", "content_chars", "generator_fingerprint", "repo_url", "visual_patterns", "style_density")
+
+
+# -- verdicts ----------------------------------------------------------------------------------------------------------------
+
+PARSE_SQL = f"""
+    + j AS (SELECT lead_id, attempt, CASE WHEN json_valid(body) THEN body::JSON END AS j, lower({collapse_sql("text")}) AS ctx FROM raw_verdicts JOIN documents ON doc_id = lead_id),
+    parsed AS (SELECT lead_id, ctx, j IS NULL OR json_type(j, '$.confidence') NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT') AS parse_failed, j FROM j),
+    v AS (SELECT lead_id, ctx, parse_failed, CASE WHEN parse_failed THEN 'unclear' ELSE j->>'$.segment' END AS segment, CASE WHEN parse_failed THEN 0.0 ELSE CAST(j->>'$.confidence' AS DOUBLE) END AS confidence,
+      CASE WHEN NOT parse_failed THEN j->>'$.company_stage' END AS company_stage, CASE WHEN parse_failed THEN 'none' ELSE j->>'$.recommended_offer' END AS recommended_offer,
+      CASE WHEN parse_failed THEN []::VARCHAR[] ELSE CAST(j->'$.evidence_quotes' AS VARCHAR[]) END AS quotes, CASE WHEN parse_failed THEN 'json_parse_failed' ELSE j->>'$.disqualify_reason' END AS reason,
+      parse_failed OR CAST(j->>'$.needs_human_review' AS BOOLEAN) AS review FROM parsed),
+    fixed AS (SELECT *, segment NOT IN ({quoted(V.SEGMENTS)}) AS bs, recommended_offer NOT IN ({quoted(V.OFFERS)}) AS bo FROM v),
+    r AS (SELECT lead_id, ctx, parse_failed, CASE WHEN bs THEN 'unclear' ELSE segment END AS segment, CASE WHEN bo THEN 'none' ELSE recommended_offer END AS recommended_offer, CASE WHEN company_stage IN ({quoted(V.STAGES)}) THEN company_stage END AS company_stage,
+      CASE WHEN bs OR bo THEN least(confidence, 0.3) ELSE confidence END AS confidence, review OR confidence < 0.7 OR bs OR bo AS review, quotes, CASE WHEN bs THEN concat_ws(' | ', nullif(reason, ''), 'invalid_segment_fixed_to_unclear') ELSE reason END AS reason FROM fixed),
+    g AS (SELECT *, list_filter(quotes, lambda q: contains(ctx, lower({collapse_sql("q")}))) AS kept FROM r),
+    done AS (SELECT lead_id, parse_failed, segment, recommended_offer, company_stage, confidence, kept, len(quotes) - len(kept) AS lost, review OR len(quotes) > len(kept) AS review,
+      CASE WHEN len(quotes) > len(kept) THEN concat_ws(' | ', nullif(reason, ''), 'ungrounded_evidence_quotes_removed: ' || (len(quotes) - len(kept)) || ' citation(s) not found in source text') ELSE reason END AS reason FROM g)"""
+
+
+def _raw(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("d"), F.col("text").alias("context"))
+    raw = view(spark, sf_dir, "raw_verdicts")
+    return raw.join(docs, raw["lead_id"] == docs["d"]).drop("d")
+
+
+@query(PARSE_SQL + " SELECT lead_id, parse_failed, segment, confidence, company_stage, recommended_offer, CAST(len(quotes) AS INTEGER) AS n_quotes, reason AS disqualify_reason, review AS needs_human_review FROM v", "raw_verdicts")
+def verdict_parse(spark, sf_dir):
+    return verdicts.parse(view(spark, sf_dir, "raw_verdicts")).select("lead_id", "parse_failed", "segment", "confidence", "company_stage", "recommended_offer", F.size("evidence_quotes").alias("n_quotes"), "disqualify_reason", "needs_human_review")
+
+
+@query(PARSE_SQL + " SELECT lead_id, segment, confidence, company_stage, recommended_offer, reason AS disqualify_reason, review AS needs_human_review FROM r", "raw_verdicts")
+def verdict_repair(spark, sf_dir):
+    out = verdicts.repair(verdicts.guard_confidence(verdicts.parse(view(spark, sf_dir, "raw_verdicts"))))
+    return out.select("lead_id", "segment", "confidence", "company_stage", "recommended_offer", "disqualify_reason", "needs_human_review")
+
+
+@query(PARSE_SQL + " SELECT lead_id, array_to_string(kept, ' | ') AS evidence_quotes, CAST(lost AS INTEGER) AS lost FROM done", "raw_verdicts")
+def verdict_grounding(spark, sf_dir):
+    rows = verdicts.parse(_raw(spark, sf_dir)).withColumn("before", F.size("evidence_quotes"))
+    return verdicts.ground(rows).select("lead_id", joined("evidence_quotes").alias("evidence_quotes"), (F.col("before") - F.size("evidence_quotes")).alias("lost"))
+
+
+MISMATCH = "domain_mismatch: email/website domain mismatch — this verdict may describe the wrong company, please confirm manually before any send"
+
+
+@query(
+    PARSE_SQL
+    + f""" SELECT lead_id, segment, confidence, company_stage, recommended_offer, array_to_string(kept, ' | ') AS evidence_quotes,
+      CASE WHEN lead_id % 9 = 0 THEN concat_ws(' | ', nullif(reason, ''), '{MISMATCH}') ELSE reason END AS disqualify_reason,
+      review OR lead_id % 9 = 0 AS needs_human_review, CASE WHEN review OR lead_id % 9 = 0 THEN 'LOW_CONFIDENCE' ELSE 'SCORED' END AS status FROM done""",
+    "raw_verdicts",
+)
+def verdict_final(spark, sf_dir):
+    rows = _raw(spark, sf_dir).withColumns({"domain_mismatch": F.when(F.col("lead_id") % 9 == 0, 1).otherwise(0), "domain_mismatch_reason": F.lit(None).cast("string")})
+    return verdicts.finish(rows).select("lead_id", "segment", "confidence", "company_stage", "recommended_offer", joined("evidence_quotes").alias("evidence_quotes"), "disqualify_reason", "needs_human_review", "status")
+
+
+@query(PARSE_SQL + " SELECT lead_id AS id FROM done WHERE review AND NOT contains(lower(coalesce(reason, '')), 'api_error') AND NOT contains(lower(coalesce(reason, '')), 'no_content_scraped')", "raw_verdicts")
+def rescore_selection(spark, sf_dir):
+    rows = verdicts.finish(_raw(spark, sf_dir)).withColumns({"id": F.col("lead_id"), "is_duplicate": F.lit(0)})
+    return leads.rescore_selection(rows).select("id")
+
+
+# -- sessions and leads at scale ---------------------------------------------------------------------------------------------
+
+SCORES_SQL = """
+    + best AS (SELECT lead_id, max({'version': version, 'l_partkey': l_partkey, 'l_suppkey': l_suppkey, 'segment': segment, 'confidence': confidence, 'needs_human_review': needs_human_review}) AS b FROM scores_large GROUP BY lead_id),
+    scored AS (SELECT l.*, b.version, b.segment, b.confidence, b.needs_human_review FROM leads_large l LEFT JOIN best ON lead_id = id)"""
+LARGE = ("leads_large", "scores_large")
+
+
+def _scored(spark, sf_dir):
+    versions = view(spark, sf_dir, "scores_large").select("lead_id", "version", "l_partkey", "l_suppkey", "segment", "confidence", "needs_human_review")
+    return leads.with_latest(view(spark, sf_dir, "leads_large"), versions, order=("version", "l_partkey", "l_suppkey"))
+
+
+@query("SELECT l.id, l.session_id, l.status FROM leads_large l JOIN sessions s ON l.session_id = s.id WHERE s.owner_id = 7 AND l.is_duplicate = 0", "leads_large", "sessions")
+def leads_scan(spark, sf_dir):
+    return leads.scan(view(spark, sf_dir, "leads_large"), include_duplicates=False, sessions=view(spark, sf_dir, "sessions"), owner_id=7).select("id", "session_id", "status")
+
+
+@query(f"SELECT status, count(*) AS n FROM leads_large WHERE is_duplicate = 0 AND status IN ({quoted(V.NOT_YET_SCORED)}) GROUP BY status", "leads_large")
+def leads_to_process(spark, sf_dir):
+    return leads.to_process(view(spark, sf_dir, "leads_large")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(SCORES_SQL + " SELECT id, status, version, segment, round(confidence, 6) AS confidence, needs_human_review FROM scored", *LARGE)
+def latest_verdict(spark, sf_dir):
+    return _scored(spark, sf_dir).select("id", "status", "version", "segment", F.round("confidence", 6).alias("confidence"), "needs_human_review")
+
+
+@query("SELECT lead_id, max({'v': version, 'p': l_partkey, 's': l_suppkey}).p AS l_partkey FROM scores_large GROUP BY lead_id", "scores_large")
+def latest_signals(spark, sf_dir):
+    return leads.latest(view(spark, sf_dir, "scores_large").select("lead_id", "version", "l_partkey", "l_suppkey"), "lead_id", ["version"]).select("lead_id", "l_partkey")
+
+
+@query("SELECT s.id, s.owner_id, s.label, s.status, count(DISTINCT l.id) AS total_leads, count(*) FILTER (l.is_duplicate = 1) AS duplicates, count(*) FILTER (l.status IN ('SCORED', 'LOW_CONFIDENCE')) AS scored, count(*) FILTER (l.status = 'NEW') AS pending FROM (SELECT * FROM sessions ORDER BY id DESC LIMIT 50) s LEFT JOIN leads_large l ON l.session_id = s.id GROUP BY ALL", "sessions", "leads_large")
+def session_overview(spark, sf_dir):
+    return leads.session_overview(view(spark, sf_dir, "sessions"), view(spark, sf_dir, "leads_large"))
+
+
+COUNTERS_SQL = "SELECT count(*) AS total, count(*) FILTER (is_duplicate = 0) AS ready, count(*) FILTER (is_duplicate <> 0) AS duplicates, count(*) FILTER (coalesce(segment, '') <> '') AS scored, count(*) FILTER (needs_human_review = 1) AS needs_review, count(*) FILTER (status = 'FETCH_FAILED') AS fetch_failed, count(*) FILTER (status = 'SCORE_FAILED') AS score_failed, count(*) FILTER (status = 'LOW_CONFIDENCE') AS low_confidence FROM scored"
+
+
+@query(SCORES_SQL + " " + COUNTERS_SQL, *LARGE)
+def summary_counters(spark, sf_dir):
+    return leads.summary_counters(_scored(spark, sf_dir))
+
+
+@query(SCORES_SQL + f" SELECT needs_review + low_confidence AS to_review, fetch_failed + score_failed AS failures FROM ({COUNTERS_SQL})", *LARGE)
+def home_counters(spark, sf_dir):
+    return leads.home_counters(leads.summary_counters(_scored(spark, sf_dir)))
+
+
+@query("SELECT coalesce(nullif(status, ''), 'UNKNOWN') AS status, count(*) AS n FROM leads_large GROUP BY 1", "leads_large")
+def status_histogram(spark, sf_dir):
+    return leads.status_histogram(view(spark, sf_dir, "leads_large"))
+
+
+CATEGORY_SQL = SCORES_SQL + f""", cat AS (SELECT *, CASE WHEN is_duplicate = 0 THEN 0 ELSE 1 END AS already_exported,
+      CASE WHEN status = 'SKIPPED' THEN 'not_selected' WHEN status IN ({quoted(V.NOT_YET_SCORED)}) THEN 'pending' WHEN coalesce(needs_human_review, 0) <> 0 THEN 'to_review'
+        WHEN segment IN ({quoted(V.TARGET_SEGMENTS)}) THEN 'approved' WHEN segment IN ({quoted(V.OUT_OF_TARGET_SEGMENTS)}) THEN 'out_of_target' ELSE 'to_review' END AS category
+      FROM scored WHERE is_duplicate = 0 OR (duplicate_of_id IS NULL AND duplicate_reason = '{V.ALREADY_EXPORTED}'))"""
+
+
+@query(CATEGORY_SQL + " SELECT id, category, already_exported FROM cat", *LARGE)
+def categories(spark, sf_dir):
+    return leads.categorize(_scored(spark, sf_dir)).select("id", "category", "already_exported")
+
+
+@query(CATEGORY_SQL + " SELECT count(*) AS total, count(*) FILTER (coalesce(segment, '') <> '') AS scored, " + ", ".join(f"count(*) FILTER (category = '{c}') AS {c}" for c in leads.CATEGORIES) + " FROM cat", *LARGE)
+def category_summary(spark, sf_dir):
+    return leads.category_summary(leads.categorize(_scored(spark, sf_dir)))
+
+
+@query("+ asked AS (SELECT id AS session_id, unnest(generate_series(0, 3)) AS pos FROM sessions) SELECT a.session_id AS asked_by, a.pos, l.id, l.status FROM asked a JOIN leads_large l ON l.id = CASE a.pos WHEN 0 THEN a.session_id * 3 WHEN 1 THEN a.session_id WHEN 2 THEN -1 ELSE a.session_id * 3 END", "sessions", "leads_large")
+def ordered_lookup(spark, sf_dir):
+    asked = view(spark, sf_dir, "sessions").select(F.col("id").alias("asked_by"), F.array(F.col("id") * 3, F.col("id"), F.lit(-1).cast("long"), F.col("id") * 3).alias("ids"))
+    return asked.select("asked_by", F.posexplode("ids").alias("pos", "__id")).join(view(spark, sf_dir, "leads_large"), F.col("__id") == F.col("id")).select("asked_by", F.col("pos").cast("long").alias("pos"), "id", "status")
+
+
+@query(SCORES_SQL + " SELECT id, segment FROM scored WHERE segment IN ('unclear', 'too_big') AND needs_human_review = 1 AND is_duplicate = 0", *LARGE)
+def dashboard_filter(spark, sf_dir):
+    return leads.dashboard_filter(_scored(spark, sf_dir), ["unclear", "too_big"], review_only=True).select("id", "segment")
+
+
+@query(SCORES_SQL + " SELECT DISTINCT segment FROM scored WHERE segment <> '' AND is_duplicate = 0", *LARGE)
+def segments(spark, sf_dir):
+    return leads.segments(leads.dashboard_filter(_scored(spark, sf_dir)))
+
+
+@query("SELECT id, 'SKIPPED' AS status FROM leads_large WHERE is_duplicate = 0 AND status = 'NEW' AND id NOT IN (SELECT id FROM sessions)", "leads_large", "sessions")
+def skip_unselected(spark, sf_dir):
+    return leads.skip_unselected(view(spark, sf_dir, "leads_large"), view(spark, sf_dir, "sessions")).select("id", "status")
+
+
+@query("SELECT id, owner_id, label, status FROM sessions ORDER BY id DESC LIMIT 1", "sessions")
+def latest_session(spark, sf_dir):
+    return leads.latest_session(view(spark, sf_dir, "sessions"))
+
+
+@query("SELECT session_id, count(*) AS n FROM leads_large WHERE session_id IS DISTINCT FROM 1 GROUP BY session_id", "leads_large")
+def session_delete(spark, sf_dir):
+    return leads.delete_session(view(spark, sf_dir, "leads_large"), 1).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(SCORES_SQL + " SELECT id AS lead_id, status, is_duplicate, coalesce(duplicate_reason, '') AS duplicate_reason, coalesce(segment, '') AS segment, coalesce(CAST(needs_human_review AS VARCHAR), '') AS needs_human_review FROM scored", *LARGE)
+def score_report(spark, sf_dir):
+    return reports.score_report(_scored(spark, sf_dir)).select("lead_id", "status", "is_duplicate", "duplicate_reason", "segment", "needs_human_review")
+
+
+@query(CATEGORY_SQL + " SELECT CASE category WHEN 'approved' THEN 1 WHEN 'to_review' THEN 2 WHEN 'out_of_target' THEN 3 ELSE 4 END AS rank, category, id, segment, status FROM cat WHERE category <> 'pending'", *LARGE)
+def category_report(spark, sf_dir):
+    return reports.category_report(leads.categorize(_scored(spark, sf_dir))).select("rank", "category", "id", "segment", "status")
+
+
+@query(
+    SCORES_SQL
+    + f""" SELECT id, {label_sql("segment", V.SEGMENT_LABELS, "coalesce(nullif(segment, ''), 'Not evaluated')")} AS segment_label, {label_sql("status", V.STATUS_LABELS, "coalesce(nullif(status, ''), '—')")} AS status_label,
+      CASE WHEN confidence IS NULL THEN 'muted' WHEN confidence >= 0.7 THEN 'success' WHEN confidence < 0.3 THEN 'danger' ELSE 'warning' END AS band, coalesce(duplicate_reason, {label_sql("status", V.STATUS_LABELS, "coalesce(nullif(status, ''), '—')")}) AS reason,
+      strftime(o_orderdate, '%-d %b %Y, %H:%M') AS shown FROM scored JOIN orders ON o_orderkey = id""",
+    *LARGE,
+)
+def labels_bands(spark, sf_dir):
+    times = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), "o_orderdate")
+    rows = _scored(spark, sf_dir)
+    rows = rows.join(times, rows["id"] == times["k"])
+    return rows.select("id", reports.segment_label("segment").alias("segment_label"), reports.status_label("status").alias("status_label"), reports.confidence_band("confidence").alias("band"), reports.reason_text(F.col("status"), F.col("duplicate_reason")).alias("reason"), reports.shown_time("o_orderdate").alias("shown"))
+
+
+# -- progress ----------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT lead_id, arg_max(status, seq) FILTER (status IS NOT NULL) AS status, max({'s': seq, 'e': error}) FILTER (status IS NOT NULL).e AS last_error, count(*) AS events FROM progress_events GROUP BY lead_id", "progress_events")
+def progress_fold(spark, sf_dir):
+    return state.fold_progress(view(spark, sf_dir, "progress_events"))
+
+
+@query("SELECT session_id, e.seq, e.lead_id, e.step, e.status, e.error FROM (SELECT session_id, max({'seq': seq, 'lead_id': lead_id, 'step': step, 'status': status, 'error': error}) AS e FROM progress_events GROUP BY session_id)", "progress_events")
+def progress_latest(spark, sf_dir):
+    return state.latest_progress(view(spark, sf_dir, "progress_events"))
+
+
+@query("SELECT session_id, count(*) FILTER (step = 'done') AS processed, count(*) AS events, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds FROM progress_events GROUP BY session_id", "progress_events")
+def progress_counts(spark, sf_dir):
+    return state.progress_counts(view(spark, sf_dir, "progress_events"))
+
+
+@query("SELECT 'rate_limit' AS class, count(*) AS n, 15.0::DOUBLE AS max_wait FROM progress_events WHERE error IS NOT NULL", "progress_events")
+def error_taxonomy(spark, sf_dir):
+    return reports.error_report(view(spark, sf_dir, "progress_events"), "error")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_mktsegment").count()
+    """Categories of deduplicated leads with their latest verdicts."""
+    own = normal_leads(spark, sf_dir)
+    found = dedup.resolve(own)
+    rows = own.join(found, "id").withColumn("status", F.lit("SCORED"))
+    versions = view(spark, sf_dir, "scores_large").select("lead_id", "version", "l_partkey", "l_suppkey", "segment", "confidence", "needs_human_review")
+    return leads.category_summary(leads.categorize(leads.with_latest(rows, versions, order=("version", "l_partkey", "l_suppkey"))))
