@@ -2,8 +2,8 @@
 
 A byte is removed if a string of ``length`` bytes that covers it starts anywhere else, in the same text or another. Shards
 are made by content: in each window of ``length`` bytes the smallest hash of its ``gram``-byte strings is the window's anchor, so equal
-windows have equal anchors. An anchor's occurrence stands for its region, the bytes that windows around it can reach. Regions with an anchor that
-occurs once hold nothing repeated and go no further; identical regions of an anchor are repeated as a whole and are
+windows have equal anchors. A run of windows with one anchor is a region. Regions whose anchor
+occurs once hold nothing repeated and go no further; identical regions of an anchor (equal 64-bit digests under equal 64-bit anchors) are repeated as a whole and are
 represented by one. The regions that are left are packed, anchor by anchor, into shards of about ``shard_bytes``; in a shard a suffix array (induced
 sorting) and permuted common prefixes give every class of equal windows, and a window is repeated if its
 class has more than one occurrence.
@@ -29,10 +29,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, stash
+from .common import bound_batches, parallelism, stash
 from .suffix_array import permuted_prefixes, suffix_array
 
-LENGTH, GRAM, SHARD_BYTES, MAX_REGIONS, PIECE = 400, 200, 512 << 10, 4096, 1 << 17
+LENGTH, GRAM, SHARD_BYTES, MAX_REGIONS, PIECE = 400, 100, 512 << 10, 4096, 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -54,31 +54,30 @@ def _slide(h: np.ndarray, w: int, best, fill) -> np.ndarray:
     return best(back[:n], forth[w - 1 : w - 1 + n])
 
 
-def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the gram-byte strings that are the smallest of some window of ``length`` bytes."""
+def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: the anchor's place and hash, and the starts of the run's first and last window. A window's anchor is its
+    gram-byte string with the smallest hash, the leftmost of equals."""
     up, down = _tables(PIECE + length)
-    positions, hashes = [], []
+    found = []
     w = length - gram + 1
-    low, high = np.uint64(0), np.uint64(2**64 - 1)
-    for at in range(0, max(1, len(data) - length + 1), PIECE):
+    low_bits = np.uint64((1 << 18) - 1)
+    for at in range(0, len(data) - length + 1, PIECE):
         piece = np.frombuffer(data, np.uint8, min(PIECE + length - 1, len(data) - at), at).astype(np.uint64)
-        if len(piece) < length:
-            break
         sums = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum((piece + np.uint64(1)) * up[: len(piece)], out=sums[1:])
         h = (sums[gram:] - sums[:-gram]) * down[: len(piece) - gram + 1]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
-        least = _slide(h, w, np.minimum, high)
-        reached = _slide(np.concatenate([np.full(w - 1, low), least, np.full(w - 1, low)]), w, np.maximum, low)
-        here = np.flatnonzero(reached == h)
-        positions.append(here + at)
-        hashes.append(h[here])
-    if not positions:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    p, first = np.unique(np.concatenate(positions), return_index=True)
-    return p, np.concatenate(hashes)[first]
+        placed = (h & ~low_bits) | np.arange(len(h), dtype=np.uint64)  # a piece has fewer than 2**18 places
+        place = (_slide(placed, w, np.minimum, np.uint64(2**64 - 1)) & low_bits).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        last = np.append(first[1:], len(place)) - 1
+        found.append((place[first] + at, h[place[first]], first + at, last + at))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, np.uint64), none, none
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def repeated_starts(regions: list[bytes], texts: np.ndarray, starts: np.ndarray, many: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
@@ -118,32 +117,33 @@ def join_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """hash, region (digest), key, lo, hi of every anchor of texts (key, text)."""
+    """hash, region (digest), key, lo, hi of every region of texts (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
 
             def rows(cols: list[list] = cols) -> pa.RecordBatch:
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
                 return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["hash", "region", "key", "lo", "hi"])
 
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                at, hashes = anchors(data, length, gram)
-                lo, hi = np.maximum(0, at + gram - length).tolist(), np.minimum(len(data), at + length).tolist()
-                cols[0] += hashes.view(np.int64).tolist()
-                cols[1] += [xxhash.xxh3_128_digest(data[a:b], p - a) for a, b, p in zip(lo, hi, at.tolist(), strict=True)]
-                cols[2] += [key] * len(lo)
-                cols[3] += lo
-                cols[4] += hi
+                at, hashes, first, last = (x.tolist() for x in anchors(data, length, gram))
+                last = [x + length for x in last]
+                cols[0] += np.array(hashes, np.uint64).view(np.int64).tolist()
+                digests = [xxhash.xxh3_64_intdigest(data[a:b], p - a) for a, b, p in zip(first, last, at, strict=True)]
+                cols[1] += np.array(digests, np.uint64).view(np.int64).tolist()
+                cols[2] += [key] * len(at)
+                cols[3] += first
+                cols[4] += last
                 if len(cols[0]) > 100_000:
                     yield rows()
                     for c in cols:
                         c.clear()
             yield rows()
 
-    return docs.mapInArrow(run, "hash long, region binary, key binary, lo int, hi int")
+    return docs.mapInArrow(run, "hash long, region long, key binary, lo int, hi int")
 
 
 def _compressed(docs: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
     hot = anchors_of.where(F.col("n") > max_regions).select("hash")
     some_hot = bool(hot.take(1))
     calm = cut.join(hot, "hash", "left_anti") if some_hot else cut
-    parts = calm.withColumn("shard", F.pmod(F.col("hash"), F.lit(shards))).groupBy("shard").applyInPandas(_shard_spans(length), "key binary, lo int, hi int")
+    parts = calm.withColumn("shard", F.pmod(F.col("hash"), F.lit(shards))).repartition(max(shards // 4, parallelism(spark)), "shard").groupBy("shard").applyInPandas(_shard_spans(length), "key binary, lo int, hi int")
     if some_hot:
         windows = stash(_window_rows(cut.join(hot, "hash", "left_semi").select(*cut.columns), length), "windows")
         at = F.xxhash64("key", "lo")
