@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK_DOCS, PARTS, ALPHA, MAX_SOURCES, RANGE_DOCS = 16, 1000, 0.5, 4096, 50_000
+BLOCK_DOCS, PARTS, ALPHA, MAX_SOURCES, RANGE_DOCS = 16, 1000, 0.5, 4096, 4096
 
 
 def target_parts(df: DataFrame, weights: dict[str, float] | None = None, rest: float = 0.0, alpha: float = ALPHA, parts: int = PARTS, max_sources: int = MAX_SOURCES, source: str = "source") -> DataFrame:
