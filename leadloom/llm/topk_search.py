@@ -34,7 +34,11 @@ _FAR = 1 << 62
 def integer_terms(vector: Column, scale: float = 256.0) -> Column:
     """floor(scale * x) of each component, as double arithmetic; null where the vector takes no part."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    return F.when(~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double")))
+
+    def whole(x: Column) -> Column:  # from 2**53 on every double is a whole number, and floor() gives 64 bits only
+        return F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
+
+    return F.when(~bad, F.transform(vector, lambda x: whole(x.cast("double") * scale)))
 
 
 def _postings(rows: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -79,6 +83,14 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
     return free[order]
 
 
+def _beyond(score: int) -> str:
+    """'' within 64 bits; beyond, text whose order is that of the scores."""
+    if -(1 << 63) <= score < 1 << 63:
+        return ""
+    digits = f"{len(str(abs(score))):06d}{abs(score)}"
+    return digits if score > 0 else "".join(str(9 - int(c)) for c in digits)
+
+
 def _search(k: int):
     def run(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -92,7 +104,7 @@ def _search(k: int):
                 for i, (q, row_key) in enumerate(zip(part["id"].tolist(), part["row"].tolist(), strict=True)):
                     for j in _best(scores[i], ids, q, k):
                         s = int(scores[i][j])
-                        out.append((q, row_key, int(ids[j]), str(s), max(-(1 << 63), min((1 << 63) - 1, s))))
+                        out.append((q, row_key, int(ids[j]), _beyond(s), max(-(1 << 63), min((1 << 63) - 1, s))))
         return pd.DataFrame(out, columns=["query_id", "row", "vec_id", "exact", "score"]).astype({"query_id": "int64", "row": "int64", "vec_id": "int64", "exact": "str", "score": "int64"})
 
     return run
@@ -111,5 +123,5 @@ def topk_search(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
     dealt = F.pmod(F.xxhash64("id", "terms", F.spark_partition_id()), F.lit(row_blocks)).cast("long")
     cands = rows.select(F.col("id").alias("row_id"), F.col("terms").alias("row_terms"), dealt.alias("cb"), F.explode(F.expr(f"sequence(0L, {query_blocks - 1}L)")).alias("qb"))
     found = asks.groupBy("cb", "qb").cogroup(cands.groupBy("cb", "qb")).applyInPandas(_search(k), "query_id long, row long, vec_id long, exact string, score long")
-    best = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), F.desc(F.col("exact").cast("decimal(38,0)")), "vec_id")
+    best = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), F.desc("exact"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
