@@ -77,6 +77,20 @@ SQL = {
           CASE event_type WHEN 'click' THEN 'PARSED' WHEN 'error' THEN 'SCORE_FAILED' WHEN 'signup' THEN 'LOW_CONFIDENCE' WHEN 'purchase' THEN 'SCORED' END AS status,
           CASE WHEN event_type = 'error' THEN 'rate limit, retry after 14s' END AS error, ts
         FROM events""",
+    "search_results": r"""
+        SELECT doc_id AS id, CAST((doc_id - doc_id % 4) / 4 AS BIGINT) AS lead_id, CASE doc_id % 3 WHEN 0 THEN 'linkedin' WHEN 1 THEN 'github' ELSE 'interviews' END AS source, concat('q', doc_id) AS query,
+          CASE WHEN doc_id % 11 = 0 THEN '{"error":"boom"}' ELSE concat('[{"url":"', CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat('https://x.io/', CASE WHEN doc_id % 3 = 0 THEN 'p/' ELSE '' END, doc_id) END,
+            '","title":"t', doc_id, '","content":"', regexp_extract(text, '^[A-Za-z ,.]{0,60}', 0), '"},{"url":"https://y.io/company/c","title":"u","content":" "}]') END AS results
+        FROM documents""",
+    "commits": r"""
+        SELECT concat('https://github.com/u', user_id, '/r') AS repo_url, ts, concat(event_type, event_id) AS message FROM events""",
+    "reviews": r"""
+        SELECT o_custkey AS lead_id, o_orderkey AS seq, CASE o_orderstatus WHEN 'O' THEN 'APPROVED' WHEN 'F' THEN 'REJECTED' ELSE 'OTHER' END AS review_status, CASE WHEN o_orderkey % 3 = 0 THEN 'too_big' END AS review_segment_override, o_orderdate AS reviewed_at
+        FROM orders""",
+    "session_events": r"""
+        SELECT user_id AS session_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, CASE WHEN event_type = 'purchase' THEN ts END AS completed_at,
+          CASE WHEN event_id % 7 = 0 THEN concat('["c', event_id, '","d"]') WHEN event_id % 7 = 1 THEN 'bad' END AS criteria, CASE WHEN event_id % 5 = 0 THEN concat('[', event_id, ',1]') END AS batch
+        FROM events""",
 }
 
 

@@ -612,11 +612,130 @@ def progress_counts(spark, sf_dir):
     return state.progress_counts(view(spark, sf_dir, "progress_events"))
 
 
-@query("SELECT 'rate_limit' AS class, count(*) AS n, 15.0::DOUBLE AS max_wait FROM progress_events WHERE error IS NOT NULL", "progress_events")
+def _error_sql() -> str:
+    has = lambda words: "(" + " OR ".join(f"contains(e, {quoted([w])})" for w in words) + ")"
+    return f"""+ x AS (SELECT lower(error) AS e FROM progress_events WHERE coalesce(error, '') <> '')
+    SELECT CASE WHEN {has(V.QUOTA_PHRASES)} THEN 'quota' WHEN {has(V.RATE_LIMIT_PHRASES)} THEN 'rate_limit' WHEN {has(V.CONNECTION_PHRASES)} THEN 'connection' WHEN contains(e, 'json') THEN 'malformed_json' ELSE 'other' END AS class,
+      count(*) AS n, max(TRY_CAST(regexp_extract(e, 'retry after\\s+([0-9.]+)\\s*s', 1) AS DOUBLE) + 1) AS max_wait FROM x GROUP BY 1"""
+
+
+@query(_error_sql(), "progress_events")
 def error_taxonomy(spark, sf_dir):
     return reports.error_report(view(spark, sf_dir, "progress_events"), "error")
 
 
+# -- search evidence, commits, reviews, settings -----------------------------------------------------------------------------
+
+EVIDENCE_SQL = """
+    + ev AS (SELECT id, lead_id, source, query, CASE WHEN starts_with(results, '[') THEN json_transform(results::JSON, '[{"url":"VARCHAR","title":"VARCHAR","content":"VARCHAR"}]') END AS hits,
+      CASE WHEN starts_with(results, '{') THEN json_extract_string(results, '$.error') END AS error FROM search_results)"""
+
+
+def _evidence(spark, sf_dir):
+    return evidence.parse_results(view(spark, sf_dir, "search_results"))
+
+
+@query(
+    EVIDENCE_SQL
+    + """, c AS (SELECT id, error, list_filter(hits, lambda h: coalesce(h.url, '') <> '') AS h FROM ev)
+    SELECT id, error, CAST(len(h) AS INTEGER) AS n_hits, coalesce(list_filter(h, lambda x: contains(lower(x.url), '/company/') OR contains(lower(x.content), '/company/'))[1].title, h[1].title) AS best FROM c""",
+    "search_results",
+)
+def search_hits(spark, sf_dir):
+    rows = _evidence(spark, sf_dir).select("id", "error", evidence.clean_hits(F.col("results")).alias("h"))
+    return rows.select("id", "error", F.when(F.col("h").isNotNull(), F.size("h")).alias("n_hits"), evidence.best_profile(F.col("h"))["title"].alias("best"))
+
+
+@query(EVIDENCE_SQL + ", f AS (SELECT lead_id, source, id, unnest(hits) AS h, generate_subscripts(hits, 1) AS i FROM ev WHERE hits IS NOT NULL) SELECT lead_id, source, string_agg(h.title, ' | ' ORDER BY id, i) AS titles FROM f GROUP BY lead_id, source", "search_results")
+def evidence_by_source(spark, sf_dir):
+    return evidence.merge_by_source(_evidence(spark, sf_dir)).select("lead_id", "source", F.array_join(F.transform("results", lambda h: h["title"]), " | ").alias("titles"))
+
+
+TITLES_SQL = "SELECT lead_id, string_agg(source || ': ' || coalesce(array_to_string(list_transform(hits, lambda h: coalesce(h.title, '')), ' | '), ''), ' ||| ' ORDER BY id) AS titles FROM ev GROUP BY lead_id"
+
+
+@query(EVIDENCE_SQL + f", t AS ({TITLES_SQL}) SELECT l.id, titles FROM leads l JOIN t ON t.lead_id = l.id", "leads", "search_results")
+def leads_with_evidence(spark, sf_dir):
+    own = view(spark, sf_dir, "leads").withColumn("is_duplicate", F.lit(0))
+    return evidence.leads_with_evidence(own, _evidence(spark, sf_dir)).select("id", evidence.titles_summary(F.col("evidence")).alias("titles"))
+
+
+@query(
+    EVIDENCE_SQL
+    + """, h AS (SELECT lead_id, source, query, unnest(hits) AS h FROM ev WHERE hits IS NOT NULL),
+    r AS (SELECT lead_id, source, query, coalesce(h.url, '') AS result_url, coalesce(h.title, '') AS result_title, substr(coalesce(h.content, ''), 1, 500) AS result_snippet FROM h
+      UNION ALL SELECT lead_id, source, query, '', 'ERROR', error FROM ev WHERE error IS NOT NULL)
+    SELECT r.lead_id, coalesce(company_name, '') AS company_name, coalesce(website_url, '') AS website_url, source, query, result_url, result_title, result_snippet FROM r JOIN leads ON leads.id = r.lead_id""",
+    "leads",
+    "search_results",
+)
+def search_report(spark, sf_dir):
+    return reports.search_report(view(spark, sf_dir, "leads").withColumn("is_duplicate", F.lit(0)), _evidence(spark, sf_dir))
+
+
+@query(
+    SIGNALS_SQL
+    + EVIDENCE_SQL.replace("+", ",", 1)
+    + f""", t AS ({TITLES_SQL}), p AS (SELECT id - id % 5 AS lead_id, {", ".join(f"arg_max(content, id) FILTER (source = '{s}') AS {s}" for s in V.SOURCES)} FROM site_pages GROUP BY 1)
+    SELECT l.id AS lead_id, CASE WHEN g.page_id IS NULL THEN 'No technical signals computed.' WHEN {SUMMARY_SQL} = '' THEN 'No deterministic technical signals detected.' ELSE {SUMMARY_SQL} END AS signals_summary,
+      {", ".join(f"{preview_sql(s, 60)} AS {s}_preview" for s in V.SOURCES)}, coalesce(titles, '') AS search_evidence
+    FROM leads l LEFT JOIN p ON p.lead_id = l.id LEFT JOIN signals g ON g.page_id = l.id LEFT JOIN t ON t.lead_id = l.id""",
+    "leads",
+    "site_pages",
+    "pages_marked",
+    "search_results",
+)
+def readable_report(spark, sf_dir):
+    own = view(spark, sf_dir, "leads").withColumns({"status": F.lit("NEW"), "is_duplicate": F.lit(0)})
+    stored = view(spark, sf_dir, "site_pages").withColumn("lead_id", F.col("id") - F.col("id") % 5)
+    signals = _signals(spark, sf_dir).drop("url").withColumns({"id": F.col("page_id"), "lead_id": F.col("page_id")}).drop("page_id")
+    out = reports.readable_report(own, stored, signals, _evidence(spark, sf_dir), n=60)
+    return out.select("lead_id", "signals_summary", *(f"{s}_preview" for s in V.SOURCES), "search_evidence")
+
+
+@query("SELECT repo_url, count(*) AS total_commits_seen, arg_max(message, n) AS first_commit_message, count(*) <= 1 AS single_commit_repo FROM (SELECT *, row_number() OVER (PARTITION BY repo_url ORDER BY ts DESC, message DESC) AS n FROM commits) WHERE n <= 100 GROUP BY repo_url", "commits")
+def commit_facts(spark, sf_dir):
+    return pages.commit_facts(view(spark, sf_dir, "commits"))
+
+
+@query("SELECT lead_id, arg_max(review_status, seq) AS review_status, max({'s': seq, 'o': review_segment_override}).o AS review_segment_override FROM reviews WHERE review_status <> 'OTHER' GROUP BY lead_id", "reviews")
+def review_fold(spark, sf_dir):
+    return state.fold_reviews(view(spark, sf_dir, "reviews")).select("lead_id", "review_status", "review_segment_override")
+
+
+@query("SELECT session_id, arg_max(status, seq) AS status, epoch_us(arg_max(completed_at, seq) FILTER (completed_at IS NOT NULL)) AS completed_us FROM session_events GROUP BY session_id", "session_events")
+def session_fold(spark, sf_dir):
+    return state.fold_sessions(view(spark, sf_dir, "session_events")).select("session_id", "status", F.unix_micros(F.col("completed_at").cast("timestamp")).alias("completed_us"))
+
+
+@query(
+    """+ l AS (SELECT session_id, arg_max(criteria, seq) FILTER (criteria IS NOT NULL) AS c, arg_max(batch, seq) FILTER (batch IS NOT NULL) AS b FROM session_events GROUP BY session_id)
+    SELECT session_id, CASE WHEN json_valid(c) THEN array_to_string(CAST(c::JSON AS VARCHAR[]), ',') ELSE '' END AS criteria, CASE WHEN json_valid(b) THEN array_to_string(CAST(b::JSON AS VARCHAR[]), ',') ELSE '' END AS batch FROM l""",
+    "session_events",
+)
+def session_settings(spark, sf_dir):
+    return state.session_settings(view(spark, sf_dir, "session_events")).select("session_id", F.array_join("criteria", ",").alias("criteria"), F.array_join(F.col("batch").cast("array<string>"), ",").alias("batch"))
+
+
+@query("SELECT l.id, coalesce(f.status, l.status) AS status FROM leads_large l LEFT JOIN (SELECT lead_id, arg_max(status, seq) FILTER (status IS NOT NULL) AS status FROM progress_events GROUP BY lead_id) f ON f.lead_id = l.id", "leads_large", "progress_events")
+def state_applied(spark, sf_dir):
+    folded = state.fold_progress(view(spark, sf_dir, "progress_events")).where("status IS NOT NULL").select("lead_id", "status")
+    return state.apply_state(view(spark, sf_dir, "leads_large"), folded).select("id", "status")
+
+
+@query(
+    SCORES_SQL + ", s AS (SELECT id FROM scored WHERE is_duplicate = 0 AND needs_human_review = 1) SELECT count(*) FILTER (s.id IS NULL) AS kept_versions, count(*) FILTER (s.id IS NOT NULL) AS dropped_versions FROM scores_large v LEFT JOIN s ON s.id = v.lead_id",
+    *LARGE,
+)
+def rescore_reset(spark, sf_dir):
+    rows, versions = _scored(spark, sf_dir), view(spark, sf_dir, "scores_large")
+    chosen = rows.where("is_duplicate = 0 AND needs_human_review = 1").select("id")
+    _, left = state.rescore_reset(rows, versions, chosen)
+    both = left.select(F.lit(1).alias("kept")).unionByName(versions.select(F.lit(0).alias("kept")))
+    kept = F.sum("kept").cast("long")
+    return both.agg(kept.alias("kept_versions"), (F.count(F.lit(1)) - 2 * kept).alias("dropped_versions"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories of deduplicated leads with their latest verdicts."""
     own = normal_leads(spark, sf_dir)
