@@ -48,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    return token_digests(byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path))
+    return token_digests(byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN))
 
 
 STAGES = [

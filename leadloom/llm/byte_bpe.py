@@ -386,6 +386,12 @@ def _once(kind: type, path: str, *more: str):
     return _ready[key]
 
 
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.zeros(len(found) + 1, np.int32)
+    np.cumsum([len(x) for x in found], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32()))
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
     """``keep`` and the column ``ids`` (array of int): the text's ids by the rank file at ``path`` (a path on every executor), without special tokens."""
     bound_batches(df.sparkSession)
@@ -395,16 +401,28 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
         encoder = _once(Encoder, path, pattern)
         for batch in batches:
             found = [encoder.encode(x or "") for x in batch.column(len(keep)).to_pylist()]
-            offsets = np.zeros(len(found) + 1, np.int32)
-            np.cumsum([len(x) for x in found], out=offsets[1:])
-            values = np.concatenate(found) if found else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lists], names=[*keep, ids])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], _lists(found)], names=[*keep, ids])
 
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
     return src.mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """encode() and decode() of its ids in one pass through Python: ``keep``, ids, decoded, whole_utf8. A task then needs one worker, not two."""
+    bound_batches(df.sparkSession)
+    src = df.select(*keep, df[text].cast("string").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _once(Encoder, path, pattern), _once(Decoder, path)
+        for batch in batches:
+            found = [encoder.encode(x or "") for x in batch.column(len(keep)).to_pylist()]
+            out = [decoder.decode(ids) for ids in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], _lists(found), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.bool_())], names=[*keep, "ids", "decoded", "whole_utf8"])
+
+    schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType()), T.StructField("whole_utf8", T.BooleanType())])
+    return src.mapInArrow(run, schema)
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), decoded: str = "decoded", whole: str = "whole_utf8") -> DataFrame:
     """``keep``, the ids, ``decoded`` (binary: the tokens' bytes) and ``whole`` (whether these are whole UTF-8 characters). Null ids: empty."""
     bound_batches(df.sparkSession)

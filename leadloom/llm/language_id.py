@@ -29,7 +29,7 @@ from .common import bound_batches
 
 DIMS, MAX_TRAIN_DOCS, MAX_LANGUAGES = 1024, 100_000, 1024
 #: Trigrams whose vectors a worker keeps, texts that are bundled at once, characters of a part.
-MAX_TRIGRAMS, AT_ONCE, PART = 16_384, 48, 1 << 18
+MAX_TRIGRAMS, AT_ONCE, PART = 16_384, 32, 1 << 18
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -68,7 +68,7 @@ def trigram_codes(text: str) -> Iterator[np.ndarray]:
 
 def letter_vector(cp: int, dims: int) -> np.ndarray:
     """The letter's fixed random vector of +1 and -1."""
-    return np.random.default_rng([20_031, cp]).integers(0, 2, dims, dtype=np.int8).astype(np.float32) * 2 - 1
+    return np.random.default_rng([20_031, cp]).integers(0, 2, dims, dtype=np.int8) * 2 - 1
 
 
 class Bundler:
@@ -77,10 +77,12 @@ class Bundler:
     def __init__(self, dims: int):
         self.dims = dims
         self.letters: dict[int, np.ndarray] = {}
+        self.rows = np.empty((2 * MAX_TRIGRAMS, dims), np.int8)
         self._clear()
 
     def _clear(self) -> None:
-        self.codes, self.rows = np.zeros(0, np.int64), np.zeros((0, self.dims), np.float32)
+        self.codes, self.places = np.zeros(0, np.int64), np.zeros(0, np.int64)  # sorted codes, and the rows of their vectors
+        self.used = 0
 
     def _letter(self, cp: int) -> np.ndarray:
         if cp not in self.letters:
@@ -90,23 +92,29 @@ class Bundler:
         return self.letters[cp]
 
     def _vectors(self, codes: np.ndarray) -> np.ndarray:
-        out = np.empty((len(codes), self.dims), np.float32)
+        out = np.empty((len(codes), self.dims), np.int8)
         for i, code in enumerate(codes.tolist()):
             a, b, c = code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF
             out[i] = np.roll(self._letter(a), 2) * np.roll(self._letter(b), 1) * self._letter(c)
         return out
 
     def known(self, codes: np.ndarray) -> np.ndarray:
-        """Places of sorted distinct codes among the kept vectors, adding those that lack."""
-        at = np.searchsorted(self.codes, codes)
-        lacking = (at >= len(self.codes)) | (self.codes[np.minimum(at, max(0, len(self.codes) - 1))] != codes) if len(self.codes) else np.ones(len(codes), bool)
-        if lacking.any():
-            new = codes[lacking]
+        """The vectors of at most MAX_TRIGRAMS sorted distinct codes; those that lack are added to the kept ones."""
+        if len(self.codes):
+            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            new = codes[self.codes[at] != codes]
+        else:
+            new = codes
+        if len(new):
+            if self.used + len(new) > len(self.rows):
+                self._clear()
+                new = codes
+            self.rows[self.used : self.used + len(new)] = self._vectors(new)
             where = np.searchsorted(self.codes, new)
-            self.rows = np.insert(self.rows, where, self._vectors(new), axis=0)
+            self.places = np.insert(self.places, where, np.arange(self.used, self.used + len(new)))
             self.codes = np.insert(self.codes, where, new)
-            at = np.searchsorted(self.codes, codes)
-        return at
+            self.used += len(new)
+        return self.rows[self.places[np.searchsorted(self.codes, codes)]].astype(np.float32)
 
     def bundle(self, texts: list[list[tuple[np.ndarray, np.ndarray]]]) -> np.ndarray:
         """Vectors of some texts, each given as distinct trigram codes and their counts."""
@@ -117,15 +125,12 @@ class Bundler:
         union = np.unique(np.concatenate(every))
         for a in range(0, len(union), MAX_TRIGRAMS):
             part = union[a : a + MAX_TRIGRAMS]
-            if len(self.codes) + len(part) > 2 * MAX_TRIGRAMS:
-                self._clear()
-            at = self.known(part)
             counts = np.zeros((len(texts), len(part)), np.float32)
             for i, text in enumerate(texts):
                 for codes, n in text:
                     lo, hi = np.searchsorted(codes, part[0]), np.searchsorted(codes, part[-1], "right")
                     counts[i, np.searchsorted(part, codes[lo:hi])] += n[lo:hi]
-            out += counts @ self.rows[at]
+            out += counts @ self.known(part)
         return out
 
 

@@ -62,8 +62,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return token_digests(byte_bpe.decode(ids, path))
+    return token_digests(byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
 def token_digests(decoded: DataFrame) -> DataFrame:
