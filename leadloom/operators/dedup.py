@@ -43,7 +43,8 @@ def similar_names(names: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     names = names.where("name_key <> ''").select("name_key").distinct()
     names = stash(names.select("name_key", F.length("name_key").alias("n")), "names")
     lengths = names.select("n").distinct()
-    pairs = lengths.select(F.col("n").alias("la")).join(lengths.select(F.col("n").alias("lb")), F.expr(f"la <= lb AND (lb - la) * 100 <= {100 - threshold} * (la + lb)"))
+    longest = F.floor(F.col("n") * (200 - threshold) / max(threshold, 1)).cast("int")
+    pairs = lengths.select(F.col("n").alias("la"), F.explode(F.sequence("n", longest)).alias("lb")).join(lengths.select(F.col("n").alias("lb")), "lb")
     edits = F.expr(f"(({100 - threshold} * (la + lb)) div 100)").cast("int")
     pairs = pairs.withColumn("d", edits).withColumn("d", F.col("d") - ((F.col("la") + F.col("lb") - F.col("d")) % 2)).where("d >= lb - la")
     cut = F.explode(F.expr("transform(sequence(0, d), i -> struct(i AS i, (i * la) div (d + 1) AS lo, ((i + 1) * la) div (d + 1) AS hi))"))
