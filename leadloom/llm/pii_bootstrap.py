@@ -182,7 +182,9 @@ def redact(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options)
     """The rows with each span of their texts replaced by its kind in angle brackets (of overlapping spans, the first in order). Null texts stay null."""
     found = find(df, id_col, text, **options).where("size(spans) > 0").dropDuplicates([id_col, "mark"])
     found = stash(found.select(F.col(id_col).alias("__i"), F.col("mark").alias("__m"), in_order(F.col("spans")).alias("__spans")), "spans")
-    rows = df.join(found, F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__m")), "left")
+    # every span has a digit or an at sign; texts without either needn't meet the spans, so they aren't shuffled
+    may = F.coalesce(F.col(text).rlike("[0-9@]"), F.lit(False))
+    rows = df.where(may).join(found, F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__m")), "left")
     t = F.col(text)
     # pieces are kept in a list of blocks, each joined when full, so that a text of many spans isn't copied for each
     step = lambda a, s: F.when(s["start"] < a["at"], F.struct(a["at"].alias("at"), a["out"].alias("out"))).otherwise(
@@ -190,4 +192,5 @@ def redact(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options)
     )
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
     new = F.aggregate("__spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(t, (a["at"] + 1).cast("int"))))
-    return rows.withColumn(text, F.when(F.col("__spans").isNull() | t.isNull(), t).otherwise(new)).select(*df.columns)
+    redacted = rows.withColumn(text, F.when(F.col("__spans").isNull() | t.isNull(), t).otherwise(new)).select(*df.columns)
+    return redacted.unionByName(df.where(~may))
