@@ -47,8 +47,10 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 100, id_col: str
     firsts.write.parquet(f"{path}/firsts")
     firsts = pages.sparkSession.read.parquet(f"{path}/firsts")
 
-    stored = keyed.join(firsts.select(F.col("digest").alias("d"), "first_id"), (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("first_id")))
-    stored.dropDuplicates(["digest", "page_id"]).select("digest", "payload").write.parquet(f"{path}/payloads")
+    # joined by one column, so that repeated rows are dropped where they are
+    place = lambda page: F.concat_ws(":", "digest", F.coalesce(F.col(page).cast("string"), F.lit("")))
+    stored = keyed.select("digest", "payload", place("page_id").alias("place")).join(firsts.select(place("first_id").alias("place")), "place")
+    stored.dropDuplicates(["place"]).select("digest", "payload").write.parquet(f"{path}/payloads")
 
     shared = (F.col("n") > 1) & (F.col("bytes") >= min_bytes)
     again = shared & ~F.col("page_id").eqNullSafe(F.col("first_id"))
