@@ -30,8 +30,10 @@ BASE = (
     ("card", r"[0-9]([\x20-]?[0-9])+"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
-#: Key or word, optional separator, optional bracket, and a value with a digit in it.
-CONTEXT = r"(?<![\p{L}0-9_])(\p{L}[\p{L}0-9_-]{0,30}+)( ?[=:])?[ \n]?[\x22'(\[]?((?=[A-Za-z+_.-]{0,24}+[0-9])[A-Za-z0-9+][A-Za-z0-9@._%+/-]{5,127}+)"
+#: What may end a run of value characters without being the value's: the sentence's stops, and joints.
+TAIL = ".-/%+"
+#: Key or word, optional separator, optional bracket, and a value with a digit in it, of six characters or more without its tail.
+CONTEXT = r"(?<![\p{L}0-9_])(\p{L}[\p{L}0-9_-]{0,30}+)( ?[=:])?[ \n]?[\x22'(\[]?((?=[A-Za-z+_.-]{0,24}+[0-9])(?=[A-Za-z0-9+][A-Za-z0-9@._%+/-]{4,}?[A-Za-z0-9@_])[A-Za-z0-9+][A-Za-z0-9@._%+/-]{5,127}+)"
 SEED_SECRET = r"^(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,}$"
 CONFIDENCE, SUPPORT, ROUNDS = 0.8, 3, 3
 _BLOCK = 256
@@ -125,14 +127,14 @@ def contexts(text: Column, base: Column) -> Column:
         piece = lambda i: F.regexp_extract(m["value"], CONTEXT, i)
 
         def whole(s: Column) -> Column:
-            end = m["start"] + F.length(m["value"])
-            start = end - F.length(s["value"])
+            start = m["start"] + F.length(m["value"]) - F.length(s["run"])
+            end = start + F.length(s["value"])
             hit = F.filter(base, lambda b: (b["start"] < end) & (start < b["end"]))
             seed = F.coalesce(F.get(hit, F.lit(0))["kind"], F.when(F.lower(s["value"]).rlike(SEED_SECRET), "secret"))
             return F.struct(start.alias("start"), end.alias("end"), F.concat(F.lower(s["key"]), F.trim(s["sep"]), F.lit("|"), _shape(s["value"])).alias("pattern"), s["value"].alias("value"), seed.alias("seed"), (F.size(hit) > 0).alias("base"))
 
         # a value's last full stop belongs to the sentence
-        return _let(F.struct(piece(1).alias("key"), piece(2).alias("sep"), piece(3).alias("value")), whole)
+        return _let(F.struct(piece(1).alias("key"), piece(2).alias("sep"), piece(3).alias("run"), F.rtrim(piece(3), F.lit(TAIL)).alias("value")), whole)
 
     kind = "array<struct<start:bigint,`end`:bigint,pattern:string,value:string,seed:string,base:boolean>>"
     return F.when(text.rlike("[0-9]"), F.transform(matches(text, CONTEXT), described).cast(kind)).otherwise(F.array().cast(kind))

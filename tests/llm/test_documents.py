@@ -332,6 +332,20 @@ def test_patterns_discover_unseen_values_and_leave_clean_text(spark):
     assert out[20] == ("the password: <secret> tail", "clash") and out[24][0] == "mail: <email>" and out[23][0] == texts[23]
 
 
+def test_values_end_before_the_stops_of_their_sentence(spark):
+    secrets = [f"so password: {hashlib.md5(str(i).encode()).hexdigest()} end" for i in range(20)]
+    digest = hashlib.md5(b"x").hexdigest()
+    ends = [".", ".\n", "...", ". Next", ".-", "/", "%", "+"]
+    df = documents(spark, [*secrets, *(f"password: {v}{e}" for e in ends for v in (digest, "9f86d08e")), "ending: abc1... x"])
+    got = {r.doc_id: r for r in pii_bootstrap.find(df).select("doc_id", pii_bootstrap.written(F.col("spans")).alias("s")).collect()}
+    assert [got[20 + i].s for i in range(2 * len(ends))] == ["secret:10:42", "secret:10:18"] * len(ends)
+    texts = {r.doc_id: r.text for r in pii_bootstrap.redact(df).collect()}
+    assert [texts[21 + 2 * i] for i in range(len(ends))] == [f"password: <secret>{e}" for e in ends]
+    found = df.select("doc_id", F.explode(pii_bootstrap.contexts(F.col("text"), pii_bootstrap.base_spans(F.col("text")))).alias("c")).select("doc_id", "c.*").collect()
+    assert {(r.pattern, r.seed) for r in found if r.doc_id in range(20, 36, 2)} == {("password:|x", "secret")}
+    assert not [r for r in found if r.doc_id == 36]  # "abc1" alone is too short a value
+
+
 def test_redaction_keeps_rows_and_nulls(spark):
     df = documents(spark, [*ODD, "1.2.3.4 and +1 555 010 9999 x"])
     before, after = df.collect(), pii_bootstrap.redact(df).collect()
