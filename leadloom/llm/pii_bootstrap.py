@@ -32,8 +32,14 @@ BASE = (
 )
 #: What may end a run of value characters without being the value's: the sentence's stops, and joints.
 TAIL = ".-/%+"
-#: Key or word, optional separator, optional bracket, and a value with a digit in it, of six characters or more without its tail.
-CONTEXT = r"(?<![\p{L}0-9_])(\p{L}[\p{L}0-9_-]{0,30}+)( ?[=:])?[ \n]?[\x22'(\[]?((?=[A-Za-z+_.-]{0,24}+[0-9])(?=[A-Za-z0-9+][A-Za-z0-9@._%+/-]{4,}?[A-Za-z0-9@_])[A-Za-z0-9+][A-Za-z0-9@._%+/-]{5,127}+)"
+#: Key or word, optional separator, optional bracket, and a value with a digit in it, of six characters or more without its tail. All
+#: of any length; so that the search stays linear, a long run in which no key can have a value is taken whole, as a match without one:
+#: the rest of a key's run (its other keys end where it does), and a run from a plus sign to the last key in it.
+CONTEXT = (
+    r"(?<![\p{L}0-9_])(\p{L}[\p{L}0-9_-]*+)"
+    r"(?:( ?[=:])?[ \n]?[\x22'(\[]?((?=[A-Za-z0-9+])(?=[A-Za-z+_.-]*+[0-9])(?=[A-Za-z0-9+][A-Za-z0-9@._%+/-]{4,}?[A-Za-z0-9@_])[A-Za-z0-9+][A-Za-z0-9@._%+/-]{5,}+)"
+    r"|(?=\+[A-Za-z+_.-]{64})(?!\+[A-Za-z+_.-]*+[0-9])\+[A-Za-z+_.-]*(?<=[+.])|(?<=[\p{L}0-9_-]{64}))"
+)
 SEED_SECRET = r"^(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,}$"
 CONFIDENCE, SUPPORT, ROUNDS = 0.8, 3, 3
 _BLOCK = 256
@@ -137,7 +143,8 @@ def contexts(text: Column, base: Column) -> Column:
         return _let(F.struct(piece(1).alias("key"), piece(2).alias("sep"), piece(3).alias("run"), F.rtrim(piece(3), F.lit(TAIL)).alias("value")), whole)
 
     kind = "array<struct<start:bigint,`end`:bigint,pattern:string,value:string,seed:string,base:boolean>>"
-    return F.when(text.rlike("[0-9]"), F.transform(matches(text, CONTEXT), described).cast(kind)).otherwise(F.array().cast(kind))
+    found = F.filter(F.transform(matches(text, CONTEXT), described), lambda c: c["value"] != "")
+    return F.when(text.rlike("[0-9]"), found.cast(kind)).otherwise(F.array().cast(kind))
 
 
 def score_patterns(edges: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:

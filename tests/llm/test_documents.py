@@ -346,6 +346,19 @@ def test_values_end_before_the_stops_of_their_sentence(spark):
     assert not [r for r in found if r.doc_id == 36]  # "abc1" alone is too short a value
 
 
+def test_keys_and_values_of_any_length(spark):
+    secrets = [f"so password: {hashlib.md5(str(i).encode()).hexdigest()} end" for i in range(20)]
+    key = "a-long-key-" + "of-many-words-" * 3 + "end"
+    token, late = "0a" * 150, "a" * 30 + "7" + "b" * 40
+    more = [f"{key}={hashlib.md5(str(i).encode()).hexdigest()} end" for i in range(20)]
+    df = documents(spark, [*secrets, *more, f"password: {token} end", f"{key}=9f86d08e", f"token {late}.", "b-" * 200_000 + " password: 00ff00ff", "b+" * 200_000 + "password: 00ff00ff", "b." * 200_000 + "password: 00ff00ff"])
+    got = {r.doc_id: r.s for r in pii_bootstrap.find(df).select("doc_id", pii_bootstrap.written(F.col("spans")).alias("s")).collect()}
+    assert got[40] == "secret:10:310" and got[41] == f"secret:{len(key) + 1}:{len(key) + 9}"
+    assert [got[i] for i in (43, 44, 45)] == ["secret:400011:400019", "secret:400010:400018", "secret:400010:400018"]
+    found = df.where("doc_id = 42").select(F.explode(pii_bootstrap.contexts(F.col("text"), pii_bootstrap.base_spans(F.col("text")))).alias("c")).select("c.*").collect()
+    assert [(r.start, r.value) for r in found] == [(6, late)]
+
+
 def test_redaction_keeps_rows_and_nulls(spark):
     df = documents(spark, [*ODD, "1.2.3.4 and +1 555 010 9999 x"])
     before, after = df.collect(), pii_bootstrap.redact(df).collect()
