@@ -6,10 +6,12 @@ the shorter output is not a prefix of the longer, the template rewrites history;
 no spans. Inside a turn's span, the place of its text is found the same way: the turn is rendered with two other texts
 of one letter each, and their outputs first differ where a text begins.
 
-Conversations are streamed: rows are dealt by conversation and sorted by turn, and a task holds at most ``context``
-earlier turns (a prefix longer than that is rendered from its last ``context`` turns), so a conversation of any length
-takes bounded memory and time in proportion. For conversations up to ``context`` + 1 turns the prefixes are
-whole; beyond, a rewrite is seen if it reaches back no further than that.
+Conversations are streamed: rows are dealt by conversation and sorted by turn. What a black box makes of a prefix can't be
+known without rendering it, so every prefix is rendered whole: a task holds the turns of one conversation and the
+output of all but the last, and time grows with the square of the conversation's length. A template that is marked by ``turn_local`` writes
+each turn alone, whatever stands before it; then a task holds at most ``context`` earlier turns (a prefix longer than that is
+rendered from its last ``context`` turns, with equal results), so a conversation of any length takes bounded memory and
+time in proportion. ``chatml`` is marked.
 
 Rows: ordered by turn, then role, then text (nulls first); null texts and roles are empty; rows without a conversation
 id are one conversation; repeated rows are turns of their own; an empty table gives no conversation. Extra columns
@@ -47,6 +49,13 @@ def unescape(text: str) -> str:
     return "".join(out) + text[at:]
 
 
+def turn_local(template: Template) -> Template:
+    """Marks a template whose output is the concatenation of its outputs for each turn alone."""
+    template.turn_local = True
+    return template
+
+
+@turn_local
 def chatml(turns: list[Turn]) -> str:
     """Marked turns with escaped roles and texts; a role's line feeds are written as backslash n, so that the first one ends it."""
     return "".join(f"{START}{escape(role).replace(chr(10), chr(92) + 'n')}\n{escape(text)}{END}\n" for role, text in turns)
@@ -77,8 +86,16 @@ def _common(a: str, b: str) -> int:
 
 def turn_spans(before: list[Turn], turn: Turn, template: Template) -> tuple[str, int, int] | None:
     """What the turn adds to the output, and where in it the turn's text stands (start, end); None if history is rewritten."""
-    short = template(before)
+    return added(template(list(before)), before, turn, template)[1]
+
+
+def added(short: str, before: list[Turn], turn: Turn, template: Template) -> tuple[str, tuple[str, int, int] | None]:
+    """The output with the turn, and what ``turn_spans`` gives; short is the output without it."""
     outputs = [template([*before, (turn[0], words)]) for words in (turn[1], "a", "b")]
+    return outputs[0], _span(short, outputs)
+
+
+def _span(short: str, outputs: list[str]) -> tuple[str, int, int] | None:
     if not all(x.startswith(short) for x in outputs):
         return None
     span, a, b = (x[len(short) :] for x in outputs)
@@ -90,23 +107,27 @@ def turn_spans(before: list[Turn], turn: Turn, template: Template) -> tuple[str,
 def format_turns(conversations: DataFrame, template: Template = chatml, context: int = CONTEXT, keys: tuple[str, ...] = ("conv_id",), trained: tuple[str, ...] = ("assistant",), text: str = "text") -> DataFrame:
     """One row a turn, in order within its conversation's task: ``keys``, position, turn_role, formatted (the turn's span of the
     output), text_start and text_end (of the text within it), trained (whether the text is under the loss mask),
-    rewrites (the template rewrote history here; then the span is null)."""
+    rewrites (the template rewrote history here; then the span is null). ``context`` is for templates marked by ``turn_local``; others
+    get whole prefixes."""
     bound_batches(conversations.sparkSession)
     src = conversations.select(*keys, F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     order = [F.col(k).asc_nulls_first() for k in (*keys, "turn")]
     src = src.repartition(*keys).sortWithinPartitions(*order, "role", "text")
     n_keys = len(keys)
+    local = getattr(template, "turn_local", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, before, position = object(), deque(maxlen=context), 0
+        current, before, position, short = object(), deque(maxlen=context if local else None), 0, None
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
             out: list[tuple] = []
             for *key, _, role, words in zip(*columns, strict=True):
                 if key != current:
-                    current, position = key, 0
+                    current, position, short = key, 0, None
                     before.clear()
-                found = turn_spans(list(before), (role, words), template)
+                if local or short is None:
+                    short = template(list(before))
+                short, found = added(short, list(before), (role, words), template)
                 out.append((position, role, *(found or (None, None, None)), role in trained, found is None))
                 before.append((role, words))
                 position += 1

@@ -82,6 +82,26 @@ def test_templates_that_rewrite_history_are_seen(spark):
     assert got[1, 0].startswith("<s><|im_start|>user") and got[1, 1].startswith("<|im_start|>assistant")
 
 
+def test_long_conversations_of_templates_that_look_back(spark):
+    rows = [(c, i, "user", f"t{i}") for c in (1, 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    templates = {
+        "numbered": lambda turns: "".join(f"{i}.{r}:{t}\n" for i, (r, t) in enumerate(turns)),
+        "first": lambda turns: "".join(f"{turns[0][1] if i else ''}>{t};" for i, (_, t) in enumerate(turns)),
+        "drops": lambda turns: "".join(f"{t};" for _, t in turns[-20:]),
+        "once": lambda turns: ("!" if len(turns) == 25 else "") + "".join(f"{t};" for _, t in turns),
+    }
+    rewritten = {"numbered": set(), "first": set(), "drops": set(range(20, 40)), "once": {24, 25}}
+    for name, template in templates.items():
+        got = sorted(chat_format.format_turns(df, template).collect(), key=lambda r: (r.conv_id, r.position))
+        for c in (1, 2):
+            mine = [r for r in got if r.conv_id == c]
+            assert {r.position for r in mine if r.rewrites} == rewritten[name]
+            assert all(r.formatted is None if r.rewrites else r.formatted[r.text_start : r.text_end] == f"t{r.position}" for r in mine)
+            if not rewritten[name]:
+                assert "".join(r.formatted for r in mine) == template([("user", f"t{i}") for i in range(40)])
+
+
 def test_conversations_against_brute_force(spark):
     rng = random.Random(2)
     rows = [(rng.choice([None, 1, 2, 3]), rng.choice([None, *range(40)]), rng.choice([None, "user", "assistant"]), rng.choice([None, "", "x<|y", "é\n"]), 7) for _ in range(150)]
