@@ -28,10 +28,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays."""
-    found = simhash_dedup.near_duplicates(docs)
-    losers = stash(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "losers")
-    return docs.join(losers, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each component one row stays: that with the smallest id, nulls last, and of rows that repeat it any one. Rows are told apart
+    by a key that is written with them, so rows of one id with other texts stay or go each by its own."""
+    rows = stash(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    found = simhash_dedup.near_duplicates(rows.withColumn("__key", key), id_col="__key")
+    losers = stash(found.where("__key.row <> component_id.row").select(F.col("__key.row").alias("__row")), "losers")
+    return rows.join(losers, "__row", "left_anti").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,6 +55,14 @@ def test_decisions_take_effect_and_columns_stay(spark):
     assert Counter(r.n_tokens > 0 for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()) == {True: 3}
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c, d = "the dog and the cat are not here", "a bird sang in the old tree by the lake", "we went up the hill to see the sun", "nobody knows what the answer could be"
+    rows = [(1, a), (1, a), (2, b), (2, a), (None, c), (None, c), (None, d), (7, d), (7, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, a), (2, b), (None, c), (7, d)])
+
+
 def test_empty_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
