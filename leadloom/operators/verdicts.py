@@ -111,12 +111,20 @@ def finish(raw: DataFrame, body: str = "body", context: str = "context") -> Data
     return with_status(df)
 
 
+def _foremost(parts: DataFrame, lead: str, order: tuple[str, ...], least: int, max_chars: int) -> DataFrame:
+    """The parts in order that can reach into the first max_chars of a lead's joined ones, if each has least characters with its separator, the
+    last one's separator too. A lead's list is bounded by that, whatever it has."""
+    window = Window.partitionBy(lead).orderBy(*order)
+    return parts.withColumn("__n", F.row_number().over(window)).where(F.col("__n") <= -(-max_chars // least) + 1).drop("__n")
+
+
 def site_context(pages: DataFrame, lead: str = "lead_id", max_chars: int = V.MAX_SITE_CHARS) -> DataFrame:
     """lead and context: the pages with content in order of id, headed by their source, cut, then without images."""
     # no page adds more than max_chars to the cut text, so that much of each is enough
     part = F.concat(F.lit("## Source: "), text("source"), F.lit("\n"), F.substring("content", 1, max_chars))
     parts = pages.where("content <> ''").select(lead, "id", part.alias("part"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "part"))), lambda x: x["part"]), "\n\n---\n\n")
+    parts = _foremost(parts, lead, ("id", "part"), len("## Source: \n.\n\n---\n\n"), max_chars)
     return parts.groupBy(lead).agg(strip_images(F.substring(whole, 1, max_chars)).alias("context"))
 
 
@@ -133,6 +141,7 @@ def evidence_block(evidence: DataFrame, lead: str = "lead_id", max_chars: int =
     body = strip("hit.content")
     part = F.concat(F.lit("["), text("source"), F.lit("] "), text("hit.title"), F.lit(" ("), text("hit.url"), F.lit(")\n"), F.substring(body, 1, max_chars))
     hits = hits.withColumn("first", first).where(body != "").select(lead, "first", "id", "pos", part.alias("part"))
+    hits = _foremost(hits, lead, ("first", "id", "pos", "part"), len("[]  ()\n.\n\n"), max_chars)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "id", "pos", "part"))), lambda x: x["part"]), "\n\n")
     return hits.groupBy(lead).agg(F.concat(F.lit(V.EVIDENCE_HEADING), F.substring(whole, 1, max_chars)).alias("evidence_block"))
 

@@ -217,3 +217,16 @@ def test_streams(spark, tmp_path):
         flows.take_in(flows.intake_stream(spark, str(tmp_path / "in"), header), str(tmp_path / "leads"), 3, str(tmp_path / "cp2")).awaitTermination()
     got = sorted((r.id, r.company_name, r.is_duplicate, r.duplicate_of_id) for r in spark.read.parquet(str(tmp_path / "leads")).collect())
     assert got == [(1, "Acme", 0, None), (2, "Acme Two", 1, 1), (3, "Other", 0, None)]
+
+
+def test_blocks_of_many_small_parts_are_bounded_and_whole(spark):
+    pages = spark.range(1500).select((F.col("id") % 1).alias("lead_id"), "id", F.lit("").alias("source"), F.lit("x").alias("content"))
+    whole = "\n\n---\n\n".join(["## Source: \nx"] * 1500)
+    for n in (12000, 11994, 13):
+        assert verdicts.site_context(pages, max_chars=n).first().context == whole[:n]
+    assert "WindowGroupLimit" in verdicts.site_context(pages)._jdf.queryExecution().executedPlan().toString()
+    hit = F.array(F.struct(F.lit("").alias("url"), F.lit("").alias("title"), F.lit("x").alias("content")))
+    evidence = spark.range(1500).select((F.col("id") % 1).alias("lead_id"), "id", F.lit("").alias("source"), hit.alias("results"))
+    block = verdicts.evidence_block(evidence, max_chars=3000).first().evidence_block
+    assert block.endswith("\n\n".join(["[]  ()\nx"] * 1500)[:3000])
+    assert "WindowGroupLimit" in verdicts.evidence_block(evidence, max_chars=3000)._jdf.queryExecution().executedPlan().toString()
