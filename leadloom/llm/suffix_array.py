@@ -2,8 +2,9 @@
 
 Suffixes are classified as smaller (S) or larger (L) than the next one; the leftmost S of each run of S is a leftmost-smaller suffix.
 Their substrings are sorted by inducing, named, and, if names repeat, sorted as a string of names by recursion; two
-linear passes then induce the order of all suffixes. A pass goes through the buckets of first symbols in order; it takes as many
-buckets at once as don't put anything into one another, so each step is a few array operations.
+passes then induce the order of all suffixes. Over bytes a pass goes through the buckets of first symbols in order, in linear time; it takes as
+many buckets at once as don't put anything into one another, so each step is a few array operations. Over names, whose buckets hold an
+item or two each, that would be a step for every few items; there a pass ranks all items together, by runs that end at a seed.
 """
 
 from __future__ import annotations
@@ -67,6 +68,35 @@ def _induce(codes: np.ndarray, n_codes: int, seeds: np.ndarray, allowed: np.ndar
     return out
 
 
+def _induce_runs(codes: np.ndarray, n_codes: int, seeds: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """What ``_induce`` returns. Right of an item is another item or a seed, so each begins a run that ends at a seed. Items are ranked by
+    first symbol (before its seeds); then ranks are joined with those of what follows them in the run, of one, two, four, ... symbols,
+    until no two are equal. Seeds have ranks of their own from the start."""
+    items = np.flatnonzero(allowed)
+    n_items, n_seeds = (np.bincount(codes[x], minlength=n_codes) for x in (items, seeds))
+    upto = np.cumsum(n_items)
+    rank = np.zeros(len(codes) + 1, np.int64)
+    rank[items] = (upto - n_items + np.cumsum(n_seeds) - n_seeds)[codes[items]]
+    rank[seeds] = np.arange(len(seeds)) + upto[codes[seeds]]
+    next_of = np.arange(1, len(codes) + 2)
+    left = items
+    while len(left):
+        pair = rank[left] << 32 | rank[next_of[left]]
+        order = np.argsort(pair)
+        pair, left = pair[order], left[order]
+        new = np.concatenate([[True], pair[1:] != pair[:-1]])
+        old = pair >> 32
+        group = np.concatenate([[True], old[1:] != old[:-1]])
+        at = np.arange(len(left))
+        first, group_first = (np.maximum.accumulate(np.where(x, at, 0)) for x in (new, group))
+        rank[left] = old + first - group_first
+        left = left[~(new & np.append(new[1:], True))]
+        next_of[left] = next_of[next_of[left]]
+    out = np.full(len(items) + len(seeds), -1, np.int32)
+    out[rank[items]] = items
+    return out[out >= 0]
+
+
 def _smaller_types(s: np.ndarray) -> np.ndarray:
     n = len(s)
     turn = np.where(s[:-1] != s[1:], np.arange(n - 1), n - 1)
@@ -95,7 +125,7 @@ def _names(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndar
     return names[lms], int(rank[-1]) + 1
 
 
-def suffix_array(s: np.ndarray, n_codes: int) -> np.ndarray:
+def suffix_array(s: np.ndarray, n_codes: int, induce=_induce) -> np.ndarray:
     """The suffix array of codes 0 to n_codes - 1, of which the last is 0 and the only 0."""
     n = len(s)
     if n == 1:
@@ -107,8 +137,8 @@ def suffix_array(s: np.ndarray, n_codes: int) -> np.ndarray:
     put_small[n - 1] = False
 
     def passes(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        large = _induce(s, n_codes, seeds, larger)
-        smaller = _induce(n_codes - 1 - s, n_codes, large[::-1], put_small)
+        large = induce(s, n_codes, seeds, larger)
+        smaller = induce(n_codes - 1 - s, n_codes, large[::-1], put_small)
         return large, np.append(smaller, np.int32(n - 1))[::-1]
 
     _, smaller = passes(lms[np.argsort(s[lms], kind="stable")])
@@ -117,7 +147,7 @@ def suffix_array(s: np.ndarray, n_codes: int) -> np.ndarray:
     ordered = smaller[is_lms[smaller]]
     names, n_names = _names(s, lms, ordered)
     if n_names < len(lms):
-        ordered = lms[suffix_array(names, n_names)]
+        ordered = lms[suffix_array(names, n_names, _induce_runs)]
     large, smaller = passes(ordered)
     before_s = np.concatenate([[0], np.cumsum(np.bincount(s[smaller], minlength=n_codes))])
     before_l = np.concatenate([[0], np.cumsum(np.bincount(s[large], minlength=n_codes))])

@@ -3,14 +3,16 @@
 A byte is removed if a string of ``length`` bytes that covers it starts anywhere else, in the same text or another. Shards
 are made by content: in each window of ``length`` bytes the smallest hash of its ``gram``-byte strings is the window's anchor, so equal
 windows have equal anchors. A run of windows with one anchor is a region. Regions whose anchor
-occurs once hold nothing repeated and go no further; identical regions of an anchor (equal 64-bit digests under equal 64-bit anchors) are repeated as a whole and are
+occurs once hold nothing repeated and go no further. Nor do those that share none of a few longer strings around the anchor with another region: two regions that
+share a window share one of these. Identical regions of an anchor (equal 64-bit digests under equal 64-bit anchors) are repeated as a whole and are
 represented by one. The regions that are left are packed, anchor by anchor, into shards of about ``shard_bytes``; in a shard a suffix array (induced
 sorting) and permuted common prefixes give every class of equal windows, and a window is repeated if its
 class has more than one occurrence.
 
-An anchor with more than ``max_regions`` different regions isn't put into a shard: a digest of each of its windows is taken instead, which
-groups spread over all tasks. Nothing is capped. Texts are shuffled once, compressed, by a digest; later only
-texts with repeated regions are. Equal texts share one digest, and are repeated as a whole.
+A hot anchor, one with more than ``max_regions`` different regions, is dealt over several shards, each with a suffix array of its own; these also give one window of each class,
+and classes of different shards are matched by 128-bit digests. Nothing is capped.
+
+Of equal texts (equal digests) one is compressed, shuffled once, and kept in buckets by digest, where later joins leave it; the copies are repeated as a whole.
 
 Rows: a null text is empty; texts shorter than ``length`` are kept whole; equal texts of that length or more lose everything, also if ids are
 equal or null; very long texts are hashed in pieces of 128 KB. Extra columns are not read.
@@ -29,10 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, parallelism, stash
+from .common import bound_batches, new_path, parallelism, stash
 from .suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, GRAM, SHARD_BYTES, MAX_REGIONS, PIECE = 400, 100, 512 << 10, 4096, 1 << 17
+#: Strings around an anchor by which its regions are told apart before they are sorted; keys of texts that a task remembers.
+PARTS, SEEN = 3, 100_000
+#: Bytes of texts in a bucket, and how many buckets there are at most.
+BUCKET_BYTES, MAX_BUCKETS = 64 << 20, 100_000
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -57,32 +63,49 @@ def _slide(h: np.ndarray, w: int, best, fill) -> np.ndarray:
 def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: the anchor's place and hash, and the starts of the run's first and last window. A window's anchor is its
     gram-byte string with the smallest hash, the leftmost of equals."""
+    return regions_of(data, length, gram)[:4]
+
+
+def regions_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``anchors``, and PARTS hashes of strings around each anchor (a row each; 0 where the region has no such window). A window that two regions of one
+    anchor share begins left of it by a number of bytes that is in one of PARTS ranges; string j is what all windows of range j have in common."""
     up, down = _tables(PIECE + length)
     found = []
     w = length - gram + 1
+    cuts = [w * j // PARTS for j in range(PARTS + 1)]
     low_bits = np.uint64((1 << 18) - 1)
+
+    def mixed(h: np.ndarray) -> np.ndarray:
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        return h
+
     for at in range(0, len(data) - length + 1, PIECE):
         piece = np.frombuffer(data, np.uint8, min(PIECE + length - 1, len(data) - at), at).astype(np.uint64)
         sums = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum((piece + np.uint64(1)) * up[: len(piece)], out=sums[1:])
-        h = (sums[gram:] - sums[:-gram]) * down[: len(piece) - gram + 1]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
+        h = mixed((sums[gram:] - sums[:-gram]) * down[: len(piece) - gram + 1])
         placed = (h & ~low_bits) | np.arange(len(h), dtype=np.uint64)  # a piece has fewer than 2**18 places
         place = (_slide(placed, w, np.minimum, np.uint64(2**64 - 1)) & low_bits).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         last = np.append(first[1:], len(place)) - 1
-        found.append((place[first] + at, h[place[first]], first + at, last + at))
+        place = place[first]
+        around = np.zeros((PARTS, len(first)), np.uint64)
+        for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            lo, hi = place - a, place + length - b + 1
+            fits = (lo >= first) & (hi <= last + length)
+            around[j, fits] = mixed((sums[hi[fits]] - sums[lo[fits]]) * down[lo[fits]]) | np.uint64(1)
+        found.append((place + at, h[place], first + at, last + at, around))
     if not found:
         none = np.zeros(0, np.int64)
-        return none, np.zeros(0, np.uint64), none, none
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        return none, np.zeros(0, np.uint64), none, none, np.zeros((PARTS, 0), np.uint64)
+    return tuple(np.concatenate(x, axis=-1) for x in zip(*found, strict=True))
 
 
-def repeated_starts(regions: list[bytes], texts: np.ndarray, starts: np.ndarray, many: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+def repeated_starts(regions: list[bytes], texts: np.ndarray, starts: np.ndarray, many: np.ndarray, length: int = LENGTH) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each region (bytes from ``starts`` of text number ``texts``; ``many``: occurs elsewhere as a whole), the places of its windows that are
-    also somewhere else."""
+    also somewhere else, and the places of those that stand for their class of equal windows."""
     m = len(regions)
     sizes = np.array([len(r) for r in regions])
     ends = np.cumsum(sizes + 1) - 1
@@ -103,7 +126,10 @@ def repeated_starts(regions: list[bytes], texts: np.ndarray, starts: np.ndarray,
     found = np.empty(len(s), bool)
     found[sa] = np.repeat(other, np.diff(np.append(first, len(sa))))
     found &= whole
-    return [place[a - n : a][found[a - n : a]] for a, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    stands = np.zeros(len(s), bool)
+    stands[sa[first]] = True
+    stands &= whole
+    return tuple([place[a - n : a][x[a - n : a]] for a, n in zip(ends.tolist(), sizes.tolist(), strict=True)] for x in (found, stands))
 
 
 def join_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -116,89 +142,102 @@ def join_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[new].tolist(), ends[np.append(new[1:] - 1, len(ends) - 1)].tolist(), strict=True))
 
 
-def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """hash, region (digest), key, lo, hi of every region of texts (key, text)."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """key, packed (compressed bytes) of texts (key, text); of equal texts one row a task, so that a text's copies don't meet in one task later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        seen: set[bytes] = set()
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
+            keys, packed = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    packed.append(pack(text.encode("utf-8", "surrogatepass")))
+            if len(seen) > SEEN:  # what is forgotten is only sent twice
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], names=["key", "packed"])
+
+    return docs.mapInArrow(run, "key binary, packed binary")
+
+
+def _bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """Written in buckets by key, of equal keys one row: joins by key with other tables then leave this one where it is."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = f"leadloom_{name}_{path.rpartition('-')[2]}"
+    rows = df.repartition(buckets, "key").dropDuplicates(["key"])
+    rows.write.bucketBy(buckets, "key").sortBy("key").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def _anchor_rows(packed: DataFrame, length: int, gram: int) -> DataFrame:
+    """hash, region (digest), key, lo, hi and around0, ... (see ``regions_of``) of every region of texts (key, packed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), *[pa.int64()] * PARTS)
+        names = ["hash", "region", "key", "lo", "hi", *(f"around{j}" for j in range(PARTS))]
+        for batch in batches:
+            cols: list[list] = [[] for _ in kinds]
 
             def rows(cols: list[list] = cols) -> pa.RecordBatch:
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
-                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["hash", "region", "key", "lo", "hi"])
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                at, hashes, first, last = (x.tolist() for x in anchors(data, length, gram))
-                last = [x + length for x in last]
-                cols[0] += np.array(hashes, np.uint64).view(np.int64).tolist()
-                digests = [xxhash.xxh3_64_intdigest(data[a:b], p - a) for a, b, p in zip(first, last, at, strict=True)]
-                cols[1] += np.array(digests, np.uint64).view(np.int64).tolist()
-                cols[2] += [key] * len(at)
-                cols[3] += first
-                cols[4] += last
+            for key, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = unpack(packed)
+                at, hashes, first, last, around = regions_of(data, length, gram)
+                at, first, ends = at.tolist(), first.tolist(), (last + length).tolist()
+                digests = [xxhash.xxh3_64_intdigest(data[a:b], p - a) for a, b, p in zip(first, ends, at, strict=True)]
+                for c, x in zip(cols, (hashes.view(np.int64).tolist(), np.array(digests, np.uint64).view(np.int64).tolist(), [key] * len(at), first, ends, *around.view(np.int64).tolist()), strict=True):
+                    c += x
                 if len(cols[0]) > 100_000:
                     yield rows()
                     for c in cols:
                         c.clear()
             yield rows()
 
-    return docs.mapInArrow(run, "hash long, region long, key binary, lo int, hi int")
-
-
-def _compressed(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(x.encode("utf-8", "surrogatepass")) for x in batch.column(1).to_pylist()], pa.binary())], names=["key", "packed"])
-
-    return docs.mapInArrow(run, "key binary, packed binary")
+    more = ", ".join(f"around{j} long" for j in range(PARTS))
+    return packed.mapInArrow(run, f"hash long, region long, key binary, lo int, hi int, {more}")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
-    """The regions of texts (key, packed, wanted: structs of hash, lo, hi, many)."""
+    """The regions of texts (key, packed, wanted: structs of hash, lo, hi, many, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
         for batch in batches:
-            unpack = zstandard.ZstdDecompressor().decompress
-            cols: list[list] = [[], [], [], [], []]
+            rows = []
             for key, packed, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = unpack(packed) if wanted else b""
-                for x in wanted or ():
-                    for c, v in zip(cols, (x["hash"], key, x["lo"], x["many"], data[x["lo"] : x["hi"]]), strict=True):
-                        c.append(v)
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["hash", "key", "lo", "many", "bytes"])
+                data = unpack(packed)
+                rows += [(x["hash"], key, x["lo"], x["many"], x["n"], data[x["lo"] : x["hi"]]) for x in wanted]
+            cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["hash", "key", "lo", "many", "n", "bytes"])
 
-    return texts.mapInArrow(run, "hash long, key binary, lo int, many boolean, bytes binary")
+    return texts.mapInArrow(run, "hash long, key binary, lo int, many boolean, n long, bytes binary")
 
 
 def _shard_spans(length: int):
+    """Spans (key, lo, hi) of a shard's windows that are also somewhere else. In a shard that holds only a part of a hot anchor's regions, also, for each class of
+    equal windows, its digest with one of the windows, which the other parts' are compared with."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        regions, (texts, keys) = pdf["bytes"].tolist(), pd.factorize(pdf["key"])
+        starts, many, hot = pdf["lo"].to_numpy(np.int64), pdf["many"].to_numpy(bool), bool(pdf["hot"].iloc[0])
+        found, single = repeated_starts(regions, texts, starts, many, length)
         out: list[tuple] = []
-        texts, keys = pd.factorize(pdf["key"])
-        starts, many = pdf["lo"].to_numpy(np.int64), pdf["many"].to_numpy(bool)
-        for i, at in enumerate(repeated_starts(pdf["bytes"].tolist(), texts, starts, many, length)):
+        for i, at in enumerate(found):
             if len(at) and not many[i]:
-                out += [(keys[texts[i]], a, b) for a, b in join_spans(at + starts[i], at + starts[i] + length)]
-        return pd.DataFrame(out, columns=["key", "lo", "hi"]).astype({"lo": "int32", "hi": "int32"})
+                out += [(keys[texts[i]], a, b, None) for a, b in join_spans(at + starts[i], at + starts[i] + length)]
+            if hot:
+                out += [(keys[texts[i]], starts[i] + a, starts[i] + a + length, xxhash.xxh3_128_digest(regions[i][a : a + length])) for a in single[i].tolist()]
+        return pd.DataFrame(out, columns=["key", "lo", "hi", "digest"]).astype({"lo": "int32", "hi": "int32"})
 
     return run
 
 
-def _window_rows(regions: DataFrame, length: int) -> DataFrame:
-    """A digest of every window of the regions."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, key, lo, many, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = max(0, len(data) - length + 1)
-                digests = [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([key] * n, pa.binary()), pa.array(range(lo, lo + n), pa.int32()), pa.array([many] * n, pa.bool_())], names=["digest", "key", "lo", "many"])
-
-    return regions.mapInArrow(run, "digest binary, key binary, lo int, many boolean")
-
-
 def _remove(texts: DataFrame) -> DataFrame:
     """key, spans (removed, disjoint, in order) and kept (the other bytes) of texts (key, packed, spans)."""
     kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
@@ -231,37 +270,41 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
     key = F.unhex(F.substring("sha", 1, 32)).alias("key")
     base = stash(docs.select("id", "sha", "n_bytes", key), "texts")
     long = docs.where(F.col("n_bytes") >= length).select(key, "text")
-    found = stash(_anchor_rows(long, length, gram), "anchors")
-    place = F.xxhash64("key", "lo", "hi")
-    again = stash(found.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("hash"), "repeated")
-    found = stash(found.join(again, "hash", "left_semi").withColumn("place", place), "occurrences")
-    regions = found.groupBy("hash", "region").agg(F.min("place").alias("first"), (F.min("place") != F.max("place")).alias("many"))
-    regions = stash(regions, "regions")
-    anchors_of = stash(regions.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "anchor-sizes")
-    regions = stash(regions.join(anchors_of, "hash"), "regions")
+    total = base.agg(F.sum("n_bytes")).first()[0] or 0
+    packed = _bucketed(_packed(long), "packed", min(MAX_BUCKETS, max(parallelism(spark), math.ceil(total / BUCKET_BYTES))))
+
+    found = stash(_anchor_rows(packed, length, gram), "anchors")
+    again = stash(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
+    found = stash(found.join(again, "hash", "left_semi"), "occurrences")
+    around = F.array(*(f"around{j}" for j in range(PARTS)))
+    place = F.struct("key", "lo")
+    regions = stash(found.groupBy("hash", "region").agg(F.min(place).alias("first"), (F.count(F.lit(1)) > 1).alias("many"), F.min(around).alias("around")), "regions")
+    strings = regions.select("hash", "region", F.posexplode("around").alias("part", "string")).where("string <> 0")
+    shared = stash(strings.groupBy("hash", "part", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "part", "string"), "shared")
+    close = stash(strings.join(shared, ["hash", "part", "string"], "left_semi").select("hash", "region").distinct(), "close")
+    regions = regions.drop("around").join(close.withColumn("close", F.lit(True)), ["hash", "region"], "left").where("many OR close")
+    sizes = close.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    regions = stash(regions.join(sizes, "hash", "left").select("hash", "region", "first", "many", F.coalesce("close", F.lit(False)).alias("close"), "n"), "regions")
+
     marked = found.join(regions, ["hash", "region"])
-    wanted = F.when((F.col("n") > 1) & (F.col("place") == F.col("first")), F.struct("hash", "lo", "hi", "many"))
+    wanted = F.when(F.col("close") & (place == F.col("first")), F.struct("hash", "lo", "hi", "many", "n"))
     spans = F.when(F.col("many"), F.struct("lo", "hi"))
-    items = marked.where(wanted.isNotNull() | spans.isNotNull()).groupBy("key").agg(F.collect_set(wanted).alias("wanted"), F.collect_set(spans).alias("spans"))
-    packed = _compressed(long).join(items, "key").dropDuplicates(["key"])
-    texts = stash(packed, "candidates")
-
-    cut = stash(_cut(texts.where("size(wanted) > 0").select("key", "packed", "wanted")), "cut")
-    total = cut.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_bytes))
-    hot = anchors_of.where(F.col("n") > max_regions).select("hash")
-    some_hot = bool(hot.take(1))
-    calm = cut.join(hot, "hash", "left_anti") if some_hot else cut
-    parts = calm.withColumn("shard", F.pmod(F.col("hash"), F.lit(shards))).repartition(max(shards // 4, parallelism(spark)), "shard").groupBy("shard").applyInPandas(_shard_spans(length), "key binary, lo int, hi int")
-    if some_hot:
-        windows = stash(_window_rows(cut.join(hot, "hash", "left_semi").select(*cut.columns), length), "windows")
-        at = F.xxhash64("key", "lo")
-        more = windows.groupBy("digest").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.max("many").alias("m")).where("a <> b OR m").select("digest")
-        parts = parts.unionByName(windows.join(more, "digest", "left_semi").select("key", "lo", (F.col("lo") + length).alias("hi")))
-    more = parts.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.struct("lo", "hi")).alias("more"))
-    none = F.array().cast("array<struct<lo:int,hi:int>>")
-    joined = texts.join(more, F.col("key") == F.col("k"), "left").select("key", "packed", F.concat("spans", F.coalesce("more", none)).alias("spans")).where("size(spans) > 0")
-    removed = stash(_remove(joined).withColumnsRenamed({"key": "k"}), "removed")
+    items = stash(marked.groupBy("key").agg(F.collect_set(wanted).alias("wanted"), F.collect_set(spans).alias("spans")), "items")
+    cut = stash(_cut(packed.join(items.where("size(wanted) > 0").select("key", "wanted"), "key").select("key", "packed", "wanted")), "cut")
+
+    shards = max(1, math.ceil((cut.agg(F.sum(F.length("bytes"))).first()[0] or 0) / shard_bytes))
+    hot = F.col("n") > max_regions
+    # a hot anchor's regions are dealt over parts of at most max_regions; others are in the shard of their anchor
+    part = F.when(hot, F.xxhash64("hash", F.pmod(F.xxhash64("key", "lo"), F.ceil(F.col("n") / max_regions)))).otherwise(F.pmod("hash", F.lit(shards)))
+    dealt = cut.select("key", "lo", "many", "bytes", hot.alias("hot"), part.alias("shard"))
+    parts = dealt.repartition(max(shards // 4, parallelism(spark)), "hot", "shard").groupBy("hot", "shard").applyInPandas(_shard_spans(length), "key binary, lo int, hi int, digest binary")
+    parts = stash(parts, "spans")
+    classes = parts.where("digest IS NOT NULL")
+    more = stash(classes.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "classes")
+    parts = parts.where("digest IS NULL").select("key", "lo", "hi").unionByName(classes.join(more, "digest", "left_semi").select("key", "lo", "hi"))
+    parts = parts.unionByName(items.select("key", F.explode("spans").alias("s")).select("key", "s.lo", "s.hi"))
+    spans = stash(parts.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "joined-spans")
+    removed = stash(_remove(packed.join(spans, "key").select("key", "packed", "spans")).withColumnsRenamed({"key": "k"}), "removed")
     copies = stash(base.groupBy(F.col("key").alias("c")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
     out = base.join(removed, F.col("key") == F.col("k"), "left").join(copies, F.col("key") == F.col("c"), "left")
     gone = F.col("c").isNotNull() & (F.col("n_bytes") >= length)
