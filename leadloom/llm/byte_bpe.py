@@ -2,12 +2,14 @@
 
 A rank file lists tokens (byte strings) by merge priority. A sequence of tokens is the BPE encoding of its
 bytes exactly if each adjacent pair, encoded alone, comes back as that pair. So every prefix of a piece of
-text has one last token, found from the tokens that end there, and a token boundary is certain as soon as
-every boundary from which a longer token could still grow descends from it. The transducer's state is the last
-certain token together with the bytes read since; a transition reads one byte and emits the tokens that became
-certain. Transitions are made when they have been wanted a few times (until then the rest of the piece is worked
-out directly) and kept in a table of bounded size (a full table is emptied, as lazy automata do); the lookahead is
-bounded by the longest token's growth.
+text has one last token, found from the boundaries from which a token may still grow. The transducer's state is the list of
+these open boundaries: the bytes read since each, the token that ends there, and the tokens that lead to it and aren't emitted yet. A
+transition reads one byte and emits the tokens that lead to all open boundaries alike. It is made when it is first wanted and kept in a table of
+bounded size (a full table is emptied, as lazy automata do); the lookahead is
+bounded by the longest token, as no boundary stays open longer. At a piece's end its state has what is left to emit.
+
+Decoding feeds tokens to a UTF-8 state machine, which hands on whole characters and carries the bytes of an open one to the next token.
+Bytes that aren't UTF-8 are handed on as they are, and reported.
 
 Rows: a null text is the empty text (no ids); an empty text has no ids; repeated rows each get their result;
 a text of any length is cut, only between certain pieces, into parts of about 1M characters. Extra columns of
@@ -17,11 +19,12 @@ the input are not read; ``keep`` names those to hand through.
 from __future__ import annotations
 
 import base64
+import gc
 import re
 import sys
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,8 @@ from pyspark.sql import types as T
 from .common import bound_batches
 
 #: States kept in the transducer and pieces kept in the piece table before they are emptied.
-MAX_STATES = 40_000
+MAX_STATES = 100_000
 MAX_PIECES = 250_000
-#: Times that a transition is wanted before it is made.
-WANTED = 4
 #: Pieces longer than this are not kept in the piece table.
 LONG_PIECE = 64
 #: Characters of text that are cut into pieces at once.
@@ -83,15 +84,6 @@ def narrow_pattern(pattern: str) -> re.Pattern | None:
     return re.compile(out + pattern[at:])
 
 
-class State:
-    __slots__ = ("last", "tail", "tokens", "back", "next", "final")
-
-    def __init__(self, last: int, tail: bytes, tokens: list[int], back: list[int]):
-        self.last, self.tail, self.tokens, self.back = last, tail, tokens, back
-        self.next: dict[int, tuple | int] = {}
-        self.final: tuple[int, ...] | None = None
-
-
 class MergeTransducer:
     """Bytes of one piece in, token ids out."""
 
@@ -99,31 +91,28 @@ class MergeTransducer:
         self.ranks, self.max_states = ranks, max_states
         self.size = max(map(len, ranks))
         self.vocab: dict[int, bytes] = {r: t for t, r in ranks.items()}
-        self.grows = {t[:i]: -1 for t in ranks for i in range(1, len(t))}  # what begins a longer token
-        # what is or begins a token -> the longest token that it begins with (-1: none); token -> the next shorter such token
-        self.walk = dict(self.grows)
-        self.shorter: dict[int, int] = {}
-        for x in sorted({*self.grows, *ranks}, key=len):
-            less = self.walk.get(x[:-1], -1)
-            if x in ranks:
-                self.shorter[ranks[x]] = less
-            self.walk[x] = ranks.get(x, less)
-        self.lengths = {r: len(t) for t, r in ranks.items()}
+        self.grows = {t[:i] for t in ranks for i in range(1, len(t))}  # what begins a longer token
         self.never = len(self.vocab) + max(self.vocab)
         self._spines: dict[tuple[int, bool], list[tuple[bytes, int]] | None] = {}
         self._pairs: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict[tuple[int, bytes], State] = {}
-        self.start = self._state(-1, b"", [-1], [0])
-
-    def _state(self, last: int, tail: bytes, tokens: list[int], back: list[int]) -> State:
-        key = (last, tail)
-        found = self.states.get(key)
-        if found is None:
-            found = self.states[key] = State(last, tail, tokens, back)
-        return found
+        self.states: dict[tuple, int] = {}  # open boundaries -> state
+        self.open: list[tuple] = []  # state -> open boundaries (bytes since, token there, tokens that lead to it)
+        self.final: list[tuple[int, ...] | None] = []  # state -> what is left to emit if the piece ends
+        self.next: dict[int, int] = {}  # state and byte -> state and number of what is emitted
+        self.emissions: list[tuple[int, ...]] = [()]
+        self.emission_numbers: dict[tuple[int, ...], int] = {(): 0}
+        self.start = self._state(((b"", -1, ()),), ())
+
+    def _state(self, boundaries: tuple, final: tuple[int, ...] | None) -> int:
+        number = self.states.get(boundaries)
+        if number is None:
+            number = self.states[boundaries] = len(self.open)
+            self.open.append(boundaries)
+            self.final.append(final)
+        return number
 
     def merge(self, data: bytes, whole: bool = True) -> list[bytes]:
         """The encoding by its definition: merge the adjacent pair of lowest rank, the leftmost of equals, until none is left
@@ -179,113 +168,55 @@ class MergeTransducer:
             self._pairs[key] = known
         return known
 
-    def _step(self, s: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        tail = s.tail + bytes((byte,))
-        n = len(tail)
-        tokens, back = [*s.tokens, -1], [*s.back, 0]
-        for k in range(max(0, n - self.size), n):
-            if k and tokens[k] < 0:
-                continue
-            t = self.ranks.get(tail[k:])
-            if t is not None and self.follows(tokens[k] if k else s.last, t):
-                tokens[n], back[n] = t, k
-                break
-        live = [k for k in range(n) if (k == 0 or tokens[k] >= 0) and tail[k:] in self.grows]
-        if tokens[n] >= 0:
-            live.append(n)
-        # the greatest boundary from which all live ones descend
-        at = set(live)
-        while len(at) > 1:
-            top = max(at)
-            at.remove(top)
-            at.add(back[top])
-        keep = at.pop() if at else 0
-        if not keep:
-            return self._state(s.last, tail, tokens, back), ()
-        out, k = [], keep
-        while k:
-            out.append(tokens[k])
-            k = back[k]
-        rest = [keep, *range(keep + 1, n + 1)]
-        new_tokens = [-1] + [self._reaches(tokens, back, k, keep) for k in rest[1:]]
-        new_back = [0] + [max(0, back[k] - keep) for k in rest[1:]]
-        return self._state(tokens[keep], tail[keep:], new_tokens, new_back), tuple(reversed(out))
-
-    @staticmethod
-    def _reaches(tokens: list[int], back: list[int], k: int, keep: int) -> int:
-        """The last token at k if its chain passes through keep, else -1: such a boundary is dead."""
-        j = k
-        while j > keep:
-            if tokens[j] < 0:
-                return -1
-            j = back[j]
-        return tokens[k] if j == keep else -1
-
-    def _rest(self, s: State, rest: bytes) -> list[int]:
-        """What is left to emit after ``rest``, from state s, without making states."""
-        data = s.tail + rest
-        walk, pairs, lengths, shorter = self.walk.get, self._pairs.get, self.lengths, self.shorter
-        at, last, end = 0, s.last, len(data)
-        out: list[int] = []
-        dead: set[int] = set()
-        while at < end:
-            stop = min(at + 4, end)
-            t = walk(data[at:stop])
-            if t is None:
-                while t is None and stop > at:
-                    stop -= 1
-                    t = walk(data[at:stop])
-                if t is None:
-                    raise ValueError(f"no token begins with byte {data[at]}")
-            else:
-                while stop < end:
-                    stop += 1
-                    longer = walk(data[at:stop])
-                    if longer is None:
-                        break
-                    t = longer
-            before = (last + 1) << 24
-            while t >= 0:
-                stop = at + lengths[t]
-                if not dead or stop not in dead:
-                    fits = pairs(before | t)
-                    if fits or fits is None and self.follows(last, t):
-                        break
-                t = shorter[t]
-            if t >= 0:
-                out.append(t)
-                last, at = t, stop
-            elif at in dead or not out and at:
-                raise ValueError("the ranks have no token for some byte")
-            else:  # no encoding of the whole passes here
-                dead.add(at)
-                at -= lengths[out.pop()]
-                last = out[-1] if out else s.last
-        return out
+    def _step(self, state: int, byte: int) -> int:
+        """Makes a transition: its target and, from bit 32 on, the number of what it emits."""
+        read = bytes((byte,))
+        ranks, grows = self.ranks, self.grows
+        boundaries, here = [], None
+        for since, token, lead in self.open[state]:
+            since += read
+            if here is None and (t := ranks.get(since)) is not None and self.follows(token, t):
+                here = (b"", t, (*lead, t))
+            if since in grows:
+                boundaries.append((since, token, lead))
+        if here is not None:  # there is one wherever the ranks are those of merges
+            boundaries.append(here)
+        final, n, number = here[2] if here is not None else None, 0, 0
+        if boundaries and boundaries[0][2]:  # else one is open from which nothing leads on
+            leads = [x[2] for x in boundaries]
+            first, shortest = leads[0], min(map(len, leads))
+            while n < shortest and all(x[n] == first[n] for x in leads):
+                n += 1
+        if n:
+            number = self.emission_numbers.setdefault(first[:n], len(self.emissions))
+            if number == len(self.emissions):
+                self.emissions.append(first[:n])
+            boundaries = [(since, token, lead[n:]) for since, token, lead in boundaries]
+            final = final and final[n:]
+        made = self.next[state << 8 | byte] = number << 32 | self._state(tuple(boundaries), final)
+        return made
 
     def encode(self, data: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(data)
         if whole is not None:
             return (whole,)
-        if len(self.states) > self.max_states:
+        if len(self.open) > self.max_states:
             self._reset()
-        s, out = self.start, []
+        state, out, get = self.start, [], self.next.get
         for i, byte in enumerate(data):
-            step = s.next.get(byte)
-            if step.__class__ is not tuple:
-                if len(data) <= LONG_PIECE and (seen := step or 0) < WANTED:  # not made until it is wanted often
-                    s.next[byte] = seen + 1
-                    out += self._rest(s, data[i:])
-                    return tuple(out)
-                step = s.next[byte] = self._step(s, byte)
-                if len(self.states) > 2 * self.max_states:  # a very long piece: forget all states but this one
-                    self.states = {(step[0].last, step[0].tail): step[0]}
-            s, emitted = step
-            if emitted:
-                out += emitted
-        if s.final is None:
-            s.final = tuple(self._rest(s, b""))
-        out += s.final
+            made = get(state << 8 | byte)
+            if made is None:
+                if len(self.open) > 2 * self.max_states:  # a very long piece: forget all states but this one
+                    boundaries, final = self.open[state], self.final[state]
+                    self._reset()
+                    get, state = self.next.get, self._state(boundaries, final)
+                made = self._step(state, byte)
+            if made >> 32:
+                out += self.emissions[made >> 32]
+            state = made & 0xFFFFFFFF
+        if self.final[state] is None:  # ranks that aren't those of merges: the encoding by its definition
+            return tuple(self.ranks[x] for x in self.merge(data))
+        out += self.final[state]
         return tuple(out)
 
 
@@ -326,6 +257,14 @@ class Encoder:
         return np.frombuffer(b"".join(found), np.int32)
 
 
+def _is_whole(data: bytes) -> bool:
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def _utf8_table() -> list[list[int]]:
     """state x byte -> state. 0: between characters; 1-3: so many continuation bytes are due; 4-7: after E0, ED, F0, F4; 8: not UTF-8."""
     table = [[8] * 256 for _ in range(9)]
@@ -338,41 +277,70 @@ def _utf8_table() -> list[list[int]]:
     return table
 
 
+_UTF8 = _utf8_table()
+
+
+class Utf8Stream:
+    """Bytes in by pieces, whole characters out; the bytes of an open character wait for the next piece."""
+
+    def __init__(self) -> None:
+        self.state, self.open, self.whole = 0, b"", True
+
+    def feed(self, data: bytes) -> bytes:
+        data = self.open + data
+        state, end = self.state, 0
+        for i in range(len(self.open), len(data)):
+            state = _UTF8[state][data[i]]
+            if state == 8:  # the open bytes are handed on as they are; the last one may begin a character
+                self.whole = False
+                state = _UTF8[0][data[i]]
+                end = i
+                if state == 8:
+                    state = 0
+            if state == 0:
+                end = i + 1
+        self.state, self.open = state, data[end:]
+        return data[:end]
+
+    def finish(self) -> bytes:
+        """What is left: the bytes of a character that was never closed."""
+        left, self.whole = self.open, self.whole and not self.open
+        self.state, self.open = 0, b""
+        return left
+
+
 class Decoder:
-    """Ids in, bytes out; a UTF-8 automaton runs over the tokens, not over their bytes: what a token does to a state is worked out once."""
+    """Ids in, bytes out, through a UTF-8 stream. What a token does between characters is known beforehand, so that runs of tokens that
+    begin and end there are handed on together."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.vocab = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.vocab[r] = t
-        self.table = _utf8_table()
-        self.known: dict[tuple[int, int], int] = {}
-        self.first = np.array([self.step(0, r) for r in range(len(self.vocab))], np.int8)
-
-    def step(self, state: int, token: int) -> int:
-        key = (state, token)
-        found = self.known.get(key)
-        if found is None:
-            found = state
-            for b in self.vocab[token]:
-                found = self.table[found][b]
-            self.known[key] = found
-        return found
+        self.closed = np.array([_is_whole(t) for t in self.vocab])
+
+    def stream(self, ids: Iterable[int], utf8: Utf8Stream) -> Iterator[bytes]:
+        """The bytes of ids as they become whole characters."""
+        for i in ids:
+            yield utf8.feed(self.vocab[i])
+        yield utf8.finish()
 
     def decode(self, ids: np.ndarray) -> tuple[bytes, bool]:
         """The bytes, and whether they are whole UTF-8 characters."""
-        data = b"".join(map(self.vocab.__getitem__, ids.tolist()))
-        done, states = 0, self.first[ids] if len(ids) else self.first[:0]
-        for i in np.flatnonzero(states).tolist():
+        utf8, out, done = Utf8Stream(), [], 0
+        vocab, tokens = self.vocab, ids.tolist()
+        for i in np.flatnonzero(~self.closed[ids]).tolist() if len(ids) else ():
             if i < done:
                 continue
-            state, done = int(states[i]), i + 1
-            while state not in (0, 8) and done < len(ids):
-                state = self.step(state, int(ids[done]))
+            out += map(vocab.__getitem__, tokens[done:i])
+            out.append(utf8.feed(vocab[tokens[i]]))
+            done = i + 1
+            while utf8.open and done < len(tokens):
+                out.append(utf8.feed(vocab[tokens[done]]))
                 done += 1
-            if state:
-                return data, False
-        return data, True
+        out += map(vocab.__getitem__, tokens[done:])
+        out.append(utf8.finish())
+        return b"".join(out), utf8.whole
 
 
 _ready: dict[tuple, object] = {}
@@ -383,6 +351,8 @@ def _once(kind: type, path: str, *more: str):
     key = (kind, path, *more)
     if key not in _ready:
         _ready[key] = kind(load_ranks(path), *more)
+        gc.freeze()  # it stays for good, and what it will hold has no cycles: collections needn't go through that again and again
+        gc.set_threshold(100_000, 20)
     return _ready[key]
 
 
