@@ -4,8 +4,9 @@ One scan finds, in each text, the base identifiers (e-mail, IP address, card, ph
 identifier-like value with its left context. Base identifiers, and long mixed hexadecimal strings, are the seeds. A context (the
 word or key before a value, its separator, and the value's shape) is a lexical pattern; values are instances. The graph of
 patterns and instances is aggregated over all documents and scored in rounds: a pattern's confidence is the mean
-score of its distinct instances (with one virtual instance of score 0), and an instance's score is 1 for seeds, else the noisy-or of the confidences of its
-patterns at or over ``confidence``. Patterns at or over it that have at least ``support`` distinct seeds then mark all their instances,
+score of its distinct instances (with one virtual instance of score 0), and it is certain if that is at or over ``confidence`` and at least
+``support`` of its instances are. An instance's score is 1 for seeds, else the noisy-or of the confidences of its certain patterns; so what a pattern
+discovers makes other patterns certain. When no pattern becomes certain any more, the certain ones mark all their instances,
 unseen ones too. Base identifiers always stay.
 
 Texts never enter a shuffle; what is shuffled are values with contexts, aggregated by pattern and instance before,
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-# The base kinds in their order, each with its pattern.
+# The base kinds in their order, each with its pattern. What repeats is possessive, which finds the same matches without a
+# stack of tries, and a run is entered only at its start (or where the last match ended), so that the search is linear in any text.
 BASE = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
+    ("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])++"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
 #: What may end a run of value characters without being the value's: the sentence's stops, and joints.
@@ -41,8 +43,9 @@ CONTEXT = (
     r"|(?=\+[A-Za-z+_.-]{64})(?!\+[A-Za-z+_.-]*+[0-9])\+[A-Za-z+_.-]*(?<=[+.])|(?<=[\p{L}0-9_-]{64}))"
 )
 SEED_SECRET = r"^(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,}$"
-CONFIDENCE, SUPPORT, ROUNDS = 0.8, 3, 3
-_BLOCK = 256
+CONFIDENCE, SUPPORT, MAX_ROUNDS = 0.8, 3, 10
+#: Items of a chunk of an array, and characters of a block of a text.
+_BLOCK, _CHARS = 256, 4096
 
 
 def _let(value: Column, use) -> Column:
@@ -50,12 +53,17 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _chunks(xs: Column) -> Column:
+    """An array cut into arrays of _BLOCK items."""
+    return F.when(F.size(xs) == 0, F.slice(F.array(xs), 1, 0)).otherwise(F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / _BLOCK).cast("int") - 1), lambda b: F.slice(xs, b * _BLOCK + 1, _BLOCK)))
+
+
 def _running(lengths: Column) -> Column:
     """Sums of an array's items before each place, by blocks, so that the work stays near linear."""
     zero = F.array().cast("array<bigint>")
     add = lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
     fold = lambda xs, start: F.aggregate(xs, F.struct(start.cast("bigint").alias("at"), zero.alias("out")), add, lambda a: a["out"])
-    starts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(lengths) / _BLOCK).cast("int") - 1), lambda b: F.slice(lengths, b * _BLOCK + 1, _BLOCK))
+    starts = _chunks(lengths)
 
     def with_blocks(blocks: Column) -> Column:
         totals = F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x))
@@ -129,13 +137,17 @@ def _shape(value: Column) -> Column:
 def contexts(text: Column, base: Column) -> Column:
     """Identifier-like values with their patterns: array of struct(start, end, pattern, value, seed); seed is the kind of a seed entity, else null."""
 
-    def described(m: Column) -> Column:
+    def whole_chunks(found: Column) -> Column:
+        return F.transform(found, lambda c: F.struct(F.array_min(F.transform(c, lambda b: b["start"])).alias("lo"), F.array_max(F.transform(c, lambda b: b["end"])).alias("hi"), c.alias("spans")))
+
+    def described(m: Column, chunks: Column) -> Column:
         piece = lambda i: F.regexp_extract(m["value"], CONTEXT, i)
 
         def whole(s: Column) -> Column:
             start = m["start"] + F.length(m["value"]) - F.length(s["run"])
             end = start + F.length(s["value"])
-            hit = F.filter(base, lambda b: (b["start"] < end) & (start < b["end"]))
+            near = F.filter(chunks, lambda c: (c["lo"] < end) & (start < c["hi"]))
+            hit = F.flatten(F.transform(near, lambda c: F.filter(c["spans"], lambda b: (b["start"] < end) & (start < b["end"]))))
             seed = F.coalesce(F.get(hit, F.lit(0))["kind"], F.when(F.lower(s["value"]).rlike(SEED_SECRET), "secret"))
             return F.struct(start.alias("start"), end.alias("end"), F.concat(F.lower(s["key"]), F.trim(s["sep"]), F.lit("|"), _shape(s["value"])).alias("pattern"), s["value"].alias("value"), seed.alias("seed"), (F.size(hit) > 0).alias("base"))
 
@@ -143,33 +155,41 @@ def contexts(text: Column, base: Column) -> Column:
         return _let(F.struct(piece(1).alias("key"), piece(2).alias("sep"), piece(3).alias("run"), F.rtrim(piece(3), F.lit(TAIL)).alias("value")), whole)
 
     kind = "array<struct<start:bigint,`end`:bigint,pattern:string,value:string,seed:string,base:boolean>>"
-    found = F.filter(F.transform(matches(text, CONTEXT), described), lambda c: c["value"] != "")
+    # base spans are looked up by chunks, so that a text with many of them isn't compared value by span
+    chunks = whole_chunks(_chunks(base))
+    found = _let(chunks, lambda chunks: F.filter(F.transform(matches(text, CONTEXT), lambda m: described(m, chunks)), lambda c: c["value"] != ""))
     return F.when(text.rlike("[0-9]"), found.cast(kind)).otherwise(F.array().cast(kind))
 
 
-def score_patterns(edges: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """High-confidence patterns (pattern, kind) of a graph of edges (pattern, value, seed)."""
+def score_patterns(edges: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """Certain patterns (pattern, kind) of a graph of edges (pattern, value, seed). Scores only rise from round to round, so that certain patterns stay
+    certain; rounds end when no pattern has become certain, or after ``max_rounds``."""
     graph = stash(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pattern-graph")
-    graph_scores = None
-    for i in range(rounds):
-        scored = graph.withColumn("score", F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0)) if graph_scores is None else graph.join(graph_scores, "value", "left").withColumn("score", F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.coalesce("found", F.lit(0.0))))
-        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.count("seed").alias("seeds"), F.mode("seed", True).alias("kind"))
-        patterns = stash(patterns, f"patterns-{i}")
-        if i + 1 < rounds:
-            sure = patterns.where(F.col("confidence") >= confidence)
-            unknown = graph.where("seed IS NULL").join(sure, "pattern")
-            graph_scores = stash(unknown.groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("found")), f"values-{i}")
-    return patterns.where((F.col("confidence") >= confidence) & (F.col("seeds") >= support)).select("pattern", "kind")
-
-
-def find(df: DataFrame, id_col: str = "doc_id", text: str = "text", confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
+    scored = graph.select("pattern", "value", F.col("seed").alias("kind"), F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("score"))
+    known = 0
+    for i in range(max_rounds):
+        sure = F.col("score") >= confidence
+        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.count(F.when(sure, 1)).alias("support"), F.mode(F.when(sure, F.col("kind")), True).alias("kind"))
+        certain = stash(patterns.where((F.col("confidence") >= confidence) & (F.col("support") >= support)), f"patterns-{i}")
+        n = certain.count()
+        if n == known or i + 1 == max_rounds:
+            break
+        known = n
+        unknown = graph.where("seed IS NULL").select("pattern", "value").join(certain, "pattern")
+        found = unknown.groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("found"), F.mode("kind", True).alias("found_kind"))
+        found = stash(found, f"values-{i}")
+        scored = graph.join(found, "value", "left").select("pattern", "value", F.coalesce("seed", "found_kind").alias("kind"), F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.coalesce("found", F.lit(0.0))).alias("score"))
+    return certain.select("pattern", "kind")
+
+
+def find(df: DataFrame, id_col: str = "doc_id", text: str = "text", confidence: float = CONFIDENCE, support: int = SUPPORT, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """A row a document: id_col, mark (a hash of its text), base (base spans), spans (all spans in order: base ones and those of the method that overlap none)."""
     t = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(t).alias("mark"), t.alias("t"))
     docs = docs.withColumn("base", base_spans(F.col("t"))).withColumn("found", contexts(F.col("t"), F.col("base")))
     docs = stash(docs.select("id", "mark", "base", "found"), "identifiers")
     values = docs.where("size(found) > 0").select("id", "mark", F.explode("found").alias("c")).select("id", "mark", "c.*")
-    patterns = stash(score_patterns(values, confidence, support, rounds), "patterns")
+    patterns = stash(score_patterns(values, confidence, support, max_rounds), "patterns")
     added = values.where("NOT base").join(patterns, "pattern").groupBy(F.col("id").alias("i"), F.col("mark").alias("m")).agg(F.collect_set(F.struct("start", F.col("end").alias("end"), "kind")).cast(SPAN).alias("added"))
     out = docs.join(added, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left")
     return out.select(F.col("id").alias(id_col), "mark", "base", F.concat("base", F.coalesce("added", F.array().cast(SPAN))).alias("spans"))
@@ -187,6 +207,27 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(in_order(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _apart(spans: Column) -> Column:
+    """Of spans in order those that overlap no earlier one of them."""
+    none = F.slice(spans, 1, 0)
+    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.array_append(a["out"], s).alias("out")))
+    fold = lambda a, c: _let(F.aggregate(c, F.struct(a["at"].alias("at"), none.alias("out")), step), lambda x: F.struct(x["at"].alias("at"), F.array_append(a["out"], x["out"]).alias("out")))
+    return F.aggregate(_chunks(spans), F.struct(F.lit(0).cast("bigint").alias("at"), F.slice(F.array(none), 1, 0).alias("out")), fold, lambda a: F.flatten(a["out"]))
+
+
+def _replaced(blocks: Column, length: Column, spans: Column) -> Column:
+    """A text, given in blocks of _CHARS characters, with disjoint spans replaced by their kinds. A piece is cut from the blocks that it touches."""
+
+    def piece(lo: Column, hi: Column) -> Column:
+        first = F.floor(lo / _CHARS)
+        touched = F.array_join(F.slice(blocks, (first + 1).cast("int"), (F.floor((hi - 1) / _CHARS) - first + 1).cast("int")), "")
+        return F.when(hi > lo, F.substr(touched, (lo % _CHARS + 1).cast("int"), (hi - lo).cast("int"))).otherwise("")
+
+    end = lambda i: F.coalesce(F.get(spans, i)["end"], F.lit(0).cast("bigint"))
+    parts = F.transform(spans, lambda s, i: F.concat(piece(end(i - 1), s["start"]), F.lit("<"), s["kind"], F.lit(">")))
+    return F.concat(F.array_join(parts, ""), piece(end(F.size(spans) - 1), length.cast("bigint")))
+
+
 def redact(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows with each span of their texts replaced by its kind in angle brackets (of overlapping spans, the first in order). Null texts stay null."""
     found = find(df, id_col, text, **options).where("size(spans) > 0").dropDuplicates([id_col, "mark"])
@@ -195,11 +236,6 @@ def redact(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options)
     may = F.coalesce(F.col(text).rlike("[0-9@]"), F.lit(False))
     rows = df.where(may).join(found, F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__m")), "left")
     t = F.col(text)
-    # pieces are kept in a list of blocks, each joined when full, so that a text of many spans isn't copied for each
-    step = lambda a, s: F.when(s["start"] < a["at"], F.struct(a["at"].alias("at"), a["out"].alias("out"))).otherwise(
-        F.struct(s["end"].alias("at"), F.array_append(a["out"], F.concat(F.substr(t, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("<"), s["kind"], F.lit(">"))).alias("out"))
-    )
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    new = F.aggregate("__spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(t, (a["at"] + 1).cast("int"))))
+    new = _let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{_CHARS}}}"), F.lit(0)), lambda blocks: _let(_apart(F.col("__spans")), lambda spans: _replaced(blocks, F.length(t), spans)))
     redacted = rows.withColumn(text, F.when(F.col("__spans").isNull() | t.isNull(), t).otherwise(new)).select(*df.columns)
     return redacted.unionByName(df.where(~may))
