@@ -20,6 +20,7 @@ are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -139,13 +140,13 @@ def format_turns(conversations: DataFrame, template: Template = chatml, context:
     return src.mapInArrow(run, f"{kinds}, position long, turn_role string, formatted string, text_start long, text_end long, trained boolean, rewrites boolean")
 
 
-def digest_conversations(turns: DataFrame, keys: tuple[str, ...] = ("conv_id",)) -> DataFrame:
+def digest_conversations(turns: DataFrame, keys: tuple[str, ...] = ("conv_id",), arranged: bool = False) -> DataFrame:
     """A row a conversation from the rows of ``format_turns``, read back from the formatted turns alone: n_turns, turns_sha256, loss_chars, loss_sha256,
-    formatted_chars, rewrites. Digests are carried from turn to turn, so no conversation is held whole."""
-    import hashlib
-
+    formatted_chars, rewrites. Digests are carried from turn to turn, so no conversation is held whole. ``arranged``: the rows come straight from
+    ``format_turns``, whose tasks have whole conversations in order; then they aren't shuffled and sorted again."""
     src = turns.select(*keys, "position", "formatted", "text_start", "text_end", "trained", "rewrites")
-    src = src.repartition(*keys).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys], "position")
+    if not arranged:
+        src = src.repartition(*keys).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys], "position")
     n_keys = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,9 @@
 """Operator 5: quality rules as a bitmask ledger, in native expressions only.
 
-``measure`` takes each text's measurements in one scan without a shuffle; ``ledger`` evaluates every rule once and stores the
-failures as bits beside the measurements. A policy is a version's mask of rules: ``apply_policy`` drops what fails one of them,
-without touching a text again, and ``ablation`` says, from counts of bit patterns alone, what each rule of a policy drops that no
-other does and what would be kept without it.
+``measure`` takes each text's measurements in one scan without a shuffle; ``ledger`` evaluates every rule once and sets the
+failures as bits beside the measurements; ``write_ledger`` stores that, once, without the texts. A policy is a version's mask of rules: ``apply_policy`` drops what
+fails one of them, without touching a text again, and ``ablation`` says, from counts of bit patterns of the stored ledger alone, what each rule of a policy drops that no
+other does and what would be kept without it; ``ablations`` does so for every policy.
 
 Words are runs of characters other than space and U+0009-U+000D. Repeated five-word windows are found inside the row: hashes of
 all windows (64 bits, chained over five words) are compared in sorted order, O(n log n), and only for texts whose set of
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import new_path
+
 # Characters of a break between words, counted symbols, and the window's length.
 BREAKS = " \t\n\x0b\f\r"
 BREAK = r"[\x20\x09-\x0D]"
@@ -103,6 +105,14 @@ def ledger(df: DataFrame, text: str = "text", rules: tuple[tuple[str, str], ...]
     return measure(df, text).withColumn("failed", failed)
 
 
+def write_ledger(df: DataFrame, text: str = "text", rules: tuple[tuple[str, str], ...] = RULES, path: str | None = None) -> DataFrame:
+    """The ledger, written (to the shared folder, if no path is given) and read back: what policies and ablations work on."""
+    entries = ledger(df, text, rules)
+    path = path or new_path(df.sparkSession, "ledger")
+    entries.write.parquet(path)
+    return df.sparkSession.read.schema(entries.schema).parquet(path)
+
+
 def mask(policy: str | tuple[str, ...], rules: tuple[tuple[str, str], ...] = RULES) -> int:
     chosen = POLICIES[policy] if isinstance(policy, str) else policy
     return sum(1 << i for i, (name, _) in enumerate(rules) if name in chosen)
@@ -115,11 +125,14 @@ def apply_policy(entries: DataFrame, policy: str | tuple[str, ...] = "v1", rules
 
 def ablation(entries: DataFrame, policy: str | tuple[str, ...] = "v1", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """A row a rule of the policy: rule, failed (documents), only (dropped by no other rule), kept_without (kept if the rule is left out)."""
-    whole = mask(policy, rules)
-    patterns = entries.groupBy(F.col("failed").bitwiseAND(F.lit(whole)).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
-    chosen = [(name, 1 << i) for i, (name, _) in enumerate(rules) if whole >> i & 1]
-    table = F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(bit).cast("long").alias("bit")) for name, bit in chosen)))
-    rows = patterns.select("bits", "n", table.alias("r")).select("bits", "n", "r.rule", "r.bit")
+    return ablations(entries, {"": POLICIES[policy] if isinstance(policy, str) else policy}, rules).drop("version")
+
+
+def ablations(entries: DataFrame, policies: dict[str, tuple[str, ...]] = POLICIES, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+    """The ablation of each policy, in one aggregation of the ledger's bit patterns: version, rule, failed, only, kept_without."""
+    patterns = entries.groupBy("failed").agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(*(F.struct(F.lit(v).alias("version"), F.lit(mask(p, rules)).cast("long").alias("whole"), F.lit(name).alias("rule"), F.lit(1 << i).cast("long").alias("bit")) for v, p in policies.items() for i, (name, _) in enumerate(rules) if name in p))
+    rows = patterns.select("failed", "n", F.explode(names).alias("r")).select("n", "r.*", F.col("failed").bitwiseAND(F.col("r.whole")).alias("bits"))
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
     has, rest = F.col("bits").bitwiseAND(F.col("bit")) != 0, F.col("bits").bitwiseAND(F.bitwise_not("bit"))
-    return rows.groupBy("rule").agg(total(has).alias("failed"), total(has & (rest == 0)).alias("only"), total(rest == 0).alias("kept_without"))
+    return rows.groupBy("version", "rule").agg(total(has).alias("failed"), total(has & (rest == 0)).alias("only"), total(rest == 0).alias("kept_without"))

@@ -37,19 +37,24 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    entries = quality_rules.write_ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     judged = quality_rules.apply_policy(entries, "v1")
     base = F.col("failed").bitwiseAND(F.lit(quality_rules.mask("base"))) != 0
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version drops, from the ledger that operator 5 stores."""
+    return quality_rules.ablations(quality_rules.write_ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.lit(False).alias("added"))
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", said, True), (-1, 1, "assistant", said, True)], rows.schema)
     keys = ("conv_id", "added")  # a conversation -1 of the table stays one of its own
     turns = chat_format.format_turns(rows.unionByName(more), keys=keys)
-    return chat_format.digest_conversations(turns, keys).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return chat_format.digest_conversations(turns, keys, arranged=True).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +72,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_digests(decoded: DataFrame) -> DataFrame:
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "whole_utf8")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +86,21 @@ def op10_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(kind) for kind, _ in pii_bootstrap.BASE), base, pii_bootstrap.written(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_warc_archive, op4_simhash_dedup, op5_quality_rules, op6_chat_format, op7_suffix_dedup, op8_byte_bpe, op9_mixing, op10_pii_bootstrap)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_warc_archive, op4_simhash_dedup, op5_quality_rules, quality_ablation, op6_chat_format, op7_suffix_dedup, op8_byte_bpe, op9_mixing, op10_pii_bootstrap)}
+
+#: The measurements of operator 5 for each document, as SQL (relation b).
+_MEASURES = r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+        w AS (SELECT doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w,
+                list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM t),
+        win AS (SELECT doc_id, i, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM w)),
+        rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+        cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS p FROM rep) GROUP BY doc_id),
+        m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+                CAST(length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+                CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+              FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id),
+        b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)"""
 
 ORACLE = {
     "op1_topk_search": """
@@ -96,22 +115,21 @@ ORACLE = {
         SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
           CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
         FROM p JOIN f ON p.d = f.d""",
-    "op5_quality_rules": r"""
-        WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
-        w AS (SELECT doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w,
-                list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM t),
-        win AS (SELECT doc_id, i, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM w)),
-        rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
-        cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS p FROM rep) GROUP BY doc_id),
-        m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
-                CAST(length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
-                CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
-              FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id),
-        b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+    "op5_quality_rules": _MEASURES
+    + """
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
           NOT (base_failed OR 10 * n_symbols > n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 50 * n_lines)
             OR (n_words > 0 AND word_chars < 2 * n_words) OR (n_words > 0 AND word_chars > 60 * n_words)) AS kept
         FROM b""",
+    "quality_ablation": _MEASURES
+    + """,
+        f AS (SELECT [n_words < 10, 100 * n_repeat_words > 20 * n_words, 10 * n_symbols > n_words, n_dup_lines >= 3 AND 100 * n_dup_lines > 50 * n_lines,
+                n_words > 0 AND word_chars < 2 * n_words, n_words > 0 AND word_chars > 60 * n_words] AS bits FROM b),
+        r AS (SELECT * FROM (VALUES (1, 'few_words'), (2, 'repeated_words'), (3, 'symbols'), (4, 'repeated_lines'), (5, 'short_words'), (6, 'long_words')) AS r(i, rule)),
+        v AS (SELECT 'base' AS version, 2 AS n UNION ALL SELECT 'v1', 6)
+        SELECT version, rule, count(*) FILTER (bits[i]) AS failed, count(*) FILTER (bits[i] AND len(list_filter(bits[1:n], lambda x: x)) = 1) AS only,
+          count(*) FILTER (len(list_filter(bits[1:n], lambda x: x)) - CAST(bits[i] AS INT) = 0) AS kept_without
+        FROM f, v JOIN r ON i <= n GROUP BY version, rule""",
     "op6_chat_format": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
