@@ -1,9 +1,10 @@
 """Duplicate leads: exact e-mail, equal site domain, similar company name; the first record wins.
 
-A lead is an original if it matches no earlier original. That is decided in rounds over keys, not pairs: for each key the smallest ids
+A lead is an original if it matches no earlier original. That is decided in rounds over keys, not pairs: for each key, of all kinds in one table, the smallest ids
 of originals and of undecided leads are aggregated, a lead with an earlier original is a duplicate, one with nothing earlier that is
-undecided is an original. Names are compared only between distinct names that share a segment (no pair at or over the threshold is lost). Each
-round is written, and joins are between written tables, whose hot keys Spark may split.
+undecided is an original. Decided leads go no further; each round decides at least the first undecided lead of every group, and as many as it can of the others, so
+rounds are as many as the longest chain of leads each of which waits for the one before. Names are compared only between distinct names that share a segment (no pair at or over the threshold is lost). Each
+round is written: lineage stays short, and the join of keys has written or shuffled sides, whose hot keys Spark may split.
 """
 
 from __future__ import annotations
@@ -39,9 +40,11 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def similar_names(names: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b), both ways, of distinct non-empty ``name_key`` with 200 * LCS >= threshold * (sum of lengths)."""
-    names = names.where("name_key <> ''").select("name_key").distinct()
-    names = stash(names.select("name_key", F.length("name_key").alias("n")), "names")
+    """Pairs (a, b), both ways, of distinct non-empty ``name_key`` with 200 * LCS >= threshold * (sum of lengths). If names have a flag ``fresh``, only pairs
+    with a fresh one."""
+    fresh = F.col("fresh") if "fresh" in names.columns else F.lit(True)
+    names = names.where("name_key <> ''").groupBy("name_key").agg(F.max(fresh).alias("fresh"))
+    names = stash(names.select("name_key", F.length("name_key").alias("n"), "fresh"), "names")
     lengths = names.select("n").distinct()
     longest = F.floor(F.col("n") * (200 - threshold) / max(threshold, 1)).cast("int")
     pairs = lengths.select(F.col("n").alias("la"), F.explode(F.sequence("n", longest)).alias("lb")).join(lengths.select(F.col("n").alias("lb")), "lb")
@@ -49,54 +52,62 @@ def similar_names(names: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     pairs = pairs.withColumn("d", edits).withColumn("d", F.col("d") - ((F.col("la") + F.col("lb") - F.col("d")) % 2)).where("d >= lb - la")
     cut = F.explode(F.expr("transform(sequence(0, d), i -> struct(i AS i, (i * la) div (d + 1) AS lo, ((i + 1) * la) div (d + 1) AS hi))"))
     pairs = pairs.select("la", "lb", "d", cut.alias("s")).select("la", "lb", "d", "s.i", F.col("s.lo").cast("int").alias("lo"), F.col("s.hi").cast("int").alias("hi"))
-    index = names.select(F.col("name_key").alias("a"), "n").join(pairs, F.col("n") == F.col("la")).select("a", "la", "lb", "i", F.expr("substring(a, lo + 1, hi - lo)").alias("part"))
+    index = names.select(F.col("name_key").alias("a"), "n", "fresh").join(pairs, F.col("n") == F.col("la")).select("a", F.col("fresh").alias("fresh_a"), "la", "lb", "i", F.expr("substring(a, lo + 1, hi - lo)").alias("part"))
     shift = F.explode(F.expr("sequence(greatest(0, lo - (d - (lb - la)) div 2), least(lb - (hi - lo), lo + (d + lb - la) div 2))")).alias("at")
-    probe = names.select(F.col("name_key").alias("b"), "n").join(pairs, F.col("n") == F.col("lb")).where("lb - (hi - lo) >= greatest(0, lo - (d - (lb - la)) div 2)")
-    probe = probe.select("b", "la", "lb", "i", "lo", "hi", shift).select("b", "la", "lb", "i", F.expr("substring(b, cast(at AS int) + 1, hi - lo)").alias("part")).distinct()
-    found = index.join(probe, ["la", "lb", "i", "part"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    probe = names.select(F.col("name_key").alias("b"), "n", "fresh").join(pairs, F.col("n") == F.col("lb")).where("lb - (hi - lo) >= greatest(0, lo - (d - (lb - la)) div 2)")
+    probe = probe.select("b", "fresh", "la", "lb", "i", "lo", "hi", shift).select("b", "fresh", "la", "lb", "i", F.expr("substring(b, cast(at AS int) + 1, hi - lo)").alias("part")).distinct()
+    found = index.join(probe, ["la", "lb", "i", "part"]).where("a <> b AND (fresh OR fresh_a)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = found.where(200 * lcs_length("a", "b") >= threshold * (F.length("a") + F.length("b")))
     near = stash(near, "similar-names")
     return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _smallest(rows: DataFrame, key: str) -> DataFrame:
-    """Per key (not ''): the smallest id of originals and of undecided leads."""
-    return rows.where(F.col(key) != "").groupBy(key).agg(F.min(F.when(F.col("state") == 1, F.col("id"))).alias(f"{key}_orig"), F.min(F.when(F.col("state") == 0, F.col("id"))).alias(f"{key}_open"))
+KINDS = ("email_key", "domain_key", "name_key")
 
 
-def _with_smallest(rows: DataFrame, states: DataFrame, near: DataFrame | None) -> DataFrame:
-    for key in ("email_key", "domain_key"):
-        rows = rows.join(stash(_smallest(states, key), key), key, "left")
-    if near is not None:
-        own = stash(_smallest(states, "name_key"), "name_key")
-        others = near.join(own, near["b"] == own["name_key"]).select(F.col("a").alias("name_key"), "name_key_orig", "name_key_open")
-        both = own.unionByName(others).groupBy("name_key").agg(F.min("name_key_orig").alias("name_key_orig"), F.min("name_key_open").alias("name_key_open"))
-        rows = rows.join(stash(both, "name_key"), "name_key", "left")
-    return rows
+def _posts(keys: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """id, kind (the place of the key among the kinds) and key of each key that isn't ''."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(k).alias("key")) for i, k in enumerate(kinds))))
+    return keys.select("id", each.alias("k")).select("id", "k.kind", "k.key").where("key <> ''")
 
 
-def resolve(leads: DataFrame, threshold: int | None = THRESHOLD) -> DataFrame:
+def resolve(leads: DataFrame, threshold: int | None = THRESHOLD, originals: DataFrame | None = None) -> DataFrame:
     """id, is_duplicate, duplicate_of_id and duplicate_reason of leads (id, email, domain_normalized, company_name, and is_duplicate if they may be flagged before). ``threshold`` None: names aren't compared.
-    Leads that were flagged before are neither matched nor changed."""
+    Leads that were flagged before are neither matched nor changed. ``originals``: known originals with smaller ids; they are matched, but not decided again."""
     flagged = F.coalesce(F.col("is_duplicate"), F.lit(0)) == 1 if "is_duplicate" in leads.columns else F.lit(False)
-    keys = dedup_keys(leads.where(~flagged))
-    states = stash(keys.withColumn("state", F.lit(0)), "leads")
-    near = similar_names(states, threshold) if threshold is not None else None
-    kinds = ["email_key", "domain_key", *(["name_key"] if near is not None else [])]
-    columns = ["id", "email_key", "domain_key", "name_key", "state"]
+    kinds = KINDS if threshold is not None else KINDS[:2]
+    keys = stash(dedup_keys(leads.where(~flagged)), "leads")
+    own = stash(_posts(keys, kinds), "keys")
+    listened = own
+    known = stash(_posts(dedup_keys(originals), kinds).groupBy("kind", "key").agg(F.min("id").alias("orig")), "originals") if originals is not None else None
+    if threshold is not None:
+        names = own.where("kind = 2").select(F.col("key").alias("name_key"), F.lit(True).alias("fresh"))
+        if known is not None:
+            names = names.unionByName(known.where("kind = 2").select(F.col("key").alias("name_key"), F.lit(False).alias("fresh")))
+        near = similar_names(names, threshold).select("a", F.col("b").alias("key"))
+        others = own.where("kind = 2").select("id", "kind", F.col("key").alias("a")).join(near, "a").select("id", "kind", "key")
+        listened = stash(own.unionByName(others), "listened")
+    found = known if known is not None else own.select("kind", "key", F.col("id").alias("orig")).limit(0)
+    undecided = keys.select("id")
     while True:
-        rows = _with_smallest(states.where("state = 0"), states, near)
-        earlier = F.least(F.lit(None).cast("long"), *(F.col(f"{k}_orig") for k in kinds)) < F.col("id")
-        waits = F.least(F.lit(None).cast("long"), *(F.col(f"{k}_open") for k in kinds)) < F.col("id")
-        decided = rows.withColumn("state", F.when(F.coalesce(earlier, F.lit(False)), 2).when(F.coalesce(waits, F.lit(False)), 0).otherwise(1))
-        states = stash(states.where("state <> 0").select(*columns).unionByName(decided.select(*columns)), "leads")
-        if not states.where("state = 0").take(1):
+        # a key has the smallest id of its originals and of its undecided leads; a lead listens to its own keys and to those of similar names
+        still = own.join(undecided, "id", "left_semi").groupBy("kind", "key").agg(F.min("id").alias("open"))
+        heads = found.withColumn("open", F.lit(None).cast("long")).unionByName(still.withColumn("orig", F.lit(None).cast("long")))
+        heads = stash(heads.groupBy("kind", "key").agg(F.min("orig").alias("orig"), F.min("open").alias("open")), "heads")
+        mine = listened.join(undecided, "id", "left_semi").join(heads, ["kind", "key"]).groupBy("id").agg(F.min("orig").alias("orig"), F.min("open").alias("open"))
+        later = lambda c: F.coalesce(F.col(c) < F.col("id"), F.lit(False))
+        decided = stash(mine.select("id", F.when(later("orig"), 2).when(later("open"), 0).otherwise(1).alias("state")), "round")
+        fresh = own.join(decided.where("state = 1"), "id", "left_semi").groupBy("kind", "key").agg(F.min("id").alias("orig"))
+        found = found.unionByName(stash(fresh, "new-originals"))
+        undecided = decided.where("state = 0").select("id")
+        if not undecided.take(1):
             break
-    rows = _with_smallest(states, states, near)
-    mine = lambda k: F.when(F.col("state") == 2, F.when(F.col(f"{k}_orig") < F.col("id"), F.col(f"{k}_orig")))
-    target = F.coalesce(*(mine(k) for k in kinds))
-    reason = F.coalesce(*(F.when(mine(k).isNotNull(), F.lit(name)) for k, name in zip(kinds, ("exact_email", "domain_match", "fuzzy_company_name"), strict=False)))
-    return rows.select("id", F.when(F.col("state") == 2, 1).otherwise(0).alias("is_duplicate"), target.alias("duplicate_of_id"), reason.alias("duplicate_reason"))
+    heads = stash(found.groupBy("kind", "key").agg(F.min("orig").alias("orig")), "heads")
+    earlier = listened.join(heads, ["kind", "key"]).where("orig < id")
+    targets = earlier.groupBy(F.col("id").alias("__id")).agg(*(F.min(F.when(F.col("kind") == i, F.col("orig"))).alias(k) for i, k in enumerate(kinds)))
+    reason = F.coalesce(*(F.when(F.col(k).isNotNull(), F.lit(name)) for k, name in zip(kinds, ("exact_email", "domain_match", "fuzzy_company_name"), strict=False)))
+    rows = keys.select("id").join(targets, F.col("id") == F.col("__id"), "left")
+    return rows.select("id", F.when(F.col("__id").isNotNull(), 1).otherwise(0).alias("is_duplicate"), F.coalesce(*kinds).alias("duplicate_of_id"), reason.alias("duplicate_reason"))
 
 
 def dedup_stats(resolved: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions import fixed_values as V
 from ..functions.text import fold, strip, text
 from ..functions.urls import domains_related, email_domain, site_domain
+from ..sources.scratch import stash
 
 
 def pick_columns(df: DataFrame, aliases: dict[str, tuple[str, ...]] = V.HEADER_ALIASES) -> DataFrame:
@@ -47,8 +48,14 @@ def ingest_counts(df: DataFrame) -> DataFrame:
 
 def with_ids(df: DataFrame, after: int = 0) -> DataFrame:
     """Consecutive ids in the order of the rows, without gathering them in one partition."""
-    schema = T.StructType([T.StructField("id", T.LongType(), False), *df.schema.fields])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda r: (r[1] + 1 + after, *r[0])), schema)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    marked = stash(df.withColumn("__at", F.monotonically_increasing_id()), "rows")  # the partition's number, and 33 bits of the place in it
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = marked.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.partitionBy().orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    starts = sizes.select("__part", before.alias("__before"))
+    ids = (F.col("__before") + place + 1 + after).cast("long").alias("id")
+    return marked.withColumn("__p", part).join(F.broadcast(starts), F.col("__p") == F.col("__part")).select(ids, *columns)
 
 
 def stamp(df: DataFrame, session_id: int, batch_id: str, at: str | None = None) -> DataFrame:

@@ -161,7 +161,12 @@ def skip_unselected(leads: DataFrame, chosen: DataFrame) -> DataFrame:
 def latest_session(sessions: DataFrame, owner_id: int | None = None) -> DataFrame:
     if owner_id is not None:
         sessions = sessions.where(F.col("owner_id") == owner_id)
-    return sessions.orderBy(F.desc("id")).limit(1)
+    return latest_sessions(sessions, 1)
+
+
+def latest_sessions(sessions: DataFrame, n: int = 3) -> DataFrame:
+    """The newest sessions, which stand beside the home counters."""
+    return sessions.orderBy(F.desc("id")).limit(n)
 
 
 def delete_session(rows: DataFrame, session_id: int, column: str = "session_id") -> DataFrame:

@@ -193,21 +193,41 @@ def signal_tier(df: DataFrame) -> DataFrame:
     return df.withColumn("tier", F.when(strong, "STRONG").when(medium, "MEDIUM").when(F.size("visual_patterns") > 0, "WEAK").otherwise("none"))
 
 
-def fetch_status(pages: DataFrame, lead: str = "site") -> DataFrame:
-    """Per lead of (lead, id, source, content): n_pages, n_kept, n_unusable, status. Kept are pages that aren't broken nor repeat an earlier one; a lead whose
-    homepage is broken keeps none, and one of which only the homepage is usable among several counts as failed."""
+def _judged(pages: DataFrame, lead: str) -> DataFrame:
+    """lead, id, home, broken and kept of pages (lead, id, source, content); texts stay out of the shuffle. A homepage is judged by its whole text, other
+    pages by what is stored of them. Kept are usable pages that repeat no earlier usable one; a broken page hides none."""
     home = F.col("source") == "homepage"
-    mark = F.when(home, fingerprint("content")).otherwise(fingerprint(truncated("content")))
-    rows = pages.select(lead, "id", home.alias("home"), is_broken("content").alias("broken"), mark.alias("mark"))
-    ranked = Window.partitionBy(lead, "mark").orderBy(F.desc("home"), "id")
-    rows = rows.withColumn("kept", ~F.col("broken") & (F.row_number().over(ranked) == 1))
+    stored = F.when(home, text("content")).otherwise(truncated("content"))
+    rows = pages.select(lead, "id", home.alias("home"), stored.alias("stored")).select(lead, "id", "home", is_broken("stored").alias("broken"), fingerprint("stored").alias("mark"))
+    ranked = Window.partitionBy(lead, "broken", "mark").orderBy(F.desc("home"), "id")
+    return rows.withColumn("kept", ~F.col("broken") & (F.row_number().over(ranked) == 1))
+
+
+HOMEPAGE_ERROR = "homepage_render_error_or_empty_content"
+
+
+def fetch_status(pages: DataFrame, lead: str = "site") -> DataFrame:
+    """Per lead of (lead, id, source, content): n_pages, n_kept, n_unusable, status, last_error. A lead whose
+    homepage is broken keeps nothing, and that is its error; one of which only the homepage is usable among several counts as failed."""
+    rows = _judged(pages, lead)
     n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
     per = rows.groupBy(lead).agg(F.count(F.lit(1)).alias("n_pages"), n(F.col("kept")).alias("n_kept"), n(F.col("home") & ~F.col("broken")).alias("homes"))
     failed = F.col("homes") == 0
     kept = F.when(failed, 0).otherwise(F.col("n_kept")).cast("long")
     per = per.withColumn("n_unusable", F.col("n_pages") - kept)
     status = F.when(failed, "FETCH_FAILED").when((kept == 1) & (F.col("n_pages") > 1), "FETCH_FAILED").when(F.col("n_unusable") > 0, "FETCH_PARTIAL").otherwise("PARSED")
-    return per.select(lead, "n_pages", kept.alias("n_kept"), "n_unusable", status.alias("status"))
+    return per.select(lead, "n_pages", kept.alias("n_kept"), "n_unusable", status.alias("status"), F.when(failed, HOMEPAGE_ERROR).alias("last_error"))
+
+
+def kept_pages(pages: DataFrame, lead: str = "site") -> DataFrame:
+    """The rows that are stored of a lead's pages: lead, id, source, url, content (cut; careers and pricing pages as the text of their signals). None of a lead
+    whose homepage is broken."""
+    rows = _judged(pages, lead)
+    usable = F.max(F.when(F.col("home") & ~F.col("broken"), 1)).over(Window.partitionBy(lead))
+    ids = rows.withColumn("usable", usable).where("kept AND usable = 1").select("id")
+    stored = truncated("content")
+    content = F.when(F.col("source") == "careers", careers_text(careers_signal(stored))).when(F.col("source") == "pricing", pricing_text(pricing_signal(stored))).otherwise(stored)
+    return pages.select(lead, "id", "source", "url", content.alias("content")).join(ids, "id", "left_semi").select(lead, "id", "source", "url", "content")
 
 
 def pages_by_source(pages: DataFrame, lead: str = "site", content: str = "content") -> DataFrame:

@@ -74,10 +74,10 @@ def search_report(leads: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def category_report(categorized: DataFrame) -> DataFrame:
-    """Leads of all categories but the pending ones, with the category's place in the report (order by rank, id)."""
+    """Leads of all categories but the pending ones, with the category's place in the report, ordered by that and id."""
     rank = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category")).cast("int")
     columns = [c for c in ("company_name", "website_url", "segment", "confidence", "company_stage", "recommended_offer", "status", "disqualify_reason") if c in categorized.columns]
-    return categorized.where("category <> 'pending'").select(rank.alias("rank"), "category", "id", *columns)
+    return categorized.where("category <> 'pending'").select(rank.alias("rank"), "category", "id", *columns).orderBy("rank", "id")
 
 
 def segment_label(c: Column | str) -> Column:

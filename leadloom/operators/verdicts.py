@@ -28,8 +28,10 @@ def parse(raw: DataFrame, body: str = "body") -> DataFrame:
     loose = F.from_json(F.col(body), "confidence string")
     shape = F.json_object_keys(body)
     missing = ~F.array_contains(shape, "confidence")
-    # a number is written without quotes
-    number = F.col(body).rlike(r'"confidence"\s*:\s*-?[0-9]') & kind.try_cast("double").isNotNull()
+    # the kind of the top-level value; texts that a variant can't hold (with repeated keys) by how it is written: a number has no quotes
+    of = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.col(body)), "$.confidence", "variant"))
+    written = F.col(body).rlike(r'"confidence"\s*:\s*-?[0-9]') & kind.try_cast("double").isNotNull()
+    number = F.coalesce(of.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), written)
     good = shape.isNotNull() & loose.isNotNull() & (missing | number)
     df = raw.withColumn("__good", F.coalesce(good, F.lit(False))).withColumn("__v", parsed)
     ok = F.col("__good")
@@ -53,6 +55,28 @@ def empty_verdict(reason: str | Column) -> dict[str, Column]:
     return lists | {"segment": F.lit("unclear"), "confidence": F.lit(0.0), "company_stage": F.lit(None).cast("string"), "recommended_offer": F.lit("none"), "disqualify_reason": reason, "needs_human_review": F.lit(True)}
 
 
+def choose_attempt(raw: DataFrame, lead: str = "lead_id", body: str = "body", error: str = "error") -> DataFrame:
+    """A row a lead of attempts (lead, attempt, body, error): the verdict of its first attempt if that parses, else of the second, else the empty one with
+    both errors; later attempts don't count. ``used`` is 1, 2 or 0."""
+    parsed = parse(raw.select(lead, "attempt", body, error), body)
+    ranked = parsed.withColumn("__n", F.row_number().over(Window.partitionBy(lead).orderBy("attempt", body))).where("__n <= 2")
+    fields = F.struct(*COLUMNS, "parse_failed", text(error).alias("error"))
+    per = ranked.groupBy(lead).agg(F.min_by(fields, F.when(F.col("__n") == 1, 1)).alias("a"), F.min_by(fields, F.when(F.col("__n") == 2, 2)).alias("b"))
+    used = F.when(~F.col("a.parse_failed"), 1).when(~F.col("b.parse_failed"), 2).otherwise(0)
+    message = F.concat(F.lit("json_parse_failed: "), F.col("a.error"), F.lit(" | retry_error: "), F.coalesce("b.error", F.lit("no second attempt")))
+    none = empty_verdict(message)
+    per = per.withColumn("used", used)
+    return per.select(lead, *(F.when(F.col("used") == 1, F.col(f"a.{c}")).when(F.col("used") == 2, F.col(f"b.{c}")).otherwise(none[c]).alias(c) for c in COLUMNS), (F.col("used") == 0).alias("parse_failed"), "used")
+
+
+def finish_attempts(chosen: DataFrame, contexts: DataFrame, lead: str = "lead_id") -> DataFrame:
+    """Guards, repair and grounding of chosen attempts: a first one is grounded on ``context``, a second one on the shorter ``retry_context`` that it was made from (contexts:
+    lead, context, retry_context). The empty verdict stays as it is."""
+    df = chosen.join(contexts.select(F.col(lead).alias("__lead"), "context", "retry_context"), F.col(lead) == F.col("__lead"), "left").drop("__lead")
+    df = df.withColumn("context", F.when(F.col("used") == 2, F.col("retry_context")).otherwise(F.col("context"))).drop("retry_context")
+    return with_status(ground(repair(guard_confidence(df))))
+
+
 def guard_confidence(df: DataFrame) -> DataFrame:
     low = F.coalesce("confidence", F.lit(0.0)) < V.CONFIDENCE_THRESHOLD
     return df.withColumn("needs_human_review", F.coalesce("needs_human_review", F.lit(False)) | low)

@@ -343,23 +343,45 @@ def content_dedup(spark, sf_dir):
     return pages.distinct_contents(view(spark, sf_dir, "site_pages"))
 
 
+JUDGED_SQL = f"""+ s AS (SELECT site, id, source, url, content, source = 'homepage' AS home, CASE WHEN source = 'homepage' THEN content ELSE substr(content, 1, 32000) END AS stored FROM site_pages),
+    b AS (SELECT *, length(t) < 50 OR len({phrases_sql("lower(t)", V.BROKEN_MARKERS)}) > 0 OR {any_sql("lower(t)", V.BROKEN_PATTERNS)} AS broken FROM (SELECT *, {strip_sql("stored")} AS t, {print_sql("stored")} AS mark FROM s)),
+    usable AS (SELECT * FROM b WHERE NOT broken),
+    k AS (SELECT *, row_number() OVER (PARTITION BY site, mark ORDER BY home DESC, id) AS n FROM usable),
+    ok AS (SELECT DISTINCT site FROM usable WHERE home)"""
+
+
 @query(
-    f"""+ b AS (SELECT site, id, source = 'homepage' AS home, length(t) < 50 OR len({phrases_sql("lower(t)", V.BROKEN_MARKERS)}) > 0 OR {any_sql("lower(t)", V.BROKEN_PATTERNS)} AS broken, mark
-      FROM (SELECT site, id, source, {strip_sql("content")} AS t, {SITE_PRINT} AS mark FROM site_pages)),
-    k AS (SELECT *, NOT broken AND row_number() OVER (PARTITION BY site, mark ORDER BY home DESC, id) = 1 AS kept FROM b),
-    g AS (SELECT site, count(*) AS n_pages, count(*) FILTER (kept) AS kept, count(*) FILTER (home AND NOT broken) AS homes FROM k GROUP BY site),
-    h AS (SELECT site, n_pages, CASE WHEN homes = 0 THEN 0 ELSE kept END AS n_kept, homes FROM g)
-    SELECT site, n_pages, CAST(n_kept AS BIGINT) AS n_kept, CAST(n_pages - n_kept AS BIGINT) AS n_unusable,
-      CASE WHEN homes = 0 OR (n_kept = 1 AND n_pages > 1) THEN 'FETCH_FAILED' WHEN n_pages > n_kept THEN 'FETCH_PARTIAL' ELSE 'PARSED' END AS status FROM h""",
+    JUDGED_SQL
+    + """, g AS (SELECT site, count(*) AS n_pages FROM s GROUP BY site), h AS (SELECT site, count(*) AS n_kept FROM k WHERE n = 1 AND site IN (SELECT site FROM ok) GROUP BY site),
+    r AS (SELECT g.site, n_pages, CAST(coalesce(n_kept, 0) AS BIGINT) AS n_kept FROM g LEFT JOIN h ON g.site = h.site)
+    SELECT site, n_pages, n_kept, CAST(n_pages - n_kept AS BIGINT) AS n_unusable, CASE WHEN n_kept = 0 OR (n_kept = 1 AND n_pages > 1) THEN 'FETCH_FAILED' WHEN n_pages > n_kept THEN 'FETCH_PARTIAL' ELSE 'PARSED' END AS status,
+      CASE WHEN n_kept = 0 THEN 'homepage_render_error_or_empty_content' END AS last_error FROM r""",
     "site_pages",
 )
 def fetch_status(spark, sf_dir):
     return pages.fetch_status(view(spark, sf_dir, "site_pages"))
 
 
-@query("SELECT site, " + ", ".join(f"arg_max(id, id) FILTER (source = '{s}') AS {s}" for s in V.SOURCES) + " FROM site_pages GROUP BY site", "site_pages")
+_CAREERS_SQL = f"""(SELECT concat_ws(chr(10), '[Careers signal — deterministic extraction, no raw text]', '- has_careers_page_content: True', '- engineering_keywords_found: ' || CASE WHEN len(e) = 0 THEN '[]' ELSE '[' || chr(39) || array_to_string(e, chr(39) || ', ' || chr(39)) || chr(39) || ']' END,
+      '- other_keywords_found: ' || CASE WHEN len(o) = 0 THEN '[]' ELSE '[' || chr(39) || array_to_string(o, chr(39) || ', ' || chr(39)) || chr(39) || ']' END, '- hiring_technical: ' || CASE WHEN len(e) > 0 THEN 'True' ELSE 'False' END,
+      '- engineering_ratio: ' || CASE WHEN len(e) + len(o) = 0 THEN 'None' ELSE CAST(round_even(len(e) / (len(e) + len(o)), 2) AS VARCHAR) END)
+    FROM (SELECT list_sort({phrases_sql("lower(stored)", V.ENGINEERING_ROLES)}) AS e, list_sort({phrases_sql("lower(stored)", V.OTHER_ROLES)}) AS o))"""
+
+
+@query(
+    JUDGED_SQL
+    + f""" SELECT site, id, source, url, CASE WHEN source = 'pricing' THEN 'pricing' WHEN source = 'careers' THEN sha256({_CAREERS_SQL}) ELSE sha256(stored) END AS content_sha FROM k WHERE n = 1 AND site IN (SELECT site FROM ok)""",
+    "site_pages",
+)
+def kept_pages(spark, sf_dir):
+    """The texts of pricing signals are checked by page_pricing's fields."""
+    kept = pages.kept_pages(view(spark, sf_dir, "site_pages"))
+    return kept.select("site", "id", "source", "url", F.when(F.col("source") == "pricing", "pricing").otherwise(F.sha2("content", 256)).alias("content_sha"))
+
+
+@query("SELECT site, " + ", ".join(f"sha256(arg_max(content, id) FILTER (source = '{s}')) AS {s}" for s in V.SOURCES) + " FROM site_pages GROUP BY site", "site_pages")
 def pages_by_source(spark, sf_dir):
-    return pages.pages_by_source(view(spark, sf_dir, "site_pages").withColumn("page", F.col("id")), content="page")
+    return pages.pages_by_source(view(spark, sf_dir, "site_pages")).select("site", *(F.sha2(c, 256).alias(c) for c in V.SOURCES))
 
 
 CONTEXT_SQL = f"""c AS (SELECT site AS lead_id, {images_sql("substr(string_agg('## Source: ' || source || chr(10) || substr(content, 1, 12000), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY id), 1, 12000)")} AS context FROM site_pages WHERE content <> '' GROUP BY site)"""
@@ -389,7 +411,7 @@ def model_input(spark, sf_dir):
 
 @query(
     SIGNALS_SQL
-    + """, p AS (SELECT l.id AS lead_id, l.company_name, l.website_url, s.source, s.url, s.content FROM leads l LEFT JOIN site_pages s ON s.id = l.id AND s.id % 3 > 0)
+    + """, p AS (SELECT l.id AS lead_id, l.company_name, l.website_url, s.source, s.url, s.content FROM leads l LEFT JOIN site_pages s ON s.id - s.id % 3 = l.id)
     SELECT p.lead_id, coalesce(company_name, '') AS company_name, coalesce(website_url, '') AS website_url, coalesce(source, '') AS source, coalesce(url, '') AS url, CAST(length(coalesce(content, '')) AS BIGINT) AS content_chars,
       coalesce(generator_fingerprint, '') AS generator_fingerprint, coalesce(repo_url, '') AS repo_url, array_to_string(visual_patterns, ' | ') AS visual_patterns, coalesce(style_density, '') AS style_density
     FROM p LEFT JOIN signals g ON g.page_id = p.lead_id""",
@@ -398,9 +420,9 @@ def model_input(spark, sf_dir):
     "pages_marked",
 )
 def page_report(spark, sf_dir):
-    """Every third lead has no page, and so one row without content."""
+    """Every third lead has three pages, the others have none, and so one row without content."""
     own = view(spark, sf_dir, "leads").withColumns({"status": F.lit("NEW"), "last_error": F.lit(None).cast("string")})
-    stored = view(spark, sf_dir, "site_pages").where("id % 3 > 0").withColumn("lead_id", F.col("id"))
+    stored = view(spark, sf_dir, "site_pages").withColumn("lead_id", F.col("id") - F.col("id") % 3)
     signals = _signals(spark, sf_dir).drop("url").withColumns({"id": F.col("page_id"), "lead_id": F.col("page_id")}).drop("page_id")
     out = reports.page_report(own, stored, signals)
     return out.select("lead_id", "company_name", "website_url", "source", "url", "content_chars", "generator_fingerprint", "repo_url", "visual_patterns", "style_density")
@@ -434,6 +456,26 @@ def verdict_parse(spark, sf_dir):
     return verdicts.parse(view(spark, sf_dir, "raw_verdicts")).select("lead_id", "parse_failed", "segment", "confidence", "company_stage", "recommended_offer", F.size("evidence_quotes").alias("n_quotes"), "disqualify_reason", "needs_human_review")
 
 
+@query(
+    f"""+ t AS (SELECT CAST(lead_id - lead_id % 2 AS BIGINT) AS lead_id, 1 + lead_id % 2 AS attempt, body, 'at char ' || lead_id % 7 AS error FROM raw_verdicts),
+    j AS (SELECT *, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM t), p AS (SELECT *, j IS NULL OR json_type(j, '$.confidence') NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT') AS bad FROM j),
+    x AS (SELECT lead_id, max(CASE WHEN attempt = 1 AND NOT bad THEN 1 ELSE 0 END) AS one, max(CASE WHEN attempt = 2 AND NOT bad THEN 1 ELSE 0 END) AS two, count(*) AS n,
+        arg_min(error, attempt) AS e1, max(error) FILTER (attempt = 2) AS e2, arg_min(j, attempt) AS j1, arg_max(j, attempt) AS j2 FROM p GROUP BY lead_id),
+    c AS (SELECT *, CASE WHEN one = 1 THEN 1 WHEN two = 1 THEN 2 ELSE 0 END AS used FROM x),
+    q AS (SELECT lead_id, used, 'json_parse_failed: ' || e1 || ' | retry_error: ' || coalesce(e2, 'no second attempt') AS message, CASE used WHEN 1 THEN j1 WHEN 2 THEN j2 END AS j, substr(text, 1, CASE used WHEN 2 THEN 6000 ELSE 12000 END) AS ctx FROM c JOIN documents ON doc_id = lead_id),
+    z AS (SELECT *, CAST(j->'$.evidence_quotes' AS VARCHAR[]) AS quotes FROM q)
+    SELECT lead_id, CAST(used AS INTEGER) AS used, CASE WHEN used = 0 THEN 'unclear' WHEN j->>'$.segment' IN ({quoted(V.SEGMENTS)}) THEN j->>'$.segment' ELSE 'unclear' END AS segment,
+      array_to_string(coalesce(list_filter(quotes, lambda q: contains(lower({collapse_sql("ctx")}), lower({collapse_sql("q")}))), []), ' | ') AS evidence_quotes, CASE WHEN used = 0 THEN message END AS message FROM z""",
+    "raw_verdicts",
+)
+def verdict_attempts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("lead_id"), F.substring("text", 1, V.MAX_SITE_CHARS).alias("context"), F.substring("text", 1, V.RETRY_SITE_CHARS).alias("retry_context"))
+    raw = view(spark, sf_dir, "raw_verdicts")
+    raw = raw.select((F.col("lead_id") - F.col("lead_id") % 2).alias("lead_id"), (1 + F.col("lead_id") % 2).alias("attempt"), "body", F.concat(F.lit("at char "), F.col("lead_id") % 7).alias("error"))
+    done = verdicts.finish_attempts(verdicts.choose_attempt(raw), docs)
+    return done.where("context IS NOT NULL").select("lead_id", "used", "segment", joined("evidence_quotes").alias("evidence_quotes"), F.when(F.col("used") == 0, F.col("disqualify_reason")).alias("message"))
+
+
 @query(PARSE_SQL + " SELECT lead_id, segment, confidence, company_stage, recommended_offer, reason AS disqualify_reason, review AS needs_human_review FROM r", "raw_verdicts")
 def verdict_repair(spark, sf_dir):
     out = verdicts.repair(verdicts.guard_confidence(verdicts.parse(view(spark, sf_dir, "raw_verdicts"))))
@@ -736,6 +778,88 @@ def rescore_reset(spark, sf_dir):
     return both.agg(kept.alias("kept_versions"), (F.count(F.lit(1)) - 2 * kept).alias("dropped_versions"))
 
 
+# -- selections, marks and parts of the model's input ------------------------------------------------------------------------
+
+
+@query("SELECT id, session_id FROM leads_large WHERE is_duplicate = 0 AND status = 'SCORED'", "leads_large")
+def leads_by_status(spark, sf_dir):
+    return leads.by_status(view(spark, sf_dir, "leads_large"), "SCORED").select("id", "session_id")
+
+
+@query("SELECT id FROM leads_large WHERE session_id = 7 AND status IN ('SKIPPED', 'NEW') AND is_duplicate = 0", "leads_large")
+def pending_reset(spark, sf_dir):
+    return leads.pending_reset(view(spark, sf_dir, "leads_large"), 7).select("id")
+
+
+@query("SELECT s.id, s.source FROM site_pages s WHERE s.id IN (SELECT id FROM leads WHERE session_id = 2)", "site_pages", "leads")
+def pages_of_leads(spark, sf_dir):
+    own = leads.scan(view(spark, sf_dir, "leads"), session_id=2)
+    return leads.of_leads(view(spark, sf_dir, "site_pages").withColumn("lead_id", F.col("id")), own).select("id", "source")
+
+
+@query("SELECT s.lead_id, s.id, s.source FROM search_results s WHERE s.lead_id IN (SELECT id FROM leads WHERE session_id = 2)", "search_results", "leads")
+def evidence_of_leads(spark, sf_dir):
+    own = leads.scan(view(spark, sf_dir, "leads"), session_id=2)
+    return leads.of_leads(_evidence(spark, sf_dir), own).select("lead_id", "id", "source")
+
+
+@query("SELECT id AS lead_id, 1 AS is_duplicate, CAST(id - 1 AS BIGINT) AS duplicate_of_id, 'manual' AS duplicate_reason FROM leads_large WHERE status = 'LOW_CONFIDENCE'", "leads_large")
+def manual_duplicates(spark, sf_dir):
+    chosen = view(spark, sf_dir, "leads_large").where("status = 'LOW_CONFIDENCE'").select("id", (F.col("id") - 1).alias("duplicate_of_id"), F.lit("manual").alias("duplicate_reason"))
+    return state.mark_duplicate(chosen)
+
+
+@query(
+    """SELECT l.id, CASE WHEN c.id IS NULL THEN l.is_duplicate ELSE 0 END AS is_duplicate, CASE WHEN c.id IS NULL THEN duplicate_of_id END AS duplicate_of_id, CASE WHEN c.id IS NULL THEN duplicate_reason END AS duplicate_reason, CASE WHEN c.id IS NULL THEN status ELSE 'NEW' END AS status
+    FROM leads_large l LEFT JOIN (SELECT id FROM leads_large WHERE duplicate_reason = 'domain_match') c ON l.id = c.id""",
+    "leads_large",
+)
+def override_duplicates(spark, sf_dir):
+    rows = view(spark, sf_dir, "leads_large")
+    return dedup.override_duplicates(rows, rows.where("duplicate_reason = 'domain_match'")).select("id", "is_duplicate", "duplicate_of_id", "duplicate_reason", "status")
+
+
+@query(PARSE_SQL + f" SELECT lead_id, {label_sql('recommended_offer', V.OFFER_LABELS, quoted(['—']))} AS offer FROM r", "raw_verdicts")
+def offer_labels(spark, sf_dir):
+    out = verdicts.repair(verdicts.guard_confidence(verdicts.parse(view(spark, sf_dir, "raw_verdicts"))))
+    return out.select("lead_id", reports.offer_label("recommended_offer").alias("offer"))
+
+
+@query(
+    EVIDENCE_SQL
+    + f""", h AS (SELECT lead_id, id, coalesce(source, '') AS source, unnest(hits) AS h, unnest(generate_series(1, len(hits))) AS pos FROM ev), f AS (SELECT *, min(id) OVER (PARTITION BY lead_id, source) AS first, {strip_sql("h.content")} AS body FROM h)
+    SELECT lead_id, sha256({quoted([V.EVIDENCE_HEADING])} || substr(string_agg('[' || source || '] ' || coalesce(h.title, '') || ' (' || coalesce(h.url, '') || ')' || chr(10) || substr(body, 1, 4000), chr(10) || chr(10) ORDER BY first, id, pos), 1, 4000)) AS sha
+    FROM f WHERE body <> '' GROUP BY lead_id""",
+    "search_results",
+)
+def evidence_block(spark, sf_dir):
+    return verdicts.evidence_block(_evidence(spark, sf_dir)).select("lead_id", F.sha2("evidence_block", 256).alias("sha"))
+
+
+@query("SELECT repo_url, n || ' commits seen (API page)' || CASE WHEN n <= 1 THEN ' | ⚠️ single-commit repo' ELSE '' END || CASE WHEN first <> '' THEN ' | first commit: \"' || substr(first, 1, 60) || '\"' ELSE '' END AS summary FROM (SELECT repo_url, least(count(*), 100) AS n, arg_max(message, rk) AS first FROM (SELECT *, row_number() OVER (PARTITION BY repo_url ORDER BY ts DESC, message DESC) AS rk FROM commits) WHERE rk <= 100 GROUP BY repo_url)", "commits")
+def repo_summaries(spark, sf_dir):
+    facts = pages.commit_facts(view(spark, sf_dir, "commits"))
+    check = F.struct(F.lit(True).alias("checked"), F.struct("total_commits_seen", "first_commit_message", "single_commit_repo").alias("evidence"))
+    return facts.select("repo_url", pages.repo_summary(check).alias("summary"))
+
+
+@query(
+    PARSE_SQL
+    + """ SELECT v.lead_id, CASE WHEN p.id IS NULL THEN 'RESCORE_FAILED' WHEN parse_failed THEN 'empty' ELSE 'scored' END AS outcome FROM v LEFT JOIN (SELECT DISTINCT id FROM site_pages WHERE content <> '') p ON p.id = v.lead_id""",
+    "raw_verdicts",
+    "site_pages",
+)
+def rescored(spark, sf_dir):
+    out = state.rescore(view(spark, sf_dir, "raw_verdicts"), view(spark, sf_dir, "site_pages").withColumn("lead_id", F.col("id")))
+    outcome = F.when(F.col("status") == "RESCORE_FAILED", F.col("status")).when(F.col("parse_failed"), "empty").otherwise("scored")
+    return out.select("lead_id", outcome.alias("outcome"))
+
+
+@query("SELECT id, label FROM sessions ORDER BY id DESC LIMIT 3", "sessions")
+def home_sessions(spark, sf_dir):
+    return leads.latest_sessions(view(spark, sf_dir, "sessions")).select("id", "label")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories of deduplicated leads with their latest verdicts."""
     own = normal_leads(spark, sf_dir)

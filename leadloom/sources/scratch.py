@@ -5,15 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a local master gets a new folder of its own; on
+    a cluster that is an error, as each executor would write to its own disk."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_leadloom_scratch", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = spark._leadloom_scratch = "file://" + tempfile.mkdtemp(prefix="leadloom-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under ``spark.checkpoint.dir`` (a new local folder only where that is unset) and read it back. Lineage ends there."""
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation. What is
+    written stays until the folder is cleared, as later results may be read from it at any time."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_leadloom_stash", None)
-    if not root:
-        root = spark._leadloom_stash = "file://" + tempfile.mkdtemp(prefix="leadloom-")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

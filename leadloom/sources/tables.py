@@ -10,9 +10,10 @@ from ..operators.ingest import ingest
 from ..operators.leads import delete_session
 
 
-def read_contact_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A contact list as text columns: header row, quoted fields that may span lines, doubled quotes."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False, encoding="UTF-8")
+def read_contact_csv(spark: SparkSession, path: str, spanning: bool = True) -> DataFrame:
+    """A contact list as text columns: header row, quoted fields that may span lines, doubled quotes. A file whose fields may span lines
+    can't be split, so it is one task; without such fields (``spanning`` False) large files are read in parts."""
+    return spark.read.csv(path, header=True, multiLine=spanning, quote='"', escape='"', inferSchema=False, encoding="UTF-8")
 
 
 def import_contacts(spark: SparkSession, path: str, session_id: int, batch_id: str, after: int = 0, at: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import resolve
 from ..operators.ingest import ingest
-from ..operators.leads import original
+from ..operators.leads import latest, original
 from ..operators.state import latest_progress
 
 PROGRESS = "session_id long, seq long, lead_id long, step string, status string, error string, ts timestamp"
@@ -17,9 +17,19 @@ def progress_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(PROGRESS).parquet(path)
 
 
-def follow_progress(events: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Keeps each session's last event in the memory table ``name``; the state is one row a session."""
-    return latest_progress(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def follow_progress(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Each session's last event, as versions: a trigger writes the sessions that changed under ``path``/batch=number; nothing is sent to the driver, and the
+    state is one row a session. A trigger that is run again replaces its own rows."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    return latest_progress(events).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_progress(spark: SparkSession, path: str) -> DataFrame:
+    """Of the versions that ``follow_progress`` wrote, each session's newest."""
+    return latest(spark.read.parquet(path), "session_id", ["batch"]).drop("batch")
 
 
 def intake_stream(spark: SparkSession, folder: str, header: list[str]) -> DataFrame:
@@ -28,7 +38,7 @@ def intake_stream(spark: SparkSession, folder: str, header: list[str]) -> DataFr
 
 
 def take_in(stream: DataFrame, leads_path: str, session_id: int, checkpoint: str, threshold: int | None = 90) -> StreamingQuery:
-    """Each batch of contacts is ingested, checked for duplicates against the session's leads so far, and added to ``leads_path``. A batch that is run again replaces its own rows."""
+    """Each batch of contacts is ingested, checked for duplicates against the session's originals so far (which aren't decided again), and added to ``leads_path``. A batch that is run again replaces its own rows."""
 
     def add(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
@@ -42,8 +52,8 @@ def take_in(stream: DataFrame, leads_path: str, session_id: int, checkpoint: str
             before = None
         after = 0 if before is None else before.agg({"id": "max"}).first()[0] or 0
         fresh = ingest(batch, session_id, f"batch-{number}", after)
-        known = fresh if before is None else before.where(original()).select(*fresh.columns).unionByName(fresh)
-        found = resolve(known.select("id", "email", "domain_normalized", "company_name"), threshold)
+        columns = ("id", "email", "domain_normalized", "company_name")
+        found = resolve(fresh.select(*columns), threshold, None if before is None else before.where(original()).select(*columns))
         out = fresh.drop("is_duplicate", "duplicate_of_id", "duplicate_reason").join(found, "id")
         out.write.mode("overwrite").parquet(f"{leads_path}/batch_number={number}")
 

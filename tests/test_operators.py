@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadloom.operators import dedup, evidence, ingest, leads, pages, reports, state, verdicts
-from leadloom.sources import tables
+from leadloom.sources import scratch, tables
 from leadloom.streaming import flows
 
 
@@ -206,9 +206,13 @@ def test_sinks_and_append(spark, tmp_path):
 def test_streams(spark, tmp_path):
     ev = spark.sql("SELECT cast(id % 3 AS long) AS session_id, id AS seq, id AS lead_id, 'done' AS step, 'SCORED' AS status, cast(null AS string) AS error, timestamp'2024-01-01' AS ts FROM range(50)")
     ev.write.parquet(str(tmp_path / "ev"))
-    q = flows.follow_progress(flows.progress_stream(spark, str(tmp_path / "ev")), "progress_now", str(tmp_path / "cp"))
-    q.awaitTermination()
-    assert sorted(tuple(r) for r in spark.table("progress_now").collect()) == sorted(tuple(r) for r in state.latest_progress(ev).collect())
+    later = ev.where("session_id > 0").selectExpr("session_id", "seq + 100 AS seq", "lead_id", "'scoring' AS step", "status", "error", "ts")
+    for more in (None, later):
+        if more is not None:
+            more.write.mode("append").parquet(str(tmp_path / "ev"))
+        flows.follow_progress(flows.progress_stream(spark, str(tmp_path / "ev")), str(tmp_path / "progress"), str(tmp_path / "cp")).awaitTermination()
+        want = state.latest_progress(ev if more is None else ev.unionByName(more)).collect()
+        assert sorted(tuple(r) for r in flows.current_progress(spark, str(tmp_path / "progress")).collect()) == sorted(tuple(r) for r in want)
 
     (tmp_path / "in").mkdir()
     header = ["Company", "Website", "Email"]
@@ -230,3 +234,77 @@ def test_blocks_of_many_small_parts_are_bounded_and_whole(spark):
     block = verdicts.evidence_block(evidence, max_chars=3000).first().evidence_block
     assert block.endswith("\n\n".join(["[]  ()\nx"] * 1500)[:3000])
     assert "WindowGroupLimit" in verdicts.evidence_block(evidence, max_chars=3000)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_broken_pages_hide_no_later_ones(spark):
+    good, shell = "a real homepage with quite enough text in it to be kept as it is", "the same shell text again and again on every route of this site"
+    rows = [(1, 1, "homepage", good), (1, 2, "about", "x"), (1, 3, "product", "x"), (1, 4, "careers", shell), (1, 5, "pricing", shell), (2, 6, "homepage", "404"), (2, 7, "about", good)]
+    rows += [(3, 8, "homepage", good), (3, 9, "about", "long text " * 3300 + "page not found")]  # the mark is behind what is stored
+    df = spark.createDataFrame([(*r, "u") for r in rows], "site long, id long, source string, content string, url string")
+    got = {r.site: (r.n_kept, r.n_unusable, r.status, r.last_error) for r in pages.fetch_status(df).collect()}
+    assert got == {1: (2, 3, "FETCH_PARTIAL", None), 2: (0, 2, "FETCH_FAILED", "homepage_render_error_or_empty_content"), 3: (2, 0, "PARSED", None)}
+    kept = {r.id: r.content for r in pages.kept_pages(df).collect()}
+    assert sorted(kept) == [1, 4, 8, 9] and kept[4].startswith("[Careers signal") and len(kept[9]) == 32000
+    assert pages.kept_pages(df.limit(0)).collect() == []
+
+
+def test_confidence_is_judged_at_the_top(spark):
+    rows = [(1, '{"segment":"too_big","confidence":"0.9","x":{"confidence":0.5}}'), (2, '{"segment":"too_big","confidence":0.9,"x":{"confidence":"0.5"}}'), (3, '{"confidence":null}'), (4, '{"segment":"too_big"}'), (5, "[1]"), (6, None), (7, '{"confidence":1,"confidence":0.8,"segment":"too_big"}')]
+    got = {r.lead_id: (r.parse_failed, r.confidence) for r in verdicts.parse(spark.createDataFrame(rows, "lead_id long, body string")).collect()}
+    assert got == {1: (True, 0.0), 2: (False, 0.9), 3: (True, 0.0), 4: (False, 0.0), 5: (True, 0.0), 6: (True, 0.0), 7: (False, got[7][1])}
+
+
+def test_second_attempts_count_if_the_first_fails(spark):
+    good = '{"segment":"too_big","confidence":0.9,"recommended_offer":"none","evidence_quotes":["only late","early"]}'
+    rows = [(1, 1, good, None), (1, 2, "bad", "e"), (2, 1, "bad", "e1"), (2, 2, good, None), (3, 1, "bad", "e1"), (3, 2, "bad", "e2"), (3, 3, good, None), (4, 5, "bad", "e5")]
+    raw = spark.createDataFrame(rows, "lead_id long, attempt long, body string, error string")
+    contexts = spark.createDataFrame([(i, "early text, and only late text", "early text") for i in (1, 2, 3)], "lead_id long, context string, retry_context string")
+    got = {r.lead_id: r for r in verdicts.finish_attempts(verdicts.choose_attempt(raw), contexts).collect()}
+    assert [got[i].used for i in (1, 2, 3, 4)] == [1, 2, 0, 0]
+    assert got[1].evidence_quotes == ["only late", "early"] and got[2].evidence_quotes == ["early"] and got[2].status == "LOW_CONFIDENCE"
+    assert got[3].disqualify_reason == "json_parse_failed: e1 | retry_error: e2" and got[4].disqualify_reason == "json_parse_failed: e5 | retry_error: no second attempt"
+
+
+def test_ids_follow_the_order_of_rows(spark):
+    df = spark.range(0, 1000, 1, 7).select(F.col("id").alias("a.b"))
+    got = ingest.with_ids(df, after=5)
+    assert got.columns == ["id", "a.b"] and sorted(tuple(r) for r in got.collect()) == [(i + 6, i) for i in range(1000)]
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString() and ingest.with_ids(df.limit(0)).collect() == []
+
+
+def test_known_originals_are_matched_and_not_decided_again(spark):
+    schema = "id long, email string, domain_normalized string, company_name string"
+    old = spark.createDataFrame([(1, "a@x.io", "x.io", "Acme Tools"), (2, "b@y.io", "y.io", "Bright Labs Berlin")], schema)
+    new = spark.createDataFrame([(3, "A@x.io", "z.io", "Zed"), (4, "", "z.io", "Other"), (5, "", "", "Bright Labs Berlyn"), (6, "", "", ""), (7, "", "q.io", "Q"), (8, "", "q.io", "")], schema)
+    got = {r.id: (r.is_duplicate, r.duplicate_of_id, r.duplicate_reason) for r in dedup.resolve(new, originals=old).collect()}
+    assert got == {3: (1, 1, "exact_email"), 4: (0, None, None), 5: (1, 2, "fuzzy_company_name"), 6: (0, None, None), 7: (0, None, None), 8: (1, 7, "domain_match")}
+    both = {r.id: (r.is_duplicate, r.duplicate_of_id, r.duplicate_reason) for r in dedup.resolve(old.unionByName(new)).collect()}
+    assert {i: x for i, x in both.items() if i > 2} == got
+
+
+def test_resolution_against_the_nested_loop(spark):
+    rng = random.Random(3)
+    words = ["north", "south", "tools", "labs", "works", "data"]
+    rows = [(i, rng.choice(["", f"u{rng.randrange(12)}@m.io"]), rng.choice(["", f"d{rng.randrange(12)}.io"]), " ".join(rng.choice(words) for _ in range(3)) + rng.choice(["", "s", " x"])) for i in range(120)]
+    originals, want = [], {}
+    for i, mail, domain, name in rows:
+        key = " ".join(sorted(name.split()))
+        near = lambda o: 200 * dedup.common_subsequence(key, o[3]) >= 90 * (len(key) + len(o[3]))
+        for reason, test in (("exact_email", lambda o: mail and o[1] == mail), ("domain_match", lambda o: domain and o[2] == domain), ("fuzzy_company_name", near)):
+            hit = next((o for o in originals if test(o)), None)
+            if hit:
+                want[i] = (1, hit[0], reason)
+                break
+        else:
+            originals.append((i, mail, domain, key))
+            want[i] = (0, None, None)
+    got = dedup.resolve(spark.createDataFrame(rows, "id long, email string, domain_normalized string, company_name string")).collect()
+    assert {r.id: (r.is_duplicate, r.duplicate_of_id, r.duplicate_reason) for r in got} == want
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Box
+
+    cluster = Box(conf=Box(get=lambda *_: None), sparkContext=Box(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.shared_dir(cluster)
