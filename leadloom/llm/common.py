@@ -1,13 +1,15 @@
-"""What the training-data operators share: the shared scratch folder, written intermediate tables, text pieces."""
+"""What the training-data operators share: written intermediate tables in the shared folder, text pieces."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..sources.scratch import new_path, shared_dir, stash
+
+__all__ = ["BATCH_BYTES", "bound_batches", "new_path", "parallelism", "shared_dir", "stash", "word_runs"]
 
 #: Bytes of text that one Arrow batch hands to a Python worker; bounds a worker's memory when texts are long.
 BATCH_BYTES = 8 << 20
@@ -15,30 +17,6 @@ BATCH_BYTES = 8 << 20
 _WORD_BREAK = re.compile(rb"[\x20\x09-\x0d]")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where it is unset (tests), a new local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark, "_leadloom_scratch", None)
-        if not path:
-            path = "file://" + tempfile.mkdtemp(prefix="leadloom-")
-            spark._leadloom_scratch = path
-            spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as by rows, so that a batch of very long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

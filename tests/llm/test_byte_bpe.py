@@ -6,7 +6,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from leadloom.llm.byte_bpe import Decoder, Encoder, MergeTransducer, decode, encode, load_ranks, round_trip
+from leadloom.llm.byte_bpe import Decoder, Encoder, MergeTransducer, Utf8Stream, decode, encode, load_ranks, round_trip
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 
@@ -94,3 +94,49 @@ def test_on_rows(spark, reference):
 
 def test_file_is_read_as_written(ranks):
     assert ranks == {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+
+
+def test_tokens_come_from_transitions(ranks, reference):
+    t = MergeTransducer(ranks)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeinrst") for _ in range(rng.randint(5, 14))) for _ in range(500)]
+    by_transitions = by_end = made = 0
+    step = t._step
+
+    def counted(state, byte):
+        nonlocal made
+        made += 1
+        return step(state, byte)
+
+    t._step = counted
+    for w in words:
+        if w.encode() in ranks:
+            continue
+        state, out = t.start, 0
+        ids = t.encode(w.encode())
+        for b in w.encode():
+            step_made = t.next[state << 8 | b]  # every byte of every piece goes through a transition
+            out += len(t.emissions[step_made >> 32])
+            state = step_made & 0xFFFFFFFF
+        by_transitions, by_end = by_transitions + out, by_end + len(t.final[state])
+        assert out + len(t.final[state]) == len(ids) and list(ids) == reference.encode_ordinary(w)
+    assert by_transitions > 0 and made < sum(map(len, words))
+    long = "".join(rng.choice("aeinrst") for _ in range(3000)).encode()
+    assert list(t.encode(long)) == reference.encode_ordinary(long.decode())
+    assert max(len(x[0]) for state in t.open for x in state) < max(map(len, ranks))  # the lookahead is bounded
+
+
+def test_characters_are_streamed_whole(ranks):
+    d = Decoder(ranks)
+    text = "a€é😀z" * 3
+    ids = [ranks[bytes([b])] for b in text.encode()]
+    parts = list(d.stream(ids, Utf8Stream()))
+    assert b"".join(parts) == text.encode() and [p.decode() for p in parts if p] == list(text)
+    rng = random.Random(7)
+    for _ in range(300):
+        data = b"".join(rng.choice([b"a", "€".encode(), "😀".encode(), b"\xe2", b"\x82", b"\xf0\x9f", b"\xff", b"\xc3"]) for _ in range(8))
+        utf8 = Utf8Stream()
+        got = b"".join(utf8.feed(data[i : i + 1]) for i in range(len(data))) + utf8.finish()
+        assert got == data and utf8.whole == (data.decode("utf-8", "replace").encode() == data)
+        ids = np.array([ranks[bytes([b])] for b in data], np.int32)
+        assert d.decode(ids) == (data, utf8.whole)

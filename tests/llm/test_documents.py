@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leadloom.llm import language_id, mixing, pii_bootstrap, quality_rules, queries, simhash_dedup, suffix_dedup
 from leadloom.llm.components import star_components
-from leadloom.llm.suffix_array import permuted_prefixes, suffix_array
+from leadloom.llm.suffix_array import _induce_runs, permuted_prefixes, suffix_array
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -103,7 +103,7 @@ def components(fps, ids):
 
 def test_fingerprints_of_odd_and_long_texts():
     for t in [*ODD, "Ab c\n" * 500_000]:
-        assert simhash_dedup.fingerprint(t) == slow_fingerprint(t) if t is None or len(t) < 10_000 else True
+        assert simhash_dedup.fingerprint(t) == slow_fingerprint(t)
     rng = random.Random(0)
     text = " ".join(str(rng.randint(0, 50)) for _ in range(4000))
     want = slow_fingerprint(text)
@@ -188,6 +188,36 @@ def test_policies_and_ablation(spark):
     assert sorted(tuple(r) for r in quality_rules.ablation(entries, base).collect()) == [("few_words", 3, 2, 4), ("repeated_words", 2, 1, 3)]
 
 
+def test_stored_ledger_policies_and_ablations_of_texts(spark):
+    rng = random.Random(12)
+    texts = [*ODD] + ["".join(rng.choice(["a ", "bb ", "c\n", "# ", "word ", "\n", "x" * 70 + " "]) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    entries = quality_rules.write_ledger(documents(spark, texts))
+    rows = entries.collect()
+    names = [n for n, _ in quality_rules.RULES]
+
+    def failing(t):
+        n_words, chars, symbols, dup, repeat = slow_measures(t)
+        lines = len([x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+        return {n for n, bad in zip(names, (n_words < 10, 100 * repeat > 20 * n_words, 10 * symbols > n_words, dup >= 3 and 100 * dup > 50 * lines, n_words and chars < 2 * n_words, n_words and chars > 60 * n_words), strict=True) if bad}
+
+    failed = [failing(t) for t in (*texts, "one two", "")]
+    assert len(rows) == len(failed) and all(len({r in f for f in failed}) == 2 for r in names[:3])
+    for policy in ("base", "v1"):
+        assert Counter(quality_rules.apply_policy(entries, policy).toPandas()["kept"]) == Counter(not f & set(quality_rules.POLICIES[policy]) for f in failed)
+    want = set()
+    for version, policy in quality_rules.POLICIES.items():
+        for rule in policy:
+            mine = [f & set(policy) for f in failed]
+            want.add((version, rule, sum(rule in f for f in mine), sum(f == {rule} for f in mine), sum(not f - {rule} for f in mine)))
+    assert {tuple(r) for r in quality_rules.ablations(entries).collect()} == want
+
+
+def test_measures_of_a_very_long_text(spark):
+    text = "word other " * 100_000 + "\nthe end"
+    got = quality_rules.measure(documents(spark, [text])).where("doc_id = 0").first()
+    assert (got.n_words, got.word_chars, got.n_repeat_words) == (200_002, 900_006, 200_000)
+
+
 # -- suffix arrays
 
 
@@ -208,6 +238,27 @@ def test_suffix_arrays_and_prefixes():
             assert p[y] == n
 
 
+def test_inducing_by_buckets_and_by_runs_agree():
+    rng = random.Random(13)
+    for _ in range(200):
+        k = rng.choice([1, 2, 3, 8, 40])
+        s = np.array([rng.choice([rng.randint(1, k), 1]) for _ in range(rng.randint(0, 120))] + [0], np.int32)
+        assert suffix_array(s, k + 1).tolist() == suffix_array(s, k + 1, _induce_runs).tolist()
+
+
+def test_regions_that_share_a_window_share_a_string_around_their_anchor():
+    rng = random.Random(14)
+    for _ in range(60):
+        passage = bytes(rng.choice(b"abcd") for _ in range(rng.randint(40, 70)))
+        found = []
+        for _ in range(2):
+            data = bytes(rng.choice(b"wxyz") for _ in range(rng.randint(0, 50))) + passage + bytes(rng.choice(b"wxyz") for _ in range(rng.randint(0, 50)))
+            _, hashes, first, last, around = suffix_dedup.regions_of(data, 40, 20)
+            found.append({data[j : j + 40]: (h, set(x[x > 0].tolist())) for h, a, b, x in zip(hashes.tolist(), first.tolist(), last.tolist(), around.T, strict=True) for j in range(a, b + 1)})
+        shared = found[0].keys() & found[1].keys()
+        assert shared and all(found[0][w][0] == found[1][w][0] and found[0][w][1] & found[1][w][1] for w in shared)
+
+
 def slow_removal(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
@@ -365,3 +416,60 @@ def test_redaction_keeps_rows_and_nulls(spark):
     assert Counter(r.doc_id for r in before) == Counter(r.doc_id for r in after)
     texts = {r.doc_id: r.text for r in after}
     assert texts[0] is None and texts[1] == "" and texts[len(ODD)] == "<ip> and <phone> x"
+
+
+def test_very_long_texts_of_one_kind(spark):
+    n = 1_000_000
+    texts = ["so " + "7" * n + " end", "1-" * (n // 2), "a@b" + ".c" * (n // 2) + " end", "a." * (n // 2), "+1" + "(2" * (n // 2), "key: 0a1b2c3d " * 5000, "mail: a@b.cd " * 5000]
+    got = {r.doc_id: r for r in pii_bootstrap.find(documents(spark, texts)).where("doc_id <> 1 OR size(spans) = 0").select("doc_id", "base", F.size("spans").alias("n")).collect()}
+    assert [len(got[i].base) for i in (0, 2, 3, 4, 5, 6)] == [0, 1, 0, 0, 0, 5000]
+    assert (got[2].base[0].start, got[2].base[0].end) == (0, n + 3)
+    out = {r.doc_id: r.text for r in pii_bootstrap.redact(documents(spark, texts)).where("doc_id > 4").collect()}
+    assert out[6] == "mail: <email> " * 5000 and out[5] == texts[5]
+
+
+def test_discovered_values_make_other_patterns_certain(spark):
+    values = [hashlib.md5(str(i).encode()).hexdigest()[:8] for i in range(12)]
+    values = ["a1" + v[2:] for v in values]
+    seeds = [f"x token: {hashlib.md5(str(i).encode()).hexdigest()} y" for i in range(300)]
+    first = [f"x token: {v} y" for v in values]  # found by the pattern that seeds make certain
+    second = [f"x serial: {v} y" for v in values] + ["x serial: a1ffff00 y"]  # its pattern has no seed of its own
+    texts = [*seeds, *first, *second]
+    got = {r.doc_id: r.s for r in pii_bootstrap.find(documents(spark, texts)).select("doc_id", pii_bootstrap.written(F.col("spans")).alias("s")).collect()}
+    assert all(got[i] == "secret:9:17" for i in range(300, 312))
+    assert all(got[i] == "secret:10:18" for i in range(312, 325))
+    one = {r.doc_id: r.s for r in pii_bootstrap.find(documents(spark, texts), max_rounds=1).select("doc_id", pii_bootstrap.written(F.col("spans")).alias("s")).collect()}
+    assert one[300] == "secret:9:17" and one[324] == ""
+
+
+def slow_profile(train, text, dims=256):
+    """Prototypes and cosines by the definition, letter by letter."""
+
+    def vector(t):
+        s = " " + re.sub(r"[^a-zäöüßñ]+", " ", t.lower()).strip() + " "
+        out = np.zeros(dims)
+        code = lambda c: 0 if c == " " else ord(c)
+        for a, b, c in zip(s, s[1:], s[2:]):
+            out += np.roll(language_id.letter_vector(code(a), dims), 2) * np.roll(language_id.letter_vector(code(b), dims), 1) * language_id.letter_vector(code(c), dims)
+        return out
+
+    sums = {}
+    for t, lang in train:
+        sums[lang] = sums.get(lang, 0) + vector(t)
+    v = vector(text)
+    cos = {k: float(v @ p / (np.linalg.norm(v) * np.linalg.norm(p))) for k, p in sums.items()}
+    best = max(sorted(cos), key=cos.get)
+    return best, max(0.0, cos[best])
+
+
+def test_predictions_against_brute_force(spark):
+    rng = random.Random(15)
+    words = {"en": "the and that with they think house".split(), "de": "der die und nicht schön größe haus".split(), "es": "el los que año niño casa con".split()}
+    sentence = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(rng.randint(1, 12)))
+    train = [(sentence(k), k) for k in words for _ in range(8)]
+    texts = [sentence(rng.choice(list(words))) + rng.choice(["", " 12!", "."]) for _ in range(60)]
+    prototypes = language_id.train(spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(train)], "doc_id long, text string, lang string"), dims=256)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), prototypes).collect()}
+    for i, t in enumerate(texts):
+        lang, score = slow_profile(train, t)
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-4

@@ -116,3 +116,37 @@ def test_conversations_against_brute_force(spark):
         assert r.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert r.formatted_chars == len(chat_format.chatml([t[1:] for t in turns]))
     assert chat_format.digest_conversations(chat_format.format_turns(df.limit(0))).collect() == []
+
+
+def test_records_are_dated_and_parsed_from_their_bytes(spark):
+    html = "<p>ü\r\n\r\nContent-Length: 3\r\n\r\n</p>" * 5
+    df = spark.createDataFrame([(1, "http://a/", html), (2, "http://b/", html), (3, "http://c/", "")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc_archive.archive(df, at="2024-05-06T07:08:09Z").collect()}
+    payload = html.encode()
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    record = bytes(got[1].record)
+    header, rest = record.split(b"\r\n\r\n", 1)
+    fields = dict(line.split(": ", 1) for line in header.decode().split("\r\n")[1:])
+    assert header.startswith(b"WARC/1.1\r\n") and fields["WARC-Date"] == "2024-05-06T07:08:09Z" and fields["Content-Type"] == "application/http;msgtype=response"
+    assert rest == head + payload + b"\r\n\r\n" and int(fields["Content-Length"]) == len(head + payload)
+    assert bytes(got[1].payload) == bytes(got[2].payload) == payload and got[2].record_type == "revisit" and b"Content-Length: 0" in bytes(got[2].record)
+    assert bytes(got[3].payload) == b"" and got[3].date == "2024-05-06T07:08:09Z"
+    again = warc_archive.parse_record(spark.createDataFrame([(bytearray(record),)], "record binary")).first()
+    assert (again.page_id, again.url, again.record_type, bytes(again.body)) == (1, "http://a/", "response", payload)
+    now = warc_archive.archive(df).first().date
+    assert len(now) == 20 and now.endswith("Z")
+
+
+def test_small_blocks_and_large_ones_find_the_same(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.integers(-9, 9, (90, 5)) / 256.0)], "vec_id long, embedding array<double>")
+    every = [sorted(tuple(r) for r in topk_search.topk_search(df, F.col("vec_id") % 3 == 0, k=4, **more).collect()) for more in ({}, {"candidates": 7, "queries": 5})]
+    assert every[0] == every[1] and len(every[0]) == 120
+
+
+def test_digests_without_a_second_shuffle(spark):
+    rows = [(c, i, "assistant" if i % 2 else "user", f"t{i}") for c in range(30) for i in range(9)]
+    turns = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    plans = [chat_format.digest_conversations(turns, arranged=a) for a in (False, True)]
+    assert [p._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for p in plans] == [2, 1]
+    assert sorted(map(str, plans[0].collect())) == sorted(map(str, plans[1].collect()))
