@@ -283,7 +283,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
     shared = stash(strings.groupBy("hash", "part", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "part", "string"), "shared")
     close = stash(strings.join(shared, ["hash", "part", "string"], "left_semi").select("hash", "region").distinct(), "close")
     regions = regions.drop("around").join(close.withColumn("close", F.lit(True)), ["hash", "region"], "left").where("many OR close")
-    sizes = close.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    # only hot anchors need their sizes; these are few, so the regions of one needn't meet in a task for it
+    sizes = stash(close.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_regions), "hot-anchors")
     regions = stash(regions.join(sizes, "hash", "left").select("hash", "region", "first", "many", F.coalesce("close", F.lit(False)).alias("close"), "n"), "regions")
 
     marked = found.join(regions, ["hash", "region"])
@@ -293,7 +294,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
     cut = stash(_cut(packed.join(items.where("size(wanted) > 0").select("key", "wanted"), "key").select("key", "packed", "wanted")), "cut")
 
     shards = max(1, math.ceil((cut.agg(F.sum(F.length("bytes"))).first()[0] or 0) / shard_bytes))
-    hot = F.col("n") > max_regions
+    hot = F.col("n").isNotNull()
     # a hot anchor's regions are dealt over parts of at most max_regions; others are in the shard of their anchor
     part = F.when(hot, F.xxhash64("hash", F.pmod(F.xxhash64("key", "lo"), F.ceil(F.col("n") / max_regions)))).otherwise(F.pmod("hash", F.lit(shards)))
     dealt = cut.select("key", "lo", "many", "bytes", hot.alias("hot"), part.alias("shard"))
