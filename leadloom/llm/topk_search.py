@@ -26,8 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a candidate block, of a query block, and queries whose scores are held at once.
-CANDIDATES, QUERIES, TILE = 4096, 2048, 256
+from .common import parallelism
+
+#: Rows of a candidate block, of a query block, and queries whose scores are held at once. Each candidate is sent once a query block and each query once a
+#: candidate block, so blocks are as large as a task's memory allows; only where that gives fewer tasks than cores are candidates cut into SMALL rows.
+CANDIDATES, QUERIES, TILE, SMALL = 16_384, 16_384, 256, 4096
 _FAR = 1 << 62
 
 
@@ -116,6 +119,7 @@ def topk_search(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
     rows = rows.where("id IS NOT NULL AND terms IS NOT NULL")
     n, n_asks = df.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     row_blocks, query_blocks = max(1, math.ceil(n / candidates)), max(1, math.ceil(n_asks / queries))
+    row_blocks = max(row_blocks, min(math.ceil(n / SMALL), math.ceil(parallelism(df.sparkSession) / query_blocks)))
     hashed = F.xxhash64("id", "terms")
     asks = rows.where("asks").select("id", "terms", hashed.alias("row")).dropDuplicates(["id", "row"])
     asks = asks.select("id", "terms", "row", F.pmod("row", F.lit(query_blocks)).cast("long").alias("qb"), F.explode(F.expr(f"sequence(0L, {row_blocks - 1}L)")).alias("cb"))
