@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's docs.
 All but the last return the columns of documents.
+
+Rows: a null or empty text, or one without a letter, is rejected by the first stage; null ids are ids of their own; rows that repeat an id are told apart by their
+place in the written input; null sources are a source; other columns than those of documents go; empty documents give empty results.
 """
 
 from __future__ import annotations
@@ -15,8 +18,9 @@ from leadloom.llm.common import new_path, stash
 from leadloom.llm.queries import VOCABULARY, token_digests
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents whose best cosine is lower are rejected, as are those without a letter.
-MIN_LANGUAGE_SCORE = 0.02
+#: Documents whose best cosine is lower are rejected, as are those without a letter. Texts that share no trigram with any language have cosines around
+#: 1 / sqrt(1024) = 0.03; this is over three times as much.
+MIN_LANGUAGE_SCORE = 0.1
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
