@@ -19,8 +19,8 @@ from leadloom.llm.queries import VOCABULARY, token_digests
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose best cosine is lower are rejected, as are those without a letter. Texts that share no trigram with any language have cosines around
-#: 1 / sqrt(1024) = 0.03; this is over three times as much.
-MIN_LANGUAGE_SCORE = 0.1
+#: 1 / sqrt(1024) = 0.03; this is twice as much, and still under those of clean texts of a few words.
+MIN_LANGUAGE_SCORE = 0.06
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
