@@ -203,9 +203,6 @@ def _judged(pages: DataFrame, lead: str) -> DataFrame:
     return rows.withColumn("kept", ~F.col("broken") & (F.row_number().over(ranked) == 1))
 
 
-HOMEPAGE_ERROR = "homepage_render_error_or_empty_content"
-
-
 def fetch_status(pages: DataFrame, lead: str = "site") -> DataFrame:
     """Per lead of (lead, id, source, content): n_pages, n_kept, n_unusable, status, last_error. A lead whose
     homepage is broken keeps nothing, and that is its error; one of which only the homepage is usable among several counts as failed."""
@@ -216,7 +213,7 @@ def fetch_status(pages: DataFrame, lead: str = "site") -> DataFrame:
     kept = F.when(failed, 0).otherwise(F.col("n_kept")).cast("long")
     per = per.withColumn("n_unusable", F.col("n_pages") - kept)
     status = F.when(failed, "FETCH_FAILED").when((kept == 1) & (F.col("n_pages") > 1), "FETCH_FAILED").when(F.col("n_unusable") > 0, "FETCH_PARTIAL").otherwise("PARSED")
-    return per.select(lead, "n_pages", kept.alias("n_kept"), "n_unusable", status.alias("status"), F.when(failed, HOMEPAGE_ERROR).alias("last_error"))
+    return per.select(lead, "n_pages", kept.alias("n_kept"), "n_unusable", status.alias("status"), F.when(failed, V.HOMEPAGE_ERROR).alias("last_error"))
 
 
 def kept_pages(pages: DataFrame, lead: str = "site") -> DataFrame:
