@@ -3,12 +3,14 @@
 A lead is an original if it matches no earlier original. That is decided in rounds over keys, not pairs: for each key, of all kinds in one table, the smallest ids
 of originals and of undecided leads are aggregated, a lead with an earlier original is a duplicate, one with nothing earlier that is
 undecided is an original. Decided leads go no further; each round decides at least the first undecided lead of every group, and as many as it can of the others, so
-rounds are as many as the longest chain of leads each of which waits for the one before. Names are compared only between distinct names that share a segment (no pair at or over the threshold is lost). Each
+rounds are as many as the longest chain of leads each of which waits for the one before. Names are compared only between distinct names that share a segment, and where that is common another one (no pair at or over the threshold is lost). Each
 round is written: lineage stays short, and the join of keys has written or shuffled sides, whose hot keys Spark may split.
 """
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from ..sources.scratch import stash
 from .ingest import dedup_keys
 
 THRESHOLD = 90
+#: A segment is common if more than HOT x HOT pairs of names would meet by it; such segments are taken out LEVELS - 1 times.
+HOT, LEVELS = 1024, 4
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -39,29 +43,71 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common_subsequence(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
-def similar_names(names: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b), both ways, of distinct non-empty ``name_key`` with 200 * LCS >= threshold * (sum of lengths). If names have a flag ``fresh``, only pairs
-    with a fresh one."""
-    fresh = F.col("fresh") if "fresh" in names.columns else F.lit(True)
-    names = names.where("name_key <> ''").groupBy("name_key").agg(F.max(fresh).alias("fresh"))
-    names = stash(names.select("name_key", F.length("name_key").alias("n"), "fresh"), "names")
-    lengths = names.select("n").distinct()
+def _length_pairs(lengths: DataFrame, threshold: int) -> DataFrame:
+    """la <= lb, two lengths that a pair at the threshold may have, and d, the insertions and deletions it may differ by."""
     longest = F.floor(F.col("n") * (200 - threshold) / max(threshold, 1)).cast("int")
     pairs = lengths.select(F.col("n").alias("la"), F.explode(F.sequence("n", longest)).alias("lb")).join(lengths.select(F.col("n").alias("lb")), "lb")
     edits = F.expr(f"(({100 - threshold} * (la + lb)) div 100)").cast("int")
     pairs = pairs.withColumn("d", edits).withColumn("d", F.col("d") - ((F.col("la") + F.col("lb") - F.col("d")) % 2)).where("d >= lb - la")
-    cut = F.explode(F.expr("transform(sequence(0, d), i -> struct(i AS i, (i * la) div (d + 1) AS lo, ((i + 1) * la) div (d + 1) AS hi))"))
-    pairs = pairs.select("la", "lb", "d", cut.alias("s")).select("la", "lb", "d", "s.i", F.col("s.lo").cast("int").alias("lo"), F.col("s.hi").cast("int").alias("hi"))
-    index = names.select(F.col("name_key").alias("a"), "n", "fresh").join(pairs, F.col("n") == F.col("la")).select("a", F.col("fresh").alias("fresh_a"), "la", "lb", "i", F.expr("substring(a, lo + 1, hi - lo)").alias("part"))
-    shift = F.explode(F.expr("sequence(greatest(0, lo - (d - (lb - la)) div 2), least(lb - (hi - lo), lo + (d + lb - la) div 2))")).alias("at")
-    probe = names.select(F.col("name_key").alias("b"), "n", "fresh").join(pairs, F.col("n") == F.col("lb")).where("lb - (hi - lo) >= greatest(0, lo - (d - (lb - la)) div 2)")
-    probe = probe.select("b", "fresh", "la", "lb", "i", "lo", "hi", shift).select("b", "fresh", "la", "lb", "i", F.expr("substring(b, cast(at AS int) + 1, hi - lo)").alias("part")).distinct()
-    found = index.join(probe, ["la", "lb", "i", "part"]).where("a <> b AND (fresh OR fresh_a)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select("la", "lb", "d")
+
+
+def _cut(rows: DataFrame, shifted: bool) -> DataFrame:
+    """Each row once for each of the d + 1 segments of the shorter name's rest (and each place it may have in the longer one's, if ``shifted``), its key made
+    longer by that segment, which is taken out of its rest."""
+    rest = "(length(rest) - lb + la)" if shifted else "length(rest)"
+    cuts = F.explode(F.expr(f"transform(sequence(0, d), i -> struct(i AS i, (i * {rest}) div (d + 1) AS lo, ((i + 1) * {rest}) div (d + 1) AS hi))"))
+    rows = rows.select("*", cuts.alias("s")).select(*rows.columns, "s.i", F.col("s.lo").cast("int").alias("lo"), F.expr("cast(s.hi - s.lo AS int)").alias("n"))
+    if shifted:
+        rows = rows.withColumns({"least": F.expr("greatest(0, lo - (d - (lb - la)) div 2)"), "most": F.expr("least(length(rest) - n, lo + (d + lb - la) div 2)")}).where("least <= most")
+        rows = rows.withColumn("at", F.explode(F.expr("sequence(least, most)")))
+    else:
+        rows = rows.withColumn("at", F.col("lo"))
+    key = F.expr("xxhash64(key, i, substring(rest, cast(at AS int) + 1, n))")
+    rest_left = F.expr("concat(substring(rest, 1, cast(at AS int)), substring(rest, cast(at AS int) + n + 1))")
+    return rows.select("name", "fresh", "la", "lb", "d", rest_left.alias("rest"), key.alias("key")).distinct()
+
+
+def similar_names(names: DataFrame, threshold: int = THRESHOLD, hot: int = HOT, levels: int = LEVELS) -> DataFrame:
+    """Pairs (a, b), both ways, of distinct non-empty ``name_key`` with 200 * LCS >= threshold * (sum of lengths). If names have a flag ``fresh``, only pairs
+    with a fresh one.
+
+    Of the d + 1 segments of a name, one at least is untouched in a name that differs by d insertions and deletions; names meet by such a segment. Where a
+    segment is so common that more than ``hot`` x ``hot`` pairs would meet by it, it is taken out of both names, whose rests differ by d at most as well, and the
+    rests must share a segment in turn. After ``levels`` such steps what is still common is met in blocks of ``hot`` names."""
+    fresh = F.col("fresh") if "fresh" in names.columns else F.lit(True)
+    names = names.where("name_key <> ''").groupBy("name_key").agg(F.max(fresh).alias("fresh"))
+    names = stash(names.select("name_key", F.length("name_key").alias("n"), "fresh"), "names")
+    pairs = _length_pairs(names.select("n").distinct(), threshold)
+    state = [F.col("name_key").alias("name"), "fresh", "la", "lb", "d", F.col("name_key").alias("rest"), F.xxhash64("la", "lb").alias("key")]
+    short, long = (names.join(pairs, F.col("n") == F.col(side)).select(*state) for side in ("la", "lb"))
+    met = []
+    for level in range(levels):
+        short, long = stash(_cut(short, False), "short-names"), stash(_cut(long, True), "long-names")
+        sizes = short.groupBy("key").agg(F.count(F.lit(1)).alias("ns")).join(long.groupBy("key").agg(F.count(F.lit(1)).alias("nl")), "key")
+        common = stash(sizes.where(F.col("ns").cast("double") * F.col("nl") > float(hot) * hot), "common-segments")
+        cold_short, cold_long = (x.join(common, "key", "left_anti") for x in (short, long))
+        met.append(_meet(cold_short.withColumn("part", F.lit(0)), cold_long.withColumn("part", F.lit(0))))
+        parts = F.ceil(F.col("ns") / hot).cast("int")
+        short, long = (x.join(common.withColumn("parts", parts).drop("ns", "nl"), "key") for x in (short, long))
+        if not common.take(1):
+            break
+        if level == levels - 1:
+            met.append(_meet(short.withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")), long.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))))
+    found = functools.reduce(DataFrame.unionByName, met).distinct()
     near = found.where(200 * lcs_length("a", "b") >= threshold * (F.length("a") + F.length("b")))
     near = stash(near, "similar-names")
     return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def _meet(short: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs a < b of one key and part that no more than d edits (of which a replacement is one) keep apart."""
+    short = short.select("key", "part", F.col("name").alias("x"), F.col("fresh").alias("fresh_x"), "d")
+    long = long.select("key", "part", F.col("name").alias("y"), F.col("fresh").alias("fresh_y"))
+    near = short.join(long, ["key", "part"]).where("x <> y AND (fresh_x OR fresh_y) AND levenshtein(x, y, d) >= 0")
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 KINDS = ("email_key", "domain_key", "name_key")
 
 

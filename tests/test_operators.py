@@ -308,3 +308,33 @@ def test_a_cluster_needs_a_shared_folder():
     cluster = Box(conf=Box(get=lambda *_: None), sparkContext=Box(master="spark://host:7077"))
     with pytest.raises(ValueError, match="checkpoint"):
         scratch.shared_dir(cluster)
+
+
+def test_similar_names_with_common_words_against_all_pairs(spark):
+    r = random.Random(7)
+    names = set()
+    for _ in range(50):
+        name = "".join(r.choice("ab\u00e9") for _ in range(r.randint(1, 9))) + r.choice([" solutions", " consulting group", ""])
+        names.add(name)
+        for _ in range(2):
+            x = list(name)
+            for _ in range(r.randint(1, 3)):
+                k = r.randrange(len(x) + 1)
+                if r.random() < 0.5 and k < len(x):
+                    x.pop(k)
+                else:
+                    x.insert(k, r.choice("abz"))
+            names.add("".join(x))
+    names.discard("")
+    want = {(a, b) for a in names for b in names if a != b and 200 * dedup.common_subsequence(a, b) >= 90 * (len(a) + len(b))}
+    assert len(want) > 100
+    df = spark.createDataFrame([(n,) for n in names], "name_key string")
+    for hot, levels in ((dedup.HOT, dedup.LEVELS), (8, 2)):
+        assert {(x.a, x.b) for x in dedup.similar_names(df, 90, hot, levels).collect()} == want
+
+
+def test_many_names_that_share_a_word_make_few_pairs(spark):
+    own = F.translate(F.substring(F.md5(F.col("id").cast("string")), 1, 10), "0123456789", "ghijklmnop")
+    names = spark.range(3000).select(F.concat(own, F.lit(" solutions")).alias("name_key"))
+    pairs = {(x.a, x.b) for x in dedup.similar_names(names, hot=256).collect()}
+    assert all((b, a) in pairs and dedup.common_subsequence(a, b) >= 18 for a, b in pairs) and len(pairs) < 100
