@@ -5,8 +5,9 @@ included. Fingerprints at ``radius`` or fewer differing bits are linked; classes
 
 Fingerprints are compared exactly, in tiles: numpy exclusive-or of two runs of fingerprints in order of their
 population counts, then bit counts; pairs of runs whose counts differ by more than the radius are skipped. So that tiles needn't
-cover all pairs of a large corpus, distinct fingerprints are first put into buckets by each of radius + 1 equal
-bands of bits: two within the radius agree in one band at least, so no link is lost. Buckets are packed into tiles of about
+cover all pairs of a large corpus, distinct fingerprints are cut into bands of bits and first put into buckets by every choice of
+all but ``radius`` bands: two within the radius agree in one such choice at least, so no link is lost, whatever the number of bands. More bands make
+wider choices (4: 4 of 16 bits; 5: 10 of 25; 6: 20 of 32; 7: 35 of 36; 8: 56 of 40), and as many are taken as keep a bucket of evenly spread fingerprints within half a tile. Buckets are packed into tiles of about
 ``tile`` rows. A bucket larger than that is cut by population count (and, if need be, by a hash), and only
 pairs of parts whose counts are within the radius are compared, each in a task of its own. A tile reports no pairs but a
 spanning forest of its links, so a group of n near copies gives fewer than n rows a tile.
@@ -19,6 +20,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -112,20 +114,31 @@ def tile_links(values: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[
     return out
 
 
-def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, hot_tile: int = HOT_TILE) -> DataFrame:
+def band_masks(radius: int, bands: int) -> list[int]:
+    """The bits of every choice of ``bands`` - ``radius`` bands, as signed longs."""
+    ends = [64 * i // bands for i in range(bands + 1)]
+    parts = [(1 << b) - (1 << a) for a, b in itertools.pairwise(ends)]
+    masks = [sum(chosen) for chosen in itertools.combinations(parts, bands - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def bands_for(n: int, radius: int, tile: int = TILE) -> int:
+    """The fewest bands whose choices hold ``n`` evenly spread fingerprints in buckets of half a tile, or eight more than the radius."""
+    fits = (b for b in range(radius + 1, radius + 9) if n / 2 ** (64 * (b - radius) // b) <= tile / 2)
+    return next(fits, radius + 9)
+
+
+def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, hot_tile: int = HOT_TILE, bands: int | None = None) -> DataFrame:
     """Links (a, b) whose connected components are those of all pairs of distinct fingerprints ``fp`` within the radius."""
-    bands = radius + 1
-    width = 64 // bands
     n = nodes.count()
-    band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))
-    rows = nodes.select("fp", F.bit_count("fp").alias("ones"), band.alias("band"))
-    # the last band takes the bits that are over
-    value = F.expr(f"shiftrightunsigned(fp, band * {width}) & CASE WHEN band = {bands - 1} THEN -1L ELSE {(1 << width) - 1}L END")
-    rows = rows.select("fp", "ones", F.xxhash64("band", value).alias("bucket"))
+    masks = band_masks(radius, bands or bands_for(n, radius, tile))
+    mask = F.posexplode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("choice", "mask")
+    rows = nodes.select("fp", F.bit_count("fp").alias("ones"), mask)
+    rows = rows.select("fp", "ones", F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
     hot = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > tile)
     hot = stash(hot.select(F.col("bucket").alias("hot"), F.ceil(F.col("size") / hot_tile).cast("int").alias("parts")), "hot-buckets")
     rows = rows.join(hot, F.col("bucket") == F.col("hot"), "left")
-    tiles = max(1, math.ceil(n * bands / tile))
+    tiles = max(1, math.ceil(n * len(masks) / tile))
     cold = rows.where("hot IS NULL").select(F.pmod("bucket", F.lit(tiles)).alias("tile"), F.lit(0).alias("side"), "fp")
     dealt = rows.where("hot IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("fp", "bucket"), F.col("parts")).cast("int"))
     other = F.expr(f"explode(flatten(transform(sequence(-{radius}, {radius}), d -> transform(sequence(0, parts - 1), p -> struct(ones + d AS ones, p AS part)))))")

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import os
 import random
 import re
@@ -144,13 +145,25 @@ def test_small_tiles_find_the_same_links(spark):
                 x ^= 1 << rng.randrange(64)
             fps.add(x - (1 << 64) if x >> 63 else x)
     nodes = spark.createDataFrame([(x,) for x in fps], "fp long")
-    got = [{r.node: r.root for r in star_components(simhash_dedup.fingerprint_links(nodes, tile=a, hot_tile=b)).collect()} for a, b in ((4096, 16384), (5, 4))]
-    assert got[0] == got[1]
+    ways = ((4096, 16384, None), (5, 4, None), (4096, 16384, 4), (5, 4, 4), (4096, 16384, 6), (5, 4, 8))
+    got = [{r.node: r.root for r in star_components(simhash_dedup.fingerprint_links(nodes, tile=a, hot_tile=b, bands=c)).collect()} for a, b, c in ways]
+    assert all(g == got[0] for g in got)
     ordered = sorted(fps)
     want = {x: c for x, c in zip(ordered, components([x % (1 << 64) for x in ordered], ordered), strict=True)}
     assert got[0] == {x: c for x, c in want.items() if list(want.values()).count(c) > 1}
 
 
+def test_any_two_within_the_radius_agree_in_a_choice_of_bands():
+    rng = random.Random(8)
+    for radius, bands in ((3, 4), (3, 5), (3, 6), (3, 8), (1, 3)):
+        masks = [m % (1 << 64) for m in simhash_dedup.band_masks(radius, bands)]
+        assert len(masks) == math.comb(bands, radius)
+        for _ in range(500):
+            apart = sum(1 << b for b in rng.sample(range(64), radius))
+            assert any(not apart & m for m in masks)
+    assert [simhash_dedup.bands_for(n, 3) for n in (0, 1000, 10**6, 10**9, 10**11, 10**13)] == [4, 4, 4, 5, 6, 7]  # 10**13 / 2**32 is over 2048
+
+
 def test_components_of_a_long_chain(spark):
     ids = list(range(60))
     random.Random(1).shuffle(ids)
