@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, language_id, mixing, pii_bootstrap, quality_rules, simhash_dedup, suffix_dedup, topk_search, warc_archive
+from . import byte_bpe, chat_format, language_id, lm_scoring, mixing, pii_bootstrap, quality_rules, simhash_dedup, suffix_dedup, topk_search, warc_archive
 
 #: Where the vocabulary is; a parameter of encode() and decode().
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -86,7 +86,11 @@ def op10_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(kind) for kind, _ in pii_bootstrap.BASE), base, pii_bootstrap.written(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_warc_archive, op4_simhash_dedup, op5_quality_rules, quality_ablation, op6_chat_format, op7_suffix_dedup, op8_byte_bpe, op9_mixing, op10_pii_bootstrap)}
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_warc_archive, op4_simhash_dedup, op5_quality_rules, quality_ablation, op6_chat_format, op7_suffix_dedup, op8_byte_bpe, op9_mixing, op10_pii_bootstrap, op13_lm_scoring)}
 
 #: The measurements of operator 5 for each document, as SQL (relation b).
 _MEASURES = r"""
@@ -159,4 +163,22 @@ ORACLE = {
           CAST((block // p) * period + ((block % p) * period) // p AS BIGINT) AS release,
           CAST((block // p) * period + ((block % p + 1) * period + p - 1) // p AS BIGINT) AS deadline
         FROM d JOIN slots ON d.lane = slots.lane AND d.block % d.p = slots.i""",
+    "op13_lm_scoring": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+        h AS (SELECT r, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ord(x)::BIGINT)),
+                lambda c, b: xor(c // 256, t[1 + xor(c % 256, b)])), 4294967295) % 7 = 2 AS held FROM d, crc),
+        p AS (SELECT d.r, unnest(range(2, len(w) + 3)) AS i, list_concat(['<start>'], list_concat(w, ['<end>'])) AS s FROM d),
+        g AS (SELECT p.r, held, s[i] AS w, s[i - 1] AS h1, CASE WHEN i > 2 THEN s[i - 2] END AS h2 FROM p JOIN h ON p.r = h.r),
+        c1 AS (SELECT w, count(*) AS c FROM g WHERE NOT held GROUP BY w), c2 AS (SELECT h1, w, count(*) AS c FROM g WHERE NOT held GROUP BY h1, w),
+        c3 AS (SELECT h2, h1, w, count(*) AS c FROM g WHERE NOT held AND h2 IS NOT NULL GROUP BY h2, h1, w),
+        n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v, (SELECT count(*) FROM h WHERE NOT held) AS texts FROM c1),
+        k AS (SELECT g.r, coalesce(a.c, 0) AS c, (coalesce(a.c, 0) + 1.0::DOUBLE / (v + 1)) / (n + 1) AS p1, coalesce(b.c, 0) AS cb, coalesce(hb.c, CASE WHEN g.h1 = '<start>' THEN texts ELSE 0 END) AS nb,
+                coalesce(t.c, 0) AS ct, coalesce(ht.c, 0) AS nt, g.h2 IS NULL AS short, n, v
+              FROM g CROSS JOIN n LEFT JOIN c1 a ON g.w = a.w LEFT JOIN c1 hb ON g.h1 = hb.w LEFT JOIN c2 b ON g.h1 = b.h1 AND g.w = b.w
+              LEFT JOIN c3 t ON g.h2 = t.h2 AND g.h1 = t.h1 AND g.w = t.w LEFT JOIN c2 ht ON g.h2 = ht.h1 AND g.h1 = ht.w),
+        q AS (SELECT *, (cb + 100.0::DOUBLE * p1) / (nb + 100.0::DOUBLE) AS p2 FROM k),
+        s AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, any_value(n) AS train_tokens, fsum(log10((c + 1)::DOUBLE / (n + v + 1))) AS base_score,
+                fsum(log10(CASE WHEN short THEN p2 ELSE (ct + 10.0::DOUBLE * p2) / (nt + 10.0::DOUBLE) END)) AS score FROM q GROUP BY r)
+        SELECT doc_id, held AS held_out, n_tokens, n_known, train_tokens, base_score, score FROM s JOIN d ON s.r = d.r JOIN h ON s.r = h.r""",
 }
