@@ -6,13 +6,14 @@ each, with its own count: hashes are dealt by their value into ranges, a range a
 the order in which it asked, so that an answer is a few bits. An n-gram is asked for at most once a block, however often it occurs, so no
 range has a hot key; nothing is broadcast or sent to the driver. Blocks and ranges bound the memory of a task.
 
-Single words are told apart by 128 bits, longer n-grams by 64.
+Single words are told apart by 88 bits, longer n-grams by 56.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,22 +25,28 @@ from pyspark.sql import functions as F
 from .common import parallelism
 
 #: Words of a block, and how many ranges of hashes there are for each shuffle partition.
-BLOCK_TOKENS, RANGES = 1 << 21, 2
+BLOCK_TOKENS, RANGES = 1 << 20, 2
+#: Bits of a hash.
+BITS = 56
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pack(xs: np.ndarray) -> bytes:
-    """Whole numbers, byte plane by byte plane, so that what small numbers leave empty is stored in almost nothing."""
-    planes = np.ascontiguousarray(xs).view(np.uint8).reshape(len(xs), xs.dtype.itemsize).T
-    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True) if len(xs) else b""
+    """Whole numbers, each byte plane compressed by itself, so that what small numbers leave empty takes next to nothing."""
+    if not len(xs):
+        return b""
+    planes = [pa.compress(p.tobytes(), codec="zstd", asbytes=True) for p in np.ascontiguousarray(xs).view(np.uint8).reshape(len(xs), xs.dtype.itemsize).T]
+    return np.array([len(p) for p in planes], np.uint32).tobytes() + b"".join(planes)
 
 
 def unpack(data: bytes, n: int, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    if not n:
-        return np.zeros(0, kind)
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd"), np.uint8).reshape(size, n)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    out = np.zeros((n, size), np.uint8)
+    if n:
+        ends = 4 * size + np.append(0, np.cumsum(np.frombuffer(data, np.uint32, size).astype(np.int64)))
+        for i in range(size):
+            out[:, i] = np.frombuffer(pa.decompress(data[ends[i] : ends[i + 1]], decompressed_size=n, codec="zstd"), np.uint8)
+    return out.view(kind).ravel()
 
 
 class Dictionary:
@@ -72,28 +79,29 @@ class _Numbers(dict):
         return n
 
 
+_BLOCK = (("block", pa.int64()), ("words", pa.binary()), ("words_bytes", pa.int64()), ("n_words", pa.int64()), ("ids", pa.binary()), ("n_ids", pa.int64()), ("ends", pa.binary()), ("n_ends", pa.int64()))
 #: A function from a text's other columns and its bytes to (kind, lists of words): each list is a sequence, in which n-grams lie.
 Reader = Callable[[tuple, bytes], tuple[bytes, Iterator[list[bytes]]]]
 
 
 def write_blocks(docs: DataFrame, text: str, keep: tuple[str, ...], reader: Reader, first: tuple[bytes, ...] = (), around: tuple[int, ...] = (), tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of texts (null: empty): block, ``keep`` (lists, a value a text), kinds and words of its dictionary, n_words, ids (the words' numbers) with n_ids, and ends (where
-    each sequence ends) with n_ends. ``around``: numbers of words of ``first`` that every sequence begins and ends with. Words hold no line feed."""
+    """Blocks of texts (null: empty): block, ``keep`` (lists, a value a text), its dictionary (words, with the kind before each), ids (the words' numbers) and ends (where
+    each sequence ends), packed, with their sizes. ``around``: numbers of words of ``first`` that every sequence begins and ends with. Words hold no line feed."""
     src = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text"))
     types = [src.schema[c].dataType for c in keep]
     kinds = ", ".join(f"`{c}` array<{t.simpleString()}>" for c, t in zip(keep, types, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, number = TaskContext.get().partitionId() << 32, 0
-        words, ids, ends, kept = Dictionary(first), [], [], [[] for _ in keep]
+        words, ids, ends, kept = Dictionary(first), array("I"), array("Q"), [[] for _ in keep]
 
         def block() -> pa.RecordBatch:
             entries = words.entries()
             lists = [pa.ListArray.from_arrays(pa.array([0, sum(map(len, x))], pa.int32()), pa.concat_arrays(x)) for x in kept]
-            numbers = np.array(ids, np.uint32)
-            values = (base + number, b"\n".join(k for k, _ in entries), b"\n".join(w for _, w in entries), len(entries), pack(numbers), len(ids), pack(np.array(ends, np.uint64)), len(ends))
-            names = ("block", "kinds", "words", "n_words", "ids", "n_ids", "ends", "n_ends")
-            sorts = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64())
+            text = b"\n".join(x for pair in entries for x in pair)
+            packed = pa.compress(text, codec="zstd", asbytes=True)
+            values = (base + number, packed, len(text), len(entries), pack(np.frombuffer(ids, np.uint32)), len(ids), pack(np.frombuffer(ends, np.uint64)), len(ends))
+            names, sorts = tuple(zip(*_BLOCK, strict=True))
             return pa.RecordBatch.from_arrays([*lists, *(pa.array([v], t) for v, t in zip(values, sorts, strict=True))], names=[*keep, *names])
 
         for batch in batches:
@@ -114,14 +122,15 @@ def write_blocks(docs: DataFrame, text: str, keep: tuple[str, ...], reader: Read
                         x.append(c.slice(since, at + 1 - since))
                     since = at + 1
                     yield block()
-                    words, ids, ends, kept, number = Dictionary(first), [], [], [[] for _ in keep], number + 1
+                    words, ids, ends, kept, number = Dictionary(first), array("I"), array("Q"), [[] for _ in keep], number + 1
             for x, c in zip(kept, batch.columns, strict=False):
                 if since < len(c):
                     x.append(c.slice(since))
         if ends or any(kept):
             yield block()
 
-    return src.mapInArrow(run, f"{kinds + ', ' * bool(kinds)}block long, kinds binary, words binary, n_words long, ids binary, n_ids long, ends binary, n_ends long")
+    schema = "block long, words binary, words_bytes long, n_words long, ids binary, n_ids long, ends binary, n_ends long"
+    return src.mapInArrow(run, f"{kinds + ', ' * bool(kinds)}{schema}")
 
 
 class Block:
@@ -130,26 +139,28 @@ class Block:
 
     def __init__(self, row: dict, order: int):
         n = row["n_words"]
-        self.words = row["words"].split(b"\n") if n else []
-        self.kinds = row["kinds"].split(b"\n") if n else []
-        self.ids = unpack(row["ids"], row["n_ids"], np.uint32).astype(np.int64)
+        entries = pa.decompress(row["words"], decompressed_size=row["words_bytes"], codec="zstd", asbytes=True).split(b"\n") if n else []
+        self.kinds, self.words = entries[::2], entries[1::2]
+        self.ids = unpack(row["ids"], row["n_ids"], np.uint32).view(np.int32)
         self.ends = unpack(row["ends"], row["n_ends"], np.uint64).astype(np.int64)
         self.starts = np.append(0, self.ends[:-1]) if len(self.ends) else self.ends
-        self.place = np.arange(len(self.ids)) - np.repeat(self.starts, self.ends - self.starts)
+        self.place = np.arange(len(self.ids), dtype=np.int32) - np.repeat(self.starts, self.ends - self.starts).astype(np.int32)
         self.digests = np.frombuffer(b"".join(hashlib.blake2b(k + b"\n" + w, digest_size=16).digest() for k, w in zip(self.kinds, self.words, strict=True)), np.uint64).reshape(n, 2)
         #: By order: hash, number of the first n - 1 words, place of one occurrence.
-        self.grams, self.hashes, self.heads, self.found_at = [self.ids], [self.digests[:, 0]], [None], [None]
+        mixed, self.more = self.digests[:, 0], self.digests[:, 1].astype(np.uint32)
+        self.grams, self.hashes, self.heads, self.found_at = [self.ids], [mixed >> np.uint64(64 - BITS)], [None], [None]
         for k in range(2, order + 1):
             ends = np.flatnonzero(self.place >= k - 1)
             before = self.grams[-1]
-            codes, at, inverse = np.unique(before[ends - 1] * n + self.ids[ends], return_index=True, return_inverse=True)
-            numbers = np.full(len(self.ids), -1, np.int64)
+            codes, at, inverse = np.unique(before[ends - 1].astype(np.int64) * n + self.ids[ends], return_index=True, return_inverse=True)
+            numbers = np.full(len(self.ids), -1, np.int32)
             numbers[ends] = inverse
             heads = codes // max(n, 1)
+            mixed = _mix(mixed[heads] * _STEP + self.digests[codes % max(n, 1), 0])
             self.grams.append(numbers)
-            self.hashes.append(_mix(self.hashes[-1][heads] * _STEP + self.digests[codes % max(n, 1), 0]))
-            self.heads.append(heads)
-            self.found_at.append(ends[at])
+            self.hashes.append(mixed >> np.uint64(64 - BITS))
+            self.heads.append(heads.astype(np.int32))
+            self.found_at.append(ends[at].astype(np.int32))
 
     def counts(self, order: int, where: np.ndarray | None = None) -> np.ndarray:
         """How often each n-gram of that order ends in the block, at the places in ``where`` only."""
@@ -160,8 +171,8 @@ class Block:
     def dealt(self, order: int, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The order of its hashes in which the block asks, the ranges that they fall into, and where each of these begins."""
         hashes = self.hashes[order - 1]
-        by_hash = np.lexsort((self.digests[:, 1], hashes)) if order == 1 else np.argsort(hashes, kind="stable")
-        of = ((hashes[by_hash] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        by_hash = np.lexsort((self.more, hashes)) if order == 1 else np.argsort(hashes, kind="stable")
+        of = ((hashes[by_hash] >> np.uint64(BITS - 32)) * np.uint64(ranges)) >> np.uint64(32)
         there, begin = np.unique(of, return_index=True)
         return by_hash, there, np.append(begin, len(of))
 
@@ -177,11 +188,14 @@ def corpus_counts(blocks: DataFrame, orders: int, where: Callable[[Block, dict],
     range's n-grams are counted at all) and occurrences (the sum of their counts). ``where``: the places that count, for each block; ``answer``: what of the sums the blocks get."""
     spark = blocks.sparkSession
     ranges = ranges or RANGES * parallelism(spark)
-    columns = [c for c in blocks.columns if where is not None or c in ("block", "kinds", "words", "n_words", "ids", "n_ids", "ends", "n_ends")]
+    columns = [c for c in blocks.columns if where is not None or c in dict(_BLOCK)]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(len(batch)):
+                row = batch.slice(at, 1).to_pylist()[0]
+                block = None  # one at a time in memory
                 block = Block(row, orders)
                 places = where(block, row) if where else None
                 for order in range(1, orders + 1):
@@ -190,7 +204,7 @@ def corpus_counts(blocks: DataFrame, orders: int, where: Callable[[Block, dict],
                     rows = []
                     for r, lo, hi in zip(there.tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
                         keys = block.hashes[order - 1][by_hash[lo:hi]]
-                        more = pack(block.digests[by_hash[lo:hi], 1]) if order == 1 else b""
+                        more = pack(block.more[by_hash[lo:hi]]) if order == 1 else b""
                         rows.append((order, r, row["block"], hi - lo, pack(np.diff(keys, prepend=np.uint64(0))), more, pack(counts[by_hash[lo:hi]])))
                     if rows:
                         yield _batch(rows, _ASKED)
@@ -199,7 +213,7 @@ def corpus_counts(blocks: DataFrame, orders: int, where: Callable[[Block, dict],
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
         order, r = rows[0]["gram_order"], rows[0]["range_id"]
         keys = np.concatenate([np.cumsum(unpack(x["hashes"], x["n"], np.uint64), dtype=np.uint64) for x in rows])
-        more = np.concatenate([unpack(x["more"], x["n"], np.uint64) for x in rows]) if order == 1 else np.zeros(0, np.uint64)
+        more = np.concatenate([unpack(x["more"], x["n"], np.uint32) for x in rows]) if order == 1 else np.zeros(0, np.uint32)
         counts = np.concatenate([unpack(x["counts"], x["n"], np.uint32) for x in rows])
         by_key = np.lexsort((more, keys)) if order == 1 else np.argsort(keys, kind="stable")
         new = np.append(False, keys[by_key][1:] != keys[by_key][:-1])
@@ -241,7 +255,7 @@ def answers_of(block: Block, rows: list[dict], orders: int, kind: type = np.uint
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame, use: Callable[[pa.Table, dict, list[dict]], pa.Table], schema: str) -> DataFrame:
-    """``use`` of each block, as a table of one row and as that row, and its answers."""
+    """``use`` of each block, as a table of one row and as that row, and its answers. Blocks that are written in buckets by block (``stash_bucketed``) stay where they are."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return use(left, left.to_pylist()[0], right.to_pylist())

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import new_path, shared_dir, stash
 
-__all__ = ["BATCH_BYTES", "bound_batches", "new_path", "parallelism", "shared_dir", "stash", "word_runs"]
+__all__ = ["BATCH_BYTES", "bound_batches", "new_path", "parallelism", "shared_dir", "stash", "stash_bucketed", "word_runs"]
 
 #: Bytes of text that one Arrow batch hands to a Python worker; bounds a worker's memory when texts are long.
 BATCH_BYTES = 8 << 20
@@ -22,6 +22,18 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def stash_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``stash`` in buckets by key: what groups or joins by it later leaves these rows where they are. The catalog's entry is dropped at once; the files stay, as those of ``stash``."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = f"leadloom_{path.rpartition('/')[2].replace('-', '_')}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    found = spark.table(table)
+    found.schema  # noqa: B018  resolved before its entry goes
+    spark.sql(f"DROP TABLE {table}")
+    return found
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,7 +12,7 @@ and arcs that its texts can reach. In a block many texts are read at once, step
 in the state that the words before it lead to.
 
 Rows: a null text is empty, and an empty text is one end; rows without an id are learned from; equal rows count and are scored each; an empty
-table gives no row; where nothing is learned, every word is unknown. Extra columns are not read. Counts of words are exact (128-bit digests tell words apart), those of longer n-grams up to collisions of 64 bits.
+table gives no row; where nothing is learned, every word is unknown. Extra columns are not read. Counts of words are exact (digests of 88 bits tell words apart), those of longer n-grams up to collisions of 56 bits.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, answers_of, corpus_counts, with_answers, write_blocks
-from .common import bound_batches, stash
+from .common import bound_batches, parallelism, stash, stash_bucketed
 
 #: Words of an n-gram, the weight of a shorter history's distribution by the n-gram's length, and tokens of a segment.
 ORDER, PRIOR, SEGMENT = 3, (1.0, 100.0, 10.0), 512
@@ -103,7 +103,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: Col
     spark = docs.sparkSession
     bound_batches(spark)
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(held if held is not None else held_out(id_col), F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"))
-    blocks = stash(write_blocks(src, "text", ("id", "held_out"), _read, (START, END), (0, 1)), "blocks")
+    blocks = stash_bucketed(write_blocks(src, "text", ("id", "held_out"), _read, (START, END), (0, 1)), "blocks", "block", parallelism(spark))
     answers = stash(corpus_counts(blocks, order, _learned), "counts")
     # a start is a state, but no token; every learned text has one
     texts = blocks.agg(F.sum(F.size(F.filter("held_out", lambda h: ~h)).cast("long"))).first()[0] or 0

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, language_id, lm_scoring, mixing, pii_bootstrap, quality_rules, simhash_dedup, suffix_dedup, topk_search, warc_archive
+from . import byte_bpe, chat_format, collocations, language_id, lm_scoring, mixing, pii_bootstrap, quality_rules, simhash_dedup, suffix_dedup, topk_search, warc_archive
 
 #: Where the vocabulary is; a parameter of encode() and decode().
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -86,11 +86,15 @@ def op10_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(kind) for kind, _ in pii_bootstrap.BASE), base, pii_bootstrap.written(F.col("spans")).alias("spans"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_warc_archive, op4_simhash_dedup, op5_quality_rules, quality_ablation, op6_chat_format, op7_suffix_dedup, op8_byte_bpe, op9_mixing, op10_pii_bootstrap, op13_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_warc_archive, op4_simhash_dedup, op5_quality_rules, quality_ablation, op6_chat_format, op7_suffix_dedup, op8_byte_bpe, op9_mixing, op10_pii_bootstrap, op11_collocations, op13_lm_scoring)}
 
 #: The measurements of operator 5 for each document, as SQL (relation b).
 _MEASURES = r"""
@@ -163,6 +167,20 @@ ORACLE = {
           CAST((block // p) * period + ((block % p) * period) // p AS BIGINT) AS release,
           CAST((block // p) * period + ((block % p + 1) * period + p - 1) // p AS BIGINT) AS deadline
         FROM d JOIN slots ON d.lane = slots.lane AND d.block % d.p = slots.i""",
+    "op11_collocations": r"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM t)),
+        n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+        g AS (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k))),
+        f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY lang, k, g HAVING count(*) >= 30),
+        c AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1),
+        cuts AS (SELECT c.lang, c.k, c.g, a, cut, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f::HUGEINT + r.f))::BIGINT AS score
+                 FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN f l ON l.lang = c.lang AND l.g = c.g[1:cut] JOIN f r ON r.lang = c.lang AND r.g = c.g[cut + 1:]),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+        longer AS (SELECT lang, g[i:i + n - 1] AS g, max(a) AS most FROM (SELECT *, unnest(range(1, k - n + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS n FROM c)) GROUP BY ALL),
+        kept AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.g = b.g WHERE most IS NULL OR 100 * most < 80 * a)
+        SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score
+        FROM (SELECT kept.*, n.n, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept JOIN n ON n.lang = kept.lang) WHERE rank <= 2000""",
     "op13_lm_scoring": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
