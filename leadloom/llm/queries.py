@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, collocations, language_id, lm_scoring, mixing, pii_bootstrap, quality_rules, simhash_dedup, suffix_dedup, topk_search, warc_archive
+from . import byte_bpe, chat_format, collocations, divergence, language_id, lm_scoring, mixing, pii_bootstrap, quality_rules, simhash_dedup, suffix_dedup, topk_search, warc_archive
 
 #: Where the vocabulary is; a parameter of encode() and decode().
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -90,11 +90,15 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_warc_archive, op4_simhash_dedup, op5_quality_rules, quality_ablation, op6_chat_format, op7_suffix_dedup, op8_byte_bpe, op9_mixing, op10_pii_bootstrap, op11_collocations, op13_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_warc_archive, op4_simhash_dedup, op5_quality_rules, quality_ablation, op6_chat_format, op7_suffix_dedup, op8_byte_bpe, op9_mixing, op10_pii_bootstrap, op11_collocations, op12_source_divergence, op13_lm_scoring)}
 
 #: The measurements of operator 5 for each document, as SQL (relation b).
 _MEASURES = r"""
@@ -181,6 +185,25 @@ ORACLE = {
         kept AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.g = b.g WHERE most IS NULL OR 100 * most < 80 * a)
         SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score
         FROM (SELECT kept.*, n.n, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept JOIN n ON n.lang = kept.lang) WHERE rank <= 2000""",
+    "op12_source_divergence": r"""
+        WITH t AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        o AS (SELECT r, lang, source, unnest(w) AS term FROM t),
+        kept AS (SELECT lang, term, count(*) AS total FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+        grp AS (SELECT DISTINCT lang, source FROM t),
+        c AS (SELECT lang, source, term, count(*) AS c FROM o GROUP BY lang, source, term),
+        l AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+        all_terms AS (SELECT grp.lang, grp.source, kept.term, kept.total, coalesce(c.c, 0) AS c FROM grp JOIN kept ON grp.lang = kept.lang
+          LEFT JOIN c ON c.lang = grp.lang AND c.source = grp.source AND c.term = kept.term),
+        n AS (SELECT lang, source, sum(c) AS n FROM all_terms GROUP BY lang, source),
+        p AS (SELECT a.*, (1 + (1000000000::HUGEINT * (a.c + 1)) // (n.n + l.v))::BIGINT AS p, (1 + (1000000000::HUGEINT * (a.total + 1)) // (l.n + l.v))::BIGINT AS q
+              FROM all_terms a JOIN n ON n.lang = a.lang AND n.source = a.source JOIN l ON l.lang = a.lang),
+        pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0)::BIGINT AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE c > 0 AND p > q),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
     "op13_lm_scoring": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
