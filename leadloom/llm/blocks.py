@@ -168,13 +168,24 @@ class Block:
         there = numbers >= 0 if where is None else (numbers >= 0) & where
         return np.bincount(numbers[there], minlength=len(self.hashes[order - 1]))
 
-    def dealt(self, order: int, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The order of its hashes in which the block asks, the ranges that they fall into, and where each of these begins."""
-        hashes = self.hashes[order - 1]
-        by_hash = np.lexsort((self.more, hashes)) if order == 1 else np.argsort(hashes, kind="stable")
+    def dealt(self, order: int, ranges: int, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams (the chosen ones) in the order of their hashes, in which the block asks for them, the ranges that these fall into, and where each range begins."""
+        chosen = np.arange(len(self.hashes[order - 1])) if chosen is None else chosen
+        hashes = self.hashes[order - 1][chosen]
+        by_hash = np.lexsort((self.more[chosen], hashes)) if order == 1 else np.argsort(hashes, kind="stable")
         of = ((hashes[by_hash] >> np.uint64(BITS - 32)) * np.uint64(ranges)) >> np.uint64(32)
         there, begin = np.unique(of, return_index=True)
-        return by_hash, there, np.append(begin, len(of))
+        return chosen[by_hash], there, np.append(begin, len(of))
+
+    def asks(self, number: int, order: int, ranges: int, counts: np.ndarray, chosen: np.ndarray | None = None) -> pa.RecordBatch:
+        """What the block of that number asks about n-grams: a row a range."""
+        by_hash, there, begin = self.dealt(order, ranges, chosen)
+        rows = []
+        for r, lo, hi in zip(there.tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            keys = self.hashes[order - 1][by_hash[lo:hi]]
+            more = pack(self.more[by_hash[lo:hi]]) if order == 1 else b""
+            rows.append((order, r, number, hi - lo, pack(np.diff(keys, prepend=np.uint64(0))), more, pack(counts[by_hash[lo:hi]].astype(np.uint32))))
+        return _batch(rows, _ASKED)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -183,11 +194,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def corpus_counts(blocks: DataFrame, orders: int, where: Callable[[Block, dict], np.ndarray | None] | None = None, answer: Callable[[np.ndarray, int], np.ndarray] | None = None, ranges: int | None = None) -> DataFrame:
-    """Answers to the blocks: block, gram_order, range_id, n, counts (packed sums, in the order of ``Block.dealt``), and, in the row of the range's first block only (else 0), occurring (how many of the
-    range's n-grams are counted at all) and occurrences (the sum of their counts). ``where``: the places that count, for each block; ``answer``: what of the sums the blocks get."""
-    spark = blocks.sparkSession
-    ranges = ranges or RANGES * parallelism(spark)
+def corpus_counts(blocks: DataFrame, orders: int, where: Callable[[Block, dict], np.ndarray] | None = None, answer: Callable[[np.ndarray, int], np.ndarray] | None = None) -> DataFrame:
+    """Answers to the blocks about n-grams of up to ``orders`` words: block, gram_order, range_id, n, counts (packed sums, in the order of ``Block.dealt``), and, in the row of the
+    range's first block only (else 0), occurring (how many of the range's n-grams are counted at all) and occurrences (the sum of their counts). ``where``: the
+    places that count, for each block; ``answer``: what of the sums the blocks get."""
+    ranges = RANGES * parallelism(blocks.sparkSession)
     columns = [c for c in blocks.columns if where is not None or c in dict(_BLOCK)]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,16 +210,23 @@ def corpus_counts(blocks: DataFrame, orders: int, where: Callable[[Block, dict],
                 block = Block(row, orders)
                 places = where(block, row) if where else None
                 for order in range(1, orders + 1):
-                    counts = block.counts(order, places).astype(np.uint32)
-                    by_hash, there, begin = block.dealt(order, ranges)
-                    rows = []
-                    for r, lo, hi in zip(there.tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-                        keys = block.hashes[order - 1][by_hash[lo:hi]]
-                        more = pack(block.more[by_hash[lo:hi]]) if order == 1 else b""
-                        rows.append((order, r, row["block"], hi - lo, pack(np.diff(keys, prepend=np.uint64(0))), more, pack(counts[by_hash[lo:hi]])))
-                    if rows:
-                        yield _batch(rows, _ASKED)
+                    yield block.asks(row["block"], order, ranges, block.counts(order, places))
+
+    return _added_up(blocks.select(*columns).mapInArrow(ask, _schema(_ASKED)), answer)
+
+
+def more_counts(blocks: DataFrame, answers: DataFrame, order: int, chosen: Callable[[Block, list[dict]], np.ndarray], answer: Callable[[np.ndarray, int], np.ndarray] | None = None) -> DataFrame:
+    """Answers, as ``corpus_counts`` gives them, about those n-grams of ``order`` words that are chosen (by number) for each block from the answers that it has."""
+    ranges = RANGES * parallelism(blocks.sparkSession)
+
+    def ask(_: pa.Table, row: dict, rows: list[dict]) -> pa.Table:
+        block = Block(row, order)
+        return pa.Table.from_batches([block.asks(row["block"], order, ranges, block.counts(order), chosen(block, rows))])
+
+    return _added_up(with_answers(blocks, answers, ask, _schema(_ASKED)), answer)
 
+
+def _added_up(asked: DataFrame, answer: Callable[[np.ndarray, int], np.ndarray] | None) -> DataFrame:
     def add_up(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
         order, r = rows[0]["gram_order"], rows[0]["range_id"]
@@ -229,29 +247,30 @@ def corpus_counts(blocks: DataFrame, orders: int, where: Callable[[Block, dict],
             at += x["n"]
         return pa.Table.from_batches([_batch(out, _ANSWERED)])
 
-    asked = blocks.select(*columns).mapInArrow(ask, "gram_order int, range_id long, block long, n long, hashes binary, more binary, counts binary")
-    return asked.groupBy("gram_order", "range_id").applyInArrow(add_up, "gram_order int, range_id long, block long, n long, counts binary, occurring long, occurrences long")
+    return asked.groupBy("gram_order", "range_id").applyInArrow(add_up, _schema(_ANSWERED))
 
 
 _ASKED = pa.schema([("gram_order", pa.int32()), ("range_id", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("more", pa.binary()), ("counts", pa.binary())])
 _ANSWERED = pa.schema([("gram_order", pa.int32()), ("range_id", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("occurring", pa.int64()), ("occurrences", pa.int64())])
 
 
+def _schema(schema: pa.Schema) -> str:
+    names = {"int32": "int", "int64": "long"}
+    return ", ".join(f"{f.name} {names.get(str(f.type), str(f.type))}" for f in schema)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-
-def answers_of(block: Block, rows: list[dict], orders: int, kind: type = np.uint64) -> list[np.ndarray]:
-    """The sums of each order, by the number of the n-gram, from the block's answers."""
-    out = []
-    for order in range(1, orders + 1):
-        mine = sorted((r for r in rows if r["gram_order"] == order), key=lambda r: r["range_id"])
-        sums = np.concatenate([unpack(r["counts"], r["n"], kind) for r in mine]) if mine else np.zeros(0, kind)
-        by_hash = block.dealt(order, 1)[0]
-        numbered = np.empty(len(by_hash), kind)
-        numbered[by_hash] = sums
-        out.append(numbered)
-    return out
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def answers_of(block: Block, rows: list[dict], order: int, kind: type = np.uint64, chosen: np.ndarray | None = None) -> np.ndarray:
+    """The sums of one order, by the number of the n-gram (0: not asked for), from the block's answers."""
+    mine = sorted((r for r in rows if r["gram_order"] == order), key=lambda r: r["range_id"])
+    numbered = np.zeros(len(block.hashes[order - 1]), kind)
+    if mine:
+        numbered[block.dealt(order, 1, chosen)[0]] = np.concatenate([unpack(r["counts"], r["n"], kind) for r in mine])
+    return numbered
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame, use: Callable[[pa.Table, dict, list[dict]], pa.Table], schema: str) -> DataFrame:

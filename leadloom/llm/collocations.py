@@ -9,7 +9,7 @@ A node is unary if all its occurrences come by one edge and leave by one. Paths
 one weight, which is also the count of every node on them, and these nodes are no candidates of their own, as they lie in an edge of the
 same count. Paths are found by pointer doubling over written tables, so rounds grow with the logarithm of a path's length.
 
-Only phrases that occur ``least`` times matter. So before edges are counted, blocks of texts (see ``blocks``) learn which of their words and pairs can be part of one, and
+Only phrases that occur ``least`` times matter. So before edges are counted, blocks of texts (see ``blocks``) learn which of their words, pairs and runs of three can be part of one, and
 a window ends where none can be: such a place counts like the end of a piece, and the counts of all phrases that occur ``least`` times stay exact. The
 hashes by which that is done can only let too much pass.
 
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .blocks import Block, answers_of, corpus_counts, with_answers, write_blocks
+from .blocks import Block, answers_of, corpus_counts, more_counts, with_answers, write_blocks
 from .common import bound_batches, parallelism, stash, stash_bucketed
 
 #: Occurrences of a candidate, percent of a phrase's occurrences within a longer one at which it is dropped, phrases of a language, words of an edge.
@@ -41,27 +41,41 @@ def _read(columns: tuple, data: bytes) -> tuple[bytes, Iterator[list[bytes]]]:
     return columns[0].encode("unicode_escape"), (words for words in pieces if words)
 
 
-def _windows(block: Block, likely: list[np.ndarray]) -> pa.Table:
-    """lang, gram, k (its words) and c of a block: from each place the longest run of likely words and pairs up to an edge; with k 0 all words of each language."""
+def _beginning(block: Block, order: int) -> np.ndarray:
+    """By place, the number of the n-gram that begins there (-1: none)."""
+    numbers = np.full(len(block.ids) + WORDS, -1, np.int64)
+    ending = np.flatnonzero(block.grams[order - 1] >= 0)
+    numbers[ending - order + 1] = block.grams[order - 1][ending]
+    return numbers
+
+
+def _likely_threes(block: Block, rows: list[dict]) -> np.ndarray:
+    """Numbers of the block's runs of three words both of whose pairs are likely."""
+    pairs = answers_of(block, rows, 2, np.uint8) > 0
+    ends = block.found_at[2]
+    return np.flatnonzero(pairs[block.heads[2]] & pairs[block.grams[1][ends]])
+
+
+def _windows(block: Block, rows: list[dict]) -> pa.Table:
+    """lang, gram, k (its words) and c of a block: from each place the longest run up to an edge all of whose shorter runs are likely; with k 0 all words of each language."""
     n = len(block.ids)
-    pair = np.zeros(n + WORDS, bool)
-    ending = np.flatnonzero(block.grams[1] >= 0)
-    pair[ending - 1] = likely[1][block.grams[1][ending]] > 0
-    length = (likely[0][block.ids] > 0).astype(np.int8) if n else np.zeros(0, np.int8)
-    going = length > 0
-    for k in range(WORDS - 1):
-        going = going & pair[k : k + n]
+    likely = [answers_of(block, rows, 1, np.uint8), answers_of(block, rows, 2, np.uint8), answers_of(block, rows, 3, np.uint8, _likely_threes(block, rows))]
+    two, three = (_beginning(block, k) for k in (2, 3))
+    there = [(numbers >= 0) & (np.append(flags, 0)[numbers] > 0) for numbers, flags in ((two, likely[1]), (three, likely[2]))]
+    going = likely[0][block.ids] > 0
+    length = going.astype(np.int8)
+    for more in (there[0][:n], there[1][:n], there[1][1 : n + 1]):
+        going = going & more
         length += going
-    number = np.append(block.grams[1][1:], -1).astype(np.int64) if n else np.zeros(0, np.int64)  # of the pair that begins at a place
     langs, grams, ks, cs = [], [], [], []
     named = [k.decode("unicode_escape") for k in block.kinds]
     for k in range(1, WORDS + 1):
         at = np.flatnonzero(length == k)
         if not len(at):
             continue
-        code = block.ids[at].astype(np.int64) if k == 1 else number[at]
-        if k > 2:
-            code = code * max(n, len(block.words)) + (number[at + 2] if k == 4 else block.ids[at + 2])
+        code = (block.ids, two, three, three)[k - 1][at].astype(np.int64)
+        if k == WORDS:
+            code = code * len(block.words) + block.ids[at + k - 1]
         _, first, count = np.unique(code, return_index=True, return_counts=True)
         runs = block.ids[at[first][:, None] + np.arange(k)].tolist()
         langs += [named[run[0]] for run in runs]
@@ -81,21 +95,18 @@ def edges_and_ends(docs: DataFrame, lang: str = "lang", text: str = "text", leas
     bound_batches(spark)
     src = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).cast("string").alias("text"))
     blocks = stash_bucketed(write_blocks(src, "text", ("lang",), _read), "blocks", "block", parallelism(spark))
-    answers = corpus_counts(blocks, 2, answer=lambda sums, order: (sums >= least).astype(np.uint8))
-
-    def use(_: pa.Table, row: dict, rows: list[dict]) -> pa.Table:
-        block = Block(row, 2)
-        return _windows(block, answers_of(block, rows, 2, np.uint8))
-
-    found = with_answers(blocks, answers, use, "lang string, gram string, k int, c long")
+    flags = lambda sums, order: (sums >= least).astype(np.uint8)
+    answers = stash(corpus_counts(blocks, 2, answer=flags), "likely-pairs")
+    threes = more_counts(blocks, answers, 3, _likely_threes, flags)
+    found = with_answers(blocks, answers.unionByName(threes), lambda _, row, rows: _windows(Block(row, 3), rows), "lang string, gram string, k int, c long")
     return found.groupBy("lang", "gram", "k").agg(F.sum("c").alias("c"))
 
 
 def counts_by_flow(graph: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, phrase, k, f of all phrases that occur ``least`` times, and, with k 0, of each language's words."""
-    begins = F.array(*(F.struct(F.lit(k).alias("k"), F.substring_index("gram", " ", k).alias("phrase")) for k in range(1, WORDS + 1)))
-    flows = graph.where("k > 0").select("lang", "c", F.explode(F.slice(begins, F.lit(1), F.col("k"))).alias("b")).select("lang", "b.phrase", "b.k", "c")
-    flows = flows.unionByName(graph.where("k = 0").select("lang", F.col("gram").alias("phrase"), "k", "c"))
+    begins = [F.struct(F.lit(k).alias("k"), F.substring_index("gram", " ", k).alias("phrase")) for k in range(1, WORDS + 1)]
+    whole = F.array(F.struct(F.lit(0).alias("k"), F.col("gram").alias("phrase")))
+    flows = graph.select("lang", "c", F.explode(F.when(F.col("k") == 0, whole).otherwise(F.slice(F.array(*begins), F.lit(1), F.col("k")))).alias("b")).select("lang", "b.phrase", "b.k", "c")
     return flows.groupBy("lang", "phrase", "k").agg(F.sum("c").alias("f")).where((F.col("f") >= least) | (F.col("k") == 0))
 
 

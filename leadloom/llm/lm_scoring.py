@@ -113,7 +113,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: Col
 
     def use(left: pa.Table, row: dict, rows: list[dict]) -> pa.Table:
         block = Block(row, order)
-        counts = answers_of(block, rows, order)
+        counts = [answers_of(block, rows, k) for k in range(1, order + 1)]
         automaton = Automaton(block, counts, tokens, words, prior)
         lo, hi = block.starts + 1, block.ends
         parts = -(-(hi - lo) // segment)
