@@ -1,15 +1,19 @@
 """Duplicate leads: exact e-mail, equal site domain, similar company name; the first record wins.
 
-A lead is an original if it matches no earlier original. That is decided in rounds over keys, not pairs: for each key, of all kinds in one table, the smallest ids
-of originals and of undecided leads are aggregated, a lead with an earlier original is a duplicate, one with nothing earlier that is
-undecided is an original. Decided leads go no further; each round decides at least the first undecided lead of every group, and as many as it can of the others, so
-rounds are as many as the longest chain of leads each of which waits for the one before. Names are compared only between distinct names that share a segment, and where that is common another one (no pair at or over the threshold is lost). Each
-round is written: lineage stays short, and the join of keys has written or shuffled sides, whose hot keys Spark may split.
+A lead is an original if it matches no earlier original. That is decided over keys, not pairs. While many leads are undecided, it is done in rounds: for each
+key, of all kinds in one table, the smallest ids of originals and of undecided leads are aggregated, a lead with an earlier original is a duplicate, one with
+nothing earlier that is undecided is an original. Rounds alone would be as many as the longest chain of leads each of which waits for the one
+before. So what a few rounds leave is cut into connected components, which are packed by size, and each pack is finished by a scan in order of
+ids; only components too large for a task go on in rounds. As soon as few keys are left in all, they are one pack.
+
+Names are compared only between distinct names that share their rarest pairs of letters (no pair at or over the threshold is lost).
+Each step is written: lineage stays short, and the join of keys has written or shuffled sides, whose hot keys Spark may split.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,11 +23,16 @@ from pyspark.sql import types as T
 from ..functions import fixed_values as V
 from ..functions.text import fold
 from ..sources.scratch import stash
+from .components import key_components
 from .ingest import dedup_keys
 
 THRESHOLD = 90
 #: A segment is common if more than HOT x HOT pairs of names would meet by it; such segments are taken out LEVELS - 1 times.
 HOT, LEVELS = 1024, 4
+#: Pairs of letters by which names meet together, at most, and candidates a name at which one more is taken.
+DEPTH, MEETINGS = 3, 50
+#: Rounds before components are made, and keys of leads that a task finishes.
+ROUNDS, PACK = 3, 1_000_000
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -68,17 +77,77 @@ def _cut(rows: DataFrame, shifted: bool) -> DataFrame:
     return rows.select("name", "fresh", "la", "lb", "d", rest_left.alias("rest"), key.alias("key")).distinct()
 
 
-def similar_names(names: DataFrame, threshold: int = THRESHOLD, hot: int = HOT, levels: int = LEVELS) -> DataFrame:
+def _letter_pairs(names: DataFrame) -> DataFrame:
+    """The names with ``pairs``: hashes of their pairs of letters (the second "ss" of a name is another pair than the first), the rarest first."""
+    letters = F.expr("transform(sequence(1, greatest(n - 1, 1)), i -> substring(name_key, i, 2))")
+    numbered = F.transform(letters, lambda p, i: F.xxhash64(p, F.size(F.filter(F.slice(letters, F.lit(1), i), lambda q: q == p))))
+    each = names.select("name_key", "n", "fresh", F.explode(numbered).alias("pair"))
+    rarity = each.groupBy("pair").agg(F.count(F.lit(1)).alias("seen"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seen", "pair"))), lambda x: x["pair"])
+    return each.join(rarity, "pair").groupBy("name_key", "n", "fresh").agg(ordered.alias("pairs"))
+
+
+def _rarest(names: DataFrame, pairs: DataFrame, side: str, depth: int) -> DataFrame:
+    """Each name once for each choice of ``depth`` of its rarest pairs of letters.
+
+    Of two names that differ by out deletions and in insertions, the first loses at most 2 * out + in pairs of letters and the other at most 2 * in + out, so
+    they have kept = la - 1 - 2 * out - in pairs in common. Of the rarest (in an order that is the same for all names) that many and ``depth`` they share
+    ``depth``, if they have as many in common at all."""
+    lost = "2 * out + `in`" if side == "la" else "2 * `in` + out"
+    first = F.slice("pairs", F.lit(1), F.expr(f"cast({lost} + {depth} AS int)"))
+    rows = names.join(pairs, F.col("n") == F.col(side)).withColumn("first", first)
+    each = [F.xxhash64("la", "lb", *(F.col(f"p{i}") for i in range(depth)))]
+    for i in range(depth):
+        after = F.expr(f"slice(first, at{i - 1} + 2, size(first))") if i else F.col("first")
+        rows = rows.select(*rows.columns, F.posexplode(after).alias(f"at{i}", f"p{i}"))
+        if i:
+            rows = rows.withColumn(f"at{i}", F.col(f"at{i}") + F.col(f"at{i - 1}") + 1)
+    return rows.select(F.col("name_key").alias("name"), "fresh", "la", "lb", "d", each[0].alias("key"))
+
+
+def similar_names(names: DataFrame, threshold: int = THRESHOLD, hot: int = HOT, levels: int = LEVELS, depth: int = DEPTH, meetings: int = MEETINGS) -> DataFrame:
     """Pairs (a, b), both ways, of distinct non-empty ``name_key`` with 200 * LCS >= threshold * (sum of lengths). If names have a flag ``fresh``, only pairs
     with a fresh one.
 
-    Of the d + 1 segments of a name, one at least is untouched in a name that differs by d insertions and deletions; names meet by such a segment. Where a
-    segment is so common that more than ``hot`` x ``hot`` pairs would meet by it, it is taken out of both names, whose rests differ by d at most as well, and the
-    rests must share a segment in turn. After ``levels`` such steps what is still common is met in blocks of ``hot`` names."""
+    Names meet by their rarest pairs of letters: first by one, and for lengths at which that would be more than ``meetings`` candidates a name, by two and then by
+    ``depth`` at once. What is common even then is met in blocks of ``hot`` names. At low thresholds short names needn't have a pair of
+    letters in common; those lengths meet by segments."""
     fresh = F.col("fresh") if "fresh" in names.columns else F.lit(True)
     names = names.where("name_key <> ''").groupBy("name_key").agg(F.max(fresh).alias("fresh"))
-    names = stash(names.select("name_key", F.length("name_key").alias("n"), "fresh"), "names")
-    pairs = _length_pairs(names.select("n").distinct(), threshold)
+    names = names.select("name_key", F.length("name_key").alias("n"), "fresh")
+    lettered = stash(_letter_pairs(names), "names")
+    names = lettered.drop("pairs")
+    lengths = _length_pairs(names.select("n").distinct(), threshold).where("d > 0")
+    lengths = lengths.withColumns({"out": F.expr("(d + la - lb) div 2"), "in": F.expr("(d + lb - la) div 2")}).withColumn("kept", F.expr("la - 1 - 2 * out - `in`"))
+    lengths = stash(lengths, "lengths")
+    met, open_lengths = [], lengths.where("kept > 0")
+    for level in range(1, depth + 1):
+        # lengths with fewer pairs of letters in common can't go further, and meet at the level before
+        short, long = (stash(_rarest(lettered, open_lengths.drop("kept"), side, level), f"{side}-names") for side in ("la", "lb"))
+        sizes = short.groupBy("la", "lb", "key").agg(F.count(F.lit(1)).alias("ns")).join(long.groupBy("la", "lb", "key").agg(F.count(F.lit(1)).alias("nl")), ["la", "lb", "key"])
+        sizes = stash(sizes, "sizes")
+        work = sizes.groupBy("la", "lb").agg(F.sum(F.col("ns").cast("double") * F.col("nl")).alias("work"), F.sum("ns").alias("rows"))
+        dense = open_lengths.join(work, ["la", "lb"]).where((F.col("work") > float(meetings) * F.col("rows")) & (F.col("kept") > level) & F.lit(level < depth))
+        dense = stash(dense.select(*open_lengths.columns), "dense-lengths")
+        common = sizes.where(F.col("ns").cast("double") * F.col("nl") > float(hot) * hot).select("key", F.ceil(F.col("nl") / hot).cast("int").alias("parts"))
+        short, long = (x.join(dense.select("la", "lb"), ["la", "lb"], "left_anti").join(common, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))) for x in (short, long))
+        met.append(_meet(short.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))), long.withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))))
+        if not dense.take(1):
+            break
+        open_lengths = dense
+    rest = lengths.where("kept <= 0").select("la", "lb", "d")
+    if rest.take(1):
+        met.append(_by_segments(names, rest, hot, levels))
+    found = functools.reduce(DataFrame.unionByName, met).distinct()
+    near = found.where(200 * lcs_length("a", "b") >= threshold * (F.length("a") + F.length("b")))
+    near = stash(near, "similar-names")
+    return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _by_segments(names: DataFrame, pairs: DataFrame, hot: int, levels: int) -> DataFrame:
+    """Candidates of the given lengths. Of the d + 1 segments of a name, one at least is untouched in a name that differs by d insertions and deletions; names meet by such a segment. Where a
+    segment is so common that more than ``hot`` x ``hot`` pairs would meet by it, it is taken out of both names, whose rests differ by d at most as well, and the
+    rests must share a segment in turn. After ``levels`` such steps what is still common is met in blocks of ``hot`` names."""
     state = [F.col("name_key").alias("name"), "fresh", "la", "lb", "d", F.col("name_key").alias("rest"), F.xxhash64("la", "lb").alias("key")]
     short, long = (names.join(pairs, F.col("n") == F.col(side)).select(*state) for side in ("la", "lb"))
     met = []
@@ -94,17 +163,14 @@ def similar_names(names: DataFrame, threshold: int = THRESHOLD, hot: int = HOT,
             break
         if level == levels - 1:
             met.append(_meet(short.withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")), long.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))))
-    found = functools.reduce(DataFrame.unionByName, met).distinct()
-    near = found.where(200 * lcs_length("a", "b") >= threshold * (F.length("a") + F.length("b")))
-    near = stash(near, "similar-names")
-    return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return functools.reduce(DataFrame.unionByName, met)
 
 
 def _meet(short: DataFrame, long: DataFrame) -> DataFrame:
     """Pairs a < b of one key and part that no more than d edits (of which a replacement is one) keep apart."""
     short = short.select("key", "part", F.col("name").alias("x"), F.col("fresh").alias("fresh_x"), "d")
     long = long.select("key", "part", F.col("name").alias("y"), F.col("fresh").alias("fresh_y"))
-    near = short.join(long, ["key", "part"]).where("x <> y AND (fresh_x OR fresh_y) AND levenshtein(x, y, d) >= 0")
+    near = short.join(long, ["key", "part"]).where("(length(x) < length(y) OR x < y) AND (fresh_x OR fresh_y) AND levenshtein(x, y, d) >= 0")
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -117,38 +183,88 @@ def _posts(keys: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return keys.select("id", each.alias("k")).select("id", "k.kind", "k.key").where("key <> ''")
 
 
-def resolve(leads: DataFrame, threshold: int | None = THRESHOLD, originals: DataFrame | None = None) -> DataFrame:
+def _round(own: DataFrame, listened: DataFrame, found: DataFrame, undecided: DataFrame) -> DataFrame:
+    """id and state (1 original, 2 duplicate, 0 open) of the undecided leads, from each key's smallest original and smallest undecided lead."""
+    still = own.join(undecided, "id", "left_semi").groupBy("kind", "key").agg(F.min("id").alias("open"))
+    heads = found.withColumn("open", F.lit(None).cast("long")).unionByName(still.withColumn("orig", F.lit(None).cast("long")))
+    heads = stash(heads.groupBy("kind", "key").agg(F.min("orig").alias("orig"), F.min("open").alias("open")), "heads")
+    mine = listened.join(undecided, "id", "left_semi").join(heads, ["kind", "key"]).groupBy("id").agg(F.min("orig").alias("orig"), F.min("open").alias("open"))
+    later = lambda c: F.coalesce(F.col(c) < F.col("id"), F.lit(False))
+    return stash(mine.select("id", F.when(later("orig"), 2).when(later("open"), 0).otherwise(1).alias("state")), "round")
+
+
+def _scan(pack: pd.DataFrame) -> pd.DataFrame:
+    """The originals among a pack's leads, in order of their ids. Rows: id, kind, key, own (else the lead only listens to the key), orig (the key's smallest original so far, or the largest number)."""
+    first: dict[tuple, int] = {(k, x): o for k, x, o in zip(pack["kind"], pack["key"], pack["orig"], strict=True)}
+    originals = []
+    for i, rows in pack.groupby("id", sort=True):
+        keys = list(zip(rows["kind"], rows["key"], strict=True))
+        if not any(first[k] < i for k in keys):
+            originals.append(i)
+            for k, own in zip(keys, rows["own"], strict=True):
+                if own:
+                    first[k] = min(first[k], i)
+    return pd.DataFrame({"id": pd.Series(originals, dtype="int64")})
+
+
+def _finish(posts: DataFrame, found: DataFrame) -> DataFrame:
+    """The originals (id) among the leads of posts (pack, id, kind, key, own), pack by pack. A pack has whole components."""
+    heads = found.groupBy("kind", "key").agg(F.min("orig").alias("orig"))
+    posts = posts.join(heads, ["kind", "key"], "left").withColumn("orig", F.coalesce("orig", F.lit((1 << 63) - 1)))
+    return posts.groupBy("pack").applyInPandas(_scan, "id long")
+
+
+def resolve(leads: DataFrame, threshold: int | None = THRESHOLD, originals: DataFrame | None = None, rounds: int = ROUNDS, pack: int = PACK) -> DataFrame:
     """id, is_duplicate, duplicate_of_id and duplicate_reason of leads (id, email, domain_normalized, company_name, and is_duplicate if they may be flagged before). ``threshold`` None: names aren't compared.
-    Leads that were flagged before are neither matched nor changed. ``originals``: known originals with smaller ids; they are matched, but not decided again."""
+    Leads that were flagged before are neither matched nor changed. ``originals``: known originals with smaller ids; they are matched, but not decided again.
+    After ``rounds`` rounds, components of up to ``pack`` keys of leads are finished by scans."""
+    kinds = KINDS if threshold is not None else KINDS[:2]
+    known = _posts(dedup_keys(originals), kinds).groupBy("kind", "key").agg(F.min("id").alias("orig")) if originals is not None else None
+    return resolve_against(leads, known, threshold, rounds, pack)
+
+
+def resolve_against(leads: DataFrame, known: DataFrame | None, threshold: int | None = THRESHOLD, rounds: int = ROUNDS, pack: int = PACK) -> DataFrame:
+    """``resolve`` against known keys (kind, key, orig: the smallest original with it) instead of leads."""
     flagged = F.coalesce(F.col("is_duplicate"), F.lit(0)) == 1 if "is_duplicate" in leads.columns else F.lit(False)
     kinds = KINDS if threshold is not None else KINDS[:2]
     keys = stash(dedup_keys(leads.where(~flagged)), "leads")
-    own = stash(_posts(keys, kinds), "keys")
-    listened = own
-    known = stash(_posts(dedup_keys(originals), kinds).groupBy("kind", "key").agg(F.min("id").alias("orig")), "originals") if originals is not None else None
+    own = _posts(keys, kinds)
+    listened = own.withColumn("own", F.lit(True))
+    if known is not None:
+        known = stash(known.where(F.col("kind").isin(*range(len(kinds)))).select("kind", "key", "orig"), "originals")
     if threshold is not None:
         names = own.where("kind = 2").select(F.col("key").alias("name_key"), F.lit(True).alias("fresh"))
         if known is not None:
             names = names.unionByName(known.where("kind = 2").select(F.col("key").alias("name_key"), F.lit(False).alias("fresh")))
         near = similar_names(names, threshold).select("a", F.col("b").alias("key"))
         others = own.where("kind = 2").select("id", "kind", F.col("key").alias("a")).join(near, "a").select("id", "kind", "key")
-        listened = stash(own.unionByName(others), "listened")
+        listened = listened.unionByName(others.withColumn("own", F.lit(False)))
+    listened = stash(listened, "listened")
     found = known if known is not None else own.select("kind", "key", F.col("id").alias("orig")).limit(0)
     undecided = keys.select("id")
-    while True:
-        # a key has the smallest id of its originals and of its undecided leads; a lead listens to its own keys and to those of similar names
-        still = own.join(undecided, "id", "left_semi").groupBy("kind", "key").agg(F.min("id").alias("open"))
-        heads = found.withColumn("open", F.lit(None).cast("long")).unionByName(still.withColumn("orig", F.lit(None).cast("long")))
-        heads = stash(heads.groupBy("kind", "key").agg(F.min("orig").alias("orig"), F.min("open").alias("open")), "heads")
-        mine = listened.join(undecided, "id", "left_semi").join(heads, ["kind", "key"]).groupBy("id").agg(F.min("orig").alias("orig"), F.min("open").alias("open"))
-        later = lambda c: F.coalesce(F.col(c) < F.col("id"), F.lit(False))
-        decided = stash(mine.select("id", F.when(later("orig"), 2).when(later("open"), 0).otherwise(1).alias("state")), "round")
+    for n in itertools.count():
+        left = listened if n == 0 else listened.join(undecided, "id", "left_semi")
+        if left.count() <= pack:
+            fresh = _finish(left.withColumn("pack", F.lit(0)), found)
+            found = found.unionByName(stash(own.join(fresh, "id", "left_semi").groupBy("kind", "key").agg(F.min("id").alias("orig")), "new-originals"))
+            break
+        if n == rounds:
+            left = stash(left, "open-keys")
+            roots = stash(key_components(left), "components")
+            sized = left.join(roots, "id")
+            sizes = stash(sized.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= pack), "small-components")
+            packs = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // pack)
+            small = sized.join(sizes.select("root"), "root", "left_semi").withColumn("pack", F.pmod(F.xxhash64("root"), F.lit(packs)))
+            fresh = stash(_finish(small.drop("root"), found), "finished")
+            found = found.unionByName(stash(own.join(fresh, "id", "left_semi").groupBy("kind", "key").agg(F.min("id").alias("orig")), "new-originals"))
+            undecided = stash(roots.join(sizes.select("root"), "root", "left_anti").select("id"), "undecided")
+            if not undecided.take(1):
+                break
+        decided = _round(own, listened, found, undecided)
         fresh = own.join(decided.where("state = 1"), "id", "left_semi").groupBy("kind", "key").agg(F.min("id").alias("orig"))
         found = found.unionByName(stash(fresh, "new-originals"))
         undecided = decided.where("state = 0").select("id")
-        if not undecided.take(1):
-            break
-    heads = stash(found.groupBy("kind", "key").agg(F.min("orig").alias("orig")), "heads")
+    heads = found.groupBy("kind", "key").agg(F.min("orig").alias("orig"))
     earlier = listened.join(heads, ["kind", "key"]).where("orig < id")
     targets = earlier.groupBy(F.col("id").alias("__id")).agg(*(F.min(F.when(F.col("kind") == i, F.col("orig"))).alias(k) for i, k in enumerate(kinds)))
     reason = F.coalesce(*(F.when(F.col(k).isNotNull(), F.lit(name)) for k, name in zip(kinds, ("exact_email", "domain_match", "fuzzy_company_name"), strict=False)))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.operators import dedup, evidence, ingest, leads, pages, reports, state, verdicts
+from leadloom.operators import components, dedup, evidence, ingest, leads, pages, reports, state, verdicts
 from leadloom.sources import scratch, tables
 from leadloom.streaming import flows
 
@@ -48,16 +48,44 @@ def sequential(rows, threshold):
     return out
 
 
-@pytest.mark.parametrize("threshold", [90, 70])
-def test_resolution_equals_the_sequential_scan(spark, threshold):
+@pytest.mark.parametrize("threshold, rounds, pack", [(90, 3, 1_000_000), (70, 3, 1_000_000), (90, 0, 60), (90, 1, 8), (70, 1, 30)])
+def test_resolution_equals_the_sequential_scan(spark, threshold, rounds, pack):
     rng = random.Random(threshold)
     words = ["acme", "acmee", "labs", "lab", "studio", "north", "nort", "x"]
     rows = [(i, rng.choice(["", f"u{rng.randint(0, 30)}@x.io"]), rng.choice(["", f"d{rng.randint(0, 40)}.io"]), " ".join(rng.choice(words) for _ in range(rng.randint(0, 4)))) for i in range(120)]
     df = spark.createDataFrame(rows, "id long, email string, domain_normalized string, company_name string")
-    got = sorted(tuple(r) for r in dedup.resolve(df, threshold).collect())
+    got = sorted(tuple(r) for r in dedup.resolve(df, threshold, rounds=rounds, pack=pack).collect())
     assert got == sequential(rows, threshold)
 
 
+def test_long_chains_are_finished_as_components(spark):
+    # in each chain a lead has the e-mail of the one before or the domain of the one after, so all wait for the first
+    n = 5000
+    rows = [(i, f"m{(i + 1) // 2}@x.io", f"d{i // 2}.io", "") for i in range(n)] + [(n + i, f"n{(i + 1) // 2}@x.io", f"e{i // 2}.io", "") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, email string, domain_normalized string, company_name string")
+    first_mail, first_domain, want = {}, {}, []
+    for i, mail, domain, _ in rows:
+        hit = (first_mail[mail], "exact_email") if mail in first_mail else (first_domain[domain], "domain_match") if domain in first_domain else None
+        want.append((i, 1 if hit else 0, *(hit or (None, None))))
+        if not hit:
+            first_mail[mail] = first_domain[domain] = i
+    jobs = spark.sparkContext.statusTracker()
+    for rounds, pack in ((3, 1_000_000), (2, 12_000)):
+        spark.sparkContext.setJobGroup(f"chain-{pack}", "")
+        assert sorted(tuple(r) for r in dedup.resolve(df, None, rounds=rounds, pack=pack).collect()) == want
+        made = len(jobs.getJobIdsForGroup(f"chain-{pack}"))
+        assert pack < 1_000_000 or made < 15
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_of_keys(spark):
+    posts = [(1, "a"), (2, "a"), (2, "b"), (5, "b"), (3, "c"), (4, "d"), (4, "e"), (9, "e"), (7, "e")] + [(i, f"k{j}") for i in range(100, 180) for j in (i, i + 1)]
+    df = spark.createDataFrame([(i, 0, k) for i, k in posts], "id long, kind int, key string")
+    got = {r.id: r.root for r in components.key_components(df).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 3: 3, 4: 4, 9: 4, 7: 4} | {i: 100 for i in range(100, 180)}
+    assert components.key_components(df.limit(0)).collect() == []
+
+
 def test_flagged_leads_neither_match_nor_change(spark):
     df = spark.createDataFrame([(1, "a@x", "", "", 1), (2, "a@x", "", "", 0), (3, "a@x", "", "", 0)], "id long, email string, domain_normalized string, company_name string, is_duplicate int")
     assert sorted((r.id, r.is_duplicate, r.duplicate_of_id) for r in dedup.resolve(df).collect()) == [(2, 0, None), (3, 1, 2)]
@@ -329,8 +357,11 @@ def test_similar_names_with_common_words_against_all_pairs(spark):
     want = {(a, b) for a in names for b in names if a != b and 200 * dedup.common_subsequence(a, b) >= 90 * (len(a) + len(b))}
     assert len(want) > 100
     df = spark.createDataFrame([(n,) for n in names], "name_key string")
-    for hot, levels in ((dedup.HOT, dedup.LEVELS), (8, 2)):
-        assert {(x.a, x.b) for x in dedup.similar_names(df, 90, hot, levels).collect()} == want
+    for options in ({}, {"hot": 8, "meetings": 0}, {"hot": 8, "depth": 1}):
+        assert {(x.a, x.b) for x in dedup.similar_names(df, 90, **options).collect()} == want
+    low = {(a, b) for a in names for b in names if a != b and 200 * dedup.common_subsequence(a, b) >= 60 * (len(a) + len(b))}
+    for options in ({}, {"hot": 64, "levels": 2, "meetings": 3}):  # short names meet by segments here
+        assert {(x.a, x.b) for x in dedup.similar_names(df, 60, **options).collect()} == low
 
 
 def test_many_names_that_share_a_word_make_few_pairs(spark):
