@@ -30,39 +30,41 @@ from .common import bound_batches, stash
 #: Documents of its language that a term must be in, the whole that shares are of, terms of a source that are reported.
 LEAST_DOCS, WHOLE, FIRST = 3, 1_000_000_000, 200
 #: Terms of a block of rows, columns of a tile, and counts that a task holds before it passes them on.
-BLOCK, TILE, HELD = 4096, 1024, 400_000
-_TERM = re.compile(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-_LOWER = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
+BLOCK, TILE, HELD = 4096, 1024, 600_000
+#: Of lower-cased UTF-8 bytes: letters, and whatever isn't ASCII.
+_TERM = re.compile(rb"[a-z\x80-\xff]+")
 
 
 def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """lang, source, term, c (occurrences), docs (documents with the term). A row with term null stands for each source."""
     bound_batches(docs.sparkSession)
-    src = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
+    lang, source, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang, source, text))
+    src = docs.select(lang.alias("lang"), source.alias("source"), text.cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         n = 0
 
-        def rows() -> pa.RecordBatch:
-            out = [(*group, None, 0, 0) for group in held]
-            out += [(*group, term, c, found[1][term]) for group, found in held.items() for term, c in found[0].items()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["lang", "source", "term", "c", "docs"])
+        def rows() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (counts, docs) in held.items():
+                terms = pa.array([None, *counts], pa.binary()).cast(pa.string())
+                groups = [pa.repeat(pa.scalar(x, pa.string()), len(terms)) for x in (lang, source)]
+                numbers = [pa.array([0, *c], pa.int64()) for c in (counts.values(), map(docs.__getitem__, counts))]
+                yield pa.RecordBatch.from_arrays([*groups, terms, *numbers], names=["lang", "source", "term", "c", "docs"])
 
         for batch in batches:
             for at in range(len(batch)):
                 group = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
-                found = Counter(_TERM.findall(batch.column(2)[at].as_py().translate(_LOWER)))
+                found = _TERM.findall(batch.column(2)[at].as_py().lower())  # of bytes: A-Z
                 counts, docs = held.setdefault(group, (Counter(), Counter()))
                 n -= len(counts)
                 counts.update(found)
-                docs.update(found.keys())
+                docs.update(set(found))
                 n += len(counts)
                 if n >= HELD:
-                    yield rows()
+                    yield from rows()
                     held, n = {}, 0
-        if held:
-            yield rows()
+        yield from rows()
 
     found = src.mapInArrow(run, "lang string, source string, term string, c long, docs long")
     return found.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("docs").alias("docs"))
