@@ -123,9 +123,9 @@ def category_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), n(text("segment") != "").alias("scored"), *(n(there == c).alias(c) for c in CATEGORIES))
 
 
-def ordered_lookup(ids: DataFrame, rows: DataFrame, id_list: str = "ids") -> DataFrame:
-    """Rows by a stored list of ids, in its order (pos): ids without a row are left out, repeated ones repeat."""
-    return ids.select(F.posexplode(id_list).alias("pos", "__id")).join(rows, F.col("__id") == F.col("id")).drop("__id")
+def ordered_lookup(ids: DataFrame, rows: DataFrame, *by: str, id_list: str = "ids") -> DataFrame:
+    """Rows by a stored list of ids, with their place in it (pos), and whose list it is (the columns ``by``): ids without a row are left out, repeated ones repeat."""
+    return ids.select(*by, F.posexplode(id_list).alias("pos", "__id")).join(rows, F.col("__id") == F.col("id")).drop("__id")
 
 
 def dashboard_filter(rows: DataFrame, segments: Iterable[str] = (), review_only: bool = False, hide_duplicates: bool = True) -> DataFrame:

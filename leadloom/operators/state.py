@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
 from . import verdicts
 from .leads import latest
 
@@ -57,12 +58,16 @@ def rescore_reset(leads: DataFrame, scores: DataFrame, chosen: DataFrame) -> tup
     return events, scores.join(own.select(F.col("id").alias("lead_id")), "lead_id", "left_anti")
 
 
-def rescore(raw: DataFrame, pages: DataFrame) -> DataFrame:
-    """New verdicts of raw ones (lead_id, body) against stored pages; without pages RESCORE_FAILED with the empty verdict."""
-    df = raw.join(verdicts.site_context(pages), "lead_id", "left")
-    empty = verdicts.empty_verdict("no_scraped_content")
-    scored = verdicts.finish(df.where(F.col("context").isNotNull()))
-    failed = df.where(F.col("context").isNull()).withColumns(empty).withColumns({"parse_failed": F.lit(False), "status": F.lit("RESCORE_FAILED")})
+def rescore(raw: DataFrame, pages: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """New verdicts of raw ones (lead_id, body) against stored pages and, if given, evidence. Leads without stored pages are RESCORE_FAILED with the empty verdict; those whose
+    pages hold no text, and that have no evidence, get the empty verdict of leads without content."""
+    stored = pages.select("lead_id").distinct().withColumn("__stored", F.lit(True))
+    df = raw.join(stored, "lead_id", "left").join(verdicts.site_context(pages), "lead_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
+    if evidence is not None:
+        df = df.join(verdicts.evidence_block(evidence), "lead_id", "left")
+    there = F.col("__stored").isNotNull()
+    scored = verdicts.finish(df.where(there)).drop("__stored")
+    failed = df.where(~there).withColumns(verdicts.empty_verdict(V.NO_PAGES)).withColumns({"parse_failed": F.lit(False), "status": F.lit("RESCORE_FAILED")})
     return scored.unionByName(failed.select(*scored.columns))
 
 

@@ -21,15 +21,34 @@ def note(reason: Column, more: Column) -> Column:
     return some(F.concat_ws(" | ", some(reason), more))
 
 
+def _kind(body: str, path: str) -> Column:
+    """The type of a JSON value, as a variant has it; null where there is none, or the text can't be a variant (repeated keys)."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.col(body)), path, "variant"))
+
+
+def _holds(body: str, path: str) -> Column:
+    """Whether a JSON value counts as true: not null, false, zero, or empty."""
+    value = F.get_json_object(body, path)
+    other = ~value.isin("", "false", "[]", "{}") & F.coalesce(value.try_cast("double") != 0, F.lit(True))
+    return F.coalesce(F.when(_kind(body, path) == "STRING", value != "").otherwise(other), F.lit(False))
+
+
+def _quotes(body: str) -> Column:
+    """The evidence quotes, null for each that isn't a string; null where the text can't be a variant or they are no list."""
+    items = F.try_variant_get(F.try_parse_json(F.col(body)), "$.evidence_quotes", "array<variant>")
+    return F.transform(items, lambda q: F.when(F.schema_of_variant(q) == "STRING", F.try_variant_get(q, "$", "string")))
+
+
 def parse(raw: DataFrame, body: str = "body") -> DataFrame:
-    """The rows with a verdict's columns and parse_failed. Text that isn't a JSON object, or whose confidence is null or no number, gives the empty verdict."""
+    """The rows with a verdict's columns and parse_failed. Text that isn't a JSON object, or whose confidence is null or no number, gives the empty verdict. Quotes that
+    aren't strings are null; needs_human_review of any type holds unless it is null, false, zero or empty."""
     kind = F.get_json_object(body, "$.confidence")
     parsed = F.from_json(F.col(body), SCHEMA)
     loose = F.from_json(F.col(body), "confidence string")
     shape = F.json_object_keys(body)
     missing = ~F.array_contains(shape, "confidence")
     # the kind of the top-level value; texts that a variant can't hold (with repeated keys) by how it is written: a number has no quotes
-    of = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.col(body)), "$.confidence", "variant"))
+    of = _kind(body, "$.confidence")
     written = F.col(body).rlike(r'"confidence"\s*:\s*-?[0-9]') & kind.try_cast("double").isNotNull()
     number = F.coalesce(of.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), written)
     good = shape.isNotNull() & loose.isNotNull() & (missing | number)
@@ -38,13 +57,13 @@ def parse(raw: DataFrame, body: str = "body") -> DataFrame:
     empty = {"segment": F.lit("unclear"), "confidence": F.lit(0.0), "recommended_offer": F.lit("none"), "disqualify_reason": F.lit("json_parse_failed"), "needs_human_review": F.lit(True)}
     out = {}
     for c in COLUMNS:
-        value = F.col(f"__v.{c}")
+        value = F.coalesce(_quotes(body), F.col(f"__v.{c}")) if c == "evidence_quotes" else _holds(body, "$.needs_human_review") if c == "needs_human_review" else F.col(f"__v.{c}")
         if c in LISTS:
             out[c] = F.when(ok, F.coalesce(value, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
         elif c == "company_stage":
             out[c] = F.when(ok, value)
         else:
-            value = F.coalesce(value, F.lit(0.0)) if c == "confidence" else F.coalesce(value, F.lit(False)) if c == "needs_human_review" else value
+            value = F.coalesce(value, F.lit(0.0)) if c == "confidence" else value
             out[c] = F.when(ok, value).otherwise(empty[c])
     return df.withColumns(out).withColumn("parse_failed", ~ok).drop("__good", "__v")
 
@@ -102,7 +121,7 @@ def grounding_form(c: Column | str) -> Column:
 
 
 def ground(df: DataFrame, context: str = "context") -> DataFrame:
-    """Quotes that don't occur in the context are removed, noted, and cause a review."""
+    """Quotes that don't occur in the context, or are no text, are removed, noted, and cause a review."""
     folded = df.withColumn("__context", grounding_form(context))
     kept = F.filter("evidence_quotes", lambda q: q.isNotNull() & F.contains(F.col("__context"), grounding_form(q)))
     folded = folded.withColumn("__kept", kept).withColumn("__lost", F.greatest(F.lit(0), F.size("evidence_quotes") - F.size("__kept")))
@@ -123,13 +142,23 @@ def guard_mismatch(df: DataFrame) -> DataFrame:
     return df.withColumns({"needs_human_review": F.when(odd, True).otherwise(F.col("needs_human_review")), "disqualify_reason": F.when(odd, note(F.col("disqualify_reason"), message)).otherwise(F.col("disqualify_reason"))})
 
 
+def without_content(df: DataFrame, context: str = "context", evidence: str = "evidence_block") -> DataFrame:
+    """Leads of whose site there is no text, nor evidence (if there is such a column), get the empty verdict, whatever else they had."""
+    blank = strip(context) == ""
+    if evidence in df.columns:
+        blank &= text(evidence) == ""
+    empty = empty_verdict(V.NO_CONTENT) | ({"parse_failed": F.lit(False)} if "parse_failed" in df.columns else {})
+    blank = F.coalesce(blank, F.lit(True))
+    return df.withColumn("__blank", blank).withColumns({c: F.when(F.col("__blank"), value).otherwise(F.col(c)) for c, value in empty.items()}).drop("__blank")
+
+
 def with_status(df: DataFrame) -> DataFrame:
     return df.withColumn("status", F.when(F.col("needs_human_review"), "LOW_CONFIDENCE").otherwise("SCORED"))
 
 
 def finish(raw: DataFrame, body: str = "body", context: str = "context") -> DataFrame:
-    """All steps in their order. Verdicts that failed to parse stay as they are."""
-    df = ground(repair(guard_confidence(parse(raw, body))), context)
+    """All steps in their order. Verdicts that failed to parse stay as they are; leads without content have the empty one."""
+    df = without_content(ground(repair(guard_confidence(parse(raw, body))), context), context)
     if "domain_mismatch" in df.columns:
         df = guard_mismatch(df)
     return with_status(df)

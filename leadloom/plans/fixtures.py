@@ -51,8 +51,8 @@ SQL = {
             '","confidence":', CASE WHEN doc_id % 37 = 3 THEN '"high"' ELSE concat('0.', doc_id % 10) END,
             ',"company_stage":"', CASE doc_id % 5 WHEN 0 THEN 'early' WHEN 1 THEN 'scaling' WHEN 2 THEN 'established' WHEN 3 THEN 'pre-launch' ELSE 'huge' END,
             '","recommended_offer":"', CASE doc_id % 6 WHEN 0 THEN 'ai_audit' WHEN 1 THEN 'general_audit' WHEN 2 THEN 'pipeline' WHEN 3 THEN 'none' WHEN 4 THEN 'none' ELSE 'free_lunch' END,
-            '","evidence_quotes":["', upper(regexp_extract(text, '^[A-Za-z ,.]{0,60}', 0)), '"', CASE WHEN doc_id % 4 = 0 THEN ',"zzz not in the text"' ELSE '' END,
-            '],"disqualify_reason":null,"needs_human_review":false}') END AS body
+            '","evidence_quotes":["', upper(regexp_extract(text, '^[A-Za-z ,.]{0,60}', 0)), '"', CASE WHEN doc_id % 4 = 0 THEN ',"zzz not in the text"' WHEN doc_id % 4 = 1 THEN ', 5, true, null, {"a": "1"}' ELSE '' END,
+            '],"disqualify_reason":null,"needs_human_review":', CASE doc_id % 11 WHEN 0 THEN '"yes"' WHEN 1 THEN '""' WHEN 2 THEN '0' WHEN 3 THEN '2' WHEN 4 THEN '[]' WHEN 5 THEN 'null' WHEN 6 THEN 'true' ELSE 'false' END, '}') END AS body
         FROM documents""",
     "sessions": r"""
         SELECT c_custkey AS id, c_nationkey AS owner_id, c_name AS label,

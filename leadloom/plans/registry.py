@@ -435,14 +435,14 @@ PARSE_SQL = f"""
     parsed AS (SELECT lead_id, ctx, j IS NULL OR json_type(j, '$.confidence') NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT') AS parse_failed, j FROM j),
     v AS (SELECT lead_id, ctx, parse_failed, CASE WHEN parse_failed THEN 'unclear' ELSE j->>'$.segment' END AS segment, CASE WHEN parse_failed THEN 0.0 ELSE CAST(j->>'$.confidence' AS DOUBLE) END AS confidence,
       CASE WHEN NOT parse_failed THEN j->>'$.company_stage' END AS company_stage, CASE WHEN parse_failed THEN 'none' ELSE j->>'$.recommended_offer' END AS recommended_offer,
-      CASE WHEN parse_failed THEN []::VARCHAR[] ELSE CAST(j->'$.evidence_quotes' AS VARCHAR[]) END AS quotes, CASE WHEN parse_failed THEN 'json_parse_failed' ELSE j->>'$.disqualify_reason' END AS reason,
-      parse_failed OR CAST(j->>'$.needs_human_review' AS BOOLEAN) AS review FROM parsed),
+      CASE WHEN parse_failed THEN []::JSON[] ELSE CAST(j->'$.evidence_quotes' AS JSON[]) END AS items, [(x->>'$') FOR x IN items IF json_type(x) = 'VARCHAR'] AS quotes, CASE WHEN parse_failed THEN 'json_parse_failed' ELSE j->>'$.disqualify_reason' END AS reason,
+      parse_failed OR CASE json_type(j, '$.needs_human_review') WHEN 'BOOLEAN' THEN j->>'$.needs_human_review' = 'true' WHEN 'VARCHAR' THEN j->>'$.needs_human_review' <> '' WHEN 'UBIGINT' THEN j->>'$.needs_human_review' <> '0' ELSE false END AS review FROM parsed),
     fixed AS (SELECT *, segment NOT IN ({quoted(V.SEGMENTS)}) AS bs, recommended_offer NOT IN ({quoted(V.OFFERS)}) AS bo FROM v),
     r AS (SELECT lead_id, ctx, parse_failed, CASE WHEN bs THEN 'unclear' ELSE segment END AS segment, CASE WHEN bo THEN 'none' ELSE recommended_offer END AS recommended_offer, CASE WHEN company_stage IN ({quoted(V.STAGES)}) THEN company_stage END AS company_stage,
-      CASE WHEN bs OR bo THEN least(confidence, 0.3) ELSE confidence END AS confidence, review OR confidence < 0.7 OR bs OR bo AS review, quotes, CASE WHEN bs THEN concat_ws(' | ', nullif(reason, ''), 'invalid_segment_fixed_to_unclear') ELSE reason END AS reason FROM fixed),
+      CASE WHEN bs OR bo THEN least(confidence, 0.3) ELSE confidence END AS confidence, review OR confidence < 0.7 OR bs OR bo AS review, quotes, len(items) AS n_items, CASE WHEN bs THEN concat_ws(' | ', nullif(reason, ''), 'invalid_segment_fixed_to_unclear') ELSE reason END AS reason FROM fixed),
     g AS (SELECT *, list_filter(quotes, lambda q: contains(ctx, lower({collapse_sql("q")}))) AS kept FROM r),
-    done AS (SELECT lead_id, parse_failed, segment, recommended_offer, company_stage, confidence, kept, len(quotes) - len(kept) AS lost, review OR len(quotes) > len(kept) AS review,
-      CASE WHEN len(quotes) > len(kept) THEN concat_ws(' | ', nullif(reason, ''), 'ungrounded_evidence_quotes_removed: ' || (len(quotes) - len(kept)) || ' citation(s) not found in source text') ELSE reason END AS reason FROM g)"""
+    done AS (SELECT lead_id, ctx, parse_failed, segment, recommended_offer, company_stage, confidence, kept, n_items - len(kept) AS lost, review OR n_items > len(kept) AS review,
+      CASE WHEN n_items > len(kept) THEN concat_ws(' | ', nullif(reason, ''), 'ungrounded_evidence_quotes_removed: ' || (n_items - len(kept)) || ' citation(s) not found in source text') ELSE reason END AS reason FROM g)"""
 
 
 def _raw(spark, sf_dir):
@@ -451,7 +451,7 @@ def _raw(spark, sf_dir):
     return raw.join(docs, raw["lead_id"] == docs["d"]).drop("d")
 
 
-@query(PARSE_SQL + " SELECT lead_id, parse_failed, segment, confidence, company_stage, recommended_offer, CAST(len(quotes) AS INTEGER) AS n_quotes, reason AS disqualify_reason, review AS needs_human_review FROM v", "raw_verdicts")
+@query(PARSE_SQL + " SELECT lead_id, parse_failed, segment, confidence, company_stage, recommended_offer, CAST(len(items) AS INTEGER) AS n_quotes, reason AS disqualify_reason, review AS needs_human_review FROM v", "raw_verdicts")
 def verdict_parse(spark, sf_dir):
     return verdicts.parse(view(spark, sf_dir, "raw_verdicts")).select("lead_id", "parse_failed", "segment", "confidence", "company_stage", "recommended_offer", F.size("evidence_quotes").alias("n_quotes"), "disqualify_reason", "needs_human_review")
 
@@ -463,7 +463,7 @@ def verdict_parse(spark, sf_dir):
         arg_min(error, attempt) AS e1, max(error) FILTER (attempt = 2) AS e2, arg_min(j, attempt) AS j1, arg_max(j, attempt) AS j2 FROM p GROUP BY lead_id),
     c AS (SELECT *, CASE WHEN one = 1 THEN 1 WHEN two = 1 THEN 2 ELSE 0 END AS used FROM x),
     q AS (SELECT lead_id, used, 'json_parse_failed: ' || e1 || ' | retry_error: ' || coalesce(e2, 'no second attempt') AS message, CASE used WHEN 1 THEN j1 WHEN 2 THEN j2 END AS j, substr(text, 1, CASE used WHEN 2 THEN 6000 ELSE 12000 END) AS ctx FROM c JOIN documents ON doc_id = lead_id),
-    z AS (SELECT *, CAST(j->'$.evidence_quotes' AS VARCHAR[]) AS quotes FROM q)
+    z AS (SELECT *, [(x->>'$') FOR x IN CAST(j->'$.evidence_quotes' AS JSON[]) IF json_type(x) = 'VARCHAR'] AS quotes FROM q)
     SELECT lead_id, CAST(used AS INTEGER) AS used, CASE WHEN used = 0 THEN 'unclear' WHEN j->>'$.segment' IN ({quoted(V.SEGMENTS)}) THEN j->>'$.segment' ELSE 'unclear' END AS segment,
       array_to_string(coalesce(list_filter(quotes, lambda q: contains(lower({collapse_sql("ctx")}), lower({collapse_sql("q")}))), []), ' | ') AS evidence_quotes, CASE WHEN used = 0 THEN message END AS message FROM z""",
     "raw_verdicts",
@@ -493,13 +493,17 @@ MISMATCH = "domain_mismatch: email/website domain mismatch — this verdict may
 
 @query(
     PARSE_SQL
-    + f""" SELECT lead_id, segment, confidence, company_stage, recommended_offer, array_to_string(kept, ' | ') AS evidence_quotes,
+    + f""", full_or_not AS (SELECT lead_id, CASE WHEN blank THEN 'unclear' ELSE segment END AS segment, CASE WHEN blank THEN 0.0 ELSE confidence END AS confidence, CASE WHEN NOT blank THEN company_stage END AS company_stage,
+      CASE WHEN blank THEN 'none' ELSE recommended_offer END AS recommended_offer, CASE WHEN blank THEN [] ELSE kept END AS kept, CASE WHEN blank THEN 'no_content_scraped' ELSE reason END AS reason, blank OR review AS review
+      FROM (SELECT *, lead_id % 17 = 3 OR coalesce(ctx, '') = '' AS blank FROM done))
+    SELECT lead_id, segment, confidence, company_stage, recommended_offer, array_to_string(kept, ' | ') AS evidence_quotes,
       CASE WHEN lead_id % 9 = 0 THEN concat_ws(' | ', nullif(reason, ''), '{MISMATCH}') ELSE reason END AS disqualify_reason,
-      review OR lead_id % 9 = 0 AS needs_human_review, CASE WHEN review OR lead_id % 9 = 0 THEN 'LOW_CONFIDENCE' ELSE 'SCORED' END AS status FROM done""",
+      review OR lead_id % 9 = 0 AS needs_human_review, CASE WHEN review OR lead_id % 9 = 0 THEN 'LOW_CONFIDENCE' ELSE 'SCORED' END AS status FROM full_or_not""",
     "raw_verdicts",
 )
 def verdict_final(spark, sf_dir):
-    rows = _raw(spark, sf_dir).withColumns({"domain_mismatch": F.when(F.col("lead_id") % 9 == 0, 1).otherwise(0), "domain_mismatch_reason": F.lit(None).cast("string")})
+    rows = _raw(spark, sf_dir).withColumn("context", F.when(F.col("lead_id") % 17 == 3, " \n").otherwise(F.col("context")))
+    rows = rows.withColumns({"domain_mismatch": F.when(F.col("lead_id") % 9 == 0, 1).otherwise(0), "domain_mismatch_reason": F.lit(None).cast("string")})
     return verdicts.finish(rows).select("lead_id", "segment", "confidence", "company_stage", "recommended_offer", joined("evidence_quotes").alias("evidence_quotes"), "disqualify_reason", "needs_human_review", "status")
 
 
@@ -584,7 +588,7 @@ def category_summary(spark, sf_dir):
 @query("+ asked AS (SELECT id AS session_id, unnest(generate_series(0, 3)) AS pos FROM sessions) SELECT a.session_id AS asked_by, a.pos, l.id, l.status FROM asked a JOIN leads_large l ON l.id = CASE a.pos WHEN 0 THEN a.session_id * 3 WHEN 1 THEN a.session_id WHEN 2 THEN -1 ELSE a.session_id * 3 END", "sessions", "leads_large")
 def ordered_lookup(spark, sf_dir):
     asked = view(spark, sf_dir, "sessions").select(F.col("id").alias("asked_by"), F.array(F.col("id") * 3, F.col("id"), F.lit(-1).cast("long"), F.col("id") * 3).alias("ids"))
-    return asked.select("asked_by", F.posexplode("ids").alias("pos", "__id")).join(view(spark, sf_dir, "leads_large"), F.col("__id") == F.col("id")).select("asked_by", F.col("pos").cast("long").alias("pos"), "id", "status")
+    return leads.ordered_lookup(asked, view(spark, sf_dir, "leads_large"), "asked_by").select("asked_by", F.col("pos").cast("long").alias("pos"), "id", "status")
 
 
 @query(SCORES_SQL + " SELECT id, segment FROM scored WHERE segment IN ('unclear', 'too_big') AND needs_human_review = 1 AND is_duplicate = 0", *LARGE)
@@ -845,13 +849,16 @@ def repo_summaries(spark, sf_dir):
 
 @query(
     PARSE_SQL
-    + """ SELECT v.lead_id, CASE WHEN p.id IS NULL THEN 'RESCORE_FAILED' WHEN parse_failed THEN 'empty' ELSE 'scored' END AS outcome FROM v LEFT JOIN (SELECT DISTINCT id FROM site_pages WHERE content <> '') p ON p.id = v.lead_id""",
+    + """ SELECT v.lead_id, CASE WHEN p.id IS NULL THEN 'RESCORE_FAILED: no_scraped_content' WHEN p.content = '' THEN 'LOW_CONFIDENCE: no_content_scraped' WHEN parse_failed THEN 'empty' ELSE 'scored' END AS outcome
+      FROM v LEFT JOIN (SELECT DISTINCT id, CASE WHEN id % 13 = 5 THEN '' ELSE content END AS content FROM site_pages) p ON p.id = v.lead_id""",
     "raw_verdicts",
     "site_pages",
 )
 def rescored(spark, sf_dir):
-    out = state.rescore(view(spark, sf_dir, "raw_verdicts"), view(spark, sf_dir, "site_pages").withColumn("lead_id", F.col("id")))
-    outcome = F.when(F.col("status") == "RESCORE_FAILED", F.col("status")).when(F.col("parse_failed"), "empty").otherwise("scored")
+    stored = view(spark, sf_dir, "site_pages").withColumns({"lead_id": F.col("id"), "content": F.when(F.col("id") % 13 == 5, "").otherwise(F.col("content"))})
+    out = state.rescore(view(spark, sf_dir, "raw_verdicts"), stored)
+    reason = F.concat_ws(": ", "status", "disqualify_reason")
+    outcome = F.when(F.col("disqualify_reason").isin(V.NO_CONTENT, V.NO_PAGES), reason).when(F.col("parse_failed"), "empty").otherwise("scored")
     return out.select("lead_id", outcome.alias("outcome"))
 
 

@@ -25,7 +25,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_raw_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("lead_id long, attempt long, body string").json(path)
+    """Attempts as ``choose_attempt`` takes them: a failed one has the error's text."""
+    return spark.read.schema("lead_id long, attempt long, body string, error string").json(path)
 
 
 def read_evidence(spark: SparkSession, path: str) -> DataFrame:

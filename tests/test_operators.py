@@ -205,11 +205,33 @@ def test_rescore(spark):
     stored = spark.createDataFrame([(1, 1, "homepage", "Hello there")], "lead_id long, id long, source string, content string")
     got = {r.lead_id: (r.status, r.segment, r.disqualify_reason) for r in state.rescore(raw, stored).collect()}
     assert got == {1: ("SCORED", "too_big", None), 2: ("RESCORE_FAILED", "unclear", "no_scraped_content")}
+    empty = stored.where("false").unionByName(spark.createDataFrame([(1, 1, "homepage", ""), (1, 2, "about", None), (2, 3, "about", "")], stored.schema))
+    got = {r.lead_id: (r.status, r.disqualify_reason, r.confidence, r.parse_failed) for r in state.rescore(raw, empty).collect()}
+    assert got == {i: ("LOW_CONFIDENCE", "no_content_scraped", 0.0, False) for i in (1, 2)}
+    ev = spark.sql("SELECT 1L AS id, 1L AS lead_id, 'crunch' AS source, array(named_struct('url', 'u', 'title', 't', 'content', 'some text')) AS results")
+    got = {r.lead_id: (r.status, r.disqualify_reason) for r in state.rescore(raw, empty, ev).collect()}
+    assert got[1][0] == "LOW_CONFIDENCE" and got[1][1].startswith("ungrounded") and got[2] == ("LOW_CONFIDENCE", "no_content_scraped")
     own = spark.createDataFrame([(1,), (2,)], "id long")
     events, left = state.rescore_reset(own, raw, own.where("id = 1"))
     assert [r.lead_id for r in events.collect()] == [1] and [r.lead_id for r in left.collect()] == [2]
 
 
+def test_values_of_other_types_in_verdicts(spark):
+    body = '{"segment":"too_big","confidence":0.9,"recommended_offer":"none","evidence_quotes":%s,"needs_human_review":%s}'
+    cases = [('[5, true, {"a":1}, "ok", null]', "false"), ('["ok"]', '"yes"'), ('["ok"]', "0"), ('["ok"]', "1.5"), ('["ok"]', '""'), ('["ok"]', "[]"), ('["ok"]', '{"a":0}'), ("[]", "null"), ('["ok"]', '"false"'), ('"ok"', "0.0")]
+    raw = spark.createDataFrame([(i, body % c, 'ok 5 true {"a":1}') for i, c in enumerate(cases)], "id long, body string, context string")
+    got = {r.id: r for r in verdicts.finish(raw).collect()}
+    assert got[0].evidence_quotes == ["ok"] and got[0].disqualify_reason == "ungrounded_evidence_quotes_removed: 4 citation(s) not found in source text"
+    assert [got[i].needs_human_review for i in range(len(cases))] == [True, True, False, True, False, False, True, False, True, False]
+    assert got[7].evidence_quotes == [] and got[9].evidence_quotes == []
+
+
+def test_stored_attempts_fit_the_choice(spark, tmp_path):
+    (tmp_path / "raw.json").write_text('{"lead_id": 1, "attempt": 1, "body": "no", "error": "line 1"}\n{"lead_id": 1, "attempt": 2, "body": null, "error": "timeout"}\n{"lead_id": 2, "attempt": 1, "body": "{}"}\n')
+    got = {r.lead_id: (r.used, r.disqualify_reason) for r in verdicts.choose_attempt(tables.read_raw_verdicts(spark, str(tmp_path / "raw.json"))).collect()}
+    assert got == {1: (0, "json_parse_failed: line 1 | retry_error: timeout"), 2: (1, None)}
+
+
 def test_lookup_order_and_owner(spark):
     rows = spark.createDataFrame([(1, 1), (2, 2), (3, None)], "id long, session_id long")
     ids = spark.createDataFrame([([3, 9, 1, 3],)], "ids array<long>")
