@@ -6,7 +6,7 @@ word or key before a value, its separator, and the value's shape) is a lexical p
 patterns and instances is aggregated over all documents and scored in rounds: a pattern's confidence is the mean
 score of its distinct instances (with one virtual instance of score 0), and it is certain if that is at or over ``confidence`` and at least
 ``support`` of its instances are. An instance's score is 1 for seeds, else the noisy-or of the confidences of its certain patterns; so what a pattern
-discovers makes other patterns certain. When no pattern becomes certain any more, the certain ones mark all their instances,
+discovers makes other patterns certain. At the fixed point, which has no bound of rounds, the certain ones mark all their instances,
 unseen ones too. Base identifiers always stay.
 
 Texts never enter a shuffle; what is shuffled are values with contexts, aggregated by pattern and instance before,
@@ -19,6 +19,8 @@ are searched whole (positions of n matches take O(n) memory). Extra columns are
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ CONTEXT = (
     r"|(?=\+[A-Za-z+_.-]{64})(?!\+[A-Za-z+_.-]*+[0-9])\+[A-Za-z+_.-]*(?<=[+.])|(?<=[\p{L}0-9_-]{64}))"
 )
 SEED_SECRET = r"^(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,}$"
-CONFIDENCE, SUPPORT, MAX_ROUNDS = 0.8, 3, 10
+CONFIDENCE, SUPPORT = 0.8, 3
 #: Items of a chunk of an array, and characters of a block of a text.
 _BLOCK, _CHARS = 256, 4096
 
@@ -161,20 +163,22 @@ def contexts(text: Column, base: Column) -> Column:
     return F.when(text.rlike("[0-9]"), found.cast(kind)).otherwise(F.array().cast(kind))
 
 
-def score_patterns(edges: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def score_patterns(edges: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, max_rounds: int | None = None) -> DataFrame:
     """Certain patterns (pattern, kind) of a graph of edges (pattern, value, seed). Scores only rise from round to round, so that certain patterns stay
-    certain; rounds end when no pattern has become certain, or after ``max_rounds``."""
+    certain, and rounds end at the fixed point, when no certain pattern has become another one or more confident (to six digits). If that takes more than ``max_rounds``, where given, it is an error."""
     graph = stash(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pattern-graph")
     scored = graph.select("pattern", "value", F.col("seed").alias("kind"), F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("score"))
-    known = 0
-    for i in range(max_rounds):
+    known = None
+    for i in itertools.count():
         sure = F.col("score") >= confidence
         patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.count(F.when(sure, 1)).alias("support"), F.mode(F.when(sure, F.col("kind")), True).alias("kind"))
         certain = stash(patterns.where((F.col("confidence") >= confidence) & (F.col("support") >= support)), f"patterns-{i}")
-        n = certain.count()
-        if n == known or i + 1 == max_rounds:
+        now = tuple(certain.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("pattern", F.round("confidence", 6)))).first())
+        if now == known or not now[0]:
             break
-        known = n
+        if i + 1 == max_rounds:
+            raise ValueError(f"patterns still become certain after {max_rounds} rounds")
+        known = now
         unknown = graph.where("seed IS NULL").select("pattern", "value").join(certain, "pattern")
         found = unknown.groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("found"), F.mode("kind", True).alias("found_kind"))
         found = stash(found, f"values-{i}")
@@ -182,7 +186,7 @@ def score_patterns(edges: DataFrame, confidence: float = CONFIDENCE, support: in
     return certain.select("pattern", "kind")
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text: str = "text", confidence: float = CONFIDENCE, support: int = SUPPORT, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def find(df: DataFrame, id_col: str = "doc_id", text: str = "text", confidence: float = CONFIDENCE, support: int = SUPPORT, max_rounds: int | None = None) -> DataFrame:
     """A row a document: id_col, mark (a hash of its text), base (base spans), spans (all spans in order: base ones and those of the method that overlap none)."""
     t = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(t).alias("mark"), t.alias("t"))
