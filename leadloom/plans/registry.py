@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import urls as U
 from ..functions.text import joined, text
-from ..operators import dedup, evidence, ingest, leads, pages, reports, state, verdicts
+from ..operators import dedup, event_log, evidence, ingest, leads, pages, reports, state, verdicts
 from .fixtures import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -769,6 +769,37 @@ def state_applied(spark, sf_dir):
     return state.apply_state(view(spark, sf_dir, "leads_large"), folded).select("id", "status")
 
 
+@query(
+    """+ e AS (
+      SELECT lead_id, seq, unnest([{'f': 'status', 'v': status}, {'f': 'last_error', 'v': error}], recursive := true) FROM progress_events WHERE status IS NOT NULL
+      UNION ALL SELECT lead_id, seq, unnest([{'f': 'review_status', 'v': review_status}, {'f': 'review_segment_override', 'v': review_segment_override}], recursive := true) FROM reviews WHERE review_status <> 'OTHER'
+      UNION ALL SELECT id, -1, unnest([{'f': 'is_duplicate', 'v': '1'}, {'f': 'duplicate_of_id', 'v': CAST(id - 1 AS VARCHAR)}, {'f': 'duplicate_reason', 'v': 'manual'}], recursive := true) FROM leads_large WHERE status = 'LOW_CONFIDENCE'
+      UNION ALL SELECT id, 1000000000, unnest([{'f': 'is_duplicate', 'v': '0'}, {'f': 'duplicate_of_id', 'v': NULL}, {'f': 'duplicate_reason', 'v': NULL}, {'f': 'status', 'v': 'NEW'}], recursive := true) FROM leads_large WHERE duplicate_reason = 'domain_match'
+      UNION ALL SELECT id, -2, unnest([{'f': 'status', 'v': 'RESCORE_PENDING'}, {'f': 'last_error', 'v': NULL}], recursive := true) FROM leads_large WHERE status = 'SCORED' AND id % 5 = 0),
+    last AS (SELECT lead_id, f, v FROM e QUALIFY row_number() OVER (PARTITION BY lead_id, f ORDER BY seq DESC) = 1),
+    s AS (SELECT lead_id, list(f) AS fs, max(v) FILTER (f = 'status') AS status, max(v) FILTER (f = 'last_error') AS last_error, max(v) FILTER (f = 'review_status') AS review_status, max(v) FILTER (f = 'review_segment_override') AS override,
+      max(v) FILTER (f = 'is_duplicate') AS dup, max(v) FILTER (f = 'duplicate_of_id') AS of_id, max(v) FILTER (f = 'duplicate_reason') AS reason FROM last GROUP BY lead_id)
+    SELECT id, CASE WHEN list_contains(fs, 'status') THEN s.status ELSE l.status END AS status, s.last_error, s.review_status, s.override AS review_segment_override,
+      CASE WHEN list_contains(fs, 'is_duplicate') THEN CAST(dup AS INTEGER) ELSE l.is_duplicate END AS is_duplicate, CASE WHEN list_contains(fs, 'duplicate_of_id') THEN CAST(of_id AS BIGINT) ELSE l.duplicate_of_id END AS duplicate_of_id,
+      CASE WHEN list_contains(fs, 'duplicate_reason') THEN reason ELSE l.duplicate_reason END AS duplicate_reason
+    FROM leads_large l LEFT JOIN s ON s.lead_id = l.id""",
+    "leads_large",
+    "progress_events",
+    "reviews",
+)
+def event_log_state(spark, sf_dir):
+    rows = view(spark, sf_dir, "leads_large")
+    marked = rows.where("status = 'LOW_CONFIDENCE'").select("id", (F.col("id") - 1).alias("duplicate_of_id"), F.lit("manual").alias("duplicate_reason"))
+    log = event_log.merged(
+        event_log.of_progress(view(spark, sf_dir, "progress_events")),
+        event_log.of_reviews(view(spark, sf_dir, "reviews")),
+        event_log.of_marks(marked, F.lit(-1)),
+        event_log.of_overrides(rows.where("duplicate_reason = 'domain_match'"), F.lit(1_000_000_000)),
+        event_log.of_statuses(rows.where("status = 'SCORED' AND id % 5 = 0"), "RESCORE_PENDING", F.lit(-2)),
+    )
+    return event_log.apply(rows, event_log.fold(log)).select("id", "status", "last_error", "review_status", "review_segment_override", "is_duplicate", "duplicate_of_id", "duplicate_reason")
+
+
 @query(
     SCORES_SQL + ", s AS (SELECT id FROM scored WHERE is_duplicate = 0 AND needs_human_review = 1) SELECT count(*) FILTER (s.id IS NULL) AS kept_versions, count(*) FILTER (s.id IS NOT NULL) AS dropped_versions FROM scores_large v LEFT JOIN s ON s.id = v.lead_id",
     *LARGE,

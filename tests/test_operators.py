@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.operators import components, dedup, evidence, ingest, leads, pages, reports, state, verdicts
+from leadloom.operators import components, dedup, event_log, evidence, ingest, leads, pages, reports, state, verdicts
 from leadloom.sources import scratch, tables
 from leadloom.streaming import flows
 
@@ -249,8 +249,61 @@ def test_sinks_and_append(spark, tmp_path):
     tables.append(data, own, str(tmp_path / "t"))
     tables.append(data, own, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).groupBy("session_id").count().count() == 2
-    (new,) = tables.remove_session(spark, [str(tmp_path / "t")], 4, str(tmp_path / "new"))
-    assert [r.v for r in spark.read.parquet(new).collect()] == ["y", "y"]
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "session_id=5").iterdir()}
+    assert tables.drop_session(spark, [str(tmp_path / "t"), str(tmp_path / "none")], 4) == [str(tmp_path / "t" / "session_id=4")]
+    assert [r.v for r in spark.read.parquet(str(tmp_path / "t")).collect()] == ["y", "y"]
+    assert {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "session_id=5").iterdir()} == before and tables.drop_session(spark, [str(tmp_path / "t")], 4) == []
+
+
+def test_a_session_goes_from_all_tables(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 4), (2, 5), (3, 5)], "id long, session_id long")
+    for t in tables.SESSION_TABLES:
+        rows.write.partitionBy("session_id").parquet(str(tmp_path / t))
+    assert len(tables.delete_session_tables(spark, str(tmp_path), 5)) == 6
+    assert all([r.id for r in spark.read.parquet(str(tmp_path / t)).collect()] == [1] for t in tables.SESSION_TABLES)
+
+
+def test_split_csv_equals_whole_files(spark, tmp_path):
+    rng = random.Random(2)
+    fields = ["", "a", "b c", 'say ""hi""', "line\nbreak", "\n\n", "x, y", "\r\nwin", "é\n" * 40, " pad "]
+    lines = ["Email,Company name,note"]
+    for i in range(120):
+        values = [rng.choice(fields) for _ in range(3)]
+        lines.append(",".join(f'"{v}"' if v == "" or any(c in v for c in '",\n\r') or rng.random() < 0.3 else v for v in values) or str(i))
+    end = {"a": "\n", "b": "\r\n"}
+    for name, sep in end.items():
+        (tmp_path / f"{name}.csv").write_bytes(sep.join(lines).encode() + (sep.encode() if name == "b" else b""))
+    for path in (str(tmp_path / "a.csv"), str(tmp_path / "b.csv"), str(tmp_path)):
+        want = [tuple(r) for r in tables.read_contact_csv(spark, path).collect()]
+        for size in ("128m", "900"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            try:
+                got = tables.read_split_csv(spark, path)
+                rows = [tuple(r) for r in got.collect()]
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+                spark.conf.unset("spark.sql.files.openCostInBytes")
+            assert got.columns == ["Email", "Company name", "note"] and sorted(map(str, rows)) == sorted(map(str, want))
+            if path.endswith(".csv"):
+                assert rows == want
+
+
+def test_log_of_changes(spark):
+    progress = spark.createDataFrame([(1, 1, "FETCHED", "late", 2.0), (1, 5, "SCORED", None, None), (1, 7, None, "no", 3.0), (2, 2, "SCORE_FAILED", "e", None)], "lead_id long, seq long, status string, error string, score_seconds double")
+    reviews = spark.createDataFrame([(1, 3, "APPROVED", "too_big", "t1"), (1, 4, "OTHER", "x", "t2"), (2, 9, "REJECTED", None, "t3")], "lead_id long, seq long, review_status string, review_segment_override string, reviewed_at string")
+    marks = spark.createDataFrame([(2, 1, "manual", 3), (3, 1, "manual", 3), (4, 1, "manual", 3)], "id long, duplicate_of_id long, duplicate_reason string, seq long")
+    back = spark.createDataFrame([(3, 8), (4, 2)], "id long, seq long")
+    log = event_log.merged(event_log.of_progress(progress), event_log.of_reviews(reviews), event_log.of_marks(marks), event_log.of_overrides(back), event_log.of_statuses(back.where("id = 4"), "RESCORE_PENDING"))
+    own = spark.createDataFrame([(i, "OLD", "olderror", 0, "keep") for i in range(1, 6)], "id long, status string, last_error string, is_duplicate int, extra string")
+    got = {r.id: r for r in event_log.apply(own, event_log.fold(log)).collect()}
+    assert (got[1].status, got[1].last_error, got[1].score_seconds, got[1].review_status, got[1].reviewed_at) == ("SCORED", None, 3.0, "APPROVED", "t1")
+    assert (got[2].status, got[2].last_error, got[2].is_duplicate, got[2].duplicate_of_id, got[2].review_status, got[2].review_segment_override) == ("SCORE_FAILED", "e", 1, 1, "REJECTED", None)
+    assert (got[3].status, got[3].is_duplicate, got[3].duplicate_of_id, got[3].last_error) == ("NEW", 0, None, "olderror")  # 8 comes after 3
+    assert (got[4].status, got[4].is_duplicate, got[4].duplicate_reason) == ("RESCORE_PENDING", 1, "manual")  # one number: the larger value; 3 comes after 2
+    assert (got[5].status, got[5].last_error, got[5].is_duplicate, got[5].extra) == ("OLD", "olderror", 0, "keep")
+    with pytest.raises(ValueError):
+        event_log.events(own, "id", F.lit(1), extra="extra")
 
 
 def test_streams(spark, tmp_path):
