@@ -6,12 +6,11 @@ the shorter output is not a prefix of the longer, the template rewrites history;
 no spans. Inside a turn's span, the place of its text is found the same way: the turn is rendered with two other texts
 of one letter each, and their outputs first differ where a text begins.
 
-Conversations are streamed: rows are dealt by conversation and sorted by turn. What a black box makes of a prefix can't be
-known without rendering it, so every prefix is rendered whole: a task holds the turns of one conversation and the
-output of all but the last, and time grows with the square of the conversation's length. A template that is marked by ``turn_local`` writes
-each turn alone, whatever stands before it; then a task holds at most ``context`` earlier turns (a prefix longer than that is
-rendered from its last ``context`` turns, with equal results), so a conversation of any length takes bounded memory and
-time in proportion. ``chatml`` is marked.
+Rows are dealt by conversation and sorted by turn. What a black box makes of a prefix can't be known without rendering it, so every prefix is rendered whole, and time
+grows with the square of a conversation's length. A template that is marked by ``turn_local`` should write each turn alone, whatever stands
+before it; then a turn is rendered after its last ``context`` turns only. The mark is not trusted: in each conversation that is longer, prefixes of doubling lengths and the whole
+are rendered too, and where one isn't what the spans make together, the conversation is rendered by whole prefixes after all. ``chatml`` is marked. A task holds the turns
+and spans of one conversation.
 
 Rows: ordered by turn, then role, then text (nulls first); null texts and roles are empty; rows without a conversation
 id are one conversation; repeated rows are turns of their own; an empty table gives no conversation. Extra columns
@@ -21,7 +20,6 @@ are not read.
 from __future__ import annotations
 
 import hashlib
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -105,36 +103,53 @@ def _span(short: str, outputs: list[str]) -> tuple[str, int, int] | None:
     return (span, start, len(span) - after) if span[:start] == a[:start] and a[start + 1 :] == b[start + 1 :] == span[len(span) - after :] else None
 
 
+def conversation_spans(turns: list[Turn], template: Template, context: int = CONTEXT) -> list[tuple[str, int, int] | None]:
+    """What ``turn_spans`` gives for each turn of a conversation."""
+    n = len(turns)
+    if getattr(template, "turn_local", False) and n > context + 1:
+        spans = [turn_spans(turns[max(0, i - context) : i], turns[i], template) for i in range(n)]
+        lengths, at = [n], context + 1
+        while at < n:
+            lengths.append(at)
+            at *= 2
+        if all(spans) and all(template(turns[:k]) == "".join([template([]), *(x[0] for x in spans[:k])]) for k in lengths):
+            return spans
+    spans, short = [], template([])
+    for i, turn in enumerate(turns):
+        short, found = added(short, turns[:i], turn, template)
+        spans.append(found)
+    return spans
+
+
 def format_turns(conversations: DataFrame, template: Template = chatml, context: int = CONTEXT, keys: tuple[str, ...] = ("conv_id",), trained: tuple[str, ...] = ("assistant",), text: str = "text") -> DataFrame:
     """One row a turn, in order within its conversation's task: ``keys``, position, turn_role, formatted (the turn's span of the
     output), text_start and text_end (of the text within it), trained (whether the text is under the loss mask),
-    rewrites (the template rewrote history here; then the span is null). ``context`` is for templates marked by ``turn_local``; others
+    rewrites (the template rewrote history here; then the span is null). ``context`` is for templates marked by ``turn_local``, whose spans are proven; others
     get whole prefixes."""
     bound_batches(conversations.sparkSession)
     src = conversations.select(*keys, F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     order = [F.col(k).asc_nulls_first() for k in (*keys, "turn")]
     src = src.repartition(*keys).sortWithinPartitions(*order, "role", "text")
     n_keys = len(keys)
-    local = getattr(template, "turn_local", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, before, position, short = object(), deque(maxlen=context if local else None), 0, None
+        current, turns, types = None, [], ()
+        names = [*keys, "position", "turn_role", "formatted", "text_start", "text_end", "trained", "rewrites"]
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            spans = conversation_spans(turns, template, context)
+            for lo in range(0, len(turns), 1024):
+                some = [(*current, i, turns[i][0], *(spans[i] or (None, None, None)), turns[i][0] in trained, spans[i] is None) for i in range(lo, min(lo + 1024, len(turns)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=names)
+
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            out: list[tuple] = []
-            for *key, _, role, words in zip(*columns, strict=True):
+            types = (*(c.type for c in batch.columns[:n_keys]), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+            for *key, _, role, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != current:
-                    current, position, short = key, 0, None
-                    before.clear()
-                if local or short is None:
-                    short = template(list(before))
-                short, found = added(short, list(before), (role, words), template)
-                out.append((position, role, *(found or (None, None, None)), role in trained, found is None))
-                before.append((role, words))
-                position += 1
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keys], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*keys, "position", "turn_role", "formatted", "text_start", "text_end", "trained", "rewrites"])
+                    yield from rows()
+                    current, turns = key, []
+                turns.append((role, words))
+        yield from rows()
 
     kinds = ", ".join(f"`{k}` {src.schema[k].dataType.simpleString()}" for k in keys)
     return src.mapInArrow(run, f"{kinds}, position long, turn_role string, formatted string, text_start long, text_end long, trained boolean, rewrites boolean")

@@ -150,3 +150,18 @@ def test_digests_without_a_second_shuffle(spark):
     plans = [chat_format.digest_conversations(turns, arranged=a) for a in (False, True)]
     assert [p._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for p in plans] == [2, 1]
     assert sorted(map(str, plans[0].collect())) == sorted(map(str, plans[1].collect()))
+
+
+def test_a_wrong_mark_is_not_trusted(spark):
+    numbered = chat_format.turn_local(lambda turns: "".join(f"{i}:{role}:{text};" for i, (role, text) in enumerate(turns)))
+    forgetful = chat_format.turn_local(lambda turns: "".join(f"{role}:{text};" for role, text in turns[-20:]))
+    rows = [(c, i, "user" if i % 2 else "assistant", f"t{i}") for c in (1, 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = chat_format.format_turns(df, numbered).where("conv_id = 2").orderBy("position").collect()
+    assert [r.formatted for r in got] == [f"{i}:{'user' if i % 2 else 'assistant'}:t{i};" for i in range(40)] and not any(r.rewrites for r in got)
+    got = chat_format.format_turns(df, forgetful).where("conv_id = 1").orderBy("position").collect()
+    assert [r.rewrites for r in got] == [i >= 20 for i in range(40)] and got[39].formatted is None
+    calls = []
+    counted = chat_format.turn_local(lambda turns: calls.append(len(turns)) or chat_format.chatml(turns))
+    turns = [("user", f"t{i}") for i in range(3000)]
+    assert "".join(x[0] for x in chat_format.conversation_spans(turns, counted)) == chat_format.chatml(turns) and sum(calls) < (4 * 17 + 4) * len(turns)  # four renders of the context and a turn, and the proofs
