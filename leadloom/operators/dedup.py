@@ -77,14 +77,22 @@ def _cut(rows: DataFrame, shifted: bool) -> DataFrame:
     return rows.select("name", "fresh", "la", "lb", "d", rest_left.alias("rest"), key.alias("key")).distinct()
 
 
-def _letter_pairs(names: DataFrame) -> DataFrame:
-    """The names with ``pairs``: hashes of their pairs of letters (the second "ss" of a name is another pair than the first), the rarest first."""
-    letters = F.expr("transform(sequence(1, greatest(n - 1, 1)), i -> substring(name_key, i, 2))")
+def _each_pair(names: DataFrame) -> DataFrame:
+    """The names once for each hash of their pairs of letters (the second "ss" of a name is another pair than the first)."""
+    letters = F.expr("transform(sequence(1, greatest(length(name_key) - 1, 1)), i -> substring(name_key, i, 2))")
     numbered = F.transform(letters, lambda p, i: F.xxhash64(p, F.size(F.filter(F.slice(letters, F.lit(1), i), lambda q: q == p))))
-    each = names.select("name_key", "n", "fresh", F.explode(numbered).alias("pair"))
-    rarity = each.groupBy("pair").agg(F.count(F.lit(1)).alias("seen"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seen", "pair"))), lambda x: x["pair"])
-    return each.join(rarity, "pair").groupBy("name_key", "n", "fresh").agg(ordered.alias("pairs"))
+    return names.select(*names.columns, F.explode(numbered).alias("pair"))
+
+
+def pair_rarity(names: DataFrame) -> DataFrame:
+    """pair and seen, how many of the names have it."""
+    return _each_pair(names.select("name_key")).groupBy("pair").agg(F.count(F.lit(1)).alias("seen"))
+
+
+def letter_pairs(names: DataFrame, rarity: DataFrame) -> DataFrame:
+    """The names with ``pairs``: their pairs of letters, the rarest first; pairs that rarity doesn't know come before all others."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "pair"))), lambda x: x["pair"])
+    return _each_pair(names).join(rarity, "pair", "left").groupBy(*names.columns).agg(ordered.alias("pairs"))
 
 
 def _rarest(names: DataFrame, pairs: DataFrame, side: str, depth: int) -> DataFrame:
@@ -115,7 +123,7 @@ def similar_names(names: DataFrame, threshold: int = THRESHOLD, hot: int = HOT,
     fresh = F.col("fresh") if "fresh" in names.columns else F.lit(True)
     names = names.where("name_key <> ''").groupBy("name_key").agg(F.max(fresh).alias("fresh"))
     names = names.select("name_key", F.length("name_key").alias("n"), "fresh")
-    lettered = stash(_letter_pairs(names), "names")
+    lettered = stash(letter_pairs(names, pair_rarity(names)), "names")
     names = lettered.drop("pairs")
     lengths = _length_pairs(names.select("n").distinct(), threshold).where("d > 0")
     lengths = lengths.withColumns({"out": F.expr("(d + la - lb) div 2"), "in": F.expr("(d + lb - la) div 2")}).withColumn("kept", F.expr("la - 1 - 2 * out - `in`"))
@@ -177,7 +185,7 @@ def _meet(short: DataFrame, long: DataFrame) -> DataFrame:
 KINDS = ("email_key", "domain_key", "name_key")
 
 
-def _posts(keys: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+def posts(keys: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """id, kind (the place of the key among the kinds) and key of each key that isn't ''."""
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(k).alias("key")) for i, k in enumerate(kinds))))
     return keys.select("id", each.alias("k")).select("id", "k.kind", "k.key").where("key <> ''")
@@ -207,11 +215,11 @@ def _scan(pack: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": pd.Series(originals, dtype="int64")})
 
 
-def _finish(posts: DataFrame, found: DataFrame) -> DataFrame:
-    """The originals (id) among the leads of posts (pack, id, kind, key, own), pack by pack. A pack has whole components."""
+def _finish(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The originals (id) among the leads of rows (pack, id, kind, key, own), pack by pack. A pack has whole components."""
     heads = found.groupBy("kind", "key").agg(F.min("orig").alias("orig"))
-    posts = posts.join(heads, ["kind", "key"], "left").withColumn("orig", F.coalesce("orig", F.lit((1 << 63) - 1)))
-    return posts.groupBy("pack").applyInPandas(_scan, "id long")
+    rows = rows.join(heads, ["kind", "key"], "left").withColumn("orig", F.coalesce("orig", F.lit((1 << 63) - 1)))
+    return rows.groupBy("pack").applyInPandas(_scan, "id long")
 
 
 def resolve(leads: DataFrame, threshold: int | None = THRESHOLD, originals: DataFrame | None = None, rounds: int = ROUNDS, pack: int = PACK) -> DataFrame:
@@ -219,7 +227,7 @@ def resolve(leads: DataFrame, threshold: int | None = THRESHOLD, originals: Data
     Leads that were flagged before are neither matched nor changed. ``originals``: known originals with smaller ids; they are matched, but not decided again.
     After ``rounds`` rounds, components of up to ``pack`` keys of leads are finished by scans."""
     kinds = KINDS if threshold is not None else KINDS[:2]
-    known = _posts(dedup_keys(originals), kinds).groupBy("kind", "key").agg(F.min("id").alias("orig")) if originals is not None else None
+    known = posts(dedup_keys(originals), kinds).groupBy("kind", "key").agg(F.min("id").alias("orig")) if originals is not None else None
     return resolve_against(leads, known, threshold, rounds, pack)
 
 
@@ -228,7 +236,7 @@ def resolve_against(leads: DataFrame, known: DataFrame | None, threshold: int |
     flagged = F.coalesce(F.col("is_duplicate"), F.lit(0)) == 1 if "is_duplicate" in leads.columns else F.lit(False)
     kinds = KINDS if threshold is not None else KINDS[:2]
     keys = stash(dedup_keys(leads.where(~flagged)), "leads")
-    own = _posts(keys, kinds)
+    own = posts(keys, kinds)
     listened = own.withColumn("own", F.lit(True))
     if known is not None:
         known = stash(known.where(F.col("kind").isin(*range(len(kinds)))).select("kind", "key", "orig"), "originals")

@@ -35,11 +35,29 @@ def latest_progress(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").agg(F.max(F.struct(*fields)).alias("e")).select("session_id", *(F.col(f"e.{c}").alias(c) for c in fields))
 
 
+#: Sums of some of a session's events; those of all its parts add up.
+PARTS = "session_id long, processed long, events long, first timestamp, last timestamp"
+
+
+def count_parts(events: DataFrame) -> DataFrame:
+    done = F.coalesce(F.sum(F.when(F.col("step") == "done", 1).otherwise(0)), F.lit(0)).cast("long")
+    ts = F.col("ts").cast("timestamp")
+    return events.groupBy("session_id").agg(done.alias("processed"), F.count(F.lit(1)).alias("events"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+
+
+def added(parts: DataFrame) -> DataFrame:
+    """The parts, one a session."""
+    return parts.groupBy("session_id").agg(F.sum("processed").alias("processed"), F.sum("events").alias("events"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def counts_of_parts(parts: DataFrame) -> DataFrame:
+    seconds = (F.unix_micros("last") - F.unix_micros("first")) / 1e6
+    return added(parts).select("session_id", "processed", "events", seconds.alias("seconds"))
+
+
 def progress_counts(events: DataFrame) -> DataFrame:
     """Per session_id: processed (finished leads' events), events, duration in seconds."""
-    done = F.coalesce(F.sum(F.when(F.col("step") == "done", 1).otherwise(0)), F.lit(0)).cast("long")
-    seconds = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))
-    return events.groupBy("session_id").agg(done.alias("processed"), F.count(F.lit(1)).alias("events"), (seconds / 1e6).alias("seconds"))
+    return counts_of_parts(count_parts(events))
 
 
 def apply_state(leads: DataFrame, folded: DataFrame, key: str = "lead_id") -> DataFrame:

@@ -58,5 +58,5 @@ def drop_session(spark: SparkSession, paths: list[str], session_id: int) -> list
 
 
 def delete_session_tables(spark: SparkSession, root: str, session_id: int) -> list[str]:
-    """A session goes from all tables of leads under ``root``, the leads last, so that what is left after a failure still has its leads."""
-    return drop_session(spark, [f"{root.rstrip('/')}/{t}" for t in SESSION_TABLES], session_id)
+    """A session goes from all tables of leads under ``root``, and from what intake knows of it, the leads last, so that what is left after a failure still has its leads."""
+    return drop_session(spark, [f"{root.rstrip('/')}/{t}" for t in ("leads-known", *SESSION_TABLES)], session_id)
