@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,11 +39,15 @@ def with_website(df: DataFrame) -> DataFrame:
     return df.where(strip("website_url") != "")
 
 
-def ingest_counts(df: DataFrame) -> DataFrame:
-    """One row: inserted and skipped_no_website."""
+def _counts() -> list[Column]:
     there = strip("website_url") != ""
     count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
-    return df.agg(count(there).alias("inserted"), count(~there).alias("skipped_no_website"))
+    return [count(there).alias("inserted"), count(~there).alias("skipped_no_website")]
+
+
+def ingest_counts(df: DataFrame) -> DataFrame:
+    """One row: inserted and skipped_no_website."""
+    return df.agg(*_counts())
 
 
 def with_ids(df: DataFrame, after: int = 0) -> DataFrame:
@@ -71,9 +75,12 @@ def stamp(df: DataFrame, session_id: int, batch_id: str, at: str | None = None)
     })
 
 
-def ingest(raw: DataFrame, session_id: int, batch_id: str, after: int = 0, at: str | None = None) -> DataFrame:
-    """A contact list as read (all headers as they are) to lead rows."""
-    return stamp(with_ids(normalize(with_website(pick_columns(raw))), after), session_id, batch_id, at)
+def ingest(raw: DataFrame, session_id: int, batch_id: str, after: int = 0, at: str | None = None, counts: Observation | None = None) -> DataFrame:
+    """A contact list as read (all headers as they are) to lead rows. ``counts``, if given, has the numbers of ``ingest_counts`` when this returns: they are taken in the pass that writes the rows, not in one of their own."""
+    rows = pick_columns(raw)
+    if counts is not None:
+        rows = rows.observe(counts, *_counts())
+    return stamp(with_ids(normalize(with_website(rows)), after), session_id, batch_id, at)
 
 
 def dedup_keys(df: DataFrame) -> DataFrame:
