@@ -65,7 +65,8 @@ def session_overview(sessions: DataFrame, leads: DataFrame, owner_id: int | None
     if owner_id is not None:
         sessions = sessions.where(F.col("owner_id") == owner_id)
     newest = sessions.orderBy(F.desc("id")).limit(limit)
-    per = leads.groupBy(F.col("session_id").alias("__s")).agg(
+    shown = F.broadcast(newest.select(F.col("id").alias("session_id")))  # ``limit`` ids at most
+    per = leads.join(shown, "session_id", "left_semi").groupBy(F.col("session_id").alias("__s")).agg(
         F.count_distinct("id").alias("total_leads"),
         n(F.col("is_duplicate") == 1).alias("duplicates"),
         n(F.col("status").isin("SCORED", "LOW_CONFIDENCE")).alias("scored"),
