@@ -37,18 +37,30 @@ def without_fragment(url: Column) -> Column:
     return F.regexp_replace(F.substring_index(url, "#", 1), "/+$", "")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its . and .. segments."""
+    parts = F.split(path, "/")
+    step = lambda out, x: F.when(x == "..", F.when(F.size(out) > 1, F.slice(out, 1, F.size(out) - 1)).otherwise(out)).when(x == ".", out).otherwise(F.concat(out, F.array(x)))
+    kept = F.reduce(parts, F.array().cast("array<string>"), step)
+    # a path that ends in such a segment is a folder
+    last = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.array_join(kept, "/"), last)).otherwise(path)
+
+
 def absolute(link: Column, page: Column) -> Column:
-    """A link made absolute by its page's address."""
+    """A link made absolute by its page's address. Links with a scheme stay as they are; the others' . and .. segments are resolved, and none leads above the root."""
     root = F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)?(//[^/?#]*)?", 0)
     scheme = F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
-    folder = F.concat(root, F.regexp_extract(F.substr(page, F.length(root) + 1), r"^([^?#]*/)?", 0))
-    folder = F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/")))
+    folder = F.regexp_extract(F.substr(page, F.length(root) + 1), r"^([^?#]*/)?", 0)
+    folder = F.when(folder == "", "/").otherwise(folder)
+    path, rest = F.regexp_extract(link, r"^[^?#]*", 0), F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
+    joined = F.when(F.startswith(link, F.lit("/")), path).otherwise(F.concat(folder, path))
     return (
         F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
         .when(F.startswith(link, F.lit("//")), F.concat(scheme, link))
-        .when(F.startswith(link, F.lit("/")), F.concat(root, link))
         .when(F.startswith(link, F.lit("#")), F.concat(F.substring_index(page, "#", 1), link))
-        .otherwise(F.concat(folder, link))
+        .when(F.startswith(link, F.lit("?")), F.concat(F.regexp_extract(page, r"^[^?#]*", 0), link))
+        .otherwise(F.concat(root, _without_dots(joined), rest))
     )
 
 

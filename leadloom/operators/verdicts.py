@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed_values as V
+from ..functions.json_text import indented
 from ..functions.text import collapse, some, strip, text
 from ..functions.urls import contact_name
 from .pages import strip_images
@@ -207,6 +208,16 @@ def criteria_block(criteria: Column, custom: Column) -> Column:
     return F.when(block == "", "").otherwise(F.concat(F.lit(V.CRITERIA_HEADING), block))
 
 
+def signals_json(signals: DataFrame, stored: bool = False) -> DataFrame:
+    """Adds signals_json to the rows of page_signals: the signals under the names that the model knows, and the repository's check (a struct repo_check of repo_url, checked, evidence,
+    error) or null. Facts that a check doesn't have are left out of its evidence. ``stored``: in the form of a stored row, which has ids, session and time too; columns that
+    aren't there are null."""
+    there = {c: F.col(c) if c in signals.columns else F.lit(None).cast("string") for c in (V.STORED_SIGNALS if stored else V.SIGNAL_NAMES)}
+    whole = signals.withColumn("__signals", F.struct(*(value.alias(V.SIGNAL_NAMES.get(c, c)) for c, value in there.items())))
+    out = indented(F.col("__signals"), whole.schema["__signals"].dataType, sparse=(V.SIGNAL_NAMES["repo_check"] + ".evidence",))
+    return whole.withColumn("signals_json", out).drop("__signals")
+
+
 def model_input(leads: DataFrame, signals_json: Column | None = None) -> DataFrame:
     """Adds model_input to rows with the lead's columns, context, evidence_block, criteria_block: the blocks that aren't empty, in order. Null if there is neither a context nor evidence."""
     site = F.when(strip("context") != "", F.concat(F.lit(V.SITE_HEADING), "context"))

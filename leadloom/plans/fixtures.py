@@ -36,6 +36,7 @@ SQL = {
             WHEN 11 THEN '<p>404 - page not found</p>'
             WHEN 12 THEN '<a href="/pricing">p</a><a href="/about#team">a</a>'
             WHEN 13 THEN '<p>Written with AI. dive into, elevate your</p>'
+            WHEN 14 THEN '<a href="//cdn.example.com/a">c</a><a href="team">t</a><a href="?q=1">q</a><a href="../up">u</a>'
             ELSE '' END) AS html
         FROM pages""",
     "site_pages": r"""

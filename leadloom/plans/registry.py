@@ -171,10 +171,16 @@ def contact_search_queries(spark, sf_dir):
 
 # -- pages -------------------------------------------------------------------------------------------------------------------
 
-LINKS_SQL = """list_transform(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: CASE WHEN regexp_matches(x, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN x
-      WHEN starts_with(x, '/') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)?(//[^/?#]*)?', 0) || x
+ROOT_SQL = "regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)?(//[^/?#]*)?', 0)"
+LINKS_SQL = f"""list_transform(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: CASE WHEN regexp_matches(x, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN x
+      WHEN starts_with(x, '//') THEN regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*:', 0) || x
+      WHEN starts_with(x, '/') THEN {ROOT_SQL} || x
       WHEN starts_with(x, '#') THEN split_part(url, '#', 1) || x
-      ELSE regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)?(//[^/?#]*)?', 0) || '/' || x END)"""
+      WHEN starts_with(x, '?') THEN regexp_extract(url, '^[^?#]*', 0) || x
+      WHEN starts_with(x, '../') THEN {ROOT_SQL} || regexp_replace(regexp_extract(substr(url, length({ROOT_SQL}) + 1), '^([^?#]*/)?', 0), '([^/]*/)?$', '') || CASE WHEN regexp_extract(substr(url, length({ROOT_SQL}) + 1), '^([^?#]*/)?', 0) IN ('', '/') THEN '/' ELSE '' END || substr(x, 4)
+      ELSE {ROOT_SQL} || coalesce(nullif(regexp_extract(substr(url, length({ROOT_SQL}) + 1), '^([^?#]*/)?', 0), ''), '/') || x END)"""
+
+
 def _text_sql(x: str) -> str:
     x = rf"regexp_replace(coalesce({x}, ''), '<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->', ' ', 'gis')"
     x = f"regexp_replace({x}, '<[^>]*>', ' ', 'gs')"
@@ -905,3 +911,44 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = own.join(found, "id").withColumn("status", F.lit("SCORED"))
     versions = view(spark, sf_dir, "scores_large").select("lead_id", "version", "l_partkey", "l_suppkey", "segment", "confidence", "needs_human_review")
     return leads.category_summary(leads.categorize(leads.with_latest(rows, versions, order=("version", "l_partkey", "l_suppkey"))))
+
+
+SIGNALS_JSON_SQL = "concat('{' || chr(10) || '  ', concat_ws(',' || chr(10) || '  ', " + ", ".join(
+    f"""'"{name}": ' || """ + (
+        f"CASE WHEN len({c}) = 0 THEN '[]' ELSE '[' || chr(10) || '    ' || array_to_string(list_transform({c}, lambda x: CAST(to_json(x) AS VARCHAR)), ',' || chr(10) || '    ') || chr(10) || '  ]' END" if c in LISTED else
+        "coalesce(check_json, 'null')" if c == "repo_check" else f"coalesce(CAST(to_json({c}) AS VARCHAR), 'null')")
+    for c, name in V.SIGNAL_NAMES.items()) + "), chr(10) || '}')"
+CHECK_JSON_SQL = """CASE WHEN repo_url IS NOT NULL THEN '{' || chr(10) || '    "repo_url": ' || CAST(to_json(repo_url) AS VARCHAR) || ',' || chr(10) || '    "checked": ' || CASE WHEN page_id % 2 = 0 THEN 'true' ELSE 'false' END || ',' || chr(10) || '    "evidence": '
+      || CASE WHEN page_id % 2 = 0 THEN '{' || chr(10) || '      "total_commits_seen": ' || page_id || ',' || chr(10) || '      "single_commit_repo": false' || chr(10) || '    }' ELSE '{}' END || ',' || chr(10) || '    "error": ' || CASE WHEN page_id % 2 = 0 THEN 'null' ELSE CAST(to_json('status "403"') AS VARCHAR) END || chr(10) || '  }' END"""
+
+
+@query(
+    EVIDENCE_SQL
+    + f""", h AS (SELECT lead_id, id, coalesce(source, '') AS source, unnest(hits) AS h, unnest(generate_series(1, len(hits))) AS pos FROM ev), f AS (SELECT *, min(id) OVER (PARTITION BY lead_id, source) AS first, {strip_sql("h.content")} AS body FROM h),
+    e AS (SELECT lead_id, {quoted([V.EVIDENCE_HEADING])} || substr(string_agg('[' || source || '] ' || coalesce(h.title, '') || ' (' || coalesce(h.url, '') || ')' || chr(10) || substr(body, 1, 4000), chr(10) || chr(10) ORDER BY first, id, pos), 1, 4000) AS block FROM f WHERE body <> '' GROUP BY lead_id),
+    {CONTEXT_SQL.replace("SELECT site AS lead_id", "SELECT id - id % 3 AS lead_id").replace("GROUP BY site", "GROUP BY id - id % 3")}"""
+    + SIGNALS_SQL.replace("+", ",", 1)
+    + f""", j AS (SELECT page_id, {SIGNALS_JSON_SQL} AS sj FROM (SELECT *, {CHECK_JSON_SQL} AS check_json FROM signals) WHERE page_id % 4 <> 0),
+    m AS (SELECT l.id AS lead_id, {quoted([V.METADATA_HEADING])} || concat_ws(chr(10), '- Name: Ann', '- Company: ' || nullif(company_name, ''), '- Email: ' || nullif(email, ''), '- Website: ' || nullif(website_url, '')) AS meta, context, block, sj
+      FROM leads l LEFT JOIN c ON c.lead_id = l.id LEFT JOIN e ON e.lead_id = l.id LEFT JOIN j ON j.page_id = l.id)
+    SELECT lead_id, sha256(sj) AS signals_sha, CASE WHEN {strip_sql("context")} <> '' OR coalesce(block, '') <> '' THEN sha256(concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10), meta, CASE WHEN {strip_sql("context")} <> '' THEN {quoted([V.SITE_HEADING])} || context END,
+      block, {quoted([V.CRITERIA_HEADING])} || chr(10) || '- own: own', {quoted([V.SIGNALS_HEADING])} || sj)) END AS sha FROM m""",
+    "leads",
+    "site_pages",
+    "search_results",
+    "pages_marked",
+)
+def model_input_blocks(spark, sf_dir):
+    """All five blocks of a lead's input: every third lead has pages; three of four have signals, with a check of their repository where they name one."""
+    own = view(spark, sf_dir, "leads").withColumns({"first_name": F.lit("Ann"), "last_name": F.lit(None).cast("string"), "title": F.lit("")})
+    context = verdicts.site_context(view(spark, sf_dir, "site_pages").withColumn("lead_id", F.col("id") - F.col("id") % 3)).withColumnRenamed("lead_id", "__c")
+    block = verdicts.evidence_block(_evidence(spark, sf_dir)).withColumnRenamed("lead_id", "__e")
+    even = F.col("page_id") % 2 == 0
+    facts = F.struct(F.when(even, F.col("page_id")).alias("total_commits_seen"), F.lit(None).cast("string").alias("first_commit_message"), F.when(even, F.lit(False)).alias("single_commit_repo"))
+    check = F.struct("repo_url", even.alias("checked"), facts.alias("evidence"), F.when(~even, 'status "403"').alias("error"))
+    signals = _signals(spark, sf_dir).where("page_id % 4 <> 0").withColumn("repo_check", F.when(F.col("repo_url").isNotNull(), check))
+    signals = verdicts.signals_json(signals).select(F.col("page_id").alias("__s"), "signals_json")
+    rows = own.join(context, F.col("id") == F.col("__c"), "left").join(block, F.col("id") == F.col("__e"), "left").join(signals, F.col("id") == F.col("__s"), "left")
+    rows = rows.withColumn("criteria_block", verdicts.criteria_block(F.array(F.lit("own")), F.lit("")))
+    out = verdicts.model_input(rows, F.col("signals_json"))
+    return out.select(F.col("id").alias("lead_id"), F.sha2("signals_json", 256).alias("signals_sha"), F.sha2("model_input", 256).alias("sha"))
