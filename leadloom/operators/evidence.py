@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import strip, text
+from ..functions.text import col, strip, text
 from ..functions.urls import contact_name
 
 HITS = "array<struct<url:string,title:string,content:string>>"
@@ -53,10 +53,15 @@ def leads_with_evidence(leads: DataFrame, evidence: DataFrame) -> DataFrame:
     return leads.where(F.coalesce("is_duplicate", F.lit(0)) == 0).join(grouped, F.col("id") == F.col("__lead")).drop("__lead")
 
 
+def titles(source: Column | str, results: Column | str) -> Column:
+    """'source: title | title' of one search; '?' where its source is null."""
+    hits = F.coalesce(col(results), F.array().cast(HITS))
+    return F.concat(F.coalesce(col(source), F.lit("?")), F.lit(": "), F.array_join(F.transform(hits, lambda h: text(h["title"])), " | "))
+
+
 def titles_summary(evidence: Column) -> Column:
-    """'source: title | title', joined by ' ||| '."""
-    one = lambda e: F.concat(F.coalesce(e["source"], F.lit("?")), F.lit(": "), F.array_join(F.transform(F.coalesce(e["results"], F.array().cast(HITS)), lambda h: text(h["title"])), " | "))
-    return F.coalesce(F.array_join(F.transform(evidence, one), " ||| "), F.lit(""))
+    """The titles of all searches, joined by ' ||| '."""
+    return F.coalesce(F.array_join(F.transform(evidence, lambda e: titles(e["source"], e["results"])), " ||| "), F.lit(""))
 
 
 def snippet(content: Column, view: bool = False) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.text import col, joined, label, some, text
 from . import pages as P
-from .evidence import HITS, snippet, titles_summary
+from .evidence import HITS, snippet, titles
 from .leads import CATEGORIES, original, with_latest
 
 SIGNAL_COLUMNS = ("generator_fingerprint", "generator_meta_tag", "trend_fonts", "visual_patterns", "build_tool_phrases", "repo_url", "repo_check", "style_phrases", "style_density", "disclosures")
@@ -46,7 +46,9 @@ def readable_report(rows: DataFrame, pages: DataFrame, signals: DataFrame, evide
     short = pages.select(F.col("lead_id").alias("__site"), "id", "source", P.preview("content", n).alias("preview"))  # texts are cut before the shuffle
     wide = short.groupBy("__site").pivot("source", list(V.SOURCES)).agg(F.max_by("preview", "id"))
     wide = wide.select("__site", *(F.col(s).alias(f"{s}_preview") for s in V.SOURCES))
-    found = evidence.groupBy(F.col("lead_id").alias("__ev")).agg(titles_summary(F.array_sort(F.collect_list(F.struct("id", "source", "results")))).alias("search_evidence"))
+    named = evidence.select(F.col("lead_id").alias("__ev"), "id", "source", titles("source", "results").alias("titles"))  # contents of hits stay out of the shuffle
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("id", "source", "titles"))), lambda x: x["titles"])
+    found = named.groupBy("__ev").agg(F.array_join(ordered, " ||| ").alias("search_evidence"))
     df = with_latest(rows, signals.withColumn("has_signals", F.lit(True)))
     df = df.join(wide, F.col("id") == F.col("__site"), "left").join(found, F.col("id") == F.col("__ev"), "left")
     check = P.repo_summary(F.col("repo_check")) if "repo_check" in df.columns else F.lit("")
