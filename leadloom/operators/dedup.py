@@ -6,7 +6,8 @@ nothing earlier that is undecided is an original. Rounds alone would be as many
 before. So what a few rounds leave is cut into connected components, which are packed by size, and each pack is finished by a scan in order of
 ids; only components too large for a task go on in rounds. As soon as few keys are left in all, they are one pack.
 
-Names are compared only between distinct names that share their rarest pairs of letters (no pair at or over the threshold is lost).
+Names are compared only between distinct names. As long as few leads are the first of all their keys, only these are compared by name, with all that are undecided before them; what shares an address or a
+domain with an original needs no comparison. Many names meet by their rarest pairs of letters (no pair at or over the threshold is lost), few are compared directly.
 Each step is written: lineage stays short, and the join of keys has written or shuffled sides, whose hot keys Spark may split.
 """
 
@@ -33,6 +34,10 @@ HOT, LEVELS = 1024, 4
 DEPTH, MEETINGS = 3, 50
 #: Rounds before components are made, and keys of leads that a task finishes.
 ROUNDS, PACK = 3, 1_000_000
+#: So few names are compared with any number of others directly; where both sides are more, up to MEDIUM times as many.
+FEW, MEDIUM = 1024, 7
+#: Rounds at most in which only leads that are the first of all their keys are compared by name.
+FIRST_ROUNDS = 16
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -79,9 +84,9 @@ def _cut(rows: DataFrame, shifted: bool) -> DataFrame:
 
 def _each_pair(names: DataFrame) -> DataFrame:
     """The names once for each hash of their pairs of letters (the second "ss" of a name is another pair than the first)."""
-    letters = F.expr("transform(sequence(1, greatest(length(name_key) - 1, 1)), i -> substring(name_key, i, 2))")
-    numbered = F.transform(letters, lambda p, i: F.xxhash64(p, F.size(F.filter(F.slice(letters, F.lit(1), i), lambda q: q == p))))
-    return names.select(*names.columns, F.explode(numbered).alias("pair"))
+    letters = F.array_sort(F.expr("transform(sequence(1, greatest(length(name_key) - 1, 1)), i -> substring(name_key, i, 2))"))
+    numbered = F.transform("letters", lambda p, i: F.xxhash64(p, (i + 1 - F.array_position("letters", p)).cast("int")))
+    return names.withColumn("letters", letters).select(*names.columns, F.explode(numbered).alias("pair"))
 
 
 def pair_rarity(names: DataFrame) -> DataFrame:
@@ -222,34 +227,98 @@ def _finish(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.groupBy("pack").applyInPandas(_scan, "id long")
 
 
-def resolve(leads: DataFrame, threshold: int | None = THRESHOLD, originals: DataFrame | None = None, rounds: int = ROUNDS, pack: int = PACK) -> DataFrame:
+def near_names(some: DataFrame, others: DataFrame, threshold: int = THRESHOLD, few: int = FEW) -> DataFrame:
+    """Pairs (a, b) of a name of ``some`` and another one of ``others`` or, beside those, of ``some`` (name_key), with 200 * LCS >= threshold * (sum of lengths).
+
+    If one side has ``few`` names at most, or both are not much more, the smaller one is broadcast and the other goes over it once; else they meet by their rarest pairs of letters."""
+    some, others = (x.where("name_key <> ''").select("name_key").distinct() for x in (some, others))
+    some = stash(some, "some-names")
+    others = stash(others, "other-names")
+    n_some, n_others = some.count(), others.count()
+    if min(n_some, n_others) > few and max(n_some, n_others) > MEDIUM * few:
+        both = some.withColumn("fresh", F.lit(True)).unionByName(others.withColumn("fresh", F.lit(False)))
+        return similar_names(both, threshold)
+    lanes = some.sparkSession.sparkContext.defaultParallelism
+    a, b = some.select(F.col("name_key").alias("a")), others.select(F.col("name_key").alias("b"))
+    a, b = (F.broadcast(a), b.repartition(lanes)) if n_some <= n_others else (a.repartition(lanes), F.broadcast(b))
+    edits = f"cast(({100 - threshold} * (length(a) + length(b))) div 100 AS int)"
+    met = b.join(a, F.expr(f"a <> b AND abs(length(a) - length(b)) <= {edits} AND levenshtein(a, b, {edits}) >= 0"))
+    return stash(met.where(200 * lcs_length("a", "b") >= threshold * (F.length("a") + F.length("b"))).select("a", "b"), "near-names")
+
+
+def resolve(leads: DataFrame, threshold: int | None = THRESHOLD, originals: DataFrame | None = None, rounds: int = ROUNDS, pack: int = PACK, few: int = FEW) -> DataFrame:
     """id, is_duplicate, duplicate_of_id and duplicate_reason of leads (id, email, domain_normalized, company_name, and is_duplicate if they may be flagged before). ``threshold`` None: names aren't compared.
     Leads that were flagged before are neither matched nor changed. ``originals``: known originals with smaller ids; they are matched, but not decided again.
-    After ``rounds`` rounds, components of up to ``pack`` keys of leads are finished by scans."""
+    After ``rounds`` rounds, components of up to ``pack`` keys of leads are finished by scans. Names are compared directly where one side has ``few`` or both are not much more."""
     kinds = KINDS if threshold is not None else KINDS[:2]
     known = posts(dedup_keys(originals), kinds).groupBy("kind", "key").agg(F.min("id").alias("orig")) if originals is not None else None
-    return resolve_against(leads, known, threshold, rounds, pack)
+    return resolve_against(leads, known, threshold, rounds, pack, few)
+
+
+def _without_earlier(own: DataFrame, undecided: DataFrame, found: DataFrame) -> DataFrame:
+    """The undecided leads none of whose own keys has an earlier original."""
+    heads = found.groupBy("kind", "key").agg(F.min("orig").alias("orig"))
+    return undecided.join(own.join(heads, ["kind", "key"]).where("orig < id").select("id"), "id", "left_anti")
 
 
-def resolve_against(leads: DataFrame, known: DataFrame | None, threshold: int | None = THRESHOLD, rounds: int = ROUNDS, pack: int = PACK) -> DataFrame:
+def _first_leads(own: DataFrame, undecided: DataFrame) -> DataFrame:
+    """The undecided leads (id) that are the first undecided ones of all their keys."""
+    still = own.join(undecided, "id", "left_semi")
+    least = still.groupBy("kind", "key").agg(F.min("id").alias("open"))
+    return undecided.join(still.join(least, ["kind", "key"]).where("open < id").select("id"), "id", "left_anti")
+
+
+def _decide_first(own: DataFrame, found: DataFrame, undecided: DataFrame, threshold: int, few: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Originals (kind, key, orig) and undecided leads after rounds in which only leads that are the first of all their keys are compared by name: where many leads
+    share few domains or addresses, these are few, and what shares a key with an original of theirs needs no comparison. Also, whether anything was decided.
+
+    A first lead that has neither an original nor an undecided lead before it that is named alike is an original."""
+    begun = False
+    for _ in range(FIRST_ROUNDS):
+        undecided = stash(_without_earlier(own, undecided, found), "undecided")
+        names = own.where("kind = 2").join(undecided, "id", "left_semi").select("id", F.col("key").alias("name_key"))
+        if names.select("name_key").distinct().count() <= MEDIUM * few:
+            break
+        first = stash(_first_leads(own, undecided), "first-leads")
+        mine = names.join(first, "id", "left_semi")
+        if mine.select("name_key").distinct().count() > few:
+            break
+        begun = True
+        originals = found.where("kind = 2").groupBy(F.col("key").alias("name_key")).agg(F.min("orig").alias("orig"))
+        open_names = names.groupBy("name_key").agg(F.min("id").alias("open"))
+        near = near_names(mine, names.select("name_key").unionByName(originals.select("name_key")), threshold, few)
+        others = originals.join(open_names, "name_key", "full").withColumnRenamed("name_key", "b")
+        seen = mine.join(near, F.col("name_key") == F.col("a")).join(others, "b").groupBy("id").agg(F.min("orig").alias("orig"), F.min("open").alias("open"))
+        earlier = lambda c: F.coalesce(F.col(c) < F.col("id"), F.lit(False))
+        state = F.when(earlier("orig"), 2).when(earlier("open"), 0).otherwise(1)
+        decided = stash(first.join(seen, "id", "left").select("id", state.alias("state")), "first-decided")
+        fresh = own.join(decided.where("state = 1"), "id", "left_semi").groupBy("kind", "key").agg(F.min("id").alias("orig"))
+        found = found.unionByName(stash(fresh, "new-originals"))
+        undecided = undecided.join(decided.where("state <> 0"), "id", "left_anti")
+    return found, stash(undecided, "undecided"), begun
+
+
+def resolve_against(leads: DataFrame, known: DataFrame | None, threshold: int | None = THRESHOLD, rounds: int = ROUNDS, pack: int = PACK, few: int = FEW) -> DataFrame:
     """``resolve`` against known keys (kind, key, orig: the smallest original with it) instead of leads."""
     flagged = F.coalesce(F.col("is_duplicate"), F.lit(0)) == 1 if "is_duplicate" in leads.columns else F.lit(False)
     kinds = KINDS if threshold is not None else KINDS[:2]
     keys = stash(dedup_keys(leads.where(~flagged)), "leads")
     own = posts(keys, kinds)
-    listened = own.withColumn("own", F.lit(True))
+    undecided = keys.select("id")
     if known is not None:
         known = stash(known.where(F.col("kind").isin(*range(len(kinds)))).select("kind", "key", "orig"), "originals")
+    found = known if known is not None else own.select("kind", "key", F.col("id").alias("orig")).limit(0)
+    begun, near = False, None
     if threshold is not None:
-        names = own.where("kind = 2").select(F.col("key").alias("name_key"), F.lit(True).alias("fresh"))
-        if known is not None:
-            names = names.unionByName(known.where("kind = 2").select(F.col("key").alias("name_key"), F.lit(False).alias("fresh")))
-        near = similar_names(names, threshold).select("a", F.col("b").alias("key"))
-        others = own.where("kind = 2").select("id", "kind", F.col("key").alias("a")).join(near, "a").select("id", "kind", "key")
+        found, undecided, begun = _decide_first(own, found, undecided, threshold, few)
+    listened = own.withColumn("own", F.lit(True))
+    if threshold is not None:
+        listened = listened.join(undecided, "id", "left_semi")
+        names = listened.where("kind = 2").select("id", F.col("key").alias("name_key"))
+        near = near_names(names, names.select("name_key").unionByName(found.where("kind = 2").select(F.col("key").alias("name_key"))), threshold, few)
+        others = names.join(near, F.col("name_key") == F.col("a")).select("id", F.lit(2).alias("kind"), F.col("b").alias("key"))
         listened = listened.unionByName(others.withColumn("own", F.lit(False)))
     listened = stash(listened, "listened")
-    found = known if known is not None else own.select("kind", "key", F.col("id").alias("orig")).limit(0)
-    undecided = keys.select("id")
     for n in itertools.count():
         left = listened if n == 0 else listened.join(undecided, "id", "left_semi")
         if left.count() <= pack:
@@ -273,8 +342,17 @@ def resolve_against(leads: DataFrame, known: DataFrame | None, threshold: int |
         found = found.unionByName(stash(fresh, "new-originals"))
         undecided = decided.where("state = 0").select("id")
     heads = found.groupBy("kind", "key").agg(F.min("orig").alias("orig"))
-    earlier = listened.join(heads, ["kind", "key"]).where("orig < id")
-    targets = earlier.groupBy(F.col("id").alias("__id")).agg(*(F.min(F.when(F.col("kind") == i, F.col("orig"))).alias(k) for i, k in enumerate(kinds)))
+    heads = heads if threshold is None else stash(heads, "heads")
+    earlier = own.join(heads, ["kind", "key"]).select("id", "kind", "orig")
+    if threshold is not None:
+        names = keys.where("name_key <> ''").select("id", "name_key")
+        alike = heads.where("kind = 2").select(F.col("key").alias("b"), "orig")
+        if begun:  # only leads that match no earlier original by address or domain need a name, and only originals have names to match
+            originals = found.select(F.col("orig").alias("id"))
+            names = names.join(earlier.where("kind < 2 AND orig < id").select("id"), "id", "left_anti").join(originals, "id", "left_anti")
+            near = near_names(names, alike.select(F.col("b").alias("name_key")), threshold, few)
+        earlier = earlier.unionByName(names.join(near, F.col("name_key") == F.col("a")).join(alike, "b").select("id", F.lit(2).alias("kind"), "orig"))
+    targets = earlier.where("orig < id").groupBy(F.col("id").alias("__id")).agg(*(F.min(F.when(F.col("kind") == i, F.col("orig"))).alias(k) for i, k in enumerate(kinds)))
     reason = F.coalesce(*(F.when(F.col(k).isNotNull(), F.lit(name)) for k, name in zip(kinds, ("exact_email", "domain_match", "fuzzy_company_name"), strict=False)))
     rows = keys.select("id").join(targets, F.col("id") == F.col("__id"), "left")
     return rows.select("id", F.when(F.col("__id").isNotNull(), 1).otherwise(0).alias("is_duplicate"), F.coalesce(*kinds).alias("duplicate_of_id"), reason.alias("duplicate_reason"))

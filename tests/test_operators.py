@@ -58,6 +58,25 @@ def test_resolution_equals_the_sequential_scan(spark, threshold, rounds, pack):
     assert got == sequential(rows, threshold)
 
 
+@pytest.mark.parametrize("few, threshold", [(0, 90), (1, 90), (4, 90), (4, 70)])
+def test_resolution_by_first_leads_equals_the_sequential_scan(spark, few, threshold):
+    rng = random.Random(few)
+    words = ["acme", "acmee", "labs", "lab", "studio", "north", "nort", "x"]
+    rows = [(i, rng.choice(["", f"u{rng.randint(0, 60)}@x.io"]), f"d{int(6 * rng.random() ** 3)}.io" if i % 9 else "", " ".join(rng.choice(words) for _ in range(rng.randint(0, 4)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, email string, domain_normalized string, company_name string")
+    got = sorted(tuple(r) for r in dedup.resolve(df, threshold, few=few).collect())
+    assert got == sequential(rows, threshold)
+
+
+def test_leads_of_few_domains_need_few_comparisons(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "similar_names", lambda *_, **__: pytest.fail("all names are compared"))
+    r = random.Random(3)
+    part = lambda: r.choice("th er an on re he in ed nd ti".split())
+    rows = [(i, "", f"d{i % 40}.io", "".join(part() for _ in range(30))) for i in range(9000)]
+    df = spark.createDataFrame(rows, "id long, email string, domain_normalized string, company_name string")
+    assert sorted(tuple(x) for x in dedup.resolve(df).collect()) == [(i, 0, None, None) if i < 40 else (i, 1, i % 40, "domain_match") for i in range(9000)]
+
+
 def test_long_chains_are_finished_as_components(spark):
     # in each chain a lead has the e-mail of the one before or the domain of the one after, so all wait for the first
     n = 5000
