@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import bound_batches, lean, worker_cache
 
 #: States kept in the transducer and pieces kept in the piece table before they are emptied.
 MAX_STATES = 100_000
@@ -343,17 +343,14 @@ class Decoder:
         return b"".join(out), utf8.whole
 
 
-_ready: dict[tuple, object] = {}
-
-
 def _once(kind: type, path: str, *more: str):
-    """One encoder or decoder per worker process and vocabulary."""
-    key = (kind, path, *more)
-    if key not in _ready:
-        _ready[key] = kind(load_ranks(path), *more)
-        gc.freeze()  # it stays for good, and what it will hold has no cycles: collections needn't go through that again and again
+    """One encoder or decoder per worker process and vocabulary, until the worker takes a task of another operator."""
+    key, ready = (kind, path, *more), worker_cache("byte_bpe")
+    if key not in ready:
+        ready[key] = kind(load_ranks(path), *more)
+        gc.freeze()  # it stays for long, and what it will hold has no cycles: collections needn't go through that again and again
         gc.set_threshold(100_000, 20)
-    return _ready[key]
+    return ready[key]
 
 
 def _lists(found: list[np.ndarray]) -> pa.ListArray:
@@ -374,7 +371,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], _lists(found)], names=[*keep, ids])
 
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean("byte_bpe", run), schema)
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -390,7 +387,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], _lists(found), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.bool_())], names=[*keep, "ids", "decoded", "whole_utf8"])
 
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType()), T.StructField("whole_utf8", T.BooleanType())])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean("byte_bpe", run), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), decoded: str = "decoded", whole: str = "whole_utf8") -> DataFrame:
@@ -409,4 +406,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = (
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.bool_())], names=[*keep, ids, decoded, whole])
 
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.BinaryType()), T.StructField(whole, T.BooleanType())])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean("byte_bpe", run), schema)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import bound_batches, lean
 
 DIMS, MAX_TRAIN_DOCS, MAX_LANGUAGES = 1024, 100_000, 1024
 #: Trigrams whose vectors a worker keeps, texts that are bundled at once, characters of a part.
@@ -168,7 +168,7 @@ def train(df: DataFrame, dims: int = DIMS, max_train_docs: int = MAX_TRAIN_DOCS,
         vector = bundler.bundle([[(codes, np.array([counts[c] for c in codes.tolist()], np.float32))]])[0] if len(codes) else np.zeros(dims, np.float32)
         return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([np.rint(vector).astype(np.int64).tolist()], pa.list_(pa.int64()))], names=["lang", "sums"])
 
-    partials = chosen.mapInArrow(run, "lang string, sums array<long>")
+    partials = chosen.mapInArrow(lean("language_id", run), "lang string, sums array<long>")
     rows = partials.select("lang", F.posexplode("sums")).groupBy("lang", "pos").agg(F.sum("col").alias("x"))
     out: dict[str, np.ndarray] = {}
     for name, pos, x in rows.collect():  # languages x dims numbers
@@ -201,7 +201,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean("language_id", run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, stash, word_runs
+from .common import bound_batches, lean, stash, word_runs
 from .components import star_components
 
 TILE, HOT_TILE, RUN = 4096, 16_384, 256
@@ -67,7 +67,7 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
             found = np.array([fingerprint(x, shingle) for x in batch.column(len(keep)).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found.view(np.int64))], names=[*keep, "fp"])
 
-    return src.mapInArrow(run, T.StructType([src.schema[c] for c in keep] + [T.StructField("fp", T.LongType())]))
+    return src.mapInArrow(lean("simhash_dedup", run), T.StructType([src.schema[c] for c in keep] + [T.StructField("fp", T.LongType())]))
 
 
 def _find(parent: list[int], i: int) -> int:

@@ -4,12 +4,13 @@ import re
 from collections import Counter
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leadloom.llm import pii_bootstrap
+from leadloom.llm import pii_bootstrap, simhash_dedup
 from leadloom.llm.byte_bpe import load_ranks
 
 from .test_documents import components, slow_fingerprint, slow_spans
@@ -115,3 +116,23 @@ def test_junk_and_unseen_scripts_go_and_short_texts_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     left = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, SF).collect()}
     assert left == {*range(20), 100, None}
+
+
+def test_workers_keep_nothing_of_an_earlier_stage(spark):
+    table = spark.createDataFrame([(i, f"a text of its own {i}") for i in range(64)], "doc_id long, text string").repartition(16)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def kept(batches):
+        import gc
+
+        from leadloom.llm.byte_bpe import Encoder
+
+        gc.unfreeze()
+        n = sum(isinstance(x, Encoder) for x in gc.get_objects())
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(batch), pa.int64())], names=["n"])
+
+    assert stages["byte_bpe"](spark, table, SF).count() == 64
+    assert table.mapInArrow(kept, "n long").agg({"n": "max"}).first()[0] == 1
+    simhash_dedup.near_duplicates(table).collect()
+    assert table.mapInArrow(kept, "n long").agg({"n": "max"}).first()[0] == 0
