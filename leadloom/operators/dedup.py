@@ -36,6 +36,8 @@ DEPTH, MEETINGS = 3, 50
 ROUNDS, PACK = 3, 1_000_000
 #: So few names are compared with any number of others directly; where both sides are more, up to MEDIUM times as many.
 FEW, MEDIUM = 1024, 7
+#: Numbers of 64 bits that mark a name's letters.
+MARKS = 4
 #: Rounds at most in which only leads that are the first of all their keys are compared by name.
 FIRST_ROUNDS = 16
 
@@ -227,23 +229,39 @@ def _finish(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.groupBy("pack").applyInPandas(_scan, "id long")
 
 
+def with_marks(names: DataFrame) -> DataFrame:
+    """The names (name_key) with m0, m1 and so on, whose bits mark their letters (the second "s" of a name is another letter than the first). Names that differ by d insertions and
+    deletions differ by d bits at most, so names further apart in bits needn't be compared."""
+    letters = F.array_sort(F.expr("transform(sequence(1, length(name_key)), i -> substring(name_key, i, 1))"))
+    numbered = F.transform("letters", lambda c, i: F.xxhash64(c, (i + 1 - F.array_position("letters", c)).cast("int")))
+    mark = "aggregate(hashes, 0L, (m, h) -> IF(pmod(h, {}L) = {}L, m | shiftleft(1L, cast(shiftright(h, 8) & 63 AS int)), m))"
+    names = names.withColumn("letters", letters).withColumn("hashes", numbered)
+    return names.withColumns({f"m{w}": F.expr(mark.format(MARKS, w)) for w in range(MARKS)}).drop("letters", "hashes")
+
+
 def near_names(some: DataFrame, others: DataFrame, threshold: int = THRESHOLD, few: int = FEW) -> DataFrame:
     """Pairs (a, b) of a name of ``some`` and another one of ``others`` or, beside those, of ``some`` (name_key), with 200 * LCS >= threshold * (sum of lengths).
 
     If one side has ``few`` names at most, or both are not much more, the smaller one is broadcast and the other goes over it once; else they meet by their rarest pairs of letters."""
     some, others = (x.where("name_key <> ''").select("name_key").distinct() for x in (some, others))
-    some = stash(some, "some-names")
-    others = stash(others, "other-names")
+    some = stash(with_marks(some), "some-names")
+    others = stash(with_marks(others), "other-names")
     n_some, n_others = some.count(), others.count()
     if min(n_some, n_others) > few and max(n_some, n_others) > MEDIUM * few:
         both = some.withColumn("fresh", F.lit(True)).unionByName(others.withColumn("fresh", F.lit(False)))
         return similar_names(both, threshold)
     lanes = some.sparkSession.sparkContext.defaultParallelism
-    a, b = some.select(F.col("name_key").alias("a")), others.select(F.col("name_key").alias("b"))
-    a, b = (F.broadcast(a), b.repartition(lanes)) if n_some <= n_others else (a.repartition(lanes), F.broadcast(b))
-    edits = f"cast(({100 - threshold} * (length(a) + length(b))) div 100 AS int)"
-    met = b.join(a, F.expr(f"a <> b AND abs(length(a) - length(b)) <= {edits} AND levenshtein(a, b, {edits}) >= 0"))
-    return stash(met.where(200 * lcs_length("a", "b") >= threshold * (F.length("a") + F.length("b"))).select("a", "b"), "near-names")
+    some, others = (F.broadcast(some), others.repartition(lanes)) if n_some <= n_others else (some.repartition(lanes), F.broadcast(others))
+    return stash(_directly(some, others, threshold), "near-names")
+
+
+def _directly(some: DataFrame, others: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of alike names of some and others (name_key and its marks), by comparing each with each: lengths first, then marks, then edits."""
+    a, b = (x.select(F.col("name_key").alias(side), F.length("name_key").alias(f"n_{side}"), *(F.col(f"m{w}").alias(f"{side}{w}") for w in range(MARKS))) for x, side in ((some, "a"), (others, "b")))
+    edits = f"cast(({100 - threshold} * (n_a + n_b)) div 100 AS int)"
+    apart = " + ".join(f"bit_count(a{w} ^ b{w})" for w in range(MARKS))
+    met = b.join(a, F.expr(f"abs(n_a - n_b) <= {edits} AND {apart} <= {edits} AND a <> b AND levenshtein(a, b, {edits}) >= 0"))
+    return met.where(200 * lcs_length("a", "b") >= threshold * (F.length("a") + F.length("b"))).select("a", "b")
 
 
 def resolve(leads: DataFrame, threshold: int | None = THRESHOLD, originals: DataFrame | None = None, rounds: int = ROUNDS, pack: int = PACK, few: int = FEW) -> DataFrame:

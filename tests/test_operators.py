@@ -463,3 +463,22 @@ def test_many_names_that_share_a_word_make_few_pairs(spark):
     names = spark.range(3000).select(F.concat(own, F.lit(" solutions")).alias("name_key"))
     pairs = {(x.a, x.b) for x in dedup.similar_names(names, hot=256).collect()}
     assert all((b, a) in pairs and dedup.common_subsequence(a, b) >= 18 for a, b in pairs) and len(pairs) < 100
+
+
+def test_names_are_compared_by_marks_before_edits(spark):
+    r = random.Random(11)
+    names = {"a", "aa", "aaaaaaaaaaaaaaaaaaab", "\U0001f600 été", "x" * 300}
+    for _ in range(60):
+        name = "".join(r.choice("abé \U0001f600") for _ in range(r.randint(1, 40)))
+        k = r.randrange(len(name))
+        names |= {name, name[:k] + name[k + 1 :], name[:k] + "b" + name[k:], name + name}
+    names.discard("")
+    df = spark.createDataFrame([(n,) for n in names], "name_key string")
+    for threshold in (90, 60):
+        want = {(a, b) for a in names for b in names if a != b and 200 * dedup.common_subsequence(a, b) >= threshold * (len(a) + len(b))}
+        assert len(want) > 100
+        assert {(x.a, x.b) for x in dedup.near_names(df, df, threshold).collect()} == want
+    marked = dedup.with_marks(df)
+    plan = dedup._directly(F.broadcast(marked), marked, 90)._jdf.queryExecution().executedPlan().toString()
+    join = next(line for line in plan.splitlines() if "NestedLoopJoin" in line)
+    assert 0 < join.index("bit_count") < join.index("levenshtein")
