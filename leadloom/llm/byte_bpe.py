@@ -41,6 +41,8 @@ MAX_PIECES = 250_000
 LONG_PIECE = 64
 #: Characters of text that are cut into pieces at once.
 PART_CHARS = 1 << 20
+#: Bytes of a batch. Text, ids and decoded bytes of a batch are held at once, by the worker beside its tables and by the JVM, so batches are small.
+BATCH_BYTES = 512 << 10
 
 _CUT = regex.compile(r"(?<=\S)(?=\s)")
 _WIDE = re.compile("[\u0250-\U0010ffff]")
@@ -361,7 +363,7 @@ def _lists(found: list[np.ndarray]) -> pa.ListArray:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
     """``keep`` and the column ``ids`` (array of int): the text's ids by the rank file at ``path`` (a path on every executor), without special tokens."""
-    bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession, BATCH_BYTES)
     src = df.select(*keep, df[text].cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +378,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
 
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """encode() and decode() of its ids in one pass through Python: ``keep``, ids, decoded, whole_utf8. A task then needs one worker, not two."""
-    bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession, BATCH_BYTES)
     src = df.select(*keep, df[text].cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +394,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep:
 
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), decoded: str = "decoded", whole: str = "whole_utf8") -> DataFrame:
     """``keep``, the ids, ``decoded`` (binary: the tokens' bytes) and ``whole`` (whether these are whole UTF-8 characters). Null ids: empty."""
-    bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession, BATCH_BYTES)
     src = df.select(*keep, df[ids].cast("array<int>").alias(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -140,3 +141,17 @@ def test_characters_are_streamed_whole(ranks):
         assert got == data and utf8.whole == (data.decode("utf-8", "replace").encode() == data)
         ids = np.array([ranks[bytes([b])] for b in data], np.int32)
         assert d.decode(ids) == (data, utf8.whole)
+
+
+@pytest.mark.parametrize("build", [encode, round_trip])
+def test_batches_are_small_beside_the_tables(spark, build):
+    docs = spark.range(3000, numPartitions=1).selectExpr("id AS doc_id", "repeat('some words ', 200) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], names=["size", "n"])
+
+    found = build(docs, PATH, P.PATTERN)
+    rows = docs.mapInArrow(sizes, "size long, n long").collect()
+    assert sum(r.n for r in rows) == 3000 and max(r.size for r in rows) <= 1 << 20
+    assert found.selectExpr("count(*)", "count(DISTINCT doc_id)", "count(DISTINCT ids)").first() == (3000, 3000, 1)
